@@ -2,6 +2,12 @@
 
 import importlib
 
-_NAMES = ("leakage_queries", "spans_queries")
+_NAMES = (
+    "encoding_queries",
+    "lookalike_queries",
+    "packing_queries",
+    "leakage_queries",
+    "spans_queries",
+)
 
 MODULES = [importlib.import_module(f"leafmill.llm.{name}") for name in _NAMES]
