@@ -4,6 +4,7 @@ import importlib
 
 _NAMES = (
     "encoding_queries",
+    "quality_queries",
     "lookalike_queries",
     "packing_queries",
     "leakage_queries",
