@@ -217,11 +217,31 @@ def _repair_swap(line: str) -> tuple[str, str | None]:
     return best, by
 
 
+_ESCAPE = re.compile(r"(?:\\x[0-9a-fA-F]{2})+")
+
+
+def _unescape(m: re.Match[str]) -> str:
+    raw = bytes.fromhex(m[0].replace("\\x", ""))
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace")
+
+
+def _sound(line: str) -> bool:
+    return line.isascii() and "\\x" not in line
+
+
 def repair_line(line: str) -> tuple[str, str | None]:
     """``(text, how)``: the line with what could be restored, and how; ``how`` is None for a sound line.
 
     ``lost`` means that characters were destroyed. Layers are named from the outermost.
     """
+    escaped = "\\x" in line and _ESCAPE.search(line)
+    if escaped:  # bytes that were written out instead of decoded
+        line = _ESCAPE.sub(_unescape, line)
+        new, how = repair_line(line)
+        return new, "escaped" + (f"+{how}" if how else "")
     if line.isascii() or _PLAIN.fullmatch(line) and not _ODD.search(line):
         return line, None
     plain = _undisguise(line)
@@ -244,7 +264,7 @@ def repair_line(line: str) -> tuple[str, str | None]:
 
 def repair_text(text: str) -> list[tuple[str, str | None]]:
     """``repair_line`` of every line; a swap found in two lines is also tried on the weaker cases beside them."""
-    found = [(line, None) if line.isascii() else repair_line(line) for line in text.split("\n")]
+    found = [(line, None) if _sound(line) else repair_line(line) for line in text.split("\n")]
     swaps = Counter(how for _, how in found if how and ">" in how and "+" not in how)
     for how, n in swaps.items():
         if n < 2:
@@ -265,10 +285,10 @@ def repair_text(text: str) -> list[tuple[str, str | None]]:
 def garbled_lines(pages: DataFrame, page_id: str = "page_id", text: str = "page_text") -> DataFrame:
     """``(page_id, line_no, original, restored, how)`` of lines garbled by a wrong decoding, from line 1.
 
-    Only pages with characters beyond ASCII leave the JVM. Null and empty texts have no such lines;
+    Only pages with characters beyond ASCII or with escaped bytes leave the JVM. Null and empty texts have no such lines;
     repeated rows give one result.
     """
-    rows = pages.where(F.col(page_id).isNotNull() & F.col(text).rlike(r"[^\x00-\x7f]")).select(
+    rows = pages.where(F.col(page_id).isNotNull() & F.col(text).rlike(r"[^\x00-\x7f]|\\x[0-9a-fA-F]{2}")).select(
         F.col(page_id).cast("long").alias("page_id"), F.col(text).alias("t")
     )
     schema = "page_id bigint, line_no int, original string, restored string, how string"
@@ -300,7 +320,7 @@ def restored_pages(pages: DataFrame, page_id: str = "page_id", text: str = "page
             ids = batch.column(0)
             texts, bad, lost = [], [], []
             for t in batch.column(1).to_pylist():
-                if t is None or t.isascii():
+                if t is None or _sound(t):
                     texts.append(t), bad.append(0), lost.append(0)
                     continue
                 lines = repair_text(t)
