@@ -154,7 +154,7 @@ _MIXED = re.compile("[A-Za-z][Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][A-Za-z]")
 _LATIN = {ord(a): b for a, b in {**CYRILLIC, **GREEK}.items() if b < "\x80"}
 
 
-def _undisguise(line: str) -> str:
+def undisguise(line: str) -> str:
     """The line without wide forms, invisible characters and look-alike letters within Latin words."""
     pattern, table = _wide()
     if pattern.search(line):
@@ -244,7 +244,7 @@ def repair_line(line: str) -> tuple[str, str | None]:
         return new, "escaped" + (f"+{how}" if how else "")
     if line.isascii() or _PLAIN.fullmatch(line) and not _ODD.search(line):
         return line, None
-    plain = _undisguise(line)
+    plain = undisguise(line)
     if _PLAIN.fullmatch(plain) and not _ODD.search(plain):
         return line, None
     how: list[str] = []

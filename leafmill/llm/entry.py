@@ -3,6 +3,7 @@
 import importlib
 
 _NAMES = (
+    "scans_queries",
     "encoding_queries",
     "quality_queries",
     "lookalike_queries",
