@@ -40,9 +40,9 @@ def _points(text: str) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.cumprod(np.concatenate([[1], np.full(n, _FACTOR, np.uint64)]).astype(np.uint64))
-    down = np.cumprod(np.concatenate([[1], np.full(n, pow(_FACTOR, -1, 2**64), np.uint64)]).astype(np.uint64))
-    return up, down
+    up, down = np.full(n + 1, _FACTOR, np.uint64), np.full(n + 1, pow(_FACTOR, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
