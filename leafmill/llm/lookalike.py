@@ -102,21 +102,25 @@ def _char_class(chars: set[str]) -> str:
 
 
 @lru_cache(None)
-def affected() -> str:
-    """Regex class of characters that a mapping changes; composed letters in final form are not."""
-    table = char_map()
+def steady() -> str:
+    """Regex class of common characters that stand for themselves, in few ranges, so that it is fast to test.
+
+    Characters outside it may change; exploding one that does not is harmless.
+    """
     final = set(compositions().values())
-    return _char_class({c for c in table if c not in final} | set(marks()))
+    areas = ((0x00, 0x24F), (0x400, 0x45F), (0x2010, 0x2026), (0x20AC, 0x20AC))
+    return _char_class({chr(p) for a, b in areas for p in range(a, b + 1) if chr(p) not in marks() and (chr(p) not in char_map() or chr(p) in final)})
 
 
-def _one_form_key(text: Column) -> Column:
-    """Text without accents and marks, in single characters: equal for texts that look the same.
+def _with_key(rows: DataFrame, text: str) -> DataFrame:
+    """Adds ``key``: the text without accents and marks, equal for texts that look the same.
 
-    It also joins texts that do not look the same; it only decides which texts are exploded.
+    It also joins texts that do not look the same; it only decides which texts are exploded. Characters that
+    stand for one are translated, the few that stand for several are replaced one by one where they occur.
     """
-    table, drop = char_map(), set(marks())
+    drop = set(marks())
     single, many, gone = {}, {}, set(drop)
-    for c, to in table.items():
+    for c, to in char_map().items():
         base = "".join(x for x in to if x not in drop)
         if not base:
             gone.add(c)
@@ -124,15 +128,16 @@ def _one_form_key(text: Column) -> Column:
             single[c] = base
         else:
             many[c] = base
-    gone.discard("")
     source = "".join(single) + "".join(sorted(gone - set(single)))
-    plain = F.translate(text, source, "".join(single.values()))
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many.items()])
-    held = F.filter(pairs, lambda p: F.contains(plain, p["a"]))
-    unfolded = F.when(
-        plain.rlike(f"[{_char_class(set(many))}]"), F.aggregate(held, plain, lambda t, p: F.replace(t, p["a"], p["b"]))
-    ).otherwise(plain)
-    return F.when(text.rlike(r"[^\x00-\x7f]"), unfolded).otherwise(text)
+    folded = F.when(
+        F.col(text).rlike(r"[^\x00-\x7f]"), F.translate(F.col(text), source, "".join(single.values()))
+    ).otherwise(F.col(text))
+    rows = rows.withColumn("_plain", folded)
+    held = F.array_distinct(F.regexp_extract_all("_plain", F.lit(f"[^{steady()}]"), F.lit(0)))
+    rows = rows.withColumn("_held", held)
+    parts = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    replaced = F.aggregate("_held", F.col("_plain"), lambda t, c: F.replace(t, c, F.coalesce(F.element_at(parts, c), c)))
+    return rows.withColumn("key", F.when(F.size("_held") == 0, F.col("_plain")).otherwise(replaced)).drop("_plain", "_held")
 
 
 def map_table(spark: SparkSession) -> DataFrame:
@@ -154,13 +159,13 @@ def one_form(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     A text of any length works: it moves in pieces of its changing runs.
     """
     spark = texts.sparkSession
-    a = affected()
-    pattern = f"(?s)[^{a}]?[{a}]{{1,256}}(?:[{_char_class(set(marks()))}]{{0,64}})|[^{a}]{{1,4000}}(?=[^{a}][{a}])|[^{a}]{{1,4000}}"
+    a = steady()  # a run: the character before it, up to 256 that may change, and the marks that follow
+    pattern = f"(?s)[{a}]?[^{a}]{{1,256}}\\p{{M}}{{0,64}}|[{a}]{{1,4000}}(?=[{a}][^{a}])|[{a}]{{1,4000}}"
     base = texts.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    work = base.where(F.col("t").rlike(f"[{a}]"))
-    still = base.where(F.col("t").isNull() | ~F.col("t").rlike(f"[{a}]")).select("k", F.col("t").alias("form"))
+    work = base.where(F.col("t").rlike(f"[^{a}]"))
+    still = base.where(F.col("t").isNull() | ~F.col("t").rlike(f"[^{a}]")).select("k", F.col("t").alias("form"))
     pieces = work.select("k", F.posexplode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("n", "piece"))
-    runs = pieces.where(F.col("piece").rlike(f"[{a}]"))
+    runs = pieces.where(F.col("piece").rlike(f"[^{a}]"))
     points = runs.select("k", "n", F.posexplode(F.split("piece", "")).alias("pos", "ch")).where("ch <> ''")
     mapped = (
         points.join(map_table(spark), "ch", "left")
@@ -185,7 +190,7 @@ def one_form(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame
         .select("k", "n", "cluster", F.when(F.col("composed").isNull(), F.col("s")).otherwise(F.concat("composed", F.expr("substring(s, 3)"))).alias("s"))
     )
     rebuilt = composed.groupBy("k", "n").agg(F.array_join(F.array_sort(F.collect_list(F.struct("cluster", "s")))["s"], "").alias("piece"))
-    whole = rebuilt.unionByName(pieces.where(~F.col("piece").rlike(f"[{a}]")).select("k", "n", "piece"))
+    whole = rebuilt.unionByName(pieces.where(~F.col("piece").rlike(f"[^{a}]")).select("k", "n", "piece"))
     full = whole.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "piece")))["piece"], "").alias("form"))
     # A text of which nothing is left, such as invisible characters only, still has its (empty) form.
     return full.unionByName(still).select(F.col("k").alias(key), "form")
@@ -200,7 +205,8 @@ def same_looks(pages: DataFrame, page_id: str = "page_id", text: str = "page_tex
     rows = pages.where(F.col(page_id).isNotNull() & (F.col(text) != "")).select(
         F.col(page_id).cast("long").alias("id"), F.col(text).alias("t")
     )
-    keyed = stage(rows.select("id", F.xxhash64("t").alias("h"), F.xxhash64(_one_form_key(F.col("t"))).alias("key")).distinct(), "looks")
+    keyed = _with_key(rows, "t").select("id", F.xxhash64("t").alias("h"), F.xxhash64("key").alias("key"))
+    keyed = stage(keyed.distinct(), "looks")
     groups = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     members = stage(keyed.join(groups, "key").select("id", "h", "key"), "candidates")
     first = members.groupBy("h").agg(F.min("id").alias("id"))
