@@ -34,8 +34,13 @@ def split_sections(paragraphs: DataFrame) -> DataFrame:
 
 
 def render_blocks(blocks: DataFrame) -> DataFrame:
-    """Adds ``text`` to body blocks ``(kind, style, raw, cells)``: headings and tables as markdown."""
-    text = F.when(F.col("kind") == "table", table_markdown(F.col("cells"))).otherwise(heading(F.coalesce("style", F.lit("")), F.coalesce("raw", F.lit(""))))
+    """Adds ``text`` to body blocks ``(kind, style, raw, cells)``: headings and tables as markdown.
+
+    A table stands between blank lines; an empty one leaves nothing.
+    """
+    table = table_markdown(F.col("cells"))
+    framed = F.when(table != "", F.concat(F.lit("\n"), table, F.lit("\n"))).otherwise("")
+    text = F.when(F.col("kind") == "table", framed).otherwise(heading(F.coalesce("style", F.lit("")), F.coalesce("raw", F.lit(""))))
     return blocks.withColumn("text", text)
 
 

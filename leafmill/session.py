@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +16,30 @@ _TABLES = (
 ).split()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that none needs it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="leafmill_code_")  # read by the driver only, which serves it to executors
+    archive = os.path.join(folder, "leafmill.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for here, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(here, name)
+                    z.write(full, os.path.join("leafmill", os.path.relpath(full, root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Reads one parquet table of an input directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,7 +83,3 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def columns_free(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the named columns; other columns of the input cannot clash with computed ones."""
-    return df.select(*wanted)
