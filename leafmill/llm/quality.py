@@ -68,8 +68,11 @@ def _delimited(line: str) -> tuple[str, int]:
     return "", 0
 
 
-def line_kinds(lines: list[str], known) -> list[str]:
-    """Kind of each line: frame, blank, prose, list, table or junk. ``known`` tells whether a lower-case word is one."""
+def line_kinds(lines: list[str], known) -> tuple[list[str], list[list[str]], list[int]]:
+    """Kind of each line (frame, blank, prose, list, table or junk), its words, and its non-blank characters.
+
+    ``known`` tells whether a lower-case word is one.
+    """
     n = len(lines)
     kinds = [""] * n
     first = next((i for i, x in enumerate(lines) if x.strip()), None)
@@ -77,16 +80,17 @@ def line_kinds(lines: list[str], known) -> list[str]:
     for i, line in enumerate(lines):
         if not line or line.isspace():
             kinds[i] = "blank"
-        elif _FRAME.match(line) or framed and i == first:
+        elif line[0] in "-*> \t" and _FRAME.match(line) or framed and i == first:
             kinds[i] = "frame"
     cells = [("", 0) if k else _delimited(x) for k, x in zip(kinds, lines)]
-    gaps = [0 if k else len(_GAP.findall(x)) for k, x in zip(kinds, lines)]
+    gaps = [0 if k or "  " not in x and "\t" not in x else len(_GAP.findall(x)) for k, x in zip(kinds, lines)]
     words = [[] if k else _WORD.findall(x) for k, x in zip(kinds, lines)]
+    weights = [0 if k else _weight(x) for k, x in zip(kinds, lines)]
     live = [i for i in range(n) if not kinds[i]]
     for p, i in enumerate(live):
         line = lines[i]
-        near = [live[q] for q in (p - 2, p - 1, p + 1, p + 2) if 0 <= q < len(live) and abs(live[q] - i) <= 3]
         mark, count = cells[i]
+        near = [live[q] for q in (p - 2, p - 1, p + 1, p + 2) if 0 <= q < len(live) and abs(live[q] - i) <= 3] if mark or gaps[i] else ()
         if mark and any(cells[j][0] == mark and abs(cells[j][1] - count) <= (0 if mark in ";," else 1) for j in near):
             kinds[i] = "table"
         elif gaps[i] >= 1 and len(words[i]) <= 6 * (gaps[i] + 1) and (
@@ -100,31 +104,32 @@ def line_kinds(lines: list[str], known) -> list[str]:
     # Junk overrides: lines without readable words, whatever their layout.
     for i in live:
         w, line = words[i], lines[i]
-        size = _weight(line)
+        size = weights[i]
         letters = sum(map(len, w))
         if kinds[i] == "table":
             plain = letters + len(_DIGITS.sub("", line))
             if size > 12 and plain < 0.5 * size and not set(line) <= _RULE:
                 kinds[i] = "junk"
             continue
-        if _HEX.search(line) and size > 20:
-            kinds[i] = "junk"
-            continue
-        symbols = len(_SYMBOL.findall(line)) + line.count("�")
-        if size > 6 and (letters < 0.35 * size and kinds[i] != "list" and not _CODE.search(line) or symbols > 0.25 * size and letters < 0.7 * size):
-            kinds[i] = "junk"
-            continue
-        long = [x for x in w if len(x) > 3]
+        # A name that the corpus hardly knows says nothing; unknown words in small letters do.
+        long = [y for x in w if len(x) > 3 and (known(y := x.lower()) or not x[0].isupper() or x.isupper())]
         total = sum(map(len, long))
-        good = sum(len(x) for x in long if known(x.lower()) or "-" in x and all(known(y) for y in x.lower().split("-") if len(y) > 3))
+        good = sum([len(x) for x in long if known(x) or "-" in x and all([known(y) for y in x.split("-") if len(y) > 3])])
         if total >= 12 and good < 0.45 * total or size > 25 and not long and letters < 0.6 * size and kinds[i] != "list":
             kinds[i] = "junk"
-        elif not kinds[i] and (size > 14 and not good or max(map(len, line.split()), default=0) > 45):
-            kinds[i] = "junk"
-        elif len(w) >= 5 and Counter(x.lower() for x in w).most_common(1)[0][1] >= 0.5 * len(w):
-            kinds[i] = "junk"
+        elif good < 0.6 * size:  # not plainly readable
+            symbols = len(_SYMBOL.findall(line)) + line.count("�")
+            if size > 20 and _HEX.search(line):
+                kinds[i] = "junk"
+            elif size > 6 and (letters < 0.35 * size and kinds[i] != "list" and not _CODE.search(line) or symbols > 0.25 * size and letters < 0.7 * size):
+                kinds[i] = "junk"
+            elif not kinds[i] and (size > 14 and not good or max(map(len, line.split()), default=0) > 45):
+                kinds[i] = "junk"
+        if kinds[i] != "junk" and len(w) >= 5 and len(set(w)) <= 0.5 * len(w) + 1:
+            if Counter([x.lower() for x in w]).most_common(1)[0][1] >= 0.5 * len(w):
+                kinds[i] = "junk"
     _blocks(lines, kinds, words, live)
-    return kinds
+    return kinds, words, weights
 
 
 def _blocks(lines: list[str], kinds: list[str], words: list[list[str]], live: list[int]) -> None:
@@ -166,27 +171,25 @@ def measure(text: str | None, known, common) -> tuple | None:
     if not text or text.isspace():
         return None
     lines = text.split("\n")
-    kinds = line_kinds(lines, known)
+    kinds, found, weights = line_kinds(lines, known)
     share = Counter()
-    for line, kind in zip(lines, kinds):
-        if kind not in ("blank", "frame"):
-            share[kind] += _weight(line)
+    for weight, kind in zip(weights, kinds):
+        share[kind] += weight
     body = [x for x, k in zip(lines, kinds) if k not in ("blank", "frame")]
-    total = sum(share[k] for k in ("prose", "list", "table", "junk"))
-    words = [w.lower() for x in body for w in _WORD.findall(x)]
+    total = share["prose"] + share["list"] + share["table"] + share["junk"]
+    words = [w.lower() for line in found for w in line]
     count = len(words)
     joined = "\n".join(body)
-    size = max(1, _weight(joined))
+    size = max(1, total)
     seen = Counter(x.strip() for x in body)
     repeated = sum(len(x) * (c - 1) for x, c in seen.items() if c > 1)
     paragraphs = Counter(p.strip() for p in re.split(r"\n\s*\n", text) if p.strip() and not _FRAME.match(p))
     again = sum(len(p) * (c - 1) for p, c in paragraphs.items() if c > 1)
     top = 0
-    for width in (2, 4):
-        grams = Counter(zip(*(words[k:] for k in range(width))))
-        if len(grams) < count - width + 1:  # some gram repeats
-            gram = max(grams, key=grams.__getitem__)
-            top = max(top, grams[gram] * sum(map(len, gram)))
+    grams = Counter(zip(words, words[1:], words[2:]))
+    if len(grams) < count - 2:  # some three words repeat
+        gram = max(grams, key=grams.__getitem__)
+        top = grams[gram] * sum(map(len, gram))
     letters = sum(map(len, words))
     odd = sum(map(len, _NO_VOWEL.findall(joined)))
     symbols = len(_SYMBOL.findall(joined))
