@@ -169,7 +169,7 @@ def undisguise(line: str) -> str:
 
 #: Characters that plain text of the known languages consists of, and what is odd even among those.
 _PLAIN = re.compile(r"[\x00-\x7f’‘“”„–—•€£§«»°±µ²³·¿¡\xa0А-яЁё№éèàçñóíáúüöäßôêâûîïùœłąęćśźżńãõÉÀÇÑÓÍÁÚÜÖÄÔÊÂÃÕŁŚŹŻĆŃŒÎ\xad¬‐‑\u0300-\u036f]*")
-_ODD = re.compile(
+ODD = re.compile(
     r"â€|Â[°±µ²³·§£«»¿¡\xa0\xad¬]|Ã[^\w\s.,;:!?)\"'’”»\-–—]|[РС][°±µ·»«§–—‘’“”„•]|[^\W\dmk][³²±µ£§]|[³²±·](?=[^\W\d])|[^\W\d]·[^\W\d]|¿(?=[a-zà-ÿ])"
     r"|[а-яё][А-ЯЁ]|[a-zß-ÿ][À-ÝŁŚŹŻĆŃ]|â(?=[\s,.;:)]|$)|Ã(?=[ \xa0]|$)|\u00ad(?=[^\W\d]*[ÂÃ])|Ã[\xa0\xad]"
 )
@@ -196,6 +196,8 @@ def _repair_runs(line: str) -> tuple[str, str | None]:
         new = pattern.sub(fix, line)
         if new != line and (c := cost(new)) < best_cost and c <= limit:
             best, best_cost, by = new, c, encoding
+            if c < 0.2 * (limit + RUN_DROP):  # nearly nothing odd is left
+                break
     return best, by
 
 
@@ -212,6 +214,9 @@ def _repair_swap(line: str) -> tuple[str, str | None]:
             new = raw.decode(meant)
         except UnicodeDecodeError:
             continue
+        cyrillic = sum("Ѐ" <= x <= "ӿ" for x in new)
+        if cyrillic and cyrillic < sum("A" <= x.upper() <= "Z" for x in new):
+            continue
         if (c := cost(new)) < best_cost and c < 0.7 * now:
             best, best_cost, by = new, c, f"{read}>{meant}"
     return best, by
@@ -242,17 +247,19 @@ def repair_line(line: str) -> tuple[str, str | None]:
         line = _ESCAPE.sub(_unescape, line)
         new, how = repair_line(line)
         return new, "escaped" + (f"+{how}" if how else "")
-    if line.isascii() or _PLAIN.fullmatch(line) and not _ODD.search(line):
+    if line.isascii() or _PLAIN.fullmatch(line) and not ODD.search(line):
         return line, None
     plain = undisguise(line)
-    if _PLAIN.fullmatch(plain) and not _ODD.search(plain):
+    if _PLAIN.fullmatch(plain) and not ODD.search(plain):
         return line, None
     how: list[str] = []
     line, sound = plain, line
     for _ in range(LAYERS):
         new, by = _repair_runs(line)
-        if by is None and not how:
-            new, by = _repair_swap(line)
+        if not how and (by is None or cost(new) > 0.3 * cost(line)):
+            other, swap = _repair_swap(line)
+            if swap and (by is None or cost(other) < cost(new)):
+                new, by = other, swap
         if by is None:
             break
         line = new

@@ -252,5 +252,5 @@ def normalized_pages(pages: DataFrame, page_id: str = "page_id", text: str = "pa
     return rows.join(forms, "id", "left").select(
         F.col("id").alias("page_id"),
         F.when(F.col("t").isNull(), F.lit(None)).otherwise(F.coalesce("form", F.lit(""))).alias("form"),
-        F.coalesce(~F.col("t").eqNullSafe(F.coalesce("form", F.lit(""))), F.lit(False)).alias("changed"),
+        F.coalesce(F.col("t") != F.coalesce("form", F.lit("")), F.lit(False)).alias("changed"),
     )
