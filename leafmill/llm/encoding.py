@@ -171,7 +171,7 @@ def undisguise(line: str) -> str:
 _PLAIN = re.compile(r"[\x00-\x7f’‘“”„–—•€£§«»°±µ²³·¿¡\xa0А-яЁё№éèàçñóíáúüöäßôêâûîïùœłąęćśźżńãõÉÀÇÑÓÍÁÚÜÖÄÔÊÂÃÕŁŚŹŻĆŃŒÎ\xad¬‐‑\u0300-\u036f]*")
 ODD = re.compile(
     r"â€|Â[°±µ²³·§£«»¿¡\xa0\xad¬]|Ã[^\w\s.,;:!?)\"'’”»\-–—]|[РС][°±µ·»«§–—‘’“”„•]|[^\W\dmk][³²±µ£§]|[³²±·](?=[^\W\d])|[^\W\d]·[^\W\d]|¿(?=[a-zà-ÿ])"
-    r"|[а-яё][А-ЯЁ]|[a-zß-ÿ][À-ÝŁŚŹŻĆŃ]|â(?=[\s,.;:)]|$)|Ã(?=[ \xa0]|$)|\u00ad(?=[^\W\d]*[ÂÃ])|Ã[\xa0\xad]"
+    r"|[A-Za-z][А-яЁё]|[А-яЁё][A-Za-z]|[а-яё][А-ЯЁ]|[a-zß-ÿ][À-ÝŁŚŹŻĆŃ]|â(?=[\s,.;:)]|$)|Ã(?=[ \xa0]|$)|\u00ad(?=[^\W\d]*[ÂÃ])|Ã[\xa0\xad]"
 )
 _LOST = re.compile(r"(?:^|(?<=[\s(\"“]))[Ãâ](?=[\s,.;:)]|$)(?!\s+[A-ZÀ-Ý](?:\s|$))|Ã(?=[ \xa0](?![A-ZÀ-Ý]))|â(?=[€™œ“”])|(?<=[a-z])Ã(?![A-ZÀ-Ý])|[ÂÃ](?=[^\w\s.,;:!?)\"'’”»\-–—])|[ÐÑ](?=$|[ ÐÑ])")
 
@@ -237,6 +237,25 @@ def _sound(line: str) -> bool:
     return line.isascii() and "\\x" not in line
 
 
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
+
+
+def _peel(line: str, swaps: bool) -> tuple[str, list[str]]:
+    """Undoes layers of wrong decodings while that makes the line look better."""
+    how: list[str] = []
+    for _ in range(LAYERS):
+        new, by = _repair_runs(line)
+        if swaps and not how and (by is None or cost(new) > 0.3 * cost(line)):
+            other, swap = _repair_swap(line)
+            if swap and (by is None or cost(other) < 0.5 * cost(new)):
+                new, by = other, swap
+        if by is None:
+            break
+        line = new
+        how.append(by)
+    return line, how
+
+
 def repair_line(line: str) -> tuple[str, str | None]:
     """``(text, how)``: the line with what could be restored, and how; ``how`` is None for a sound line.
 
@@ -252,18 +271,13 @@ def repair_line(line: str) -> tuple[str, str | None]:
     plain = undisguise(line)
     if _PLAIN.fullmatch(plain) and not ODD.search(plain):
         return line, None
-    how: list[str] = []
-    line, sound = plain, line
-    for _ in range(LAYERS):
-        new, by = _repair_runs(line)
-        if not how and (by is None or cost(new) > 0.3 * cost(line)):
-            other, swap = _repair_swap(line)
-            if swap and (by is None or cost(other) < cost(new)):
-                new, by = other, swap
-        if by is None:
-            break
-        line = new
-        how.append(by)
+    sound = line
+    new, how = _peel(plain, True)
+    if plain != line and _CYRILLIC.search(line):  # what looks like a disguise may be part of a sequence
+        other, steps = _peel(line, False)
+        if steps and cost(undisguise(other)) < cost(new):
+            new, how = undisguise(other), steps
+    line = new
     if "�" in line or any("\x80" <= c < "\xa0" for c in line) or _LOST.search(line):
         how.append("lost")
     return (line, "+".join(how)) if how else (sound, None)
