@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.strings import percent
 from leafmill.operators.features import FEATURES, vector
 from leafmill.operators.order import with_blocks, with_ordinal
+from leafmill.operators.status import one_row
 
 # Samples before predictions, between trainings and until exploration halves.
 LEAST_SAMPLES, RETRAIN_EVERY, HALF_LIFE = 30, 100, 200
@@ -215,15 +216,15 @@ def learning_report(outcomes: DataFrame, files: DataFrame, session: DataFrame) -
         }
     )
     counted = outcome_counts(outcomes).withColumn("exploration_rate", exploration_rate(F.col("ocrd_records")))
-    return counted.join(F.broadcast(file_stats(files))).join(F.broadcast(s))  # one row each
+    return one_row(counted, file_stats(files), s)
 
 
 def training_set(outcomes: DataFrame) -> DataFrame:
     """``(features, label, weight)`` of recognised samples with all features; weights balance the classes."""
     rows = outcomes.where(F.col("ocr_performed") & F.col("is_useful").isNotNull()).select(vector().alias("v"), F.col("is_useful").cast("double").alias("label")).where("v IS NOT NULL")
     sizes = rows.groupBy("label").agg(F.count("*").alias("c"))
-    total = rows.agg(F.count("*").alias("n"))
-    weights = sizes.join(F.broadcast(total)).select("label", (F.col("n") / (2.0 * F.col("c"))).alias("weight"))  # two rows
+    total = F.sum("c").over(Window.partitionBy(F.lit(1)))  # over two rows
+    weights = sizes.select("label", (total / (2.0 * F.col("c"))).alias("weight"))
     return rows.join(F.broadcast(weights), "label").select("v", "label", "weight")
 
 

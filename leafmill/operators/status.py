@@ -84,13 +84,21 @@ def cycle_stats(scan: DataFrame, outcome: DataFrame) -> DataFrame:
     b = outcome.agg(
         F.count_if(s.isin("created", "improved")).alias("processed"), F.count_if(s == "failed").alias("failed"), F.count_if(s.isin("skipped", "kept")).alias("skipped")
     )
-    return a.join(F.broadcast(b))  # one row each
+    return one_row(a, b)
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """One row of frames of one row each, without a join."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
 
 def first_regressions(regressions: DataFrame, order: str, n: int = 5) -> DataFrame:
     """The first regressions in order of insertion, each with the number of further ones."""
-    more = regressions.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
-    return regressions.orderBy(order).limit(n).join(F.broadcast(more))  # one row
+    more = max(regressions.count() - n, 0)
+    return regressions.orderBy(order).limit(n).withColumn("more", F.lit(more).cast("long"))
 
 
 def last_messages(log: DataFrame, order: str, n: int = 100) -> DataFrame:
