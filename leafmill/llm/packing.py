@@ -27,7 +27,7 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bins of lengths for the fit, most texts of a pattern, and salts of the ranking.
-BINS, DEPTH, SALTS = 64, 3, 64
+BINS, DEPTH, SALTS = 128, 3, 64
 #: Texts up to this share of a capacity fill gaps; longer ones are placed by patterns.
 SHORT = 0.25
 #: Characters encoded at once; a longer text is cut before a space.
@@ -79,10 +79,9 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Non-negative least squares by the active set method."""
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
-    gram, target = a.T @ a, a.T @ b
-    eps = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
+    eps = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(rounds):
-        w = target - gram @ x
+        w = a.T @ (b - a[:, active] @ x[active])
         w[active] = -np.inf
         j = int(np.argmax(w))
         if w[j] <= eps:
@@ -90,8 +89,9 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
         active[j] = True
         while True:
             rows = np.flatnonzero(active)
-            g = gram[np.ix_(rows, rows)]
-            z = np.linalg.solve(g + 1e-9 * np.trace(g) / len(rows) * np.eye(len(rows)), target[rows])
+            own = a[:, rows]
+            g = own.T @ own
+            z = np.linalg.solve(g + 1e-9 * np.trace(g) / len(rows) * np.eye(len(rows)), own.T @ b)
             if (z > 1e-9).all():
                 x[:] = 0
                 x[rows] = z
@@ -207,11 +207,11 @@ def pack(lengths: DataFrame, kinds: dict[str, int], bins: int = BINS) -> DataFra
     kinds = {k: int(c) for k, c in kinds.items() if k is not None and c is not None and c > 0}
     if not kinds:
         return spark.createDataFrame([], schema)
-    caps = F.broadcast(spark.createDataFrame(list(kinds.items()), "container_kind string, capacity bigint"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in kinds.items()]))
     lengths = stage(lengths.select("doc_id", "tokens"), "lengths")
     counts = lengths.groupBy("tokens").agg(F.count("*").alias("c"))
     # Remainders are shorter than a capacity, so the histogram has at most that many rows for a kind.
-    sized = counts.join(caps).select(
+    sized = counts.select("tokens", "c", each.alias("k")).select("tokens", "c", "k.*").select(
         "container_kind", F.expr("tokens % capacity").alias("rest"), F.expr("tokens div capacity").alias("full"), "c"
     )
     histogram = sized.groupBy("container_kind", "rest").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("full")).alias("full")).collect()
@@ -229,7 +229,7 @@ def pack(lengths: DataFrame, kinds: dict[str, int], bins: int = BINS) -> DataFra
         slots, "container_kind string, rest bigint, from_rank bigint, to_rank bigint, uses bigint, first bigint"
     )
     bases = F.broadcast(spark.createDataFrame(list(first_full.items()), "container_kind string, full_from bigint"))
-    parts = lengths.join(caps).select(
+    parts = lengths.select("doc_id", "tokens", each.alias("k")).select("doc_id", "tokens", "k.*").select(
         "container_kind", "doc_id", "tokens", "capacity", F.expr("tokens % capacity").alias("rest"), F.expr("tokens div capacity").alias("full"),
         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"),
     )
