@@ -171,7 +171,7 @@ def undisguise(line: str) -> str:
 _PLAIN = re.compile(r"[\x00-\x7f’‘“”„–—•€£§«»°±µ²³·¿¡\xa0А-яЁё№éèàçñóíáúüöäßôêâûîïùœłąęćśźżńãõÉÀÇÑÓÍÁÚÜÖÄÔÊÂÃÕŁŚŹŻĆŃŒÎ\xad¬‐‑\u0300-\u036f]*")
 ODD = re.compile(
     r"â€|Â[°±µ²³·§£«»¿¡\xa0\xad¬]|Ã[^\w\s.,;:!?)\"'’”»\-–—]|[РС][°±µ·»«§–—‘’“”„•]|[^\W\dmk][³²±µ£§]|[³²±·](?=[^\W\d])|[^\W\d]·[^\W\d]|¿(?=[a-zà-ÿ])"
-    r"|[A-Za-z][А-яЁё]|[А-яЁё][A-Za-z]|[а-яё][А-ЯЁ]|[a-zß-ÿ][À-ÝŁŚŹŻĆŃ]|â(?=[\s,.;:)]|$)|Ã(?=[ \xa0]|$)|\u00ad(?=[^\W\d]*[ÂÃ])|Ã[\xa0\xad]"
+    r"|[a-z][ГВРСД]|[ГВРСД][a-z]|[а-яё][А-ЯЁ]|[a-zß-ÿ][À-ÝŁŚŹŻĆŃ]|â(?=[\s,.;:)]|$)|Ã(?=[ \xa0]|$)|\u00ad(?=[^\W\d]*[ÂÃ])|Ã[\xa0\xad]"
 )
 _LOST = re.compile(r"(?:^|(?<=[\s(\"“]))[Ãâ](?=[\s,.;:)]|$)(?!\s+[A-ZÀ-Ý](?:\s|$))|Ã(?=[ \xa0](?![A-ZÀ-Ý]))|â(?=[€™œ“”])|(?<=[a-z])Ã(?![A-ZÀ-Ý])|[ÂÃ](?=[^\w\s.,;:!?)\"'’”»\-–—])|[ÐÑ](?=$|[ ÐÑ])")
 
