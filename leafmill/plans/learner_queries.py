@@ -1,6 +1,6 @@
 """Feature, layout, learner and log queries over the driver's tables, with their DuckDB SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as st
@@ -79,6 +79,13 @@ def rects(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("pdf_path", "page_num", F.size("r").alias("images"), F.size(kept).alias("kept"))
 
 
+def ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """Images of each page numbered from 0."""
+    o = _outcomes(spark, d).select("id", "pdf_path", "page_num", "image_index")
+    w = Window.partitionBy("pdf_path", "page_num").orderBy("image_index", "id")
+    return o.select("id", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+
+
 def merged(spark: SparkSession, d: str) -> DataFrame:
     """Lines of each page and recognised images merged by height."""
     pages = table(spark, d, "extracted_pages").select("page_id", "page_text").distinct()
@@ -240,7 +247,7 @@ _LINES = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'Traceback (mos
   CASE WHEN event_type <> 'error' AND event_id % 3 = 0 THEN date_trunc('second', ts) END AS t FROM events"""
 
 QUERIES = {
-    "ref_p2_p3_geometry": geometry, "ref_p4_pixels": pixels, "ref_p5_vectors": vectors, "ref_p6_structs": structs, "ref_j6_j7_context": context, "ref_j8_rects": rects,
+    "ref_p2_p3_geometry": geometry, "ref_p4_pixels": pixels, "ref_p5_vectors": vectors, "ref_p6_structs": structs, "ref_j6_j7_context": context, "ref_j8_rects": rects, "ref_n2_ordinals": ordinals,
     "ref_o2_a13_merge": merged, "ref_t13_recognised": recognised, "ref_a2_bins": bins, "ref_p8_heuristics": heuristics, "ref_g1_g5_rates": rates, "ref_g6_decisions": decisions,
     "ref_g7_accounting": accounting, "ref_n3_n6_running": running, "ref_n5_recent": recent, "ref_a4_a7_counts": counts, "ref_a5_a6_files": files, "ref_g11_report": report,
     "ref_a17_training": training, "ref_g8_trained": trained, "ref_o4_o5_draws": drawn, "ref_a14_tracebacks": traceback_count, "ref_a15_freshness": fresh,
@@ -264,6 +271,7 @@ SQL = {
       s AS (SELECT page_id, n, length(t) AS c, regexp_replace(t, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS t FROM l)
       SELECT page_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY (n * 11) % 7, n)) AS text_md5, count(*) FILTER (n % 4 = 3) AS ocr_regions, CAST(coalesce(sum(c) FILTER (n % 4 = 3), 0) AS BIGINT) AS ocr_chars FROM s WHERE t <> '' GROUP BY page_id""",
     "ref_t13_recognised": "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name || chr(10) || 'x' WHEN 1 THEN n_name WHEN 2 THEN n_name || chr(10) || 'y' ELSE '' END AS text FROM nation",
+    "ref_n2_ordinals": f"SELECT id, row_number() OVER (PARTITION BY pdf_path, page_num ORDER BY image_index, id) - 1 AS ordinal FROM {_O}",
     "ref_a2_bins": f"SELECT {_SIZE} AS size_bin, {_LIGHT} AS brightness_bin, region, count(*) AS samples FROM {_O} WHERE ocr_performed GROUP BY 1, 2, 3",
     "ref_p8_heuristics": f"SELECT id, {_HEURISTIC} AS reason FROM {_O}",
     "ref_g1_g5_rates": f"""WITH s AS (SELECT p_partkey AS id, p_partkey % 700 AS n, (p_partkey % 101) / 100::DOUBLE AS e, p_partkey % 40 AS rc, p_partkey % 60 AS tot, p_partkey % 7 AS us, p_partkey % 90 AS reg, (p_partkey * 31 % 100) / 100::DOUBLE AS p, (p_partkey * 7919 % 1000) / 1000::DOUBLE AS dr FROM part),

@@ -130,6 +130,12 @@ def roll_up(spark: SparkSession, d: str) -> DataFrame:
     return totals.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in totals.dtypes])
 
 
+def cycle(spark: SparkSession, d: str) -> DataFrame:
+    """Ready and pending files of a scan and the outcomes of a cycle."""
+    files = _listing(spark, d).select("path", F.col("size").alias("length"), (F.col("mtime") / 1e6).alias("mtime"))
+    return su.cycle_stats(ls.readiness(files, F.lit(NOW)), su.with_status(_results(spark, d)))
+
+
 def regressions(spark: SparkSession, d: str) -> DataFrame:
     """O3: the first five regressions in order of recording and how many follow."""
     f = table(spark, d, "processed_files").where("quality_delta < -0.02").select("file_hash", "processed_at", "quality_delta").distinct()
@@ -184,7 +190,7 @@ _STATUS = {
 QUERIES = {
     "ref_s1_find_documents": find_documents, "ref_s1_u1_union": find_union, "ref_s2_find_pdfs": find_pdfs, "ref_s3_o1_scan": scan, "ref_u2_formats": formats,
     "ref_j1_needs_processing": needs_processing, "ref_r3_readiness": readiness, "ref_j5_locks": lock_keys, "ref_j2_unseen": unseen, "ref_k4_upsert": upserted,
-    "ref_k5_tracker": tracker_upsert, "ref_k7_touch": touched, "ref_k2_statuses": statuses, "ref_a8_roll_up": roll_up, "ref_o3_regressions": regressions,
+    "ref_k5_tracker": tracker_upsert, "ref_k7_touch": touched, "ref_k2_statuses": statuses, "ref_a8_roll_up": roll_up, "ref_a12_cycle": cycle, "ref_o3_regressions": regressions,
     "ref_n9_last_messages": last_messages, "ref_k9_exit_code": exit_code, "ref_p11_p14_settings": settings,
 }
 SQL = {
@@ -215,6 +221,8 @@ SQL = {
         CAST(coalesce(sum(page_count), 0) AS BIGINT) AS processed_pages, CAST(coalesce(sum(image_count), 0) AS BIGINT) AS ocr_pages, CAST(coalesce(sum(image_count * 100), 0) AS BIGINT) AS ocr_chars FROM r GROUP BY extraction_mode)
       SELECT *, round(processed_files / 60::DOUBLE, 6) AS files_per_min, round(processed_bytes / 1048576::DOUBLE / 60::DOUBLE, 6) AS mb_per_min,
         round(CASE WHEN processed_bytes > 0 THEN md_bytes * 100::DOUBLE / processed_bytes ELSE 0::DOUBLE END, 6) AS output_percent FROM t""",
+    "ref_a12_cycle": f"""SELECT a.*, b.* FROM (SELECT count(*) FILTER (size >= 100 AND {NOW} - mtime / 1e6 >= 600) AS ready, count(*) FILTER (NOT (size >= 100 AND {NOW} - mtime / 1e6 >= 600)) AS pending FROM {_LIST}) a,
+      (SELECT count(*) FILTER (s IN ('created', 'improved')) AS processed, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s IN ('skipped', 'kept')) AS skipped FROM (SELECT {_STATUS['standard']} AS s FROM ({_RES}))) b""",
     "ref_o3_regressions": """WITH f AS (SELECT DISTINCT file_hash, processed_at, quality_delta FROM processed_files WHERE quality_delta < -0.02::DOUBLE)
       SELECT file_hash, round(quality_delta, 6) AS quality_delta, (SELECT CAST(greatest(count(*) - 5, 0) AS BIGINT) FROM f) AS more FROM f ORDER BY processed_at, file_hash LIMIT 5""",
     "ref_n9_last_messages": "SELECT event_id, event_type, row_number() OVER (ORDER BY event_id DESC) AS from_end FROM events ORDER BY event_id DESC LIMIT 100",

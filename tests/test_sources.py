@@ -110,3 +110,24 @@ def test_online_learning(spark, sf, tmp_path):
     assert decided(learner, o, draws).where("reason LIKE 'classifier%' OR reason LIKE 'uncertainty%' OR reason LIKE 'heuristic%'").count() > 0
     learner.reset()
     assert learner.outcomes() is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from leafmill import cli
+
+    write(tmp_path, a__docx=docx(p("The first page is here. It was read.")), b__docx=b"broken", c__txt=b"x")
+
+    def run(**options):
+        rows = cli.convert(spark, str(tmp_path), **options).collect()
+        return {os.path.basename(r.path): r.status for r in rows}
+
+    assert run(dry_run=True) == {"a.docx": "would_create", "b.docx": "would_create"}
+    assert run() == {"a.docx": "created", "b.docx": "failed"}
+    assert run() == {"a.docx": "skipped", "b.docx": "failed"}
+    assert run(improve=True) == {"a.docx": "kept", "b.docx": "failed"}
+    (tmp_path / "a.md").write_text("zzzzz bcdfgh")
+    assert run(improve=True) == {"a.docx": "improved", "b.docx": "failed"}
+    assert "The first page" in (tmp_path / "a.md").read_text()
+    assert cli.formats("PDF, .docx") == (".pdf", ".docx") and cli.formats("") == cli.ls.FORMATS
+    assert cli.main(["convert", str(tmp_path), "--formats", "xyz"]) == 1
+    assert cli.main(["convert", str(tmp_path)]) == 1
