@@ -70,7 +70,7 @@ def lock_keys(spark: SparkSession, d: str) -> DataFrame:
     """Lock file that lies beside each listed file."""
     paths = table(spark, d, "file_listing").select("path").distinct()
     keys = paths.select("path", F.explode(ls.lock_paths(F.col("path"))).alias("k"))
-    present = keys.where(F.crc32("path") % 4 == F.col("k.order") - 1).select(F.col("k.lock").alias("path"))
+    present = keys.where(F.length("path") % 4 == F.col("k.order") - 1).select(F.col("k.lock").alias("path"))
     return ls.editor_locks(paths, paths.unionByName(present))
 
 
@@ -175,7 +175,7 @@ def settings(spark: SparkSession, d: str) -> DataFrame:
 _EXT = ", ".join(f"'{v}'" for f in ls.FORMATS for v in ls.case_variants(f))
 _NEW = "(SELECT path, max({'a': listed_at, 'b': modificationtime, 'c': length}) AS n FROM file_listing WHERE path IS NOT NULL GROUP BY path)"
 _LIST = f"(SELECT path, n.c AS size, epoch_us(n.b) AS mtime FROM {_NEW})"
-_LOCKS = """SELECT path, unnest([{'o': 1, 'l': f || '.~lock.' || n || '#'}, {'o': 2, 'l': f || '~$' || n}, CASE WHEN length(s) > 6 THEN {'o': 3, 'l': f || '~$' || substring(s, 1, 6) || x} END, {'o': 4, 'l': f || '.' || n || '.swp'}]) AS k
+_LOCKS = """SELECT path, unnest([{{'o': 1, 'l': f || '.~lock.' || n || '#'}}, {{'o': 2, 'l': f || '~$' || n}}, CASE WHEN length(s) > 6 THEN {{'o': 3, 'l': f || '~$' || substring(s, 1, 6) || x}} END, {{'o': 4, 'l': f || '.' || n || '.swp'}}]) AS k
   FROM (SELECT path, f, n, regexp_extract(n, '^(.+?)(\\.[^.]*)?$', 1) AS s, regexp_extract(n, '^.+?(\\.[^.]*)$', 1) AS x
         FROM (SELECT path, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS f, regexp_extract(path, '([^/]*)$', 1) AS n FROM {src}))"""
 _RES = """SELECT *, previous_quality_score IS NOT NULL AS e, file_size % 23 = 0 AS bad FROM (SELECT DISTINCT * FROM processed_files)"""
@@ -207,6 +207,8 @@ SQL = {
       r AS (SELECT CASE WHEN ends_with(lower(path), '.tmp') THEN 'matches temp pattern: *.tmp' WHEN kind = 2 THEN 'matches temp pattern: thumbs.db' WHEN size < 100 THEN 'too small'
         WHEN {NOW} - mtime < 600 THEN 'cooldown' WHEN kind = 3 THEN 'editor lock' ELSE 'ready' END AS reason FROM m)
       SELECT reason, reason = 'ready' AS ready, count(*) AS files FROM r GROUP BY reason""",
+    "ref_j5_locks": f"""WITH k AS ({_LOCKS.format(src='(SELECT DISTINCT path FROM file_listing)')}), u AS (SELECT path, k.o AS o, k.l AS l FROM k WHERE k IS NOT NULL)
+      SELECT path, min_by(l, o) AS lock FROM u WHERE l IN (SELECT l FROM u WHERE length(path) % 4 = o - 1) GROUP BY path""",
     "ref_j2_unseen": """SELECT DISTINCT path, file_hash, file_hash IS NOT NULL AND file_hash IN (SELECT file_hash FROM processed WHERE file_hash IS NOT NULL) AS seen FROM file_listing""",
     "ref_k4_upsert": """SELECT file_hash, n.c AS pdf_path, n.d AS page_count, n.a AS processed_at, n.e AS last_seen_at FROM
       (SELECT file_hash, max({'a': processed_at, 'b': page_count % 2, 'c': pdf_path, 'd': page_count, 'e': last_seen_at}) AS n FROM processed_files GROUP BY file_hash)""",
