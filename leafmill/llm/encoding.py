@@ -111,6 +111,8 @@ def cost(text: str) -> float:
                 total += 2.5
             elif letter and before in "§±×•·²³" or c.islower() and before == "¿":
                 total += 1.5
+            elif letter and before == "\xad" and earlier.isalpha():
+                total += 1.5
         before, earlier = c, before
     return total
 
@@ -169,11 +171,13 @@ def undisguise(line: str) -> str:
 
 #: Characters that plain text of the known languages consists of, and what is odd even among those.
 _PLAIN = re.compile(r"[\x00-\x7f’‘“”„–—•€£§«»°±µ²³·¿¡\xa0А-яЁё№éèàçñóíáúüöäßôêâûîïùœłąęćśźżńãõÉÀÇÑÓÍÁÚÜÖÄÔÊÂÃÕŁŚŹŻĆŃŒÎ\xad¬‐‑\u0300-\u036f]*")
+#: Lines in which none of the odd things can be; a hyphen at the end may be of any kind.
+QUIET = re.compile(r"[\x00-\x7f’‘“”„–—•€éèàçñóíáúüöäßôêûîïùœłąęćśźżńãõ]*[-‐\xad¬]?[ ]*")
 ODD = re.compile(
     r"â€|Â[°±µ²³·§£«»¿¡\xa0\xad¬]|Ã[^\w\s.,;:!?)\"'’”»\-–—]|[РС][°±µ·»«§–—‘’“”„•]|[^\W\dmk][³²±µ£§]|[³²±·](?=[^\W\d])|[^\W\d]·[^\W\d]|¿(?=[a-zà-ÿ])"
     r"|[a-z][ГВРСД]|[ГВРСД][a-z]|[а-яё][А-ЯЁ]|[a-zß-ÿ][À-ÝŁŚŹŻĆŃ]|â(?=[\s,.;:)]|$)|Ã(?=[ \xa0]|$)|\u00ad(?=[^\W\d]*[ÂÃ])|Ã[\xa0\xad]"
 )
-_LOST = re.compile(r"(?:^|(?<=[\s(\"“]))[Ãâ](?=[\s,.;:)]|$)(?!\s+[A-ZÀ-Ý](?:\s|$))|Ã(?=[ \xa0](?![A-ZÀ-Ý]))|â(?=[€™œ“”])|(?<=[a-z])Ã(?![A-ZÀ-Ý])|[ÂÃ](?=[^\w\s.,;:!?)\"'’”»\-–—])|[ÐÑ](?=$|[ ÐÑ])")
+_LOST = re.compile(r"(?:^|(?<=[\s(\"“]))[Ãâ](?=[\s,.;:)]|$)(?!\s+[A-ZÀ-Ý0-9](?:\s|$))|Ã(?=[ \xa0](?![A-ZÀ-Ý0-9]))|â(?=[€™œ“”])|(?<=[a-z])Ã(?![A-ZÀ-Ý])|[ÂÃ](?=[^\w\s.,;:!?)\"'’”»\-–—])|[ÐÑ](?=$|[ ÐÑ])")
 
 
 def _repair_runs(line: str) -> tuple[str, str | None]:
@@ -266,7 +270,7 @@ def repair_line(line: str) -> tuple[str, str | None]:
         line = _ESCAPE.sub(_unescape, line)
         new, how = repair_line(line)
         return new, "escaped" + (f"+{how}" if how else "")
-    if line.isascii() or _PLAIN.fullmatch(line) and not ODD.search(line):
+    if line.isascii() or QUIET.fullmatch(line) or _PLAIN.fullmatch(line) and not ODD.search(line):
         return line, None
     plain = undisguise(line)
     if _PLAIN.fullmatch(plain) and not ODD.search(plain):
@@ -277,7 +281,8 @@ def repair_line(line: str) -> tuple[str, str | None]:
         other, steps = _peel(line, False)
         if steps and cost(undisguise(other)) < cost(new):
             new, how = undisguise(other), steps
-    line = new
+    # The no-break space of a garbled à had become a plain one.
+    line = re.sub("Ã (?= |$)", "à", new) if how else new
     if "�" in line or any("\x80" <= c < "\xa0" for c in line) or _LOST.search(line):
         how.append("lost")
     return (line, "+".join(how)) if how else (sound, None)

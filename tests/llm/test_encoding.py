@@ -32,6 +32,8 @@ def test_single_bytes_and_losses():
     assert en.repair_line("l�ing�nieur")[1] == "lost"
     assert en.repair_line("fa\\xc3\\xa7ade") == ("façade", "escaped")
     assert en.encode("日", "cp1252") is None
+    assert en.repair_line("annÃ©es dâ€™Ã©tude Ã  Pelmere, dÃ©jÃ  payÃ©s")[0] == "années d’étude à Pelmere, déjà payés"
+    assert en.repair_line("o Ã\xadndice") == ("o índice", "cp1252")
 
 
 def test_tables(spark):
