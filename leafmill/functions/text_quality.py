@@ -56,8 +56,7 @@ def is_blank(text: Column) -> Column:
 
 def english_words(text: Column) -> Column:
     """Lower-case words of the letters a to z only."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(runs, lambda w: w.rlike("^[a-z]+$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def gibberish_count(text: Column) -> Column:
@@ -75,10 +74,9 @@ def with_quality(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     The word list is found once per row in a column of its own, everything else is arithmetic on it.
     """
     t = F.col(text)
-    common = F.array(*[F.lit(w) for w in COMMON_WORDS])
     staged = df.withColumn("_w", F.when(is_blank(t), F.array().cast("array<string>")).otherwise(english_words(t)))
     staged = staged.withColumn("_n", F.size("_w")).withColumn(
-        "_c", F.size(F.filter("_w", lambda w: F.array_contains(common, w)))
+        "_c", F.size(F.filter("_w", lambda w: w.isin(COMMON_WORDS)))
     )
     staged = staged.withColumn("_g", F.when(F.col("_n") > 0, gibberish_count(t)).otherwise(0)).withColumn(
         "_s", F.when(F.col("_n") > 0, F.regexp_count(t, F.lit("[.!?]"))).otherwise(0)

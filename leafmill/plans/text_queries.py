@@ -7,7 +7,7 @@ from leafmill.functions import markdown as md
 from leafmill.functions import strings as st
 from leafmill.functions import text_quality as tq
 from leafmill.operators import sections
-from leafmill.session import table
+from leafmill.session import table, text_table
 
 _C = "[bcdfghjklmnpqrstvwxz]{5,}"
 _WORDS = ", ".join(f"'{w}'" for w in dict.fromkeys(tq.COMMON_WORDS))
@@ -45,27 +45,27 @@ _SQL_METRICS = (
 
 def quality(spark: SparkSession, d: str) -> DataFrame:
     """A1, F1-F8: score of every document."""
-    df = tq.with_quality(table(spark, d, "documents").select("doc_id", "text"), "text")
+    df = tq.with_quality(text_table(spark, d, "documents").select("doc_id", "text"), "text")
     return df.select("doc_id", *_metrics(df))
 
 
 def page_quality(spark: SparkSession, d: str) -> DataFrame:
     """A1 over pages, mean by engine; repeated rows count once."""
-    pages = table(spark, d, "extracted_pages").select("page_id", "engine", "page_text").distinct()
+    pages = text_table(spark, d, "extracted_pages").select("page_id", "engine", "page_text").distinct()
     df = tq.with_quality(pages, "page_text")
     return df.groupBy("engine").agg(F.count("*").alias("pages"), F.round(F.avg("total_score"), 6).alias("avg_score"), F.sum("word_count").alias("words"))
 
 
 def useful(spark: SparkSession, d: str) -> DataFrame:
     """Documents worth recognising, by language."""
-    df = tq.with_quality(table(spark, d, "documents").select("lang", "text"), "text")
+    df = tq.with_quality(text_table(spark, d, "documents").select("lang", "text"), "text")
     good = tq.is_useful(F.col("total_score"), F.col("real_word_ratio"), F.col("text"))
     return df.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(good).alias("useful"), F.round(F.avg("total_score"), 6).alias("avg_score"))
 
 
 def improve(spark: SparkSession, d: str) -> DataFrame:
     """Stripped old markdown against the text, its figure stored earlier and the class of the change."""
-    docs = table(spark, d, "documents").select("doc_id", "path", "text")
+    docs = text_table(spark, d, "documents").select("doc_id", "path", "text")
     half = F.substring(F.col("text"), 1, 400)
     old = docs.select("doc_id", md.strip_metadata(md.create_markdown(F.col("path"), F.array(half), md.page_label(F.col("path")))).alias("old_text"))
     new = docs.select("doc_id", md.strip_metadata(F.col("text")).alias("new_text"))
@@ -79,26 +79,26 @@ def improve(spark: SparkSession, d: str) -> DataFrame:
 
 def markdown(spark: SparkSession, d: str) -> DataFrame:
     """Documents rendered from their paragraphs as pages."""
-    docs = table(spark, d, "documents").where("path IS NOT NULL")
+    docs = text_table(spark, d, "documents").where("path IS NOT NULL")
     pages = F.split("text", "\n\n", -1)
     return docs.select("doc_id", md.create_markdown(F.col("path"), pages, md.page_label(F.col("path"))).alias("markdown"), md.markdown_path(F.col("path")).alias("output_path"))
 
 
 def markdown_parts(spark: SparkSession, d: str) -> DataFrame:
     """T2, N1 without groups: what each page adds to its document's markdown."""
-    pages = table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct()
+    pages = text_table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct()
     return sections.markdown_parts(pages).select("page_id", F.md5("part").alias("part_md5"))
 
 
 def stripped(spark: SparkSession, d: str) -> DataFrame:
     """Documents without markdown frame."""
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents")
     return docs.select("doc_id", F.md5(md.strip_metadata(F.col("text"))).alias("body_md5"))
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
     """Words between white space and length in characters."""
-    return table(spark, d, "documents").select("doc_id", st.word_count(F.col("text")).alias("words"), F.length("text").alias("chars"))
+    return text_table(spark, d, "documents").select("doc_id", st.word_count(F.col("text")).alias("words"), F.length("text").alias("chars"))
 
 
 def paths(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +114,7 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
 
 def tables(spark: SparkSession, d: str) -> DataFrame:
     """Cells as markdown tables and headings of invented styles."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    docs = text_table(spark, d, "documents").select("doc_id", "lang", "source")
     rows = F.array(F.array(F.lit("id"), F.lit("a|b")), F.array(F.col("doc_id").cast("string"), F.concat(F.lit(" "), F.coalesce("source", F.lit("")), F.lit(" "))))
     style = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Heading "), (F.col("doc_id") % 4 + 1).cast("string"))).when(F.col("doc_id") % 3 == 1, "Heading").otherwise("Normal")
     return docs.select("doc_id", md.table_markdown(rows).alias("table_md"), md.heading(style, F.coalesce("lang", F.lit("none"))).alias("heading_md"))
@@ -122,21 +122,21 @@ def tables(spark: SparkSession, d: str) -> DataFrame:
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     """T5, O2: paragraphs sorted by height and joined."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = text_table(spark, d, "documents").select("doc_id", "text")
     parts = F.transform(F.split("text", "\n\n", -1), lambda t, i: F.struct(((i * 7) % 5).cast("double").alias("y0"), i.alias("seq"), t.alias("text")))
     return docs.select("doc_id", F.md5(md.join_blocks(parts)).alias("joined_md5"))
 
 
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     """Pages of each document, numbered, and their text joined again."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = text_table(spark, d, "documents").select("doc_id", "text")
     pages = sections.pages_of(docs, F.split("text", "\n\n", -1), "doc_id")
     return pages.groupBy("doc_id").agg(F.max("page_num").cast("long").alias("pages"), F.sum(F.length("page_text")).cast("long").alias("chars"))
 
 
 def split_sections(spark: SparkSession, d: str) -> DataFrame:
     """Pages of each path split into sections at every page without a label or with number 1 modulo 5."""
-    pages = table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct()
+    pages = text_table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct()
     marked = pages.select("path", F.struct("page_num", "page_id").alias("pos"), F.substring(F.coalesce("page_text", F.lit("")), 1, 20).alias("text"), (F.col("page_num") % 5 == 1).alias("has_break"))
     found = sections.split_sections(marked)
     return found.groupBy("path").agg(F.count("*").alias("sections"), F.sum(F.length("text")).cast("long").alias("chars"))
@@ -147,7 +147,7 @@ def reported(spark: SparkSession, d: str) -> DataFrame:
     from leafmill.operators.listing import latest
 
     old = latest(table(spark, d, "quality_metrics").select("doc_id", "scored_at", "total_score"), "doc_id", "scored_at")
-    now = tq.with_quality(table(spark, d, "documents").select("doc_id", "text"), "text", "now_")
+    now = tq.with_quality(text_table(spark, d, "documents").select("doc_id", "text"), "text", "now_")
     delta = F.round(F.col("now_total_score") - F.col("total_score"), 6)
     return now.join(old, "doc_id", "left").select("doc_id", delta.alias("delta"), tq.delta_class(delta).alias("change"))
 

@@ -83,3 +83,13 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is a small input in few partitions, as a single file is; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are costly to work on."""
+    return spread(table(spark, sf_dir, name))
