@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import leakage
-from leafmill.session import table
+from leafmill.session import table, text_table
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least 12 words of an item in a row."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(text_table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:

@@ -3,17 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import lookalike
-from leafmill.session import table
+from leafmill.session import text_table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of pages with different texts that look the same."""
-    return lookalike.same_looks(table(spark, d, "extracted_pages"))
+    return lookalike.same_looks(text_table(spark, d, "extracted_pages"))
 
 
 def p5_pages(spark: SparkSession, d: str) -> DataFrame:
     """Every page in one consistent form."""
-    return lookalike.normalized_pages(table(spark, d, "extracted_pages"))
+    return lookalike.normalized_pages(text_table(spark, d, "extracted_pages"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_pages": p5_pages}

@@ -4,12 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import packing
-from leafmill.session import table
+from leafmill.session import table, text_table
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every document in a container of each kind."""
-    lengths = packing.token_counts(table(spark, d, "documents"))
+    lengths = packing.token_counts(text_table(spark, d, "documents"))
     return packing.pack(lengths, packing.container_kinds(table(spark, d, "container_specs")))
 
 

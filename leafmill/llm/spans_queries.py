@@ -3,17 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import spans
-from leafmill.session import table
+from leafmill.session import text_table
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that share a run of 300 characters."""
-    return spans.shared_pairs(table(spark, d, "documents"))
+    return spans.shared_pairs(text_table(spark, d, "documents"))
 
 
 def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     """How much of each document also occurs in another one."""
-    return spans.shared_spans(table(spark, d, "documents"))
+    return spans.shared_spans(text_table(spark, d, "documents"))
 
 
 QUERIES = {"p8_found": p8_found, "p8_shared": p8_shared}
