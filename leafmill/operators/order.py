@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.session import stage
@@ -27,6 +27,25 @@ def with_ordinal(rows: DataFrame, *order: str, name: str = "ordinal") -> DataFra
     ).drop("_range", "_offset", "_inner")
 
 
+def with_running_sum(rows: DataFrame, key: str, value: Column, name: str, *order: str) -> DataFrame:
+    """Adds the sum of a value over the rows of the same key up to each row in the order of columns.
+
+    A key of many rows lies in several ranges, each summed by itself. Only the first key of a range can have begun in
+    ranges before, so there are at most as many offsets as ranges.
+    """
+    ranged = stage(rows.withColumn("_value", value).repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), "running")
+    inner = Window.partitionBy("_range", key).orderBy(*order, "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    across = Window.partitionBy(key).orderBy("_range")
+    sums = ranged.groupBy("_range", key).agg(F.sum("_value").alias("_sum"))
+    offsets = sums.select(
+        F.col("_range").alias("_at"), F.col(key).alias("_key"), F.row_number().over(across).alias("_nth"),
+        F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"),
+    ).where("_nth > 1")
+    summed = ranged.withColumn("_inner", F.sum("_value").over(inner))
+    joined = summed.join(F.broadcast(offsets), (F.col("_range") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn(name, F.col("_inner") + F.coalesce("_offset", F.lit(0))).drop("_value", "_range", "_at", "_key", "_nth", "_offset", "_inner")
+
+
 def with_blocks(rows: DataFrame, ordinal: str, before: int) -> DataFrame:
     """Rows in blocks, each with the ``before`` rows that precede it marked ``_own`` = false.
 

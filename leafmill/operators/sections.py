@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.markdown import heading, page_label, stem, table_markdown
+from leafmill.operators.order import with_running_sum
 
 
 def pages_of(documents: DataFrame, pages: Column, *keys: str) -> DataFrame:
@@ -19,18 +20,15 @@ def split_sections(paragraphs: DataFrame) -> DataFrame:
     A paragraph with a break starts a section unless the current one is empty. Sections are numbered from 1;
     a document without text has one empty section.
     """
-    filled = F.coalesce(F.col("text"), F.lit("")) != ""
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = paragraphs.withColumn("_break", F.sum(F.col("has_break").cast("int")).over(w))
-    parts = marked.groupBy("path", "_break").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(filled, F.struct("pos", "text")))), lambda x: x["text"]), "\n").alias("text"),
-        F.count_if(filled).alias("_n"),
-    )
-    kept = parts.where("_n > 0")
-    number = F.row_number().over(Window.partitionBy("path").orderBy("_break"))
-    numbered = kept.select("path", number.alias("section"), "text")
-    empty = parts.groupBy("path").agg(F.sum("_n").alias("_n")).where("_n = 0").select("path", F.lit(1).alias("section"), F.lit("").alias("text"))
-    return numbered.unionByName(empty)
+    breaks = F.coalesce(F.col("has_break").cast("int"), F.lit(0))
+    marked = with_running_sum(paragraphs.withColumn("_filled", F.coalesce(F.col("text"), F.lit("")) != ""), "path", breaks, "_break", "pos", "_filled")
+    starts = marked.where("_filled").select(F.col("path").alias("_path"), F.col("_break").alias("_start")).distinct()
+    numbers = with_running_sum(starts, "_path", F.lit(1), "section", "_start")
+    same = F.col("path").eqNullSafe(F.col("_path")) & (F.col("_break") == F.col("_start"))
+    texts = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    numbered = marked.where("_filled").join(numbers, same).groupBy("path", "section").agg(F.array_join(F.transform(texts, lambda x: x["text"]), "\n").alias("text"))
+    without = marked.groupBy("path").agg(F.count_if("_filled").alias("_n")).where("_n = 0")
+    return numbered.unionByName(without.select("path", F.lit(1).cast("long").alias("section"), F.lit("").alias("text")))
 
 
 def render_blocks(blocks: DataFrame) -> DataFrame:

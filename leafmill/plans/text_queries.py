@@ -1,6 +1,6 @@
 """Quality, markdown and text queries over the driver's tables, with their DuckDB SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import markdown as md
@@ -134,14 +134,23 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.max("page_num").cast("long").alias("pages"), F.sum(F.length("page_text")).cast("long").alias("chars"))
 
 
-def split_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of each path split into sections at every page without a label or with number 1 modulo 5."""
+def _sections(spark: SparkSession, d: str, text: Column) -> DataFrame:
     pages = text_table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct()
-    marked = pages.select("path", F.struct("page_num", "page_id").alias("pos"), F.substring(F.coalesce("page_text", F.lit("")), 1, 20).alias("text"), (F.col("page_num") % 5 == 1).alias("has_break"))
+    marked = pages.select("path", F.struct("page_num", "page_id").alias("pos"), text.alias("text"), (F.col("page_num") % 5 == 1).alias("has_break"))
     found = sections.split_sections(marked)
     return found.groupBy("path").agg(F.count("*").alias("sections"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
+def split_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of each path split into sections at every page with number 1 modulo 5; only the first 20 characters of a page."""
+    return _sections(spark, d, F.substring(F.coalesce("page_text", F.lit("")), 1, 20))
+
+
+def split_sections_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the whole text of every page."""
+    return _sections(spark, d, F.coalesce("page_text", F.lit("")))
+
+
 def reported(spark: SparkSession, d: str) -> DataFrame:
     """Newest stored metrics of each document beside its score now."""
     from leafmill.operators.listing import latest
@@ -175,7 +184,7 @@ QUERIES = {
     "ref_a1_quality": quality, "ref_a1_page_quality": page_quality, "ref_p9_useful": useful, "ref_j3_improve": improve,
     "ref_t2_markdown": markdown, "ref_t2_markdown_parts": markdown_parts, "ref_t1_strip": stripped, "ref_t6_words": words,
     "ref_p1_p16_t3_paths": paths, "ref_t7_t8_tables": tables, "ref_t5_o2_blocks": blocks, "ref_n1_t4_pages": page_text,
-    "ref_n7_sections": split_sections, "ref_a1_reported": reported,
+    "ref_n7_sections": split_sections, "ref_n7_sections_whole": split_sections_whole, "ref_a1_reported": reported,
 }
 SQL = {
     "ref_a1_quality": f"WITH {quality_ctes(_DOCS)} SELECT id AS doc_id, {_SQL_METRICS} FROM q",
@@ -207,6 +216,10 @@ SQL = {
       m AS (SELECT path, page_num, page_id, substring(coalesce(page_text, ''), 1, 20) AS t, sum(CASE WHEN page_num % 5 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY page_num, page_id ROWS UNBOUNDED PRECEDING) AS b FROM u),
       s AS (SELECT path, b, string_agg(t, chr(10) ORDER BY page_num, page_id) FILTER (t <> '') AS t FROM m GROUP BY path, b)
       SELECT path, CAST(greatest(count(t), 1) AS BIGINT) AS sections, CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS chars FROM s GROUP BY path""",
+    "ref_n7_sections_whole": """WITH u AS (SELECT DISTINCT page_id, path, page_num, page_text FROM extracted_pages),
+      m AS (SELECT path, page_num, page_id, coalesce(page_text, '') AS t, sum(CASE WHEN page_num % 5 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY page_num, page_id ROWS UNBOUNDED PRECEDING) AS b FROM u),
+      s AS (SELECT path, b, string_agg(t, chr(10) ORDER BY page_num, page_id) FILTER (t <> '') AS t FROM m GROUP BY path, b)
+      SELECT path, CAST(greatest(count(t), 1) AS BIGINT) AS sections, CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS chars FROM s GROUP BY path""",
     "ref_a1_reported": f"""WITH {quality_ctes(_DOCS)}, o AS (SELECT doc_id, max({{'a': scored_at, 'b': total_score}}) AS m FROM quality_metrics GROUP BY doc_id)
       SELECT q.id AS doc_id, round(q.total - o.m.b, 6) AS delta, CASE WHEN round(q.total - o.m.b, 6) > 0.02::DOUBLE THEN 'improved' WHEN round(q.total - o.m.b, 6) < -0.02::DOUBLE THEN 'regressed' WHEN o.m.b IS NOT NULL AND q.total IS NOT NULL THEN 'unchanged' END AS change
       FROM q LEFT JOIN o ON q.id = o.doc_id""",
