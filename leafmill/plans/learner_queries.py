@@ -55,16 +55,29 @@ def structs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(back)
 
 
-def context(spark: SparkSession, d: str) -> DataFrame:
-    """Text near images, the lines of each page as its text blocks."""
-    pages = table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct().where("page_text IS NOT NULL")
-    lines = pages.select("path", "page_num", F.posexplode(F.split("page_text", "\n", -1)).alias("n", "content")).where("n < 40")
-    blocks = lines.select("path", "page_num", F.lit(60.0).alias("x0"), (F.col("n") * 20.0).alias("y0"), F.lit(540.0).alias("x1"), (F.col("n") * 20.0 + 18).alias("y1"), "content")
-    images = pages.where("page_id % 3 = 0").select(
+def _near(pages: DataFrame, lines: str, images: str) -> DataFrame:
+    """Text near the images of pages, the lines of each page as its text blocks."""
+    blocks = pages.select("path", "page_num", F.posexplode(F.split("page_text", "\n", -1)).alias("n", "content")).where(lines).select(
+        "path", "page_num", F.lit(60.0).alias("x0"), (F.col("n") * 20.0).alias("y0"), F.lit(540.0).alias("x1"), (F.col("n") * 20.0 + 18).alias("y1"), "content"
+    )
+    made = pages.where(images).select(
         "path", "page_num", F.col("page_id").alias("image_no"), F.lit(100.0).alias("x0"), (F.col("page_id") % 600).cast("double").alias("y0"), F.lit(300.0).alias("x1"), (F.col("page_id") % 600 + 80).cast("double").alias("y1")
     )
-    near = fe.text_context(images, blocks)
-    return _rounded(near.select("path", "page_num", "image_no", "surrounding_text_density", "has_nearby_caption"))
+    return _rounded(fe.text_context(made, blocks).select("path", "page_num", "image_no", "surrounding_text_density", "has_nearby_caption"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct().where("page_text IS NOT NULL")
+
+
+def context(spark: SparkSession, d: str) -> DataFrame:
+    """Text near images on every third page, among the first 40 lines of each."""
+    return _near(_texts(spark, d), "n < 40", "page_id % 3 = 0")
+
+
+def context_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Text near the image of every page, among all its lines."""
+    return _near(_texts(spark, d), "true", "true")
 
 
 def rects(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +260,7 @@ _LINES = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'Traceback (mos
   CASE WHEN event_type <> 'error' AND event_id % 3 = 0 THEN date_trunc('second', ts) END AS t FROM events"""
 
 QUERIES = {
-    "ref_p2_p3_geometry": geometry, "ref_p4_pixels": pixels, "ref_p5_vectors": vectors, "ref_p6_structs": structs, "ref_j6_j7_context": context, "ref_j8_rects": rects, "ref_n2_ordinals": ordinals,
+    "ref_p2_p3_geometry": geometry, "ref_p4_pixels": pixels, "ref_p5_vectors": vectors, "ref_p6_structs": structs, "ref_j6_j7_context": context, "ref_j6_j7_context_whole": context_whole, "ref_j8_rects": rects, "ref_n2_ordinals": ordinals,
     "ref_o2_a13_merge": merged, "ref_t13_recognised": recognised, "ref_a2_bins": bins, "ref_p8_heuristics": heuristics, "ref_g1_g5_rates": rates, "ref_g6_decisions": decisions,
     "ref_g7_accounting": accounting, "ref_n3_n6_running": running, "ref_n5_recent": recent, "ref_a4_a7_counts": counts, "ref_a5_a6_files": files, "ref_g11_report": report,
     "ref_a17_training": training, "ref_g8_trained": trained, "ref_o4_o5_draws": drawn, "ref_a14_tracebacks": traceback_count, "ref_a15_freshness": fresh,
@@ -267,6 +280,12 @@ SQL = {
       SELECT i.path, i.page_num, i.image_no, round(coalesce(sum(length(content)) FILTER (b.y0 < i.y0 + 130 AND b.y1 > i.y0 - 50), 0) / 54000::DOUBLE * 10000, 6) AS surrounding_text_density,
         coalesce(bool_or(b.y0 < i.y0 + 130 AND b.y1 > i.y0 - 50 AND b.y0 > i.y0 + 80 AND b.y0 < i.y0 + 110 AND length(content) < 200 AND regexp_matches(lower(content), 'figure|fig\\.|image|photo|chart|table')), FALSE) AS has_nearby_caption
       FROM i LEFT JOIN b USING (path, page_num) GROUP BY i.path, i.page_num, i.image_no""",
+    "ref_j6_j7_context_whole": """WITH p AS (SELECT DISTINCT page_id, path, page_num, page_text FROM extracted_pages WHERE page_text IS NOT NULL),
+      l AS (SELECT path, page_num, unnest(string_split(page_text, chr(10))) AS content, generate_subscripts(string_split(page_text, chr(10)), 1) - 1 AS n FROM p), b AS (SELECT path, page_num, content, n * 20::DOUBLE AS y0, n * 20::DOUBLE + 18 AS y1 FROM l),
+      i AS (SELECT path, page_num, page_id AS image_no, CAST(page_id % 600 AS DOUBLE) AS y0 FROM p)
+      SELECT i.path, i.page_num, i.image_no, round(coalesce(sum(length(content)) FILTER (b.y0 < i.y0 + 130 AND b.y1 > i.y0 - 50), 0) / 54000::DOUBLE * 10000, 6) AS surrounding_text_density,
+        coalesce(bool_or(b.y0 < i.y0 + 130 AND b.y1 > i.y0 - 50 AND b.y0 > i.y0 + 80 AND b.y0 < i.y0 + 110 AND length(content) < 200 AND regexp_matches(lower(content), 'figure|fig\\.|image|photo|chart|table')), FALSE) AS has_nearby_caption
+      FROM i LEFT JOIN b USING (path, page_num) GROUP BY i.path, i.page_num, i.image_no""",
     "ref_o2_a13_merge": r"""WITH p AS (SELECT DISTINCT page_id, page_text FROM extracted_pages), l AS (SELECT page_id, unnest(string_split(page_text, chr(10))) AS t, generate_subscripts(string_split(page_text, chr(10)), 1) - 1 AS n FROM p),
       s AS (SELECT page_id, n, length(t) AS c, regexp_replace(t, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS t FROM l)
       SELECT page_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY (n * 11) % 7, n)) AS text_md5, count(*) FILTER (n % 4 = 3) AS ocr_regions, CAST(coalesce(sum(c) FILTER (n % 4 = 3), 0) AS BIGINT) AS ocr_chars FROM s WHERE t <> '' GROUP BY page_id""",
