@@ -8,6 +8,7 @@ for nested layers.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -123,6 +124,43 @@ def _vowels(text: str) -> float:
     return abs(sum(c in "аеёиоуыэюя" for c in letters) / len(letters) - 0.42) if letters else 1.0
 
 
+#: Occurrences of letters in a thousand letters of Russian text, and swaps that turn Cyrillic letters into others.
+_RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 73, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 9.7, 9.4, 7.3, 6.4, 4.8, 3.6, 3.2, 2.6, 0.4, 2)))
+_CYRILLIC_SWAPS = tuple(x for x in SWAPS if set(x) <= {"cp1251", "koi8_r", "cp866"})
+_LIKELY = {letter: math.log(n / 30) for x, n in _RUSSIAN.items() for letter in (x, x.upper())}
+#: Least gain in likelihood, over a line and a letter, for a swap of a line whose characters are all plain; and beside lines with the same swap.
+ALONE, ALONE_EACH, BESIDE = 5.0, 0.35, 2.0
+
+
+def _likely(text: str) -> float:
+    return sum(_LIKELY.get(c, 0.0) for c in text)
+
+
+def _other_cyrillic(line: str) -> tuple[str, str] | None:
+    """A line of plain Cyrillic letters that make Russian only when read in another Cyrillic encoding, and the swap."""
+    letters = [c for c in line if c in _LIKELY]
+    if len(set(letters)) < 4 or len(letters) < sum("A" <= c.upper() <= "Z" for c in line):  # look-alikes within Latin words
+        return None
+    best, found = max(ALONE, ALONE_EACH * len(letters)), None
+    for swap in _CYRILLIC_SWAPS:
+        new, gain = _reread(line, *swap)
+        if gain > best and not ODD.search(new):
+            best, found = gain, (new, ">".join(swap))
+    return found
+
+
+def _reread(line: str, read: str, meant: str) -> tuple[str, float]:
+    """The line under a Cyrillic swap and its gain in likelihood; none where the swap makes signs of letters or letters of signs."""
+    raw = encode(line, read)
+    try:
+        new = raw.decode(meant) if raw else line
+    except UnicodeDecodeError:
+        return line, 0.0
+    if any((c in _LIKELY) != (n in _LIKELY) for c, n in zip(line, new)):
+        return line, 0.0
+    return new, _likely(new) - _likely(line)
+
+
 _NEIGHBOURS = {b + a for a, b in ("çã", "çõ", "çá", "éé", "üß", "öß", "äß", "óś", "śó", "żó", "łó", "łą", "żę", "ść", "śń", "ńś", "łę", "źń", "ąć", "ęć", "żą", "óż", "ół", "ćś", "áñ", "ñó", "ñá", "ñí", "çú", "êé", "éê", "èœ", "ńć", "ęś", "łż", "ąż", "ęż")}
 
 
@@ -270,8 +308,10 @@ def repair_line(line: str) -> tuple[str, str | None]:
         line = _ESCAPE.sub(_unescape, line)
         new, how = repair_line(line)
         return new, "escaped" + (f"+{how}" if how else "")
-    if line.isascii() or QUIET.fullmatch(line) or _PLAIN.fullmatch(line) and not ODD.search(line):
+    if line.isascii() or QUIET.fullmatch(line):
         return line, None
+    if _PLAIN.fullmatch(line) and not ODD.search(line):
+        return _CYRILLIC.search(line) and _other_cyrillic(line) or (line, None)
     plain = undisguise(line)
     if _PLAIN.fullmatch(plain) and not ODD.search(plain):
         return line, None
@@ -292,18 +332,24 @@ def repair_text(text: str) -> list[tuple[str, str | None]]:
     """``repair_line`` of every line; a swap found in two lines is also tried on the weaker cases beside them."""
     found = [(line, None) if _sound(line) else repair_line(line) for line in text.split("\n")]
     swaps = Counter(how for _, how in found if how and ">" in how and "+" not in how)
-    for how, n in swaps.items():
+    lines = text.split("\n")
+    for how, n in sorted(swaps.items(), key=lambda x: x[1]):
         if n < 2:
             continue
         read, meant = how.split(">")
+        cyrillic = (read, meant) in _CYRILLIC_SWAPS
         for i, (line, old) in enumerate(found):
-            if old is None and not line.isascii() and (raw := encode(line, read)) is not None:
+            if old and cyrillic and tuple(old.split(">")) in _CYRILLIC_SWAPS and swaps[old] < n:  # the page tells which swap a short line had
+                new, gain = _reread(lines[i], read, meant)
+                if gain > BESIDE:
+                    found[i] = (new, how)
+            elif old is None and not line.isascii() and (raw := encode(line, read)) is not None:
                 try:
                     new = raw.decode(meant)
                 except UnicodeDecodeError:
                     continue
-                less = cost(new) - cost(line)
-                if new != line and (less < -0.9 or less < 2 and _vowels(new) + 0.05 < _vowels(line) < 1):
+                less, gain = cost(new) - cost(line), _reread(line, read, meant)[1] if cyrillic else 0.0
+                if new != line and (less < -0.9 or less < 2 and (gain > BESIDE or gain >= 0 and _vowels(new) + 0.05 < _vowels(line) < 1)):
                     found[i] = (new, how)
     return found
 
