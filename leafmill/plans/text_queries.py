@@ -63,11 +63,9 @@ def useful(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(good).alias("useful"), F.round(F.avg("total_score"), 6).alias("avg_score"))
 
 
-def improve(spark: SparkSession, d: str) -> DataFrame:
-    """Stripped old markdown against the text, its figure stored earlier and the class of the change."""
+def _improve(spark: SparkSession, d: str, pages: Column) -> DataFrame:
     docs = text_table(spark, d, "documents").select("doc_id", "path", "text")
-    half = F.substring(F.col("text"), 1, 400)
-    old = docs.select("doc_id", md.strip_metadata(md.create_markdown(F.col("path"), F.array(half), md.page_label(F.col("path")))).alias("old_text"))
+    old = docs.select("doc_id", md.strip_metadata(md.create_markdown(F.col("path"), pages, md.page_label(F.col("path")))).alias("old_text"))
     new = docs.select("doc_id", md.strip_metadata(F.col("text")).alias("new_text"))
     both = tq.with_quality(tq.with_quality(old.join(new, "doc_id"), "old_text", "old_"), "new_text", "new_")
     delta = F.col("new_total_score") - F.col("old_total_score")
@@ -77,6 +75,16 @@ def improve(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def improve(spark: SparkSession, d: str) -> DataFrame:
+    """Stripped old markdown, of the first 400 characters only, against the text, its figure stored earlier and the class of the change."""
+    return _improve(spark, d, F.array(F.substring(F.col("text"), 1, 400)))
+
+
+def improve_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with old markdown of all paragraphs, every third of them damaged."""
+    return _improve(spark, d, F.transform(F.split("text", "\n\n", -1), lambda p, i: F.when(i % 3 == 1, F.translate(p, "aeo", "4€0")).otherwise(p)))
+
+
 def markdown(spark: SparkSession, d: str) -> DataFrame:
     """Documents rendered from their paragraphs as pages."""
     docs = text_table(spark, d, "documents").where("path IS NOT NULL")
@@ -179,9 +187,11 @@ _SUFFIX = f"lower(regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1))"
 _LABEL = f"CASE WHEN {_SUFFIX} = '.pdf' THEN 'Page' ELSE 'Section' END"
 _HEAD = f"'# ' || ({_STEM}) || chr(10) || chr(10) || '> Source: ' || path || chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 _BREAK = f"chr(10) || '---' || chr(10) || '*' || ({_LABEL}) || ' '"
+_DAMAGED = f"""(({_HEAD}) || array_to_string(list_transform(list_transform(string_split(text, chr(10) || chr(10)), lambda p, i: CASE WHEN i % 3 = 2 THEN translate(p, 'aeo', '4€0') ELSE p END),
+  lambda p, i: CASE WHEN i = 1 THEN p ELSE {_BREAK} || i || '*' || chr(10) || p END), chr(10)))"""
 
 QUERIES = {
-    "ref_a1_quality": quality, "ref_a1_page_quality": page_quality, "ref_p9_useful": useful, "ref_j3_improve": improve,
+    "ref_a1_quality": quality, "ref_a1_page_quality": page_quality, "ref_p9_useful": useful, "ref_j3_improve": improve, "ref_j3_improve_whole": improve_whole,
     "ref_t2_markdown": markdown, "ref_t2_markdown_parts": markdown_parts, "ref_t1_strip": stripped, "ref_t6_words": words,
     "ref_p1_p16_t3_paths": paths, "ref_t7_t8_tables": tables, "ref_t5_o2_blocks": blocks, "ref_n1_t4_pages": page_text,
     "ref_n7_sections": split_sections, "ref_n7_sections_whole": split_sections_whole, "ref_a1_reported": reported,
@@ -198,6 +208,11 @@ SQL = {
       SELECT qo.id AS doc_id, round(qo.total, 6) AS old_score, round(qn.total, 6) AS new_score, qn.total > qo.total AS better,
         CASE WHEN round(qn.total - qo.total, 9) > 0.02::DOUBLE THEN 'improved' WHEN round(qn.total - qo.total, 9) < -0.02::DOUBLE THEN 'regressed' WHEN qn.total IS NOT NULL AND qo.total IS NOT NULL THEN 'unchanged' END AS change
       FROM qo JOIN qn ON qo.id = qn.id""",
+    "ref_j3_improve_whole": f"""WITH src AS (SELECT doc_id, {_stripped_sql(_DAMAGED)} AS o, {_stripped_sql("text")} AS n FROM documents),
+      {quality_ctes("(SELECT doc_id AS id, o AS t FROM src)", "qo")}, {quality_ctes("(SELECT doc_id AS id, n AS t FROM src)", "qn")}
+      SELECT qo.id AS doc_id, round(qo.total, 6) AS old_score, round(qn.total, 6) AS new_score, qn.total > qo.total AS better,
+        CASE WHEN round(qn.total - qo.total, 9) > 0.02::DOUBLE THEN 'improved' WHEN round(qn.total - qo.total, 9) < -0.02::DOUBLE THEN 'regressed' WHEN qn.total IS NOT NULL AND qo.total IS NOT NULL THEN 'unchanged' END AS change
+      FROM qo JOIN qn ON qo.id = qn.id""",
     "ref_t2_markdown": f"""SELECT doc_id, ({_HEAD}) || array_to_string(list_transform(string_split(text, chr(10) || chr(10)), lambda p, i: CASE WHEN i = 1 THEN p ELSE {_BREAK} || i || '*' || chr(10) || p END), chr(10)) AS markdown,
       CASE WHEN ({_SUFFIX}) <> '' THEN regexp_replace(path, '\\.[^./]+$', '.md') ELSE path || '.md' END AS output_path FROM documents WHERE path IS NOT NULL""",
     "ref_t2_markdown_parts": f"""SELECT page_id, md5(CASE WHEN page_num = 1 THEN ({_HEAD}) ELSE {_BREAK} || page_num || '*' || chr(10) END || coalesce(page_text, '')) AS part_md5
