@@ -214,7 +214,7 @@ class Model:
                     if w != form and (score := channel(form, w)) > LEAST_CHANNEL:
                         found[back(w)] = max(score, found.get(back(w), -math.inf))
             found.pop(word, None)
-        out = sorted(found.items(), key=lambda x: -x[1])[:12]
+        out = sorted(found.items(), key=lambda x: -x[1])
         if len(self.known_candidates) < 200_000:
             self.known_candidates[key] = out
         return out
@@ -462,8 +462,8 @@ def decode(tokens: list[str], model: Model) -> list[tuple[int, int, str]]:
                 if model.known(both) and len(both) > 3:
                     options.append((2, both, SPACED))
                 elif not (sound and model.known(tokens[i + 1])):
-                    options += [(2, w, s + SPACED) for w, s in model.candidates(both, deep=False)[:3]]
-        kept = sorted(best[i].items(), key=lambda x: -x[1][0])[:8]
+                    options += [(2, w, s + SPACED) for w, s in model.candidates(both, deep=False)]
+        kept = list(best[i].items())
         for take, word, score in options:
             parts = word.split(" ")
             for last, (so_far, *_) in kept:
