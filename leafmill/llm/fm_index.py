@@ -1,13 +1,16 @@
 """Compressed FM-index over a shard of texts: a wavelet matrix over the Burrows-Wheeler transform.
 
-All operations take arrays, so many patterns move through the index together.
+Rows are sorted by their first ``window`` symbols only, which is all that patterns of that length need, so texts of one
+repeated character cost no more than others. All operations take arrays: many streams move through the index together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_ONE, _ZERO = np.uint64(1), np.uint64(0)
+_ONE = np.uint64(1)
+#: Window starts that one stream covers; longer texts are streamed in parts.
+STREAM = 1024
 
 
 class BitVector:
@@ -19,29 +22,25 @@ class BitVector:
         raw = np.packbits(bits, bitorder="little")
         packed[: len(raw)] = raw
         self.words = packed.view("<u8")
-        self.before = np.zeros(len(self.words), np.uint32)
+        self.before = np.zeros(len(self.words), np.int64)
         np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         word = at >> 6
         mask = (_ONE << (at & 63).astype(np.uint64)) - _ONE
-        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & mask)
-
-    def get(self, at: np.ndarray) -> np.ndarray:
-        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & _ONE
+        return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
 
 class WaveletMatrix:
-    """Rank and access over a sequence of small integers."""
+    """Rank over a sequence of small integers."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
         self.rows: list[tuple[int, BitVector, int]] = []
         current = symbols
         for level in range(self.levels - 1, -1, -1):
-            bit = (current >> level) & 1
-            ones = bit.astype(bool)
+            ones = ((current >> level) & 1).astype(bool)
             self.rows.append((level, BitVector(ones), int(len(current) - ones.sum())))
             current = np.concatenate([current[~ones], current[ones]])
 
@@ -52,146 +51,160 @@ class WaveletMatrix:
             at = np.where((symbol >> level) & 1, zeros + ones, at - ones)
         return at
 
-    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols at the positions, and the positions after all levels."""
-        symbol = np.zeros(len(at), np.int64)
-        for level, bits, zeros in self.rows:
-            bit = bits.get(at).astype(np.int64)
-            ones = bits.rank(at)
-            symbol |= bit << level
-            at = np.where(bit, zeros + ones, at - ones)
-        return symbol, at
+
+def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Stable order of keys, their dense ranks, and whether all differ."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    return order, rank, bool(rank[order[-1]] == len(key) - 1)
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; the last symbol must be the unique smallest."""
-    n = len(symbols)
-    rank = symbols.astype(np.int64)
-    width = 1
-    while True:
+def sorted_rows(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ordered by at least their first ``depth`` symbols, and which of them differ from the one before within ``depth - 1``.
+
+    Ranks of prefixes are doubled from as many symbols as fit into one integer.
+    """
+    if depth < 2:
+        raise ValueError("a window has at least two symbols")
+    n, bits = len(symbols), max(1, int(symbols.max()).bit_length())
+    width = max(1, min(62 // bits, depth - 1))
+    padded = np.concatenate([symbols, np.zeros(width, np.int64)])
+    key = np.zeros(n, np.int64)
+    for j in range(width):
+        key = key << bits | padded[j : j + n]
+    order, rank, apart = _dense(key)
+    near, near_width, all_near = rank, width, apart
+    while width < depth and not apart:
         second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1
-        key = rank * (n + int(symbols.max()) + 2) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = new
-        if rank[order[-1]] == n - 1:
-            return order
+        second[: max(0, n - width)] = rank[width:] + 1
+        order, rank, apart = _dense(rank * (n + 1) + second)
         width *= 2
+        if width <= depth - 1:
+            near, near_width, all_near = rank, width, apart
+    edge = np.ones(n, bool)
+    if not all_near:
+        later = np.concatenate([near[depth - 1 - near_width :], np.full(depth - 1 - near_width, -1)])
+        a, b = order[:-1], order[1:]
+        edge[1:] = (near[a] != near[b]) | (later[a] != later[b])
+    return order, edge
 
 
 class FMIndex:
-    """FM-index of a list of code point arrays; texts end in symbols that no pattern contains."""
+    """FM-index of a list of code point arrays for patterns of ``window`` points; no pattern crosses the end of a text."""
 
-    #: Every so-manieth text position keeps its place in the suffix array.
-    SAMPLE = 16
-
-    def __init__(self, texts: list[np.ndarray]):
+    def __init__(self, texts: list[np.ndarray], owners: np.ndarray, window: int):
+        self.window = window
         lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-        self.length = int(self.starts[-1]) + 1
+        self.lengths, self.length = lengths, int(self.starts[-1]) + 1
         points = np.zeros(self.length, np.uint32)
         for start, t in zip(self.starts, texts):
             points[start : start + len(t)] = t
         inside = np.ones(self.length, bool)
         inside[self.starts[1:] - 1] = False
         inside[-1] = False
-        self.alphabet = np.unique(points[inside])
+        alphabet = np.unique(points[inside])
         symbols = np.ones(self.length, np.int64)  # 1 ends a text, 0 ends the whole
-        symbols[inside] = np.searchsorted(self.alphabet, points[inside]) + 2
+        symbols[inside] = np.searchsorted(alphabet, points[inside]) + 2
         symbols[-1] = 0
         self.symbols = symbols
-        order = suffix_array(symbols)
+        order, edge = sorted_rows(symbols, window)
         bwt = symbols[order - 1]
-        sigma = len(self.alphabet) + 2
-        counts = np.bincount(bwt, minlength=sigma)
-        self.smaller = np.concatenate([[0], np.cumsum(counts)])
+        sigma = len(alphabet) + 2
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=sigma))])
         self.matrix = WaveletMatrix(bwt, sigma)
-        self.origin = self.matrix.rank(np.arange(sigma), np.zeros(sigma, np.int64))
-        marked = order % self.SAMPLE == 0
-        self.marks = BitVector(marked)
-        self.sampled = order[marked]
-
-    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One step of backward search: the intervals of the patterns with a symbol put before."""
-        base = self.smaller[symbol] - self.origin[symbol]
-        return base + self.matrix.rank(symbol, low), base + self.matrix.rank(symbol, high)
-
-    def search(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix array intervals of the ``length`` symbols of the indexed text before each end."""
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.length, np.int64)
-        for back in range(1, length + 1):
-            low, high = self.extend(self.symbols[ends - back], low, high)
+        self.base = self.smaller[:-1] - self.matrix.rank(np.arange(sigma), np.zeros(sigma, np.int64))
+        # Rows from which the first window - 1 symbols are others, and rows at which the owner changes.
+        self.edges, self.edge_rows = BitVector(edge), np.concatenate([np.flatnonzero(edge), [self.length]])
+        owner = np.concatenate([np.repeat(owners, lengths + 1), [-1]])[order]
+        turn = np.concatenate([[True], owner[1:] != owner[:-1]])
+        self.turns, self.turn_rows = BitVector(turn), np.concatenate([np.flatnonzero(turn), [self.length]])
+
+    def extend(self, symbol: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """One step of backward search: the intervals of the patterns with a symbol put before; ``rows`` holds their two ends."""
+        return self.base[symbol] + self.matrix.rank(symbol, rows)
+
+    def shorten(self, rows: np.ndarray) -> np.ndarray:
+        """The intervals of patterns of ``window`` symbols without their last symbol."""
+        at = self.edges.rank(rows + np.array([[1], [0]]))
+        return np.stack([self.edge_rows[at[0] - 1], self.edge_rows[at[1]]])
+
+    def stream(self) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the ``window`` symbols from every position of the texts, as low and high rows; -1 where a text ends before.
+
+        Each text runs through the index from its end to its start: the match is extended by the symbol before and its length
+        is kept at ``window`` by dropping the last one. A position's matching statistic reaches ``window`` if its interval
+        holds a row of another owner.
+        """
+        low, high = np.full(self.length, -1, np.int64), np.full(self.length, -1, np.int64)
+        first, last = [], []
+        for start, n in zip(self.starts.tolist(), self.lengths.tolist()):
+            for s in range(start, start + n - self.window + 1, STREAM):
+                first.append(s)
+                last.append(min(s + STREAM, start + n - self.window + 1) - 1)
+        if not first:
+            return low, high
+        first, last = np.array(first), np.array(last)
+        order = np.argsort(first - last, kind="stable")
+        steps, top = (last - first)[order] + self.window, last[order] + self.window - 1
+        rows = np.stack([np.zeros(len(top), np.int64), np.full(len(top), self.length, np.int64)])
+        alive = len(top) - np.searchsorted(steps[::-1], np.arange(int(steps[0])), "right")
+        for t, m in enumerate(alive.tolist()):
+            rows = rows[:, :m]
+            at = top[:m] - t
+            if t >= self.window:
+                rows = self.shorten(rows)
+            rows = self.extend(self.symbols[at], rows)
+            if t >= self.window - 1:
+                low[at], high[at] = rows
         return low, high
 
-    def locate(self, rows: np.ndarray) -> np.ndarray:
-        """Text positions of rows of the suffix array, walking to the nearest sample."""
-        at, steps = rows.copy(), np.zeros(len(rows), np.int64)
-        out = np.empty(len(rows), np.int64)
-        open_ = np.arange(len(rows))
-        while len(open_):
-            here = at[open_]
-            hit = self.marks.get(here).astype(bool)
-            done = open_[hit]
-            out[done] = self.sampled[self.marks.rank(at[done])] + steps[done]
-            open_ = open_[~hit]
-            if len(open_):
-                symbol, place = self.matrix.access(at[open_])
-                at[open_] = self.smaller[symbol] + place - self.origin[symbol]
-                steps[open_] += 1
-        return out
-
-
-def shared_runs(texts: list[np.ndarray], owners: np.ndarray, least: int, probe: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs of at least ``least`` code points that two texts of different owners share.
-
-    Every run of that length covers one of the aligned blocks of ``least - least // 2`` points in
-    its text. The last ``probe`` points of every block are searched backwards through the
-    index of all texts; rows of the found intervals are located, and each diagonal so met is
-    compared point by point. Returns ``(text a, text b, start in a, start in b, length)``, a < b.
-    """
-    stride = least // 2
-    probe = min(probe, least - stride)
-    index = FMIndex(texts)
-    ends = [np.arange(s + probe, s + len(t) + 1, stride) for s, t in zip(index.starts, texts) if len(t) >= least]
-    if not ends:
-        return []
-    where = np.concatenate(ends)
-    low, high = index.search(where, probe)
-    many = high - low > 1
-    where, low, high = where[many] - probe, low[many], high[many]
-    if not len(where):
-        return []
-    seen: set[tuple[int, int, int]] = set()
-    count = high - low
-    cuts = np.concatenate([[0], np.cumsum(count)])
-    begin = 0
-    while begin < len(where):  # bounded numbers of rows at a time
-        stop = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + 2_000_000, "right")) - 1)
-        c = count[begin:stop]
-        query = np.repeat(where[begin:stop], c)
-        rows = np.repeat(low[begin:stop], c) + np.arange(c.sum()) - np.repeat(cuts[begin:stop] - cuts[begin], c)
-        place = index.locate(rows)
-        a = np.searchsorted(index.starts, query, "right") - 1
-        b = np.searchsorted(index.starts, place, "right") - 1
-        keep = (owners[a] != owners[b]) & (a < b)
-        swap = (owners[a] != owners[b]) & (a > b)
-        ta, tb = np.concatenate([a[keep], b[swap]]), np.concatenate([b[keep], a[swap]])
-        pa, pb = np.concatenate([query[keep], place[swap]]), np.concatenate([place[keep], query[swap]])
-        diagonal = (pa - index.starts[ta]) - (pb - index.starts[tb])
-        if len(ta):
-            seen.update(map(tuple, np.unique(np.stack([ta, tb, diagonal], 1), axis=0).tolist()))
-        begin = stop
-    found = []
-    for a, b, diagonal in sorted(seen):
-        x, y = texts[a], texts[b]
-        from_a = max(0, diagonal)
-        n = min(len(x) - from_a, len(y) - (from_a - diagonal))
-        equal = x[from_a : from_a + n] == y[from_a - diagonal : from_a - diagonal + n]
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8)))
-        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if e - s >= least:
-                found.append((a, b, from_a + s, from_a - diagonal + s, e - s))
-    return found
+    def foreign(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether intervals hold rows of more than one owner."""
+        return self.turn_rows[self.turns.rank(low + 1)] < high
+
+
+class Matches:
+    """Windows of a shard's texts that texts of other owners hold too."""
+
+    def __init__(self, texts: list[np.ndarray], owners: np.ndarray, window: int):
+        index = FMIndex(texts, owners, window)
+        low, high = index.stream()
+        have = np.flatnonzero(low >= 0)
+        self.at = have[index.foreign(low[have], high[have])]
+        self.kind = low[self.at]  # equal windows have equal intervals
+        self.text = np.searchsorted(index.starts, self.at, "right") - 1
+        self.start = self.at - index.starts[self.text]
+        self.window = window
+        before = low[self.at - 1]
+        before[self.start == 0] = -1
+        self.before = before
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, start and end of the parts that windows of other owners cover."""
+        if not len(self.at):
+            none = np.empty(0, np.int64)
+            return none, none, none
+        new = np.concatenate([[True], (np.diff(self.text) != 0) | (np.diff(self.start) > self.window)])
+        begin = np.flatnonzero(new)
+        end = np.concatenate([begin[1:], [len(new)]]) - 1
+        return self.text[begin], self.start[begin], self.start[end] + self.window
+
+    def groups(self) -> list[np.ndarray]:
+        """Texts that hold the same window, for windows that do not merely continue one window to the left.
+
+        If all places of a window follow places of one other window, its texts are among those of the other.
+        """
+        if not len(self.at):
+            return []
+        order = np.argsort(self.kind, kind="stable")
+        kind, before, text = self.kind[order], self.before[order], self.text[order]
+        cut = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        most, least = np.maximum.reduceat(before, cut), np.minimum.reduceat(before, cut)
+        found: dict[bytes, np.ndarray] = {}
+        for i in np.flatnonzero((most != least) | (least < 0)):
+            own = np.unique(text[cut[i] : cut[i + 1] if i + 1 < len(cut) else len(text)])
+            found[own.tobytes()] = own
+        return list(found.values())

@@ -4,9 +4,10 @@
 2. Every text leaves anchors: hashes of ``ANCHOR`` code points, picked so that each run of
    ``least`` points leaves an anchor that depends on the run alone. An anchor that two texts have
    in common is the only way to share a run, so texts without one leave the computation.
-3. The stretches around common anchors go to shards by the set of texts that hold the anchor.
-   A large set is cut into blocks, and each pair of blocks is a shard.
-4. Each shard builds a compressed FM-index of its stretches and streams them through it.
+3. The stretches around common anchors go to shards by the smallest id that holds the anchor, so all
+   holders of an anchor meet. A large set is cut into blocks, and each pair of blocks is a shard.
+4. Each shard builds a compressed FM-index of its stretches and streams them through it backwards, the length
+   of the match kept at ``least``; windows whose interval holds a row of another text are reported.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.fm_index import shared_runs
+from leafmill.llm.fm_index import Matches
+from leafmill.llm.pairs import pairs_within
 from leafmill.session import stage
 
 #: Code points of an anchor; a shared run of ``least`` points must exceed it.
@@ -28,8 +30,6 @@ ANCHOR = 100
 PIECE = 1_000_000
 #: Code points of stretches in one block of a shard.
 SHARD = 1_000_000
-#: Code points searched backwards per block; the comparison of the texts decides.
-PROBE = 48
 
 _FACTOR = 6364136223846793005  # odd, so it has an inverse modulo 2**64
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -141,7 +141,7 @@ def _anchor_batches(least: int, anchor: int):
 
 
 def _stretches(least: int, anchor: int):
-    """Parts of texts around common anchors, one row for each joined stretch and shard set."""
+    """Parts of texts around common anchors, one row for each joined stretch and set of texts."""
     reach = least - anchor
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,8 +150,8 @@ def _stretches(least: int, anchor: int):
             for doc, text, hits in zip(frame["id"], frame["text"], frame["hits"]):
                 by: dict[int, list[int]] = {}
                 for hit in hits:
-                    by.setdefault(hit["members"], []).append(hit["at"])
-                for members, places in by.items():
+                    by.setdefault(hit["lead"], []).append(hit["at"])
+                for lead, places in by.items():
                     spans: list[list[int]] = []
                     for at in sorted(places):
                         a, b = max(0, at - reach), min(len(text), at + anchor + reach)
@@ -159,41 +159,62 @@ def _stretches(least: int, anchor: int):
                             spans[-1][1] = max(spans[-1][1], b)
                         else:
                             spans.append([a, b])
-                    rows += [(members, doc, a, text[a:b]) for a, b in spans]
-            yield pd.DataFrame(rows, columns=["members", "id", "start", "part"])
+                    rows += [(lead, doc, a, text[a:b]) for a, b in spans]
+            yield pd.DataFrame(rows, columns=["lead", "id", "start", "part"])
 
     return run
 
 
-def _search_shards(least: int):
-    def search(rows: list[tuple[int, int, str]]) -> pd.DataFrame:
-        ids = np.array([r[0] for r in rows], np.int64)
-        starts = [r[1] for r in rows]
-        found = shared_runs([_points(r[2]) for r in rows], ids, least, PROBE)
-        out = []
-        for a, b, x, y, n in found:
-            one, two = (int(ids[a]), starts[a] + x), (int(ids[b]), starts[b] + y)
-            (i, s), (j, t) = sorted((one, two))
-            out.append((i, j, s, t, n))
-        return pd.DataFrame(out, columns=["id_a", "id_b", "start_a", "start_b", "length"])
+def _in_shards(search, names: list[str], kinds: list[pa.DataType]):
+    """Runs ``search(ids, starts, sides, texts)`` over whole shards, small ones together, and gives its columns."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple[int, int, str]] = []
+    def done(rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+        ids, starts, sides = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        columns = search(ids, starts, sides, [_points(r[3]) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int, str]] = []
         total, shard = 0, None
-        for frame in batches:
-            for key, i, start, part in zip(frame["shard"], frame["id"], frame["start"], frame["part"]):
+        for batch in batches:
+            shards, ids, starts, sides = (batch.column(k).to_pylist() for k in range(4))
+            for key, *row, part in zip(shards, ids, starts, sides, batch.column(4)):
                 if key != shard and total >= SHARD // 2:
-                    yield search(rows)
+                    yield done(rows)
                     rows, total = [], 0
-                shard = key
-                rows.append((i, start, part))
-                total += len(part)
+                shard, text = key, part.as_py()
+                rows.append((*row, text))
+                total += len(text)
         if rows:
-            yield search(rows)
+            yield done(rows)
 
     return run
 
 
+def _pairs_in_shard(least: int):
+    def search(ids, starts, sides, texts):
+        """Pairs of ids whose texts share a window; in a shard of two blocks only those of both blocks."""
+        a, b = [], []
+        for group in Matches(texts, ids, least).groups():
+            x, y = np.triu_indices(len(group), 1)
+            x, y = group[x], group[y]
+            keep = (ids[x] != ids[y]) & ((sides[x] != sides[y]) | (sides[x] == 0))
+            pairs = np.unique(np.stack([np.minimum(ids[x], ids[y])[keep], np.maximum(ids[x], ids[y])[keep]]), axis=1)
+            a.append(pairs[0])
+            b.append(pairs[1])
+        return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+    return search
+
+
+def _spans_in_shard(least: int):
+    def search(ids, starts, sides, texts):
+        text, start, end = Matches(texts, ids, least).spans()
+        return ids[text], starts[text] + start, starts[text] + end
+
+    return search
+
+
 def copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, rep)``: every member of a group of equal texts with the smallest id of the group."""
     keyed = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
@@ -203,12 +224,11 @@ def copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return keyed.join(groups.select("h", "n", "rep"), ["h", "n"]).select("member", "rep", "n")
 
 
-def representative_runs(
-    documents: DataFrame, members: DataFrame, least: int = 300, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """``(id_a, id_b, start_a, start_b, length)`` of runs that different texts share, ids being representatives.
+def _shards(documents: DataFrame, members: DataFrame, least: int, anchor: int, doc_id: str, text: str) -> DataFrame:
+    """``(shard, id, start, side, part)``: stretches of representatives around anchors that another one holds too.
 
-    Runs are reported per stretch, so parts of a run may come out more than once or overlap.
+    ``side`` is 0 in a shard of one block, 1 and 2 in one of two. A text shares a run with another only if both have
+    a stretch with the whole run's windows in one shard.
     """
     if not 0 < anchor < least:
         raise ValueError("an anchor must be shorter than a run")
@@ -216,36 +236,28 @@ def representative_runs(
         F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")
     )
     texts = texts.join(members.where("member <> rep").select(F.col("member").alias("id")), "id", "left_anti")
-    found = stage(texts.mapInArrow(_anchor_batches(least, anchor), "anchor bigint, id bigint, at bigint").distinct(), "anchors")
-    # Which texts hold an anchor is summed up by a hash, combined map-side; no group is gathered.
-    shared = (
-        found.groupBy("anchor")
-        .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("members"), F.count("*").alias("c"))
-        .where("lo < hi")
-        .select("anchor", "members", "c")
-    )
-    hits = stage(found.join(shared, "anchor").select("id", "members", "at"), "hits")
-    sizes = hits.groupBy("members").agg((F.count("*") * F.lit(anchor) + 2 * F.count_distinct("id") * F.lit(least)).alias("points"))
-    sizes = sizes.select("members", F.ceil(F.col("points") / F.lit(SHARD)).cast("int").alias("blocks"))
-    per_text = hits.groupBy("id").agg(F.collect_list(F.struct("members", "at")).alias("hits"))
+    found = stage(texts.mapInArrow(_anchor_batches(least, anchor), "anchor bigint, id bigint, at bigint"), "anchors")
+    # The smallest and greatest holder combine map-side; no group is gathered.
+    shared = found.groupBy("anchor").agg(F.min("id").alias("lead"), F.max("id").alias("hi")).where("lead < hi").select("anchor", "lead")
+    hits = stage(found.join(shared, "anchor").select("id", "lead", "at").distinct(), "hits")
+    sizes = hits.groupBy("lead", "id").agg(F.count("*").alias("c")).groupBy("lead").agg((F.sum("c") * F.lit(anchor) + 2 * F.count("*") * F.lit(least)).alias("points"))
+    sizes = sizes.select("lead", F.ceil(F.col("points") / F.lit(SHARD)).cast("int").alias("blocks"))
+    per_text = hits.groupBy("id").agg(F.collect_list(F.struct("lead", "at")).alias("hits"))
     parts = per_text.join(texts, "id").select("id", "text", "hits").mapInPandas(
-        _stretches(least, anchor), "members bigint, id bigint, start bigint, part string"
+        _stretches(least, anchor), "lead bigint, id bigint, start bigint, part string"
     )
     # A set of texts too large for one shard is cut into blocks; every pair of blocks meets once.
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     spread = (
-        parts.join(sizes, "members")
+        parts.join(sizes, "lead")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            F.xxhash64("members", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "id", "start", "part"
+            F.xxhash64("lead", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "id", "start",
+            F.when((F.col("block") == F.col("other")), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long").alias("side"), "part",
         )
-    )
-    return (
-        spread.repartition("shard")
-        .sortWithinPartitions("shard")
-        .mapInPandas(_search_shards(least), "id_a bigint, id_b bigint, start_a bigint, start_b bigint, length bigint")
-    )
+    )
+    return spread.repartition("shard").sortWithinPartitions("shard")
 
 
 def shared_pairs(documents: DataFrame, least: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,12 +268,13 @@ def shared_pairs(documents: DataFrame, least: int = 300, doc_id: str = "doc_id",
     shorter texts share nothing; repeated rows count once.
     """
     members = stage(copies(documents, doc_id, text), "copies")
-    pairs = representative_runs(documents, members, least, doc_id=doc_id, text=text).select("id_a", "id_b").distinct()
+    shards = _shards(documents, members, least, ANCHOR, doc_id, text)
+    found = _in_shards(_pairs_in_shard(least), ["id_a", "id_b"], [pa.int64(), pa.int64()])
+    pairs = shards.mapInArrow(found, "id_a bigint, id_b bigint").distinct()
     m = members.select("member", "rep")
     a = pairs.join(m.toDF("m_a", "id_a"), "id_a", "left").select(F.coalesce("m_a", "id_a").alias("a"), "id_b")
     b = a.join(m.toDF("m_b", "id_b"), "id_b", "left").select("a", F.coalesce("m_b", "id_b").alias("b"))
-    long = members.where(F.col("n") >= least)
-    within = long.select(F.col("member").alias("a"), "rep").join(long.select(F.col("member").alias("b"), "rep"), "rep").where("a < b")
+    within = pairs_within(members.where(F.col("n") >= least).select("rep", F.col("member").alias("id")), "rep")
     both = b.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within.select("a", "b"))
     return both.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
 
@@ -273,11 +286,10 @@ def shared_spans(documents: DataFrame, least: int = 300, doc_id: str = "doc_id",
     another record; a copy of another record of that length is shared as a whole. Empty texts share 0.
     """
     members = stage(copies(documents, doc_id, text), "copies")
-    runs = representative_runs(documents, members, least, doc_id=doc_id, text=text)
-    one_side = runs.select(F.col("id_a").alias("id"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e"))
-    other = runs.select(F.col("id_b"), F.col("start_b"), F.col("start_b") + F.col("length"))
+    shards = _shards(documents, members, least, ANCHOR, doc_id, text)
+    found = _in_shards(_spans_in_shard(least), ["id", "s", "e"], [pa.int64()] * 3)
     # One span per start keeps a text's list within its own length, whatever the number of partners.
-    spans = stage(one_side.union(other).groupBy("id", "s").agg(F.max("e").alias("e")), "spans")
+    spans = stage(shards.mapInArrow(found, "id bigint, s bigint, e bigint").groupBy("id", "s").agg(F.max("e").alias("e")), "spans")
     joined = F.aggregate(
         F.array_sort(F.collect_list(F.struct("s", "e"))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"), F.lit(-1).cast("long").alias("end")),

@@ -1,9 +1,10 @@
 import random
+import time
 
 import numpy as np
 
-from leafmill.llm import spans
-from leafmill.llm.fm_index import FMIndex, WaveletMatrix, shared_runs, suffix_array
+from leafmill.llm import pairs, spans
+from leafmill.llm.fm_index import FMIndex, Matches, WaveletMatrix, sorted_rows
 
 
 def points(text):
@@ -21,37 +22,68 @@ def brute(texts, least):
     return found
 
 
-def test_suffix_array_and_ranks():
+def test_rows_and_ranks():
     rng = random.Random(1)
     s = np.array([rng.randint(1, 4) for _ in range(300)] + [0])
-    assert suffix_array(s).tolist() == sorted(range(301), key=lambda i: s[i:].tolist())
+    for depth in (2, 5, 40, 301):
+        order, edge = sorted_rows(s, depth)
+        keys = [tuple(s[i : i + depth]) for i in order]
+        assert keys == sorted(keys)
+        assert edge.tolist() == [True] + [a[: depth - 1] != b[: depth - 1] for a, b in zip(keys, keys[1:])]
     w = WaveletMatrix(s, 5)
     for c in range(5):
         base = w.rank(np.array([c]), np.array([0]))
         for at in (0, 1, 63, 64, 65, 200, 301):
             assert w.rank(np.array([c]), np.array([at])) - base == (s[:at] == c).sum()
-    assert w.access(np.arange(301))[0].tolist() == s.tolist()
 
 
-def test_index_locates():
-    index = FMIndex([points("abracadabra"), points("cadabra 日本")])
-    low, high = index.search(np.array([11]), 4)
-    assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == [0, 7, 15]
+def test_intervals_count_occurrences():
+    texts = ["abracadabra", "cadabra 日本", "ab", ""]
+    index = FMIndex([points(t) for t in texts], np.arange(4), 4)
+    low, high = index.stream()
+    for start, t in zip(index.starts, texts):
+        for k in range(len(t) + 1):
+            part = t[k : k + 4]
+            want = sum(o[j : j + 4] == part for o in texts for j in range(len(o))) if len(part) == 4 else 0
+            assert high[start + k] - low[start + k] == want
 
 
-def test_runs_against_brute_force():
+def test_windows_against_brute_force():
     rng = random.Random(2)
-    for _ in range(20):
-        texts = []
-        for _ in range(10):
-            t = "".join(rng.choice("abcé日") for _ in range(rng.randint(0, 150)))
-            if texts and rng.random() < 0.6 and len(o := rng.choice(texts)) > 60:
-                at = rng.randint(0, len(o) - 50)
-                t = t[:40] + o[at : at + rng.randint(20, 50)] + t[40:]
-            texts.append("aaaaa" * 20 if rng.random() < 0.15 else t)
-        got = shared_runs([points(t) for t in texts], np.arange(len(texts)), 30, 12)
-        assert {(a, b) for a, b, *_ in got} == brute(list(enumerate(texts)), 30)
-        assert all(texts[a][s : s + n] == texts[b][u : u + n] for a, b, s, u, n in got)
+    for width in (2, 5, 30):
+        for _ in range(20):
+            texts = []
+            for _ in range(10):
+                t = "".join(rng.choice("abcé日" if width > 5 else "ab") for _ in range(rng.randint(0, 5 * width)))
+                if texts and rng.random() < 0.6 and len(o := rng.choice(texts)) > 2 * width:
+                    at = rng.randint(0, len(o) - width)
+                    t = t[:40] + o[at : at + rng.randint(width - 2, 2 * width)] + t[40:]
+                texts.append("aaaaa" * 20 if rng.random() < 0.15 else t)
+            owners = np.arange(10) % 7
+            found = Matches([points(t) for t in texts], owners, width)
+            holders = {}
+            for t, owner in zip(texts, owners):
+                for k in range(len(t) - width + 1):
+                    holders.setdefault(t[k : k + width], set()).add(owner)
+            want = {(i, k) for i, t in enumerate(texts) for k in range(len(t) - width + 1) if len(holders[t[k : k + width]]) > 1}
+            assert set(zip(found.text.tolist(), found.start.tolist())) == want
+            covered = [set() for _ in texts]
+            for i, k in want:
+                covered[i] |= set(range(k, k + width))
+            spans_of = [set() for _ in texts]
+            for i, s, e in zip(*(x.tolist() for x in found.spans())):
+                assert not spans_of[i] & set(range(s, e))
+                spans_of[i] |= set(range(s, e))
+            assert spans_of == covered
+            pairs = {(i, j) for g in found.groups() for i in g.tolist() for j in g.tolist() if i < j and owners[i] != owners[j]}
+            assert pairs == {(i, j) for i, j in brute(list(enumerate(texts)), width) if owners[i] != owners[j]}
+
+
+def test_uniform_text_is_linear():
+    began = time.time()
+    found = Matches([points("a" * 1_000_000), points("a" * 1_000_000)], np.arange(2), 300)
+    assert [x.tolist() for x in found.spans()] == [[0, 1], [0, 0], [1_000_000, 1_000_000]] and len(found.groups()) == 1
+    assert time.time() - began < 60
 
 
 def rows(spark, texts):
@@ -77,6 +109,20 @@ def test_pairs_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == brute(docs, 300)
 
 
+def test_pairs_within_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    rows = [(k, i, i * 2) for k, n in (("x", 50), ("y", 1), ("z", 8)) for i in range(n)]
+    got = [tuple(r) for r in pairs.pairs_within(spark.createDataFrame(rows, "k string, id long, v long"), "k").collect()]
+    assert sorted(got) == sorted([(i, j, 2 * i, 2 * j) for n in (50, 8) for i in range(n) for j in range(i + 1, n)])
+
+
+def test_anchors_of_unrelated_texts_with_even_holders(spark):
+    rng = random.Random(7)
+    one, two = ("".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(2))
+    docs = [(1, one), (2, one + "x"), (3, two), (4, two + "x"), (5, one + one + "y"), (6, one + one + "z")]
+    assert {tuple(r) for r in spans.shared_pairs(rows(spark, docs)).collect()} == brute(docs, 300)
+
+
 def test_hot_passage_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(spans, "SHARD", 3_000)
     monkeypatch.setattr(spans, "PIECE", 500)
