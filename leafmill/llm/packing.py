@@ -1,11 +1,12 @@
 """Filling containers of fixed capacity with texts measured in tokens.
 
-Histogram pattern packing: lengths are counted; patterns of a few long texts that fill a container
-up to a gap are enumerated over length bins; non-negative least squares fits how often each
-pattern is used to the histogram, with the total length of the short texts as one more row that
-the gaps must take up; counts are rounded down; a best-fit pass over counts fills the gaps and packs
-what is left. The plan has one row for each kind of container filling, so its size depends on
-the capacity and not on the number of texts. Texts get their container by rank within their length.
+Histogram pattern packing: lengths are counted in bins; patterns are multisets of bins that fill a container; non-negative
+least squares fits how often each pattern is used to the histogram, with the unused room of all patterns as one
+more row that is to be zero. There are too many patterns of many texts to list them, so the one that improves the fit most is found
+by a knapsack over the bins whenever the fit needs another. Counts are rounded, each pattern is filled with texts of its bins,
+the last of them the longest that still fits, and what rounding left is packed best-fit over counts. The plan has one row for
+each kind of container filling, so its size depends on the capacity and not on the number of texts. Texts get their
+container by rank within their length.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ TOKENIZER_DIR = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bins of lengths for the fit, most texts of a pattern, and salts of the ranking.
-BINS, DEPTH, SALTS = 128, 3, 64
-#: Texts up to this share of a capacity fill gaps; longer ones are placed by patterns.
-SHORT = 0.25
+#: Bins of lengths for the fit, weight of a container of unused room in it, and most patterns tried.
+BINS, UNUSED, ROUNDS = 128, 1.0, 600
+#: Least number of salts of the ranking, and rows of a salt.
+SALTS, SALT_ROWS = 64, 1_000_000
+#: Rows of a plan that are broadcast; a longer one is joined by a shuffle.
+PLAN_ROWS = 200_000
 #: Characters encoded at once; a longer text is cut before a space.
 ENCODE_CHARS = 200_000
 
@@ -75,59 +78,68 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     return counted.groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares by the active set method."""
-    n = a.shape[1]
-    x, active = np.zeros(n), np.zeros(n, bool)
-    eps = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
-    for _ in range(rounds):
-        w = a.T @ (b - a[:, active] @ x[active])
-        w[active] = -np.inf
-        j = int(np.argmax(w))
-        if w[j] <= eps:
+def best_pattern(gain: np.ndarray, unused: float) -> tuple[float, np.ndarray]:
+    """Greatest sum of gains of a multiset of bins that fills a container, ``unused`` counting for each empty unit.
+
+    ``gain[k]`` belongs to the bin of ``k + 1`` units, of which a container has as many as there are bins. Returns the
+    sum and how often each bin is taken, the empty units last.
+    """
+    bins = len(gain)
+    best, taken = np.zeros(bins + 1), np.zeros(bins + 1, np.int64)
+    for room in range(1, bins + 1):
+        value = best[room - 1 :: -1] + gain[:room]
+        k = int(np.argmax(value))
+        empty = best[room - 1] + unused
+        best[room], taken[room] = (value[k], k + 1) if value[k] > empty else (empty, 0)
+    counts, room = np.zeros(bins + 1), bins
+    while room:
+        k = int(taken[room])
+        counts[k - 1 if k else bins] += 1
+        room -= k or 1
+    return float(best[bins]), counts
+
+
+def fit(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns as columns (bins, then empty units) and how often each is used to take up a histogram of bins.
+
+    Non-negative least squares by the active set method; the pattern of the steepest descent among all patterns enters.
+    """
+    bins = len(histogram)
+    scale = max(1.0, float(histogram.sum()))
+    goal = np.concatenate([histogram / scale, [0.0]])
+    weight = np.ones(bins + 1)
+    weight[bins] = UNUSED / bins
+    patterns, x = np.zeros((bins + 1, 0)), np.zeros(0)
+    absent = np.where(histogram > 0, 0.0, -np.inf)
+    for _ in range(ROUNDS):
+        a = patterns * weight[:, None]
+        rest = goal - a @ x
+        value, pattern = best_pattern(rest[:bins] + absent, float(rest[bins]) * weight[bins])
+        if value <= 1e-7 or (patterns == pattern[:, None]).all(axis=0).any():
             break
-        active[j] = True
-        while True:
-            rows = np.flatnonzero(active)
-            own = a[:, rows]
-            g = own.T @ own
-            z = np.linalg.solve(g + 1e-9 * np.trace(g) / len(rows) * np.eye(len(rows)), own.T @ b)
-            if (z > 1e-9).all():
-                x[:] = 0
-                x[rows] = z
-                break
-            low = z <= 1e-9
-            old = x[rows]
-            step = np.min(old[low] / np.maximum(old[low] - z[low], 1e-300))
-            x[rows] = np.maximum(old + step * (z - old), 0)
-            drop = rows[(x[rows] <= 1e-9) & low]
-            if not len(drop):
-                drop = rows[[int(np.argmin(x[rows]))]]
-            active[drop] = False
-            x[drop] = 0
-            if not active.any():
+        patterns, x = np.column_stack([patterns, pattern]), np.append(x, 0.0)
+        while patterns.shape[1]:
+            a = patterns * weight[:, None]
+            g = a.T @ a
+            z = np.linalg.solve(g + 1e-10 * np.trace(g) / len(g) * np.eye(len(g)), a.T @ goal)
+            low = z <= 1e-12
+            if not low.any():
+                x = z
                 break
-    return x
-
-
-def patterns(bins: int, least: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
-    """Multisets of up to ``depth`` bins from ``least`` on, as decreasing tuples of sum at most ``bins``."""
-    out: list[tuple[int, ...]] = [()]
-
-    def grow(held: tuple[int, ...], most: int, left: int) -> None:
-        for b in range(min(most, left), least - 1, -1):
-            out.append(held + (b,))
-            if len(held) + 1 < depth:
-                grow(held + (b,), b, left - b)
-
-    grow((), bins, bins)
-    return out
+            step = np.min(x[low] / np.maximum(x[low] - z[low], 1e-300))
+            x = np.maximum(x + step * (z - x), 0)
+            stay = ~((x <= 1e-12) & low)
+            if stay.all():
+                stay[np.argmin(x)] = False
+            patterns, x = patterns[:, stay], x[stay]
+    return patterns, x * scale
 
 
-def plan(histogram: dict[int, int], capacity: int, bins: int = BINS) -> list[tuple[dict[int, int], int]]:
-    """Container fillings ``({length: how many}, repeats)`` that take up the histogram exactly.
+def plan(histogram: dict[int, int], capacity: int, bins: int = BINS) -> list[tuple[dict[int, int], int, bool]]:
+    """Container fillings ``({length: how many}, repeats, fitted)`` that take up the histogram exactly.
 
-    Lengths are 1 to ``capacity``. Every text of the histogram is in exactly one container.
+    Lengths are 1 to ``capacity``. Every text of the histogram is in exactly one container. ``fitted`` tells the
+    containers of fitted patterns from those of the residuals.
     """
     if any(c > 0 and not 1 <= n <= capacity for n, c in histogram.items()):
         raise ValueError("lengths must lie between 1 and the capacity")
@@ -135,18 +147,16 @@ def plan(histogram: dict[int, int], capacity: int, bins: int = BINS) -> list[tup
     for n, c in histogram.items():
         left[n] = max(0, c)
     bins = min(bins, capacity)
-    unit = capacity / bins
-    short = int(capacity * SHORT)
-    out: list[tuple[dict[int, int], int]] = []
+    out: list[tuple[dict[int, int], int, bool]] = []
 
-    def take(filling: Counter, repeats: int) -> int:
+    def take(filling: Counter, repeats: int, fitted: bool) -> int:
         """Uses a filling as often as its gap can be filled alike, at most ``repeats`` times."""
         lengths, each = np.array(list(filling), np.int64), np.array(list(filling.values()), np.int64)
         while True:
             left[lengths] -= each * repeats
             room, added = capacity - int((lengths * each).sum()), Counter()
-            while room > 0 and len(fit := np.flatnonzero(left[: room + 1] >= repeats)):
-                n = int(fit[-1])
+            while room > 0 and len(enough := np.flatnonzero(left[: room + 1] >= repeats)):
+                n = int(enough[-1])
                 k = int(min(room // n, left[n] // repeats))
                 added[n] += k
                 left[n] -= k * repeats
@@ -157,40 +167,36 @@ def plan(histogram: dict[int, int], capacity: int, bins: int = BINS) -> list[tup
                 left[n] += k * repeats
             left[lengths] += each * repeats
             repeats //= 2
-        out.append((dict(filling + added), repeats))
+        out.append((dict(filling + added), repeats, fitted))
         return repeats
 
-    lengths = np.flatnonzero(left)
-    long = lengths[lengths > short]
-    if len(long):
-        to_bin = np.minimum(bins, np.ceil(long / unit - 1e-9).astype(int))
-        kinds = patterns(bins, int(to_bin.min()))
-        a = np.zeros((bins + 1, len(kinds)))
-        for j, kind in enumerate(kinds):
-            for b in kind:
-                a[b - 1, j] += 1
-            a[bins, j] = (bins - sum(kind)) / bins
-        h = np.zeros(bins + 1)
-        np.add.at(h, to_bin - 1, left[long])
-        h[bins] = (np.arange(short + 1) * left[: short + 1]).sum() / capacity
-        scale = max(1.0, h.sum())
-        fitted = nnls(a, h / scale) * scale
-        by_bin = {b: long[to_bin == b][::-1].tolist() for b in set(to_bin.tolist())}
-        for j in sorted(range(len(kinds)), key=lambda j: (-sum(kinds[j]), j)):
-            todo = int(fitted[j]) if kinds[j] else 0
-            while todo > 0:
-                filling: Counter = Counter()
-                for b in kinds[j]:  # the longest text of the bin that is still there
-                    n = next((n for n in by_bin.get(b, ()) if left[n] > filling[n]), None)
-                    if n is None:
-                        break
-                    filling[n] += 1
-                if sum(filling.values()) < len(kinds[j]):
-                    break
-                todo -= take(filling, min([todo, *(int(left[n]) // k for n, k in filling.items())]))
-    while len(rest := np.flatnonzero(left)):  # what rounding left and the short texts that no gap took
+    in_bin = np.clip(np.rint(np.arange(capacity + 1) * bins / capacity), 1, bins).astype(np.int64)
+    patterns, times = fit(np.bincount(in_bin[1:] - 1, weights=left[1:], minlength=bins))
+    lengths_of = {b: np.flatnonzero(in_bin[1:] == b) + 1 for b in range(1, bins + 1)}
+
+    def filled(pattern: list[int]) -> Counter:
+        """The most frequent lengths of a pattern's bins but the last, which ``take`` finds."""
+        filling, room = Counter(), capacity
+        for b in pattern[:-1] if len(pattern) > 1 else pattern:
+            lengths = lengths_of[b]
+            share = left[lengths] // np.array([filling[n] + 1 for n in lengths.tolist()])
+            share[lengths > room] = 0
+            if not share.any():
+                return Counter()
+            n = int(lengths[np.argmax(share)])
+            filling[n] += 1
+            room -= n
+        return filling
+
+    held = patterns[:bins].astype(int)
+    for j in sorted(range(held.shape[1]), key=lambda j: -max(np.flatnonzero(held[:, j]), default=0)):
+        pattern = [b + 1 for b in range(bins - 1, -1, -1) for _ in range(held[b, j])]
+        todo = int(times[j] + 0.5)
+        while todo > 0 and (filling := filled(pattern)):
+            todo -= take(filling, min([todo, *(int(left[n]) // k for n, k in filling.items())]), True)
+    while len(rest := np.flatnonzero(left)):  # what rounding left
         n = int(rest[-1])
-        take(Counter({n: 1}), int(left[n]))
+        take(Counter({n: 1}), int(left[n]), False)
     return out
 
 
@@ -219,22 +225,27 @@ def pack(lengths: DataFrame, kinds: dict[str, int], bins: int = BINS) -> DataFra
     for kind, capacity in kinds.items():
         rows = {r.rest: r.c for r in histogram if r.container_kind == kind and r.rest}
         made, place = 0, Counter()
-        for filling, repeats in plan(rows, capacity, bins):
+        for filling, repeats, _ in plan(rows, capacity, bins):
             for n, k in filling.items():
                 slots.append((kind, n, place[n], place[n] + k * repeats, k, made))
                 place[n] += k * repeats
             made += repeats
         first_full[kind] = made
+    salts = max(SALTS, -(-sum(r.c for r in histogram) // (SALT_ROWS * len(kinds))))
     plan_rows = spark.createDataFrame(
         slots, "container_kind string, rest bigint, from_rank bigint, to_rank bigint, uses bigint, first bigint"
     )
+    by_length = plan_rows.groupBy("container_kind", "rest").agg(F.array_sort(F.collect_list(F.struct("from_rank", "uses", "first"))).alias("slots"))
+    if len(slots) <= PLAN_ROWS:
+        by_length = F.broadcast(by_length)
     bases = F.broadcast(spark.createDataFrame(list(first_full.items()), "container_kind string, full_from bigint"))
     parts = lengths.select("doc_id", "tokens", each.alias("k")).select("doc_id", "tokens", "k.*").select(
         "container_kind", "doc_id", "tokens", "capacity", F.expr("tokens % capacity").alias("rest"), F.expr("tokens div capacity").alias("full"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"),
     )
     rest = _ranked(parts.where("rest > 0"), ["container_kind", "rest"])
-    placed = rest.join(F.broadcast(plan_rows), ["container_kind", "rest"]).where("rank >= from_rank AND rank < to_rank")
+    slot = F.element_at("slots", F.size(F.filter("slots", lambda x: x["from_rank"] <= F.col("rank"))))
+    placed = rest.join(by_length, ["container_kind", "rest"]).withColumn("slot", slot).select("*", "slot.*")
     packed = placed.select(
         "container_kind", F.expr("first + (rank - from_rank) div uses").alias("container_id"), "doc_id", F.col("full").alias("part"),
         F.col("rest").alias("tokens"), F.expr("full * capacity").alias("from_token"),
