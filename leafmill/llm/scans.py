@@ -3,9 +3,11 @@
 Lines of the page frame are told from the body, words cut at line ends are joined, and words that
 recognition changed are corrected by a noisy channel: each word of a line gets candidates, confusion
 probabilities say how likely a candidate was read as what stands there, word and word pair counts say
-how likely it is in its place, and a Viterbi search picks the best sequence of the line.
+how likely it is in its place, and a Viterbi search picks the best sequence of the line. A word that no native page has
+is likely by its letters, in proportion to how often native text brings a new word. Only a candidate that wins makes a misread line.
 
-Counts come from pages of native text, which went through no recognition.
+Counts come from pages of native text, which went through no recognition. Confusion probabilities are estimated by
+expectation and maximisation over all distinct words of the scans that native text does not know.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from pyspark.sql import functions as F
 from leafmill.llm.encoding import ODD, QUIET, repair_text, undisguise
 from leafmill.session import stage
 
-#: Bounds of the broadcast model: words and word pairs of the highest counts, and notices of page frames.
-WORDS, PAIRS, NOTICES = 150_000, 300_000, 2_000
+#: Rows of words, pairs, notices and judged words that one broadcast model may have. Beyond it pages are taken in blocks,
+#: each with the rows that its own pages can meet, so that none is lost.
+MODEL_ROWS = 3_000_000
 #: Least count of a word or pair in native text, and paths on whose page edges a notice occurs.
 LEAST_WORD, LEAST_PAIR, NOTICE_PATHS = 2, 3, 3
-#: Log probabilities of the channel: one confusion of the table, any other changed character, a lost or added space.
+#: Log probabilities of the channel before they are estimated: one confusion of the table, any other changed character, a lost or added space.
 CONFUSED, CHANGED, SPACED = -5.0, -10.0, -7.5
-#: Log probability of a word never seen in native text, in lower case and capitalised.
-UNSEEN, UNSEEN_NAME = -21.0, -19.0
+#: Rounds of the estimate, and occurrences that its first values stand for.
+ROUNDS, PRIOR = 3, 2_000
 #: Lowest channel score of a candidate.
 LEAST_CHANNEL = -16.0
+#: Characters of texts that are counted before counts leave a worker.
+COUNT_CHARS = 20_000_000
 HYPHENS = "-‐‑­¬"
 #: Fixed value: letters that are words.
 SINGLE = "aàéoyiwzвксуи"
@@ -46,7 +51,7 @@ STROKES = {c: s for s, chars in _STROKES.items() for c in chars}
 # What is read for what, as (seen, meant).
 _SEEN = (
     "rn m,m rn,cl d,d cl,li h,h li,ii u,u ii,vv w,w vv,ri n,n ri,nn m,m nn,vi w,w vi,in m,m in,ni m,rri m,lc k,"
-    "1 l,l 1,I l,l I,i l,l i,1 i,i 1,I 1,1 I,| l,| I,! l,! i,l t,t l,t f,f t,r t,i j,j i,l f,f l,"
+    "1 l,l 1,I l,l I,I 1,S 8,E 3,i l,l i,1 i,i 1,I 1,1 I,| l,| I,! l,! i,l t,t l,t f,f t,r t,i j,j i,l f,f l,"
     "0 o,o 0,O 0,0 O,o a,a o,c e,e c,o e,e o,c o,o c,a e,e a,( c,Q O,C G,G C,6 b,b 6,9 g,g 9,q g,g q,6 ó,6 é,6 o,o 6,6 G,G 6,6 e,"
     "5 s,s 5,5 S,S 5,8 B,B 8,E 8,8 E,3 8,8 3,2 z,z 2,2 Z,Z 2,v y,y v,u n,n u,h b,b h,n h,h n,U V,V U,u v,v u,7 1,1 7,4 A,F E,E F,P F,F P,"
     "0 о,о 0,О 0,0 О,3 з,з 3,3 З,З 3,6 б,б 6,в з,з в,н и,и н,п л,л п,т г,г т,е с,с е,о с,с о,а о,о а,и п,п и,н п,п н,л д,ц н,ш щ,щ ш,э з,ы ь,ьl ы,ьі ы,bI ы,ы м,м ы,й и,и й,ё е,е ё,"
@@ -97,57 +102,193 @@ def _base(c: str) -> str:
     return _BASES[c]
 
 
-def channel(seen: str, meant: str, floor: float = LEAST_CHANNEL) -> float:
-    """Log probability that ``meant`` was read as ``seen``: best alignment by confusions and changes."""
+#: Operations of the channel apart from the confusions, which are named ``seen>meant``: other letters of the same strokes, another accent,
+#: another character, a space.
+SHAPE, ACCENT, OTHER, SPACE = "=", "~", "*", " "
+START = {SHAPE: CONFUSED - 1, ACCENT: CONFUSED - 1, OTHER: CHANGED, SPACE: SPACED}
+
+
+def align(seen: str, meant: str, costs: dict[str, float], floor: float = LEAST_CHANNEL) -> tuple[float, list[str]]:
+    """Log probability that ``meant`` was read as ``seen`` by the best alignment of confusions and changes, and its operations."""
     if seen == meant:
-        return 0.0
+        return 0.0, []
     n, m = len(seen), len(meant)
     if abs(n - m) > 4:
-        return -math.inf
-    best = {(0, 0): 0.0}
+        return -math.inf, []
+    accent, other, shape = costs.get(ACCENT, START[ACCENT]), costs.get(OTHER, CHANGED), costs.get(SHAPE, START[SHAPE])
+    seen_shape, meant_shape = [STROKES.get(c) or STROKES.get(_base(c), c) for c in seen], [STROKES.get(c) or STROKES.get(_base(c), c) for c in meant]
+    best: dict[tuple[int, int], tuple[float, tuple[int, int] | None, tuple[str, ...]]] = {(0, 0): (0.0, None, ())}
+
+    def reach(step: tuple[int, int], score: float, came: tuple[int, int], ops: tuple[str, ...]) -> None:
+        old = best.get(step)
+        if old is None or score > old[0]:
+            best[step] = (score, came, ops)
+
     for i in range(n + 1):
         for j in range(max(0, i - 4), min(m, i + 4) + 1):
-            score = best.get((i, j))
-            if score is None or score < floor:
+            here = best.get((i, j))
+            if here is None or here[0] < floor:
                 continue
-            if i < n and j < m and seen[i] == meant[j]:
-                if score > best.get((i + 1, j + 1), -math.inf):
-                    best[i + 1, j + 1] = score
-                continue_exact = True
-            else:
-                continue_exact = False
+            score = here[0]
+            same = i < n and j < m and seen[i] == meant[j]
+            if same:
+                reach((i + 1, j + 1), score, (i, j), ())
             for a in (1, 2, 3):
-                for target in SEEN.get(seen[i : i + a], ()) if i + a <= n else ():
-                    if meant.startswith(target, j):
-                        step = (i + a, j + len(target))
-                        if score + CONFUSED > best.get(step, -math.inf):
-                            best[step] = score + CONFUSED
-            if continue_exact:
+                if i + a > n:
+                    break
+                part = seen[i : i + a]
+                for target in SEEN.get(part, ()):
+                    piece = meant[j : j + len(target)]
+                    if piece == target:
+                        op = f"{part}>{target}"
+                        reach((i + a, j + len(target)), score + costs.get(op, CONFUSED), (i, j), (op,))
+                    elif len(piece) == len(target) and "".join(map(_base, piece)) == target:
+                        op = f"{part}>{target}"
+                        reach((i + a, j + len(target)), score + costs.get(op, CONFUSED) + accent, (i, j), (op, ACCENT))
+            if same:
                 continue
+            for a in (1, 2):
+                for b in (1, 2):
+                    alike = i + a <= n and j + b <= m and a + b > 2 and "".join(seen_shape[i : i + a]) == "".join(meant_shape[j : j + b])
+                    if alike and [_base(c) for c in seen[i : i + a]] != [_base(c) for c in meant[j : j + b]]:
+                        reach((i + a, j + b), score + shape, (i, j), (SHAPE,))
             for step in ((i + 1, j + 1), (i + 1, j), (i, j + 1)):
-                if step[0] <= n and step[1] <= m and score + CHANGED > best.get(step, -math.inf):
-                    if step == (i + 1, j + 1) and i < n and j < m and _base(seen[i]) == _base(meant[j]):
-                        best[step] = max(best.get(step, -math.inf), score + CONFUSED - 1)
+                if step[0] <= n and step[1] <= m:
+                    if step == (i + 1, j + 1) and _base(seen[i]) == _base(meant[j]):
+                        reach(step, score + accent, (i, j), (ACCENT,))
                     else:
-                        best[step] = score + CHANGED
-    return best.get((n, m), -math.inf)
+                        reach(step, score + other, (i, j), (OTHER,))
+    if (n, m) not in best:
+        return -math.inf, []
+    at, ops = (n, m), []
+    while at is not None:
+        _, came, used = best[at]
+        ops += used
+        at = came
+    return best[n, m][0], ops
+
+
+def channel(seen: str, meant: str, costs: dict[str, float] | None = None) -> float:
+    return align(seen, meant, costs or {})[0]
+
+
+def forms_of(word: str) -> list[tuple[str, object]]:
+    """Forms under which the vocabulary may hold a word, each with the way back to the word's own capitals."""
+    if word.isupper() and len(word) > 1:
+        return [(word, str), (word.lower(), str.upper), (word[:1] + word[1:].lower(), str.upper)]
+    if word[:1].isupper():
+        return [(word, str), (word[:1].lower() + word[1:], lambda w: w[:1].upper() + w[1:])]
+    return [(word, str)]
+
+
+def keys_of(word: str) -> set[str]:
+    """Keys that a word shares with those it may be taken for: its strokes, and its strokes or letters less one."""
+    s = strokes(word)
+    out = {f"s{s}"}
+    if len(s) > 3:
+        out |= {f"d{s[:k]}{s[k + 1 :]}" for k in range(len(s))} | {f"d{s}"}
+    if len(word) > 3:
+        out |= {f"c{word[:k]}{word[k + 1 :]}" for k in range(len(word))} | {f"c{word}"}
+    return out
 
 
-class Model:
-    """Words and pairs of native text with their log probabilities, and candidates by strokes."""
+_LETTER_FOR = {d: next((t for t in "oliszgbaeh" if t in SEEN.get(d, ())), None) for d in "0123456789"}
+
+
+def made_up(word: str) -> list[tuple[str, tuple[str, ...]]]:
+    """Numbers, codes and unknown words that may have been read as a mix of digits and letters, with the operations."""
+    if not any(c.isdigit() for c in word) or not any(c.isalpha() or c in "|!" for c in word):
+        return []
+    out: dict[str, tuple[str, ...]] = {}
+    for kept in range(3):
+        made, ops = word[:kept], []
+        for c in word[kept:]:
+            d = next((t for t in SEEN.get(c, ()) if t.isdigit()), None) if not c.isdigit() else None
+            made += d or c
+            if d:
+                ops.append(f"{c}>{d}")
+        if ops and _CODE.fullmatch(made):
+            out.setdefault(made, tuple(ops))
+    if sum(c.isdigit() for c in word) < sum(c.isalpha() for c in word):
+        made, ops = "", []
+        for c in word:
+            d = _LETTER_FOR.get(c)
+            made += d or c
+            if d:
+                ops.append(f"{c}>{d}")
+        if ops and _LETTERS.fullmatch(made):
+            out.setdefault(made, tuple(ops))
+    return list(out.items())
+
+
+def scored(word: str, others, costs: dict[str, float]) -> dict[str, tuple[float, list[str]]]:
+    """Words among ``others`` that may have been read as ``word``, in its capitals, with channel scores and operations."""
+    found: dict[str, tuple[float, list[str]]] = {}
+    forms = forms_of(word)
+    for w in others:
+        for form, back in forms:
+            if w != form:
+                score, ops = align(form, w, costs)
+                if score > LEAST_CHANNEL and score > found.get(back(w), (-math.inf,))[0]:
+                    found[back(w)] = (score, ops)
+    for w, ops in made_up(word):
+        score = sum(costs.get(op, CONFUSED) for op in ops)
+        if score > found.get(w, (-math.inf,))[0]:
+            found[w] = (score, list(ops))
+    found.pop(word, None)
+    return found
+
+
+class Letters:
+    """Likelihood of words by their letters: trigrams of the distinct words of native text, mixed with shorter ones."""
+
+    def __init__(self, grams: dict[str, int]):
+        self.grams = grams
+        self.follow: dict[str, list[int]] = {}
+        for g, c in grams.items():
+            f = self.follow.setdefault(g[:-1], [0, 0])
+            f[0] += c
+            f[1] += 1
+
+    def log(self, word: str) -> float:
+        text, total = f"\2\2{word.lower()}\3", 0.0
+        for k in range(2, len(text)):
+            p = 1e-4  # any other character
+            for context in ("", text[k - 1], text[k - 2 : k]):
+                have = self.follow.get(context)
+                if have:
+                    p = (self.grams.get(context + text[k], 0) + have[1] * p) / (have[0] + have[1])
+            total += math.log(p)
+        return total
+
+
+def grams_of(word: str) -> list[str]:
+    text = f"\2\2{word.lower()}\3"
+    return [text[k - n : k + 1] for k in range(2, len(text)) for n in range(3)]
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], notices: set[str]):
-        self.words, self.pairs, self.notices = words, pairs, notices
-        self.total = max(1, sum(words.values()))
+
+class Model:
+    """Words and pairs of native text with their log probabilities, judged words, and candidates by strokes."""
+
+    def __init__(
+        self, words: dict[str, int], pairs: dict[tuple[str, str], int], notices: set[str], costs: dict[str, float] | None = None,
+        judged: dict[str, list[tuple[str, float]]] | None = None, letters: Letters | None = None, total: int = 0, new: tuple[float, float, float] | None = None,
+    ):
+        self.words, self.pairs, self.notices, self.costs = words, pairs, notices, costs or {}
+        self.total = total or max(1, sum(words.values()))
         self.log = {w: math.log(c / self.total) for w, c in words.items()}
+        self.letters = letters or Letters(Counter(g for w in words for g in grams_of(w)))
+        # Log shares of new words, new capitalised words and numbers in native text.
+        self.new, self.new_name, self.number = new or (-math.log(self.total + 1),) * 3
         self.by_strokes: dict[str, list[str]] = defaultdict(list)
         for w in words:
             self.by_strokes[strokes(w)].append(w)
         self.known_candidates: dict[str, list[tuple[str, float]]] = {}
+        self.judged, self.unknown = judged or {}, {}
         self.tokens: dict[str, tuple[str, bool]] = {}
         self.suspect: set[str] = set()
-        self.closed = False
-        self.plain_notices = {re.sub(r"\W+", "", strokes(n)) for n in notices}
+        self.spaced = self.costs.get(SPACE, SPACED)
+        self.plain_notices = {k for n in notices if len(k := notice_key(n)) >= 8}
 
     def known(self, word: str) -> bool:
         if word in self.words:
@@ -175,8 +316,16 @@ class Model:
         if score is None:
             score = self.log.get(word[:1].lower() + word[1:])
             if score is None:
-                return UNSEEN_NAME if word[:1].isupper() else UNSEEN
-            score -= 2.0
+                have = self.unknown.get(word)
+                if have is not None:
+                    return have
+                if word[:1].isdigit() and _CODE.fullmatch(word):
+                    score = self.number - math.log(10) * sum(c.isdigit() for c in word)
+                else:
+                    score = (self.new_name if word[:1].isupper() else self.new) + self.letters.log(word)
+                self.unknown[word] = score
+            else:
+                score -= 2.0
         return score
 
     def pair_log(self, left: str, right: str) -> float:
@@ -190,31 +339,21 @@ class Model:
     def candidates(self, word: str, deep: bool = True) -> list[tuple[str, float]]:
         """Known words that may have been read as ``word``, with channel scores.
 
-        Words of equal strokes come first; without any, and if ``deep``, words one other confusion away.
+        Words of scans were judged once against the whole vocabulary. Others, put together from two, are compared with
+        words of equal strokes and, if ``deep`` and without any, with words one other confusion away.
         """
+        have = self.judged.get(word)
+        if have is not None:
+            return have
         key = word if deep else "\0" + word
         have = self.known_candidates.get(key)
         if have is not None:
             return have
-        found: dict[str, float] = {}
-        forms = [(word, lambda w: w)]
-        if word.isupper() and len(word) > 1:
-            forms.append((word.lower(), str.upper))
-            forms.append((word[:1] + word[1:].lower(), str.upper))
-        else:
-            forms.append((word[:1].lower() + word[1:], lambda w: w[:1].upper() + w[1:])) if word[:1].isupper() else None
-        for form, back in forms:
-            for w in self.by_strokes.get(strokes(form), ()):
-                if w != form and (score := channel(form, w)) > LEAST_CHANNEL:
-                    found[back(w)] = max(score, found.get(back(w), -math.inf))
-        found.pop(word, None)
-        if deep and not found:  # confusions of letters with different strokes
-            for form, back in forms:
-                for w in _one_change(form, self.words):
-                    if w != form and (score := channel(form, w)) > LEAST_CHANNEL:
-                        found[back(w)] = max(score, found.get(back(w), -math.inf))
-            found.pop(word, None)
-        out = sorted(found.items(), key=lambda x: -x[1])
+        forms = [form for form, _ in forms_of(word)]
+        found = scored(word, {w for form in forms for w in self.by_strokes.get(strokes(form), ())}, self.costs)
+        if deep and not found:
+            found = scored(word, {w for form in forms for w in _one_change(form, self.words)}, self.costs)
+        out = sorted(((w, score) for w, (score, _) in found.items()), key=lambda x: (-x[1], x[0]))
         if len(self.known_candidates) < 200_000:
             self.known_candidates[key] = out
         return out
@@ -453,16 +592,16 @@ def decode(tokens: list[str], model: Model) -> list[tuple[int, int, str]]:
             for cut in range(1, len(token)):
                 a, b = token[:cut], token[cut:]
                 if b in words and (a in words or cut > 1 and model.known(a)) and (len(a) > 1 or a.lower() in SINGLE) and (len(b) > 1 or b.lower() in SINGLE):
-                    options.append((1, f"{a} {b}", SPACED))
+                    options.append((1, f"{a} {b}", model.spaced))
         if not sound or token in model.suspect:
-            options += [(1, w, s) for w, s in model.candidates(token, deep=len(options) == 1)]
+            options += [(1, w, s) for w, s in model.candidates(token, len(options) == 1)]
         if i + 1 < n and plain:
             both = token + tokens[i + 1]
             if not (sound and model.known(tokens[i + 1])) or model.pairs.get((token, tokens[i + 1]), 0) == 0:
                 if model.known(both) and len(both) > 3:
-                    options.append((2, both, SPACED))
+                    options.append((2, both, model.spaced))
                 elif not (sound and model.known(tokens[i + 1])):
-                    options += [(2, w, s + SPACED) for w, s in model.candidates(both, deep=False)]
+                    options += [(2, w, s + model.spaced) for w, s in model.candidates(both, deep=False)]
         kept = list(best[i].items())
         for take, word, score in options:
             parts = word.split(" ")
@@ -502,7 +641,7 @@ def _windows(cores: list[str], odd: list[bool]) -> list[list[int]]:
 def page_lines(text: str, page_num: int | None, model: Model) -> tuple[list[str], set[int], dict, set[int], dict[int, list[str]]]:
     """Lines of a page (restored), its frame, broken words, misread lines and corrected words of changed lines."""
     lines = text.split("\n")
-    if not all([(x.isascii() or QUIET.fullmatch(x)) and "\\x" not in x or _CALM.fullmatch(x) and not ODD.search(x) for x in lines]):
+    if not all(["\\x" not in x and (x.isascii() or QUIET.fullmatch(x) or _CALM.fullmatch(x) and not ODD.search(x)) for x in lines]):
         lines = [_plain(x) for x, _ in repair_text(text)]
     frame = frame_lines(lines, page_num, model)
     broken = broken_words(lines, frame, model)
@@ -542,8 +681,6 @@ def page_lines(text: str, page_num: int | None, model: Model) -> tuple[list[str]
                         words[first] = tokens[first].replace(seen[0], word, 1) + rest
                         if take == 2:
                             words[kept[at + 1]] = ""
-                    elif odd[first] and _surely_misread(seen[0], model):
-                        misread.add(i)
             if i in misread:
                 corrected[i] = [w for w in words if w]
     for i in compounds:
@@ -563,8 +700,6 @@ def page_lines(text: str, page_num: int | None, model: Model) -> tuple[list[str]
         options = [(s + model.word_log(w), w) for w, s in model.candidates(core)]
         value, w = max(options, default=(-math.inf, ""))
         if value <= model.word_log(core):
-            if _surely_misread(core, model):
-                misread.add(i if any(c.isdigit() for c in core_a) or not any(c.isdigit() for c in b) else j)
             continue
         prefix = len(core_a)
         if w[:prefix] != core_a[:prefix]:
@@ -607,63 +742,268 @@ def _fine(core: str, model: Model) -> bool:
     return False
 
 
-def _surely_misread(core: str, model: Model) -> bool:
-    """A word without a correction that native text would not contain."""
-    digits = sum(c.isdigit() for c in core)
-    letters = sum(c.isalpha() for c in core)
-    if digits and letters:
-        return True
-    if letters and any(c in "|!(" for c in core[1:]):
-        return True
-    return letters == len(core) and letters >= 3 and core.islower() and model.closed
-
-
-def word_statistics(pages: DataFrame, text: str = "page_text", engine: str = "engine", path: str = "path"):
-    """Counts of words and pairs on pages of native text, and notices at page edges of scans."""
-    native = pages.where((F.col(engine) == "text") & F.col(text).isNotNull())
-    apart = "[\"“”„«»'’)\\],.;:!?…]*\\s+[\"“”„«»'‘’(\\[…¿¡]*"
-    tokens = native.select(F.split(F.concat(F.lit(" "), F.col(text), F.lit(" ")), apart).alias("s"))
-    # Each token with the one after it, the last with none; counted first, so that patterns are tried once per pair.
-    couples = F.zip_with("s", F.slice("s", 2, F.size("s")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    counted = tokens.select(F.explode(couples).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("c"))
-    plain = r"^\p{L}+([’'\-‑]\p{L}+)*$"
-    counted = stage(counted.where(F.col("a").rlike(plain) & (F.length("a") <= 40)), "pairs")
-    words = (
-        counted.groupBy(F.col("a").alias("w")).agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_WORD).orderBy(F.desc("c"), "w").limit(WORDS)
-    )
-    pairs = counted.where((F.col("c") >= LEAST_PAIR) & F.col("b").rlike(plain)).orderBy(F.desc("c"), "a", "b").limit(PAIRS)
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != "")
-    last = F.array_distinct(F.slice(lines, -2, 2))
-    scans = pages.where((F.col(engine) != "text") & (F.size(lines) > 3))
-    shape = F.trim(F.regexp_replace(F.regexp_replace("l", r"\s*[·•|]?\s*\d+\s*$", ""), r"\s+", " "))
-    notices = (
-        scans.select(F.col(path).alias("p"), F.explode(last).alias("l")).where(~F.col("l").rlike(r"[.,;:!?”»\-‐]\s*$") & (F.length("l") < 60))
-        .select("p", shape.alias("n")).where(F.length("n") >= 8).groupBy("n")
-        .agg(F.count_distinct("p").alias("paths"), F.count("*").alias("c")).where(F.col("paths") >= NOTICE_PATHS)
-        .orderBy(F.desc("paths"), "n").limit(NOTICES)
-    )
-    return words, pairs, notices
+_PLAIN_WORD = re.compile(r"[^\W\d_]+(?:[’'\-‑][^\W\d_]+)*")
+
+
+class _Cores(dict):
+    def __missing__(self, token: str) -> str:
+        core = self[token] = _core(token) if len(token) < 200 else ""
+        return core
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(kind, a, b, c)`` of pages ``(native, path, text)``, counted within a worker.
+
+    Kinds: ``w`` words and ``p`` pairs of native pages, ``#`` their numbers, ``t`` pages of other engines by word, ``n`` notices with their path.
+    """
+    cores = _Cores()
+    counts: dict[str, Counter] = defaultdict(Counter)
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        rows = [("w", w, "", c) for w, c in counts["w"].items() if _PLAIN_WORD.fullmatch(w)]
+        numbers = sum(c for w, c in counts["w"].items() if w[:1].isdigit() and _CODE.fullmatch(w))
+        rows.append(("#", "", "", numbers))
+        plain = {r[1] for r in rows}
+        rows += [("p", a, b, c) for (a, b), c in counts["p"].items() if a in plain and b in plain]
+        rows += [("t", w, "", c) for w, c in counts["t"].items() if w]
+        rows += [("n", n, path, c) for (n, path), c in counts["n"].items()]
+        counts.clear()
+        if len(cores) > 1_000_000:
+            cores.clear()
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([*(pa.array(columns[k], pa.string()) for k in range(3)), pa.array(columns[3], pa.int64())], ["kind", "a", "b", "c"])
+
+    for batch in batches:
+        for native, path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            text = text.as_py()
+            found = [cores[t] for t in text.split()]
+            if native:
+                counts["w"].update(found)
+                counts["p"].update(zip(found, found[1:]))
+            else:
+                counts["t"].update(set(found))  # once a page, so that a repeated text is no evidence for a word
+                for n in _edge_notices(text):
+                    counts["n"][n, path or ""] += 1
+            size += len(text)
+            if size > COUNT_CHARS:
+                yield flush()
+                size = 0
+    yield flush()
+
+
+def _edge_notices(text: str) -> set[str]:
+    """The last two lines of a page that may be notices, without page numbers."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    out = set()
+    for line in lines[-2:] if len(lines) > 3 else ():
+        if len(line) < 60 and not re.search(r"[.,;:!?”»\-‐]\s*$", line):
+            n = re.sub(r"\s+", " ", re.sub(r"\s*[·•|]?\s*\d+\s*$", "", line)).strip()
+            if len(n) >= 8:
+                out.add(n)
+    return out
+
+
+def _mapped(f, schema: str):
+    """``f(row values) -> rows`` over Arrow batches."""
+    names, types = zip(*[x.split(" ") for x in schema.split(", ")])
+    kinds = [{"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[t] for t in types]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for values in zip(*(c.to_pylist() for c in batch.columns)) for r in f(*values)]
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], list(names))
+
+    return run
+
+
+class Statistics:
+    """Tables of what is known of a corpus, none of them cut: words, pairs, notices, judged words, confusions."""
+
+    def __init__(self, pages: DataFrame, text: str = "page_text", engine: str = "engine", path: str = "path"):
+        self.spark = pages.sparkSession
+        held = pages.where(F.col(text) != "").select(F.coalesce(F.col(engine) == "text", F.lit(False)).alias("native"), F.col(path).cast("string").alias("path"), F.col(text).alias("t"))
+        counted = stage(held.mapInArrow(_count, "kind string, a string, b string, c bigint").groupBy("kind", "a", "b").agg(F.sum("c").alias("c")), "counts")
+
+        def of(kind: str) -> DataFrame:
+            return counted.where(F.col("kind") == kind)
+
+        self.words = of("w").where(F.col("c") >= LEAST_WORD).select(F.col("a").alias("w"), "c")
+        self.pairs = of("p").where(F.col("c") >= LEAST_PAIR).select("a", "b", "c")
+        self.notices = of("n").groupBy(F.col("a").alias("n")).agg(F.count("*").alias("paths")).where(F.col("paths") >= NOTICE_PATHS).select("n")
+        capital = F.col("a").rlike(r"^\p{Lu}")
+        once = (F.col("kind") == "w") & (F.col("c") == 1)
+
+        def total(condition) -> object:
+            return F.coalesce(F.sum(F.when(condition, F.col("c"))), F.lit(0))
+
+        t = counted.agg(
+            total(F.col("kind") == "w").alias("native"), total(once & ~capital).alias("new"), total(once & capital).alias("name"),
+            total(F.col("kind") == "#").alias("number"), total(F.col("kind") == "t").alias("scans"),
+        ).first()
+        self.total, self.scale = max(1, t.native), t.scans / max(1, t.native)
+        self.new = tuple(math.log((x + 1) / (self.total + 1)) for x in (t.new, t.name, t.number))
+        self.costs: dict[str, float] = {}
+        grams = self.words.select("w").mapInArrow(_summed(lambda w: [(g, 1.0) for g in grams_of(w)]), "k string, v double")
+        # Trigrams of letters: as many as the alphabets have, whatever the size of the corpus.
+        self.letters = Letters({r.k: int(r.v) for r in grams.groupBy("k").agg(F.sum("v").alias("v")).collect()})
+        self.judged = self._judge(of("t").select(F.col("a").alias("t"), "c"))
+        self._estimate()
+
+    def _judge(self, tokens: DataFrame) -> DataFrame:
+        """``(t, c, own, w, n, ops)``: words of scans that native text does not have, each with its candidates and how they were changed."""
+        low = F.concat(F.lower(F.substring("t", 1, 1)), F.expr("substring(t, 2)"))
+        lower = F.lower("t")
+        shapes = F.array_distinct(F.array(F.col("t"), low, F.when(F.upper("t") == F.col("t"), lower).otherwise(F.col("t")), F.when(F.upper("t") == F.col("t"), F.concat(F.substring("t", 1, 1), F.expr("substring(lower(t), 2)"))).otherwise(F.col("t"))))
+        known = tokens.select("t", F.explode(shapes).alias("w")).join(self.words, "w").select("t").distinct()
+        odd = tokens.join(known, "t", "left_anti").where(F.col("t").rlike(r"\p{L}") & (F.length("t") <= 60))
+        keyed_words = self.words.mapInArrow(_mapped(lambda w, c: [(w, c, k) for k in keys_of(w)], "w string, n bigint, key string"), "w string, n bigint, key string")
+        keyed = odd.mapInArrow(_mapped(lambda t, c: [(t, k) for k in {k for f, _ in forms_of(t) for k in keys_of(f)}], "t string, key string"), "t string, key string")
+        met = keyed.join(keyed_words, "key").select("t", "w", "n").distinct().groupBy("t").agg(F.collect_list(F.struct("w", "n")).alias("o"))
+
+        def judge(t: str, c: int, others: list[dict] | None) -> list[tuple]:
+            counts = {x["w"]: x["n"] for x in others or ()}
+            found = scored(t, counts, {})
+            rows = []
+            for w, (_, ops) in found.items():
+                n = counts.get(w) or next((counts[f] for f, _ in forms_of(w) if f in counts), 0)
+                rows.append((t, c, w, n, "\t".join(ops)))
+            return rows
+
+        schema = "t string, c bigint, w string, n bigint, ops string"
+        return stage(odd.join(met, "t", "left").select("t", "c", "o").mapInArrow(_mapped(judge, schema), schema), "judged")
+
+    def _estimate(self) -> None:
+        """Confusion probabilities by expectation and maximisation; only sums for each operation come to the driver."""
+        pieces = {t for targets in SEEN.values() for t in targets}
+
+        def meant(w: str, c: int) -> list[tuple[str, float]]:
+            plain = "".join(map(_base, w))
+            return [(p, float(c)) for k in range(len(w)) for n in (1, 2) if (p := plain[k : k + n]) in pieces] + [("", float(len(w) * c))]
+
+        base = {r.k: r.v for r in self.words.mapInArrow(_summed(meant), "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        letters, new, total, scale = self.letters, self.new, self.total, self.scale
+        per_token = self.judged.groupBy("t", "c").agg(F.collect_list(F.struct("n", "ops")).alias("o"))
+        for _ in range(ROUNDS):
+            costs = self.costs
+
+            def expect(t: str, c: int, options: list[dict], costs=costs) -> list[tuple[str, float]]:
+                made = []
+                for o in options:
+                    ops = o["ops"].split("\t")
+                    score = _cost(ops, costs)
+                    if not _too_often(c, o["n"], scale):
+                        made.append(((math.log(o["n"] / total) if o["n"] else new[2] - 7) + score, ops))
+                own = (new[1] if t[:1].isupper() else new[0]) + letters.log(t)
+                top = max([own, *(score for score, _ in made)])
+                weights = [math.exp(score - top) for score, _ in made]
+                whole = sum(weights) + math.exp(own - top)
+                return [(op, c * w / whole) for w, (_, ops) in zip(weights, made) for op in ops]
+
+            sums = per_token.mapInArrow(_summed(expect), "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+            self.costs = {}
+            for k, v in ((r.k, r.v) for r in sums):
+                start = START.get(k, CONFUSED)
+                times = self.scale * base.get(k.split(">")[1] if ">" in k else "", 0.0)
+                p = (v + PRIOR * math.exp(start)) / (times + PRIOR)
+                # Another character can be any of some thirty; a step never becomes likelier than one in twenty.
+                self.costs[k] = round(min(math.log(p) - (math.log(30) if k == OTHER else 0.0), -3.0), 4)
+
+    def models(self, scans: DataFrame) -> list[tuple[DataFrame, object]]:
+        """Blocks of pages ``(page_id, page_num, t, ...)``, each with the broadcast tables of its model.
+
+        One block if the tables are small enough. Otherwise pages are split by id, and a block gets the words whose strokes
+        equal those of one of its words, of two put together or of a part, and the judged words among its own.
+        """
+        rows = sum(x.count() for x in (self.words, self.pairs, self.notices, self.judged))
+        if rows <= MODEL_ROWS:
+            return [(scans, self._held(self.words, self.pairs, self.notices, self.judged))]
+        blocks = -(-rows // MODEL_ROWS) * 2
+        words = stage(self.words.mapInArrow(_mapped(lambda w, c: [(w, c, strokes(w))], "w string, c bigint, key string"), "w string, c bigint, key string"), "keyed")
+        notices = stage(self.notices.mapInArrow(_mapped(lambda n: [(n, k) for k in _notice_keys(n)], "n string, key string"), "n string, key string"), "notices")
+        out = []
+        for b in range(blocks):
+            own = scans.where(F.pmod(F.xxhash64("page_id"), F.lit(blocks)) == b)
+            probes = stage(own.select("t").mapInArrow(_mapped(_probes, "kind string, key string"), "kind string, key string").distinct(), "probes")
+
+            def of(kind: str) -> DataFrame:
+                return probes.where(F.col("kind") == kind).select("key")
+
+            judged = stage(self.judged.join(of("t").withColumnRenamed("key", "t"), "t", "left_semi"), "judged")
+            near = words.join(of("s"), "key", "left_semi").select("w", "c")
+            meant = judged.select(F.explode(F.array("w", F.concat(F.lower(F.substring("w", 1, 1)), F.expr("substring(w, 2)")), F.lower("w"), F.concat(F.substring("w", 1, 1), F.expr("substring(lower(w), 2)")))).alias("w")).distinct()
+            needed = stage(near.unionByName(self.words.join(meant, "w", "left_semi")).distinct(), "words")
+            pairs = self.pairs.join(needed.select(F.col("w").alias("a")), "a", "left_semi").join(needed.select(F.col("w").alias("b")), "b", "left_semi").select("a", "b", "c")
+            out.append((own, self._held(needed, pairs, notices.join(of("n"), "key", "left_semi").select("n").distinct(), judged)))
+        return out
+
+    def _held(self, words: DataFrame, pairs: DataFrame, notices: DataFrame, judged: DataFrame):
+        costs, found = self.costs, defaultdict(list)
+        for r in judged.select("t", "c", "w", "n", "ops").collect():
+            score, own = _cost(r.ops.split("\t"), costs), found[r.t]
+            if not _too_often(r.c, r.n, self.scale):
+                own.append((r.w, score))
+        found = {t: sorted(x, key=lambda y: (-y[1], y[0])) for t, x in found.items()}
+        w = {r.w: r.c for r in words.collect()}
+        p = {(r.a, r.b): r.c for r in pairs.collect()}
+        return self.spark.sparkContext.broadcast((w, p, {r.n for r in notices.collect()}, costs, found, self.letters.grams, self.total, self.new))
+
+
+def _cost(ops: list[str], costs: dict[str, float]) -> float:
+    return sum(costs.get(op, START.get(op, CONFUSED)) for op in ops)
+
+
+def _too_often(c: int, n: int, scale: float) -> bool:
+    """Whether a word is on more pages than half of those on which another, of ``n`` times in native text, can be expected.
 
+    It is then a word of its own, such as one of a language that native text lacks.
+    """
+    return n > 0 and c > 5 + 0.5 * scale * n
+
+
+def _summed(f):
+    """Sums of ``f(row values) -> (key, value)`` over a worker's batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, float] = defaultdict(float)
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, v in f(*values):
+                    sums[k] += v
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], ["k", "v"])
+
+    return run
 
-def learn(pages: DataFrame, text: str = "page_text", engine: str = "engine", path: str = "path") -> tuple[dict, dict, list, float]:
-    """The model's tables, of bounded size, and the share of words of native text that occur once."""
-    words, pairs, notices = word_statistics(pages, text, engine, path)
-    w = {r.w: r.c for r in words.collect()}
-    p = {(r.a, r.b): r.c for r in pairs.collect()}
-    n = [r.n for r in notices.collect()]
-    return w, p, n
 
+def _notice_keys(notice: str) -> set[str]:
+    k = notice_key(notice)
+    return {f"={k}", f"<{k[:3]}", f">{k[-3:]}"}
 
-def build(words: dict[str, int], pairs: dict[tuple[str, str], int], notices: list[str]) -> Model:
+
+def _probes(text: str) -> list[tuple[str, str]]:
+    """What a page may look up: its words, strokes of words, of parts of words and of neighbours put together, and keys of its lines."""
+    out: set[tuple[str, str]] = set()
+    lines = text.split("\n")
+    for line in [*lines, *[_plain(x) for x, _ in repair_text(text)]]:
+        if 8 <= len(s := line.strip()) <= 60:
+            short = _TRAILER.sub("", s)
+            out |= {("n", f"={notice_key(s)}"), ("n", f"={notice_key(short)}")}
+            if "�" in s:
+                out |= {("n", f"<{notice_key(s.split('�')[0])[:3]}"), ("n", f">{notice_key(s.split('�')[-1])[-3:]}")}
+    for whole in (text, "\n".join(_plain(x) for x, _ in repair_text(text))):
+        cores = [c for t in whole.split() if (c := _core(t))]
+        plain = [c.rstrip(HYPHENS) for c in cores]
+        near = [a + b for x in (cores, plain) for a, b in zip(x, x[1:])] + [f"{a}-{b}" for a, b in zip(plain, plain[1:])]
+        parts = [c[:k] for c in cores for k in range(1, len(c))] + [c[k:] for c in cores for k in range(1, len(c))]
+        out |= {("t", c) for c in [*cores, *near]}
+        out |= {("s", strokes(f)) for c in {*cores, *plain, *near, *parts} for f, _ in forms_of(c)}
+    return list(out)
+
+
+def build(words, pairs, notices, costs=None, judged=None, grams=None, total=0, new=None) -> Model:
     """The model on a worker; words with a far more frequent look-alike are checked in their place."""
-    model = Model(words, pairs, set())
-    model.notices = set(notices)
-    model.plain_notices = {k for n in notices if len(k := notice_key(n)) >= 8}
-    total = sum(words.values())
-    # Share of new words by the Good-Turing estimate from words seen twice.
-    twice = sum(c == 2 and w.islower() for w, c in words.items())
-    model.closed = 2 * twice < 0.002 * total
-    model.suspect = set()
+    model = Model(words, pairs, set(notices), costs, judged, Letters(grams) if grams else None, total, new)
     model.suspect = {
         w for w, c in words.items()
         if len(w) > 1 and c * 200 < max((words[v] for v in model.by_strokes[strokes(w)] if v != w), default=0)
@@ -699,28 +1039,38 @@ def damaged_lines(
     """``(page_id, line_no, kind)`` with kind furniture, hyphen or misread, lines numbered from 1.
 
     Pages of native text have none. Pages of unknown engine are judged by what they carry. Null and empty pages
-    give no rows, repeated rows one result. Texts are not shuffled: the model is broadcast, its size is bounded.
+    give no rows, repeated rows one result. Texts are not shuffled: the model is broadcast in checked size.
     """
-    spark = pages.sparkSession
-    held = spark.sparkContext.broadcast(learn(pages, text, engine, path))
     schema = "page_id bigint, line_no int, kind string"
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(held)
-        for batch in batches:
-            ids: list[int] = []
-            numbers: list[int] = []
-            kinds: list[str] = []
-            for i, num, t, unsure in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                _, frame, broken, misread, _ = page_lines(t, num, model)
-                if unsure and not _looks_scanned(t, len(misread), len(frame), len(broken)):
-                    continue
-                for kind, found in (("furniture", frame), ("hyphen", broken), ("misread", misread)):
-                    for n in found:
-                        ids.append(i), numbers.append(n + 1), kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string())], ["page_id", "line_no", "kind"])
-
-    return _scans(pages, page_id, page_num, text, engine).mapInArrow(find, schema).distinct()
+    def finder(held):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = _model(held)
+            for batch in batches:
+                ids: list[int] = []
+                numbers: list[int] = []
+                kinds: list[str] = []
+                for i, num, t, unsure in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                    _, frame, broken, misread, _ = page_lines(t, num, model)
+                    if unsure and not _looks_scanned(t, len(misread), len(frame), len(broken)):
+                        continue
+                    for kind, found in (("furniture", frame), ("hyphen", broken), ("misread", misread)):
+                        for n in found:
+                            ids.append(i), numbers.append(n + 1), kinds.append(kind)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string())], ["page_id", "line_no", "kind"])
+
+        return find
+
+    return _over_blocks(pages, page_id, page_num, text, engine, path, finder, schema).distinct()
+
+
+def _over_blocks(pages: DataFrame, page_id: str, page_num: str, text: str, engine: str, path: str, worker, schema: str) -> DataFrame:
+    """Rows of ``worker(model)`` over all blocks of scanned pages."""
+    out = None
+    for scans, held in Statistics(pages, text, engine, path).models(_scans(pages, page_id, page_num, text, engine)):
+        part = scans.mapInArrow(worker(held), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def paragraphs(text: str, page_num: int | None, model: Model) -> str:
@@ -771,13 +1121,14 @@ def readable_pages(
     pages: DataFrame, page_id: str = "page_id", page_num: str = "page_num", text: str = "page_text", engine: str = "engine", path: str = "path"
 ) -> DataFrame:
     """``(page_id, paragraphs)`` of every scanned page with a text; repeated rows give one row."""
-    held = pages.sparkSession.sparkContext.broadcast(learn(pages, text, engine, path))
+    def reader(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = _model(held)
+            for batch in batches:
+                texts = [paragraphs(t, num, model) for num, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["page_id", "paragraphs"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(held)
-        for batch in batches:
-            texts = [paragraphs(t, num, model) for num, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["page_id", "paragraphs"])
+        return run
 
-    rows = _scans(pages, page_id, page_num, text, engine)
-    return rows.mapInArrow(run, "page_id bigint, paragraphs string").groupBy("page_id").agg(F.max("paragraphs").alias("paragraphs"))
+    rows = _over_blocks(pages, page_id, page_num, text, engine, path, reader, "page_id bigint, paragraphs string")
+    return rows.groupBy("page_id").agg(F.max("paragraphs").alias("paragraphs"))

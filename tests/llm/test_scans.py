@@ -63,6 +63,10 @@ def test_channel():
     assert sc.channel("that", "that") == 0.0
     assert sc.channel("rnodem", "modern") == pytest.approx(2 * sc.CONFUSED)
     assert sc.channel("xyz", "that") < sc.LEAST_CHANNEL
+    assert sc.align("zuriick", "zurück", {}) == (sc.START[sc.SHAPE], ["="]) and sc.align("ete", "été", {})[1] == ["~", "~"]
+    assert sc.align("tliat", "that", {"li>h": -3.5})[0] == -3.5
+    assert dict(sc.made_up("l9B7")) == {"1987": ("l>1", "B>8")} and sc.made_up("1987") == [] == sc.made_up("word")
+    assert dict(sc.made_up("w0rd")) == {"word": ("0>o",)}
     assert sc.strokes("rn") == sc.strokes("m") and sc.strokes("cl") == sc.strokes("d")
 
 
@@ -85,3 +89,49 @@ def test_table(spark):
     pages = {r.page_id: r.paragraphs for r in sc.readable_pages(df).collect()}
     assert "surveyor inspected the warehouse" in pages[0] and 10 not in pages
     assert sc.damaged_lines(df.where("false")).count() == 0
+
+
+def test_a_model_of_any_size_gives_the_same_rows(spark, monkeypatch):
+    """Beyond the bound of the broadcast, pages are taken in blocks with what each can meet."""
+    from leafmill.session import text_table
+
+    pages = text_table(spark, "/root/testdata/sf0.001", "extracted_pages")
+    whole = {tuple(r) for r in sc.damaged_lines(pages).collect()}
+    texts = {tuple(r) for r in sc.readable_pages(pages).collect()}
+    made = []
+    held = sc.Statistics._held
+    monkeypatch.setattr(sc.Statistics, "_held", lambda self, words, *rest: made.append(words.count()) or held(self, words, *rest))
+    monkeypatch.setattr(sc, "MODEL_ROWS", 900)
+    assert {tuple(r) for r in sc.damaged_lines(pages).collect()} == whole
+    assert {tuple(r) for r in sc.readable_pages(pages).collect()} == texts
+    assert len(made) >= 4
+
+
+def test_rare_true_words_are_not_misread(spark):
+    """A corpus of many rare words: new words on scans that are no confusion of known ones stay."""
+    import random
+
+    rng = random.Random(4)
+    syllables = [a + b for a in "bdfgklmnprstv" for b in ("a", "e", "i", "o", "u", "an", "er", "is")]
+
+    def word() -> str:
+        return "".join(rng.choice(syllables) for _ in range(rng.randint(3, 4)))
+
+    common = [word() for _ in range(300)]
+    rare = list({word() for _ in range(3000)})
+    native = [" ".join(rng.choice(common) if rng.random() < 0.9 else rng.choice(rare) for _ in range(200)) for _ in range(200)]
+    new = [w for w in {word() for _ in range(400)} if w not in set(rare) and w not in set(common)][:120]
+    lines = [" ".join([*(rng.choice(common) for _ in range(7)), new[k], rng.choice(common)]) for k in range(120)]
+    lines += [x.replace("m", "rn", 1) for x in lines if " m" in x][:10]
+    rows = [(i, f"n{i}", 1, t, "text") for i, t in enumerate(native)] + [(1000 + k, f"s{k}", 1, "\n".join(lines[k * 10 : k * 10 + 10]), "paddle") for k in range(13)]
+    df = spark.createDataFrame(rows, "page_id long, path string, page_num int, page_text string, engine string")
+    got = {((r.page_id - 1000) * 10 + r.line_no - 1) for r in sc.damaged_lines(df).collect() if r.kind == "misread"}
+    assert len([k for k in got if k < 120]) <= 2, [lines[k] for k in got if k < 120]
+    assert len([k for k in got if k >= 120]) >= len(lines) - 120 - 2
+
+
+def test_confusions_are_estimated(spark):
+    rows = [(i, f"n{i}", 1, NATIVE, "text") for i in range(20)] + [(100 + i, f"s{i}", 1, NATIVE.replace("warehouse", "warehovse" if i % 2 else "warehouse"), "paddle") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, path string, page_num int, page_text string, engine string")
+    costs = sc.Statistics(df).costs
+    assert costs["v>u"] > sc.CONFUSED and costs["v>u"] == max(costs.values())
