@@ -182,11 +182,8 @@ def forms_of(word: str) -> list[tuple[str, object]]:
 
 
 def keys_of(word: str) -> set[str]:
-    """Keys that a word shares with those it may be taken for: its strokes, and its strokes or letters less one."""
-    s = strokes(word)
-    out = {f"s{s}"}
-    if len(s) > 3:
-        out |= {f"d{s[:k]}{s[k + 1 :]}" for k in range(len(s))} | {f"d{s}"}
+    """Keys that a word shares with those it may be taken for: its strokes, and its letters less one."""
+    out = {f"s{strokes(word)}"}
     if len(word) > 3:
         out |= {f"c{word[:k]}{word[k + 1 :]}" for k in range(len(word))} | {f"c{word}"}
     return out
@@ -872,7 +869,9 @@ class Statistics:
             return rows
 
         schema = "t string, c bigint, w string, n bigint, ops string"
-        return stage(odd.join(met, "t", "left").select("t", "c", "o").mapInArrow(_mapped(judge, schema), schema), "judged")
+        # Few bytes but much work: spread over all cores, as the optimizer would put them into one task.
+        work = odd.join(met, "t", "left").select("t", "c", "o").repartition(max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        return stage(work.mapInArrow(_mapped(judge, schema), schema), "judged")
 
     def _estimate(self) -> None:
         """Confusion probabilities by expectation and maximisation; only sums for each operation come to the driver."""
