@@ -55,22 +55,25 @@ def _sloppy(encoding: str) -> tuple[dict[str, int], dict[int, str]]:
     return to_byte, back
 
 
+class _Bytes(dict):
+    """Code points to bytes of an encoding; what it does not have becomes a point that is no byte."""
+
+    def __missing__(self, point: int) -> int:
+        self[point] = out = point if point < 0x80 else 0xFFFF
+        return out
+
+
 @lru_cache(None)
-def _encoder(encoding: str) -> dict[int, int | None]:
-    return {ord(c): b for c, b in _sloppy(encoding)[0].items()}
+def _encoder(encoding: str) -> _Bytes:
+    return _Bytes({ord(c): b for c, b in _sloppy(encoding)[0].items()})
 
 
 def encode(text: str, encoding: str) -> bytes | None:
     """Bytes of a text under a legacy encoding, control characters standing for undefined bytes; else None."""
-    table = _encoder(encoding)
-    out = bytearray()
-    for c in text:
-        point = ord(c)
-        b = point if point < 0x80 else table.get(point)
-        if b is None:
-            return None
-        out.append(b)
-    return bytes(out)
+    try:
+        return text.translate(_encoder(encoding)).encode("latin-1")
+    except UnicodeEncodeError:
+        return None
 
 
 @lru_cache(65536)
@@ -118,6 +121,11 @@ def cost(text: str) -> float:
     return total
 
 
+@lru_cache(1 << 16)
+def _short_cost(text: str) -> float:
+    return cost(text)
+
+
 def _vowels(text: str) -> float:
     """How far the share of vowels among Cyrillic letters is from that of Russian text."""
     letters = [c for c in text.lower() if "а" <= c <= "я" or c == "ё"]
@@ -233,7 +241,7 @@ def _repair_runs(line: str) -> tuple[str, str | None]:
                 return m[0]
             if any(unicodedata.category(c) in ("Cn", "Co") for c in new):
                 return m[0]
-            return new if cost(new) < cost(m[0]) else m[0]
+            return new if _short_cost(new) < _short_cost(m[0]) else m[0]
 
         new = pattern.sub(fix, line)
         if new != line and (c := cost(new)) < best_cost and c <= limit:

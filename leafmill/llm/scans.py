@@ -264,6 +264,22 @@ def grams_of(word: str) -> list[str]:
     return [text[k - n : k + 1] for k in range(2, len(text)) for n in range(3)]
 
 
+class _Tokens(dict):
+    """Word of a token without the marks around it, and whether it needs a closer look."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, token: str) -> tuple[str, bool]:
+        model, core = self.model, _core(token)
+        have = core, bool(core) and (core in model.suspect or not model.known(core)) and not _fine(core, model)
+        if len(self) < 500_000:
+            self[token] = have
+            if not have[1]:
+                model.fine.add(token)
+        return have
+
+
 class Model:
     """Words and pairs of native text with their log probabilities, judged words, and candidates by strokes."""
 
@@ -282,7 +298,8 @@ class Model:
             self.by_strokes[strokes(w)].append(w)
         self.known_candidates: dict[str, list[tuple[str, float]]] = {}
         self.judged, self.unknown = judged or {}, {}
-        self.tokens: dict[str, tuple[str, bool]] = {}
+        self.tokens = _Tokens(self)
+        self.fine: set[str] = set()  # tokens that need no closer look
         self.suspect: set[str] = set()
         self.spaced = self.costs.get(SPACE, SPACED)
         self.plain_notices = {k for n in notices if len(k := notice_key(n)) >= 8}
@@ -298,16 +315,6 @@ class Model:
             return lower in self.words or lower[:1].upper() + lower[1:] in self.words
         return False
 
-    def token(self, token: str) -> tuple[str, bool]:
-        """Word of a token without the marks around it, and whether it needs a closer look."""
-        have = self.tokens.get(token)
-        if have is None:
-            core = _core(token)
-            have = core, bool(core) and (core in self.suspect or not self.known(core)) and not _fine(core, self)
-            if len(self.tokens) < 500_000:
-                self.tokens[token] = have
-        return have
-
     def word_log(self, word: str) -> float:
         score = self.log.get(word)
         if score is None:
@@ -392,14 +399,12 @@ def _titlelike(line: str, width: int, follows: str, top: bool) -> int:
         return 0
     if _DATED.search(s):
         return 2
-    letters = [c for c in s if c.isalpha()]
-    if not letters:
+    if not any(map(str.isalpha, s)):
         return 0
     goes_on = follows[:1].islower() and not _ROW.match(follows)
     if _SPACED.match(s) and sum(len(x) == 1 for x in s.split()) >= 0.8 * len(s.split()):
         return 2
-    upper = sum(c.isupper() for c in letters)
-    if upper >= 0.85 * len(letters) and len(letters) >= 5 and len(s.split()) >= 2:
+    if _upper(s, 5) and len(s.split()) >= 2:
         return 2
     if _ENDS.search(s) or s[-1] in HYPHENS or s[0].islower() or len(s.split()) > 9 or "," in s:
         return 0
@@ -525,10 +530,15 @@ def frame_lines(lines: list[str], page_num: int | None, model: Model) -> set[int
 def _capitals(line: str) -> bool:
     """A title in capitals, not spaced, without date or page number: it heads a section unless it comes first."""
     s = line.strip()
-    letters = [c for c in s if c.isalpha()]
-    if not letters or _DATED.search(s) or _NUMBERED.match(line) or _SPACED.match(s):
+    return _upper(s, 1) and not (_DATED.search(s) or _NUMBERED.match(line) or _SPACED.match(s))
+
+
+def _upper(s: str, least: int) -> bool:
+    """At least ``least`` letters, nearly all of them capitals."""
+    if sum(map(str.islower, s)) > 0.15 * len(s):
         return False
-    return sum(c.isupper() for c in letters) >= 0.85 * len(letters)
+    letters = sum(map(str.isalpha, s))
+    return letters >= least and sum(map(str.isupper, s)) >= 0.85 * letters
 
 
 _AS_DIGITS = str.maketrans("OolIi|!SsBEзЗбоОQ", "00111115588336000")
@@ -645,14 +655,16 @@ def page_lines(text: str, page_num: int | None, model: Model) -> tuple[list[str]
     misread: set[int] = set()
     corrected: dict[int, list[str]] = {}
     continued = {j: i for i, (j, _, _) in broken.items()}
-    look = model.token
+    look, fine = model.tokens, model.fine.issuperset
     compounds = {i for i, x in enumerate(lines) if i not in frame and i not in broken and x.rstrip()[-1:] in HYPHENS and x.strip()[1:]}
     for i, line in enumerate(lines):
         if i in frame or not line or line.isspace():
             continue
         tokens = line.split()
-        looked = [look(t) for t in tokens]
         cut = line.rstrip()[-1:] in HYPHENS
+        if not cut and i not in continued and i - 1 not in compounds and fine(tokens):
+            continue
+        looked = [look[t] for t in tokens]
         if not cut and i not in continued and i - 1 not in compounds and not any([odd for _, odd in looked]):
             continue
         cores = [core for core, _ in looked]
@@ -758,8 +770,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        rows = [("w", w, "", c) for w, c in counts["w"].items() if _PLAIN_WORD.fullmatch(w)]
-        numbers = sum(c for w, c in counts["w"].items() if w[:1].isdigit() and _CODE.fullmatch(w))
+        words: Counter = Counter()
+        for (w, _), c in counts["p"].items():
+            words[w] += c
+        rows = [("w", w, "", c) for w, c in words.items() if _PLAIN_WORD.fullmatch(w)]
+        numbers = sum(c for w, c in words.items() if w[:1].isdigit() and _CODE.fullmatch(w))
         rows.append(("#", "", "", numbers))
         plain = {r[1] for r in rows}
         rows += [("p", a, b, c) for (a, b), c in counts["p"].items() if a in plain and b in plain]
@@ -776,8 +791,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             found = [cores[t] for t in text.split()]
             if native:
-                counts["w"].update(found)
-                counts["p"].update(zip(found, found[1:]))
+                counts["p"].update(zip(found, [*found[1:], ""]))
             else:
                 counts["t"].update(set(found))  # once a page, so that a repeated text is no evidence for a word
                 for n in _edge_notices(text):
@@ -789,13 +803,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+_SPACES, _END_NUMBER = re.compile(r"\s+"), re.compile(r"\s*[·•|]?\s*\d+\s*$")
+
+
 def _edge_notices(text: str) -> set[str]:
     """The last two lines of a page that may be notices, without page numbers."""
-    lines = [x for x in text.split("\n") if x.strip()]
+    end = text.rstrip().rsplit("\n", 8)
+    lines = [x for x in end if x and not x.isspace()]
+    if len(lines) < 4 and len(end) == 9:
+        lines = [x for x in text.split("\n") if x.strip()]
     out = set()
     for line in lines[-2:] if len(lines) > 3 else ():
-        if len(line) < 60 and not re.search(r"[.,;:!?”»\-‐]\s*$", line):
-            n = re.sub(r"\s+", " ", re.sub(r"\s*[·•|]?\s*\d+\s*$", "", line)).strip()
+        if len(line) < 60 and line.rstrip()[-1] not in ".,;:!?”»-‐":
+            n = _SPACES.sub(" ", _END_NUMBER.sub("", line)).strip()
             if len(n) >= 8:
                 out.add(n)
     return out
