@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.lookalike import CYRILLIC, GREEK, char_map
+from leafmill.llm.lookalike import CYRILLIC, GREEK, stands_for
 
 #: Encodings in which UTF-8 bytes may have been read.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "iso8859_2", "iso8859_15", "cp866")
@@ -93,11 +93,16 @@ def _char_cost(c: str) -> float:
     return 3.0
 
 
+_FOREIGN = re.compile("[^\x00-\x7f]+")
+
+
 def cost(text: str) -> float:
     """How garbled a text looks: odd characters, and odd neighbours inside words."""
-    total, before, earlier = 0.0, " ", " "
-    for c in text:
-        if c >= "\x80" or before >= "\x80":
+    total = 0.0
+    for run in _FOREIGN.finditer(text):  # characters beyond ASCII and the one after them
+        start = run.start()
+        before, earlier = text[start - 1] if start else " ", text[start - 2] if start > 1 else " "
+        for c in text[start : run.end() + 1]:
             total += _char_cost(c)
             letter, last = c.isalpha(), before.isalpha()
             if letter and last:
@@ -117,7 +122,7 @@ def cost(text: str) -> float:
                 total += 1.5
             elif letter and before == "\xad" and earlier.isalpha():
                 total += 1.5
-        before, earlier = c, before
+            before, earlier = c, before
     return total
 
 
@@ -194,7 +199,8 @@ def _runs(encoding: str) -> re.Pattern[str]:
 def _wide() -> tuple[re.Pattern[str], dict[int, str]]:
     """Wide and joined forms and invisible characters, which no legacy encoding contains."""
     ranges = ((0x2000, 0x200A), (0x200B, 0x200F), (0x202F, 0x202F), (0x2060, 0x2060), (0x2160, 0x217F), (0x3000, 0x3000), (0x3300, 0x33FF), (0xFB00, 0xFB06), (0xFEFF, 0xFEFF), (0xFF00, 0xFFEF))
-    table = {p: char_map()[chr(p)] for a, b in ranges for p in range(a, b + 1) if chr(p) in char_map()}
+    like = {**CYRILLIC, **GREEK}
+    table = {p: to for a, b in ranges for p in range(a, b + 1) if (to := stands_for(chr(p), like)) != chr(p)}
     return re.compile("[" + "".join(map(chr, table)) + "]"), table
 
 

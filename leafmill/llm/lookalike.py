@@ -30,6 +30,33 @@ def _lookalike() -> dict[str, str]:
     return {**CYRILLIC, **GREEK, **OTHER}
 
 
+def _parts(c: str, like: dict[str, str]) -> str:
+    d = unicodedata.decomposition(c)
+    if not d or d.split()[0] in _VISIBLE:
+        return like.get(c, c)
+    codes = d.split()
+    if codes[0][0] == "<":
+        codes = codes[1:]
+    out = "".join(chr(int(x, 16)) for x in codes)
+    if " " in out and len(out) > 1:  # a spacing accent is not a space and a mark
+        return c
+    return "".join(_parts(x, like) for x in out)
+
+
+def stands_for(c: str, like: dict[str, str]) -> str:
+    """What a character stands for, itself in most cases."""
+    kind, point = unicodedata.category(c), ord(c)
+    if kind in ("Cn", "Co", "Cs") or 0xAC00 <= point < 0xD7A4:
+        return c
+    if kind == "Cf" or 0xFE00 <= point <= 0xFE0F or c in "͏ㅤᅟᅠﾠ":
+        return ""
+    if kind == "Zs":
+        return " "
+    if c in HYPHENS:
+        return "-"
+    return "".join("-" if x in HYPHENS else x for x in _parts(c, like))
+
+
 @lru_cache(None)
 def char_map() -> dict[str, str]:
     """Each character that does not stand for itself with what it stands for, by rule.
@@ -38,37 +65,7 @@ def char_map() -> dict[str, str]:
     their parts, composed letters base and marks, look-alike letters the Latin letter.
     """
     like = _lookalike()
-    table: dict[str, str] = {}
-
-    def parts(c: str) -> str:
-        d = unicodedata.decomposition(c)
-        if not d or d.split()[0] in _VISIBLE:
-            return like.get(c, c)
-        codes = d.split()
-        if codes[0][0] == "<":
-            codes = codes[1:]
-        out = "".join(chr(int(x, 16)) for x in codes)
-        if " " in out and len(out) > 1:  # a spacing accent is not a space and a mark
-            return c
-        return "".join(parts(x) for x in out)
-
-    for point in range(0x80, _MAX):
-        c = chr(point)
-        kind = unicodedata.category(c)
-        if kind in ("Cn", "Co", "Cs") or 0xAC00 <= point < 0xD7A4:
-            continue
-        if kind == "Cf" or 0xFE00 <= point <= 0xFE0F or c in "͏ㅤᅟᅠﾠ":
-            to = ""
-        elif kind == "Zs":
-            to = " "
-        elif c in HYPHENS:
-            to = "-"
-        else:
-            to = parts(c)
-            to = "".join("-" if x in HYPHENS else x for x in to)
-        if to != c:
-            table[c] = to
-    return table
+    return {c: to for c in map(chr, range(0x80, _MAX)) if (to := stands_for(c, like)) != c}
 
 
 @lru_cache(None)

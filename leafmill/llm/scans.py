@@ -194,7 +194,7 @@ _LETTER_FOR = {d: next((t for t in "oliszgbaeh" if t in SEEN.get(d, ())), None)
 
 def made_up(word: str) -> list[tuple[str, tuple[str, ...]]]:
     """Numbers, codes and unknown words that may have been read as a mix of digits and letters, with the operations."""
-    if not any(c.isdigit() for c in word) or not any(c.isalpha() or c in "|!" for c in word):
+    if word.isalpha() or word.isdigit() or not any(map(str.isdigit, word)) or not any(c.isalpha() or c in "|!" for c in word):
         return []
     out: dict[str, tuple[str, ...]] = {}
     for kept in range(3):
@@ -298,7 +298,7 @@ class Model:
             self.by_strokes[strokes(w)].append(w)
         self.known_candidates: dict[str, list[tuple[str, float]]] = {}
         self.judged, self.unknown = judged or {}, {}
-        self.tokens = _Tokens(self)
+        self.tokens, self.options, self.pair_logs = _Tokens(self), {}, {}
         self.fine: set[str] = set()  # tokens that need no closer look
         self.suspect: set[str] = set()
         self.spaced = self.costs.get(SPACE, SPACED)
@@ -334,11 +334,17 @@ class Model:
 
     def pair_log(self, left: str, right: str) -> float:
         """Word pair probability, backed off to the word."""
-        count = self.pairs.get((left, right), 0)
-        own = self.word_log(right)
-        if not count:
-            return own - 1.0 if left in self.words else own
-        return math.log((count + 2 * math.exp(own)) / (self.words.get(left, count) + 2))
+        have = self.pair_logs.get((left, right))
+        if have is not None:
+            return have
+        count, own = self.pairs.get((left, right), 0), self.word_log(right)
+        if count:
+            own = math.log((count + 2 * math.exp(own)) / (self.words.get(left, count) + 2))
+        elif left in self.words:
+            own -= 1.0
+        if len(self.pair_logs) < 500_000:
+            self.pair_logs[left, right] = own
+        return own
 
     def candidates(self, word: str, deep: bool = True) -> list[tuple[str, float]]:
         """Known words that may have been read as ``word``, with channel scores.
@@ -583,43 +589,55 @@ def broken_words(lines: list[str], frame: set[int], model: Model) -> dict[int, t
     return out
 
 
+def token_options(token: str, model: Model) -> list[tuple[tuple[str, ...], float, bool]]:
+    """What one token may stand for: words, channel score, and whether the words are the token as it is. The same everywhere, so kept."""
+    have = model.options.get(token)
+    if have is not None:
+        return have
+    words = model.words
+    out: list[tuple[tuple[str, ...], float, bool]] = [((token,), 0.0, True)]
+    sound = model.known(token) or bool(_CODE.fullmatch(token))
+    if not sound:
+        for cut in range(1, len(token)):
+            a, b = token[:cut], token[cut:]
+            if b in words and (a in words or cut > 1 and model.known(a)) and (len(a) > 1 or a.lower() in SINGLE) and (len(b) > 1 or b.lower() in SINGLE):
+                out.append(((a, b), model.spaced, False))
+    if not sound or token in model.suspect:
+        out += [(tuple(w.split(" ")), s, False) for w, s in model.candidates(token, len(out) == 1)]
+    if len(model.options) < 500_000:
+        model.options[token] = out
+    return out
+
+
 def decode(tokens: list[str], model: Model) -> list[tuple[int, int, str]]:
     """Best words of a line: ``(first token, tokens taken, word)`` by Viterbi over candidates."""
-    n, words = len(tokens), model.words
+    n, known, codes = len(tokens), model.known, {t for t in tokens if _CODE.fullmatch(t)}
     best: list[dict[str, tuple[float, int, str | None, tuple[int, int, str] | None]]] = [{} for _ in range(n + 1)]
     best[0][""] = (0.0, 0, None, None)
+    pair_log = model.pair_log
     for i in range(n):
         if not best[i]:
             continue
         token = tokens[i]
-        options: list[tuple[int, str, float]] = [(1, token, 0.0)]
-        plain = _LETTERS.fullmatch(token)
-        sound = model.known(token) or bool(_CODE.fullmatch(token))
-        if not sound:
-            for cut in range(1, len(token)):
-                a, b = token[:cut], token[cut:]
-                if b in words and (a in words or cut > 1 and model.known(a)) and (len(a) > 1 or a.lower() in SINGLE) and (len(b) > 1 or b.lower() in SINGLE):
-                    options.append((1, f"{a} {b}", model.spaced))
-        if not sound or token in model.suspect:
-            options += [(1, w, s) for w, s in model.candidates(token, len(options) == 1)]
-        if i + 1 < n and plain:
-            both = token + tokens[i + 1]
-            if not (sound and model.known(tokens[i + 1])) or model.pairs.get((token, tokens[i + 1]), 0) == 0:
-                if model.known(both) and len(both) > 3:
-                    options.append((2, both, model.spaced))
-                elif not (sound and model.known(tokens[i + 1])):
-                    options += [(2, w, s + model.spaced) for w, s in model.candidates(both, deep=False)]
-        kept = list(best[i].items())
-        for take, word, score in options:
-            parts = word.split(" ")
-            for last, (so_far, *_) in kept:
+        options = [(1, words, score) for words, score, _ in token_options(token, model)]
+        if i + 1 < n and _LETTERS.fullmatch(token):
+            both, sound = token + tokens[i + 1], (known(token) or token in codes) and known(tokens[i + 1])
+            if not sound or (token, tokens[i + 1]) not in model.pairs:
+                if known(both) and len(both) > 3:
+                    options.append((2, (both,), model.spaced))
+                elif not sound:
+                    options += [(2, tuple(w.split(" ")), s + model.spaced) for w, s in model.candidates(both, deep=False)]
+        for last, (so_far, *_) in list(best[i].items()):
+            for take, words, score in options:
                 value, left = so_far + score, last
-                for w in parts:
-                    value += 0.0 if _CODE.fullmatch(w) and w in tokens else model.pair_log(left, w)
+                for w in words:
+                    if w not in codes:
+                        value += pair_log(left, w)
                     left = w
-                old = best[i + take].get(left)
+                target = best[i + take]
+                old = target.get(left)
                 if old is None or value > old[0]:
-                    best[i + take][left] = (value, i, last, (i, take, word))
+                    target[left] = (value, i, last, (i, take, " ".join(words)))
     out = []
     at, state = n, max(best[n], key=lambda w: best[n][w][0])
     while at > 0:
@@ -869,12 +887,12 @@ class Statistics:
         self._estimate()
 
     def _judge(self, tokens: DataFrame) -> DataFrame:
-        """``(t, c, own, w, n, ops)``: words of scans that native text does not have, each with its candidates and how they were changed."""
+        """``(t, c, found)``: words of scans that native text does not have, each with its candidates and how they were changed."""
         low = F.concat(F.lower(F.substring("t", 1, 1)), F.expr("substring(t, 2)"))
         lower = F.lower("t")
         shapes = F.array_distinct(F.array(F.col("t"), low, F.when(F.upper("t") == F.col("t"), lower).otherwise(F.col("t")), F.when(F.upper("t") == F.col("t"), F.concat(F.substring("t", 1, 1), F.expr("substring(lower(t), 2)"))).otherwise(F.col("t"))))
         known = tokens.select("t", F.explode(shapes).alias("w")).join(self.words, "w").select("t").distinct()
-        odd = tokens.join(known, "t", "left_anti").where(F.col("t").rlike(r"\p{L}") & (F.length("t") <= 60))
+        odd = tokens.join(known, "t", "left_anti").where(F.col("t").rlike(r"\p{L}") & (F.length("t") <= 60) & ~F.col("t").rlike(r"[\t\n]"))
         keyed_words = self.words.mapInArrow(_mapped(lambda w, c: [(w, c, k) for k in keys_of(w)], "w string, n bigint, key string"), "w string, n bigint, key string")
         keyed = odd.mapInArrow(_mapped(lambda t, c: [(t, k) for k in {k for f, _ in forms_of(t) for k in keys_of(f)}], "t string, key string"), "t string, key string")
         met = keyed.join(keyed_words, "key").select("t", "w", "n").distinct().groupBy("t").agg(F.collect_list(F.struct("w", "n")).alias("o"))
@@ -882,13 +900,13 @@ class Statistics:
         def judge(t: str, c: int, others: list[dict] | None) -> list[tuple]:
             counts = {x["w"]: x["n"] for x in others or ()}
             found = scored(t, counts, {})
-            rows = []
+            made = []
             for w, (_, ops) in found.items():
                 n = counts.get(w) or next((counts[f] for f, _ in forms_of(w) if f in counts), 0)
-                rows.append((t, c, w, n, "\t".join(ops)))
-            return rows
+                made.append("\t".join([w, str(n), *ops]))
+            return [(t, c, "\n".join(made))] if made else []
 
-        schema = "t string, c bigint, w string, n bigint, ops string"
+        schema = "t string, c bigint, found string"
         # Few bytes but much work: spread over all cores, as the optimizer would put them into one task.
         work = odd.join(met, "t", "left").select("t", "c", "o").repartition(max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
         return stage(work.mapInArrow(_mapped(judge, schema), schema), "judged")
@@ -903,24 +921,21 @@ class Statistics:
 
         base = {r.k: r.v for r in self.words.mapInArrow(_summed(meant), "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
         letters, new, total, scale = self.letters, self.new, self.total, self.scale
-        per_token = self.judged.groupBy("t", "c").agg(F.collect_list(F.struct("n", "ops")).alias("o"))
         for _ in range(ROUNDS):
             costs = self.costs
 
-            def expect(t: str, c: int, options: list[dict], costs=costs) -> list[tuple[str, float]]:
+            def expect(t: str, c: int, found: str, costs=costs) -> list[tuple[str, float]]:
                 made = []
-                for o in options:
-                    ops = o["ops"].split("\t")
-                    score = _cost(ops, costs)
-                    if not _too_often(c, o["n"], scale):
-                        made.append(((math.log(o["n"] / total) if o["n"] else new[2] - 7) + score, ops))
+                for _, n, ops in _options(found):
+                    if not _too_often(c, n, scale):
+                        made.append(((math.log(n / total) if n else new[2] - 7) + _cost(ops, costs), ops))
                 own = (new[1] if t[:1].isupper() else new[0]) + letters.log(t)
                 top = max([own, *(score for score, _ in made)])
                 weights = [math.exp(score - top) for score, _ in made]
                 whole = sum(weights) + math.exp(own - top)
                 return [(op, c * w / whole) for w, (_, ops) in zip(weights, made) for op in ops]
 
-            sums = per_token.mapInArrow(_summed(expect), "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+            sums = self.judged.mapInArrow(_summed(expect), "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
             self.costs = {}
             for k, v in ((r.k, r.v) for r in sums):
                 start = START.get(k, CONFUSED)
@@ -951,7 +966,8 @@ class Statistics:
 
             judged = stage(self.judged.join(of("t").withColumnRenamed("key", "t"), "t", "left_semi"), "judged")
             near = words.join(of("s"), "key", "left_semi").select("w", "c")
-            meant = judged.select(F.explode(F.array("w", F.concat(F.lower(F.substring("w", 1, 1)), F.expr("substring(w, 2)")), F.lower("w"), F.concat(F.substring("w", 1, 1), F.expr("substring(lower(w), 2)")))).alias("w")).distinct()
+            words_of = judged.select(F.explode(F.split("found", "\n")).alias("o")).select(F.substring_index("o", "\t", 1).alias("w"))
+            meant = words_of.select(F.explode(F.array("w", F.concat(F.lower(F.substring("w", 1, 1)), F.expr("substring(w, 2)")), F.lower("w"), F.concat(F.substring("w", 1, 1), F.expr("substring(lower(w), 2)")))).alias("w")).distinct()
             needed = stage(near.unionByName(self.words.join(meant, "w", "left_semi")).distinct(), "words")
             pairs = self.pairs.join(needed.select(F.col("w").alias("a")), "a", "left_semi").join(needed.select(F.col("w").alias("b")), "b", "left_semi").select("a", "b", "c")
             out.append((own, self._held(needed, pairs, notices.join(of("n"), "key", "left_semi").select("n").distinct(), judged)))
@@ -959,16 +975,19 @@ class Statistics:
 
     def _held(self, words: DataFrame, pairs: DataFrame, notices: DataFrame, judged: DataFrame):
         costs, found = self.costs, defaultdict(list)
-        for r in judged.select("t", "c", "w", "n", "ops").collect():
-            score, own = _cost(r.ops.split("\t"), costs), found[r.t]
-            if not _too_often(r.c, r.n, self.scale):
-                own.append((r.w, score))
+        for r in judged.select("t", "c", "found").collect():
+            found[r.t] = [(w, _cost(ops, costs)) for w, n, ops in _options(r.found) if not _too_often(r.c, n, self.scale)]
         found = {t: sorted(x, key=lambda y: (-y[1], y[0])) for t, x in found.items()}
         w = {r.w: r.c for r in words.collect()}
         p = {(r.a, r.b): r.c for r in pairs.collect()}
         return self.spark.sparkContext.broadcast((w, p, {r.n for r in notices.collect()}, costs, found, self.letters.grams, self.total, self.new))
 
 
+def _options(found: str) -> list[tuple[str, int, list[str]]]:
+    """Candidates of a judged word: word, count and operations."""
+    return [(w, int(n), ops) for w, n, *ops in (x.split("\t") for x in found.split("\n"))]
+
+
 def _cost(ops: list[str], costs: dict[str, float]) -> float:
     return sum(costs.get(op, START.get(op, CONFUSED)) for op in ops)
 
