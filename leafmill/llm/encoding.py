@@ -126,11 +126,6 @@ def cost(text: str) -> float:
     return total
 
 
-@lru_cache(1 << 16)
-def _short_cost(text: str) -> float:
-    return cost(text)
-
-
 def _vowels(text: str) -> float:
     """How far the share of vowels among Cyrillic letters is from that of Russian text."""
     letters = [c for c in text.lower() if "а" <= c <= "я" or c == "ё"]
@@ -157,7 +152,7 @@ def _other_cyrillic(line: str) -> tuple[str, str] | None:
     best, found = max(ALONE, ALONE_EACH * len(letters)), None
     for swap in _CYRILLIC_SWAPS:
         new, gain = _reread(line, *swap)
-        if gain > best and not ODD.search(new):
+        if gain > best and not ODD.search(new) and not _unlikely_cyrillic(new):
             best, found = gain, (new, ">".join(swap))
     return found
 
@@ -174,6 +169,88 @@ def _reread(line: str, read: str, meant: str) -> tuple[str, float]:
     return new, _likely(new) - _likely(line)
 
 
+# Occurrences of letters in a thousand letters of Greek, Hebrew and Arabic text, without accents.
+_SCRIPTS = {
+    "greek": dict(zip("αοιετνσηρπκυλμδωγςθχφβξζψ", (115, 98, 92, 85, 84, 66, 49, 50, 43, 41, 40, 43, 32, 33, 18, 19, 17, 35, 13, 12, 9, 7, 5, 4, 2))),
+    "hebrew": dict(zip("יהולארתבמשענכםדחקפסןזצגטךףץ", (110, 105, 104, 74, 63, 56, 50, 47, 46, 44, 32, 29, 27, 27, 26, 25, 21, 17, 15, 15, 13, 12, 12, 12, 8, 3, 2))),
+    "arabic": dict(zip("اليمنورتبةعدسفهقكأحجشصخطإضىزثذغئءؤظآ", (125, 116, 68, 65, 62, 58, 50, 46, 39, 36, 36, 35, 30, 29, 32, 26, 22, 26, 20, 15, 13, 12, 10, 11, 11, 8, 8, 8, 7, 7, 5, 5, 5, 2, 2, 2))),
+    "cyrillic": _RUSSIAN,
+}
+_SCRIPT_OF = {c: (name, math.log(n * len(table) / 1000)) for name, table in _SCRIPTS.items() for x, n in table.items() for c in (x, x.upper())}
+#: Encodings a whole line of another script may have been read as, and those it may have been in.
+_LINE_READ_AS = ("cp1252", "latin-1", "cp1251", "cp1253", "cp1255", "cp1256", "koi8_r")
+_LINE_MEANT_AS = ("utf-8", "cp1253", "iso8859_7", "cp1255", "cp1256", "gb18030", "cp1251", "koi8_r", "cp866")
+#: Least letters of a line that is judged as one of another script, their least share, least mean likelihood of its reading, and
+#: how much likelier than a reading in any other script it must be.
+LEAST_LETTERS, OTHER_SHARE, LEAST_LIKELY, CLEARLY = 8, 0.6, 0.1, 0.15
+
+
+def _reading(text: str) -> tuple[str, float] | None:
+    """Script of a line and the mean likelihood of its letters, if nearly all beyond ASCII are of one script."""
+    letters = [c for c in text if c >= "\x80" and c.isalpha()]
+    if 2 * len(letters) >= LEAST_LETTERS and all(0x4E00 <= ord(c) < 0xA000 for c in letters):
+        try:
+            common = sum(0xB0 <= c.encode("gb2312")[0] <= 0xD7 for c in letters)
+        except UnicodeEncodeError:
+            return None
+        return ("han", 0.5) if common >= 0.9 * len(letters) and not any(c >= "\x80" and not c.isalpha() and c not in "，。、；：？！（）“”‘’《》" for c in text) else None
+    if len(letters) < LEAST_LETTERS:
+        return None
+    plain = [unicodedata.normalize("NFD", c)[0] if "Ͱ" <= c < "Ѐ" else c for c in letters]
+    found = [_SCRIPT_OF[c] for c in plain if c in _SCRIPT_OF]
+    name = Counter(n for n, _ in found).most_common(1)[0][0] if found else ""
+    own = [v for n, v in found if n == name]
+    odd = sum(c >= "\x80" and not c.isalpha() and c not in _SIGNS and c != "\xa0" for c in text)
+    if len(own) < 0.9 * len(letters) or odd > 0.1 * len(letters):
+        return None
+    capitals = sum(b.isupper() and a.islower() for a, b in zip(text, text[1:]))
+    return name, sum(own) / len(letters) - 3 * capitals / len(letters)
+
+
+def _other_script(line: str) -> tuple[str, str] | None:
+    """A line of Greek, Hebrew, Arabic or Chinese read in a wrong encoding, restored if no other reading comes near; and the swap.
+
+    Cyrillic readings only compete here; they are restored by their cost.
+    """
+    foreign = sum(c >= "\x80" for c in line)
+    if foreign < LEAST_LETTERS or foreign < OTHER_SHARE * sum(not c.isspace() and not c.isdigit() for c in line):
+        return None
+    own = _reading(line)
+    if own and own[1] >= LEAST_LIKELY:
+        return None
+    best: dict[str, tuple[float, str, str]] = {}
+    for read in _LINE_READ_AS:
+        raw = encode(line, read)
+        if raw is None:
+            continue
+        for meant in _LINE_MEANT_AS:
+            try:
+                new = raw.decode(meant)
+            except UnicodeDecodeError:
+                continue
+            got = _reading(new) if new != line else None
+            if got and got[1] > best.get(got[0], (-math.inf,))[0]:
+                best[got[0]] = (got[1], new, f"{read}>{meant}")
+    if not best:
+        return None
+    ranked = sorted(best.items(), key=lambda x: -x[1][0])
+    script, (value, new, how) = ranked[0]
+    if script == "cyrillic" or value < LEAST_LIKELY or len(ranked) > 1 and value < ranked[1][1][0] + CLEARLY:
+        return None
+    return new, how
+
+
+#: Mean likelihood of a letter of Russian text, its deviation, and how many deviations below the mean a swap to Cyrillic may end.
+RUSSIAN_MEAN, RUSSIAN_SPREAD, DEVIATIONS = 0.48, 0.9, 2.6
+
+
+def _unlikely_cyrillic(text: str) -> bool:
+    """Cyrillic letters in a mix that no Russian text has: the line is better left alone."""
+    letters = [_SCRIPT_OF[c][1] for c in text if _SCRIPT_OF.get(c, ("",))[0] == "cyrillic"]
+    n = len(letters)
+    return n >= LEAST_LETTERS and sum(letters) < n * (RUSSIAN_MEAN - DEVIATIONS * RUSSIAN_SPREAD / math.sqrt(n))
+
+
 _NEIGHBOURS = {b + a for a, b in ("çã", "çõ", "çá", "éé", "üß", "öß", "äß", "óś", "śó", "żó", "łó", "łą", "żę", "ść", "śń", "ńś", "łę", "źń", "ąć", "ęć", "żą", "óż", "ół", "ćś", "áñ", "ñó", "ñá", "ñí", "çú", "êé", "éê", "èœ", "ńć", "ęś", "łż", "ąż", "ęż")}
 
 
@@ -232,24 +309,25 @@ ODD = re.compile(
 _LOST = re.compile(r"(?:^|(?<=[\s(\"“]))[Ãâ](?=[\s,.;:)]|$)(?!\s+[A-ZÀ-Ý0-9](?:\s|$))|Ã(?=[ \xa0](?![A-ZÀ-Ý0-9]))|â(?=[€™œ“”])|(?<=[a-z])Ã(?![A-ZÀ-Ý])|[ÂÃ](?=[^\w\s.,;:!?)\"'’”»\-–—])|[ÐÑ](?=$|[ ÐÑ])")
 
 
+@lru_cache(1 << 16)
+def _run_repair(run: str, encoding: str) -> str:
+    """A run as the UTF-8 it was meant for, if that looks better."""
+    raw = encode(run, encoding)
+    try:
+        new = raw.decode("utf-8") if raw else run
+    except UnicodeDecodeError:
+        return run
+    if any(unicodedata.category(c) in ("Cn", "Co") for c in new):
+        return run
+    return new if cost(new) < cost(run) else run
+
+
 def _repair_runs(line: str) -> tuple[str, str | None]:
     """Best single pass of repairs of UTF-8 runs, and the encoding the line had been read as."""
     best, best_cost, by = line, cost(line), None
     limit = best_cost - RUN_DROP
     for encoding in READ_AS:
-        pattern = _runs(encoding)
-
-        def fix(m: re.Match[str]) -> str:
-            raw = encode(m[0], encoding)
-            try:
-                new = raw.decode("utf-8") if raw else m[0]
-            except UnicodeDecodeError:
-                return m[0]
-            if any(unicodedata.category(c) in ("Cn", "Co") for c in new):
-                return m[0]
-            return new if _short_cost(new) < _short_cost(m[0]) else m[0]
-
-        new = pattern.sub(fix, line)
+        new = _runs(encoding).sub(lambda m, encoding=encoding: _run_repair(m[0], encoding), line)
         if new != line and (c := cost(new)) < best_cost and c <= limit:
             best, best_cost, by = new, c, encoding
             if c < 0.2 * (limit + RUN_DROP):  # nearly nothing odd is left
@@ -271,7 +349,7 @@ def _repair_swap(line: str) -> tuple[str, str | None]:
         except UnicodeDecodeError:
             continue
         cyrillic = sum("Ѐ" <= x <= "ӿ" for x in new)
-        if cyrillic and cyrillic < sum("A" <= x.upper() <= "Z" for x in new):
+        if cyrillic and (cyrillic < sum("A" <= x.upper() <= "Z" for x in new) or _unlikely_cyrillic(new)):
             continue
         if (c := cost(new)) < best_cost and c < 0.7 * now:
             best, best_cost, by = new, c, f"{read}>{meant}"
@@ -329,6 +407,8 @@ def repair_line(line: str) -> tuple[str, str | None]:
     plain = undisguise(line)
     if _PLAIN.fullmatch(plain) and not ODD.search(plain):
         return line, None
+    if (other := _other_script(line)) is not None:
+        return other
     sound = line
     new, how = _peel(plain, True)
     if plain != line and _CYRILLIC.search(line):  # what looks like a disguise may be part of a sequence

@@ -8,12 +8,16 @@ rebuilt. Unchanged stretches travel as one row each.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.pairs import pairs_within
 from leafmill.session import stage
 
 # Letters of other alphabets that have the shape of a Latin (or, in Greek, a Cyrillic) letter.
@@ -24,6 +28,9 @@ HYPHENS = "‐‑⁃﹣­"
 #: Compatibility forms that change what is seen: raised, lowered and circled signs, fractions.
 _VISIBLE = ("<super>", "<sub>", "<fraction>", "<circle>", "<vertical>")
 _MAX = 0x2FA20
+#: First and last vowel and final sign of Korean syllables, and orders that keep them behind their lead.
+VOWELS, FINALS = (0x1161, 0x1175), (0x11A8, 0x11C2)
+_ORDER = {VOWELS: 300, FINALS: 301}
 
 
 def _lookalike() -> dict[str, str]:
@@ -36,6 +43,8 @@ def _parts(c: str, like: dict[str, str]) -> str:
         return like.get(c, c)
     codes = d.split()
     if codes[0][0] == "<":
+        if 0x3131 <= ord(c) <= 0x318E:  # single Korean letters do not join into syllables
+            return c
         codes = codes[1:]
     out = "".join(chr(int(x, 16)) for x in codes)
     if " " in out and len(out) > 1:  # a spacing accent is not a space and a mark
@@ -46,8 +55,10 @@ def _parts(c: str, like: dict[str, str]) -> str:
 def stands_for(c: str, like: dict[str, str]) -> str:
     """What a character stands for, itself in most cases."""
     kind, point = unicodedata.category(c), ord(c)
-    if kind in ("Cn", "Co", "Cs") or 0xAC00 <= point < 0xD7A4:
+    if kind in ("Cn", "Co", "Cs"):
         return c
+    if 0xAC00 <= point < 0xD7A4:
+        return unicodedata.normalize("NFD", c)
     if kind == "Cf" or 0xFE00 <= point <= 0xFE0F or c in "͏ㅤᅟᅠﾠ":
         return ""
     if kind == "Zs":
@@ -70,8 +81,9 @@ def char_map() -> dict[str, str]:
 
 @lru_cache(None)
 def marks() -> dict[str, int]:
-    """Combining marks with their class."""
-    return {chr(p): unicodedata.combining(chr(p)) for p in range(0x80, _MAX) if unicodedata.combining(chr(p))}
+    """Combining marks with their class; vowels and finals of Korean syllables behind all of them."""
+    out = {chr(p): unicodedata.combining(chr(p)) for p in range(0x80, _MAX) if unicodedata.combining(chr(p))}
+    return out | {chr(p): k for (a, b), k in _ORDER.items() for p in range(a, b + 1)}
 
 
 @lru_cache(None)
@@ -109,32 +121,31 @@ def steady() -> str:
     return _char_class({chr(p) for a, b in areas for p in range(a, b + 1) if chr(p) not in marks() and (chr(p) not in char_map() or chr(p) in final)})
 
 
-def _with_key(rows: DataFrame, text: str) -> DataFrame:
-    """Adds ``key``: the text without accents and marks, equal for texts that look the same.
+@lru_cache(None)
+def _folding() -> dict[int, str]:
+    """Every character that changes, or is a mark, to what stands for it without marks."""
+    table = {ord(c): "".join(x for x in to if x not in marks()) for c, to in char_map().items()}
+    return {ord(m): "" for m in marks()} | table
+
 
-    It also joins texts that do not look the same; it only decides which texts are exploded. Characters that
-    stand for one are translated, the few that stand for several are replaced one by one where they occur.
+def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, h, key)`` of ``(id, text)``: 128-bit hashes of the text and of what is left without accents and marks.
+
+    Texts that look the same have the same key. It also joins texts that do not look the same; it only decides which are exploded.
     """
-    drop = set(marks())
-    single, many, gone = {}, {}, set(drop)
-    for c, to in char_map().items():
-        base = "".join(x for x in to if x not in drop)
-        if not base:
-            gone.add(c)
-        elif len(base) == 1:
-            single[c] = base
-        else:
-            many[c] = base
-    source = "".join(single) + "".join(sorted(gone - set(single)))
-    folded = F.when(
-        F.col(text).rlike(r"[^\x00-\x7f]"), F.translate(F.col(text), source, "".join(single.values()))
-    ).otherwise(F.col(text))
-    rows = rows.withColumn("_plain", folded)
-    held = F.array_distinct(F.regexp_extract_all("_plain", F.lit(f"[^{steady()}]"), F.lit(0)))
-    rows = rows.withColumn("_held", held)
-    parts = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    replaced = F.aggregate("_held", F.col("_plain"), lambda t, c: F.replace(t, c, F.coalesce(F.element_at(parts, c), c)))
-    return rows.withColumn("key", F.when(F.size("_held") == 0, F.col("_plain")).otherwise(replaced)).drop("_plain", "_held")
+    table = None
+    for batch in batches:
+        h, keys = [], []
+        for t in batch.column(1):
+            t = t.as_py()
+            digest = hashlib.md5(t.encode()).digest()
+            h.append(digest)
+            if t.isascii():
+                keys.append(digest)
+            else:
+                table = table or _folding()
+                keys.append(hashlib.md5(t.translate(table).encode()).digest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.binary()), pa.array(keys, pa.binary())], ["id", "h", "key"])
 
 
 def map_table(spark: SparkSession) -> DataFrame:
@@ -152,12 +163,12 @@ def one_form(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     """``(key, form)``: each text in the form that all texts of the same looks share.
 
     ``key`` must be unique and not null. A null text gives null, an empty one is kept. Composed and decomposed
-    letters come out composed, look-alike letters in Latin. Hangul jamo sequences stay as they are.
+    letters come out composed, so do Korean syllables, look-alike letters in Latin.
     A text of any length works: it moves in pieces of its changing runs.
     """
     spark = texts.sparkSession
     a = steady()  # a run: the character before it, up to 256 that may change, and the marks that follow
-    pattern = f"(?s)[{a}]?[^{a}]{{1,256}}\\p{{M}}{{0,64}}|[{a}]{{1,4000}}(?=[{a}][^{a}])|[{a}]{{1,4000}}"
+    pattern = f"(?s)[{a}]?[^{a}]{{1,256}}[\\p{{M}}\\x{{1161}}-\\x{{1175}}\\x{{11a8}}-\\x{{11c2}}]*|[{a}]{{1,4000}}(?=[{a}][^{a}])|[{a}]{{1,4000}}"
     base = texts.select(F.col(key).alias("k"), F.col(text).alias("t"))
     work = base.where(F.col("t").rlike(f"[^{a}]"))
     still = base.where(F.col("t").isNull() | ~F.col("t").rlike(f"[^{a}]")).select("k", F.col("t").alias("form"))
@@ -202,16 +213,19 @@ def same_looks(pages: DataFrame, page_id: str = "page_id", text: str = "page_tex
     rows = pages.where(F.col(page_id).isNotNull() & (F.col(text) != "")).select(
         F.col(page_id).cast("long").alias("id"), F.col(text).alias("t")
     )
-    keyed = _with_key(rows, "t").select("id", F.xxhash64("t").alias("h"), F.xxhash64("key").alias("key"))
-    keyed = stage(keyed.distinct(), "looks")
+    keyed = stage(rows.mapInArrow(_looks, "id bigint, h binary, key binary").distinct(), "looks")
     groups = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    members = stage(keyed.join(groups, "key").select("id", "h", "key"), "candidates")
+    members = stage(keyed.join(groups, "key").select("id", "h"), "candidates")
     first = members.groupBy("h").agg(F.min("id").alias("id"))
-    texts = rows.join(first, "id").select("h", "t").dropDuplicates(["h"])
-    forms = one_form(texts, "h", "t").select("h", F.xxhash64("form").alias("form"), F.length("form").alias("n"))
-    shaped = stage(members.select("id", "h").distinct().join(forms, "h").select("id", "h", "form", "n"), "forms")
-    a, b = shaped.toDF("page_id_a", "h_a", "form", "n"), shaped.toDF("page_id_b", "h_b", "form", "n")
-    return a.join(b, ["form", "n"]).where("page_id_a < page_id_b AND h_a <> h_b").select("page_id_a", "page_id_b").distinct()
+    # Few bytes but much work: the texts are dealt out before they are exploded.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = rows.join(first, "id").where(F.unhex(F.md5("t")) == F.col("h")).select("h", "t").dropDuplicates(["h"]).repartition(tasks, "h")
+    forms = one_form(texts, "h", "t").select(F.col("h").alias("id"), F.unhex(F.md5("form")).alias("form"), F.length("form").alias("n"))
+    # Different texts of one form are paired, then each pair stands for all pages that have the two texts.
+    alike = stage(pairs_within(stage(forms, "forms"), "form", "n"), "alike")
+    a = alike.join(members.toDF("id_a", "h_a"), F.col("a") == F.col("h_a")).select("id_a", "b")
+    both = a.join(members.toDF("id_b", "h_b"), F.col("b") == F.col("h_b")).where("id_a <> id_b")
+    return both.select(F.least("id_a", "id_b").alias("page_id_a"), F.greatest("id_a", "id_b").alias("page_id_b")).distinct()
 
 
 def readable_form(form: Column) -> Column:

@@ -1,8 +1,12 @@
 """Per-document text statistics and the class of a text: prose, list, table or junk.
 
-The words of the language mix are learnt from the documents themselves: the words of the highest document
+The words of the language mix are learnt from the documents themselves: all words of a least document
 frequency over all documents. Every line is judged by its marks, cells, words and neighbours,
 lines are weighed by their non-blank characters, and the class with the larger share is the text's class.
+
+Repetition enters the class: short lines that come again and again without being sentences are boilerplate, which is kept apart
+from prose and does not count; lines that are no sentences and mostly hold the same three words are entries of a list; and a text of a
+few words over and over, whose dominant three words cover most of it, is junk. A readable text that is repeated stays prose.
 """
 
 from __future__ import annotations
@@ -15,8 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept of the corpus vocabulary, and the documents a word must occur in.
-VOCABULARY, LEAST_DOCUMENTS = 60_000, 3
+from leafmill.session import stage
+
+#: Words of a vocabulary that is broadcast as a whole; beyond it documents are taken in blocks, each with the words of its own
+#: documents, so that none is lost. Documents a word must occur in.
+VOCABULARY_ROWS, LEAST_DOCUMENTS = 2_000_000, 3
+#: Times a line must occur to be boilerplate, and its most words.
+BOILERPLATE, BOILERPLATE_WORDS = 3, 8
+#: Share of lines with the same three words that makes entries, share of characters of the dominant three words that makes junk, with at most so many words.
+TEMPLATE, DOMINANT, FEW_WORDS = 0.6, 0.5, 8
 #: Words taken as common ones.
 COMMON = 400
 
@@ -38,17 +49,33 @@ _NO_VOWEL = re.compile(r"(?<![^\W\d_])[bcdfghjklmnpqrstvwxzбвгджзклмн
 METRICS = (
     "word_count", "mean_word_length", "real_word_ratio", "common_word_ratio", "symbol_ratio", "digit_ratio", "line_end_ratio",
     "punctuation_score", "gibberish_penalty", "duplicate_line_share", "duplicate_paragraph_share", "top_ngram_share",
-    "prose_share", "list_share", "table_share", "junk_share",
+    "prose_share", "list_share", "table_share", "junk_share", "boilerplate_share",
 )
 SCHEMA = "doc_id bigint, " + ", ".join(f"{m} {'bigint' if m == 'word_count' else 'double'}" for m in METRICS) + ", text_class string"
 
 
-def vocabulary(documents: DataFrame, text: str = "text", size: int = VOCABULARY, least: int = LEAST_DOCUMENTS) -> list[str]:
-    """Words by falling document frequency over all documents, at most ``size`` of them (the bound of the broadcast)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+(?:[’'\-‑]\p{L}+)*"), F.lit(0)))
-    counted = documents.where(F.col(text).isNotNull()).select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    rows = counted.where((F.col("c") >= least) & (F.length("w") <= 40)).orderBy(F.desc("c"), "w").limit(size).collect()
-    return [r.w for r in rows]
+def _words_of(text: str) -> set[str]:
+    """Words of a text in small letters, and the parts of compounds."""
+    found = {w for w in _WORD.findall(text.lower()) if len(w) <= 6 or len(set(w)) > 2}  # a row of one or two letters is no word
+    return found | {y for x in found if "-" in x for y in x.split("-")}
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(w, c)``: words with the number of texts that hold them, counted within a worker."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0):
+            counts.update(_words_of(text.as_py()))
+        if len(counts) > 500_000:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "c"])
+            counts.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "c"])
+
+
+def vocabulary(documents: DataFrame, text: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """``(w, c)``: all words of at least ``least`` documents with their number."""
+    counted = documents.where(F.col(text).isNotNull()).select(text).mapInArrow(_counted, "w string, c bigint")
+    return counted.groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
 def _weight(text: str) -> int:
@@ -158,6 +185,13 @@ def _block(lines: list[str], kinds: list[str], words: list[list[str]], run: list
         for i in run:
             kinds[i] = "list"
         return
+    if len(run) >= 4 and ends <= 0.15 * len(run) and len(all_words) <= 12 * len(run):
+        small = [[x.lower() for x in words[i]] for i in run]
+        grams = Counter(g for w in small for g in {*zip(w, w[1:], w[2:])})
+        if grams and max(grams.values()) >= TEMPLATE * len(run):
+            for i in run:
+                kinds[i] = "list"
+            return
     joined = " ".join(text)
     upper = sum(w[0].isupper() for w in all_words)
     stops = len(re.findall(r"[.!?](?:[\"”»’)]*)(?:\s|$)", joined))
@@ -172,16 +206,20 @@ def measure(text: str | None, known, common) -> tuple | None:
         return None
     lines = text.split("\n")
     kinds, found, weights = line_kinds(lines, known)
+    body = [x for x, k in zip(lines, kinds) if k not in ("blank", "frame")]
+    seen = Counter([x.strip() for x in body])
+    if len(seen) < len(body):
+        for i, (line, kind) in enumerate(zip(lines, kinds)):
+            if kind == "prose" and seen[line.strip()] >= BOILERPLATE and len(found[i]) <= BOILERPLATE_WORDS and not _END.search(line):
+                kinds[i] = "boilerplate"
     share = Counter()
     for weight, kind in zip(weights, kinds):
         share[kind] += weight
-    body = [x for x, k in zip(lines, kinds) if k not in ("blank", "frame")]
-    total = share["prose"] + share["list"] + share["table"] + share["junk"]
+    total = share["prose"] + share["list"] + share["table"] + share["junk"] + share["boilerplate"]
     words = [w.lower() for line in found for w in line]
     count = len(words)
     joined = "\n".join(body)
     size = max(1, total)
-    seen = Counter(x.strip() for x in body)
     repeated = sum(len(x) * (c - 1) for x, c in seen.items() if c > 1)
     paragraphs = Counter(p.strip() for p in re.split(r"\n\s*\n", text) if p.strip() and not _FRAME.match(p))
     again = sum(len(p) * (c - 1) for p, c in paragraphs.items() if c > 1)
@@ -207,9 +245,13 @@ def measure(text: str | None, known, common) -> tuple | None:
         repeated / max(1, sum(map(len, body))),
         again / max(1, sum(len(p) * c for p, c in paragraphs.items())),
         min(1.0, top / max(1, letters)),
-        *(share[k] / total if total else 0.0 for k in ("prose", "list", "table", "junk")),
+        *(share[k] / total if total else 0.0 for k in ("prose", "list", "table", "junk", "boilerplate")),
     )
-    best = max(("prose", "list", "table", "junk"), key=lambda k: share[k]) if total else "prose"
+    best = max(("prose", "list", "table", "junk"), key=lambda k: share[k])
+    if total and total == share["boilerplate"]:
+        best = "list"
+    if best == "prose" and count >= 12 and top >= DOMINANT * letters and len(set(words)) <= FEW_WORDS:
+        best = "junk"
     return figures + (best,)
 
 
@@ -219,13 +261,35 @@ def document_quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     Null, empty and blank texts give no row; repeated rows give one. Duplicated ids with different texts give
     a row for each. ``words`` replaces the vocabulary learnt from all documents.
     """
-    spark = documents.sparkSession
     source = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    listed = vocabulary(source) if words is None else words
-    held = spark.sparkContext.broadcast(listed)
+    out = None
+    for own, held in _in_blocks(source, words):
+        part = own.mapInArrow(_measured(held), SCHEMA)
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def _in_blocks(source: DataFrame, words: list[str] | None) -> list[tuple[DataFrame, object]]:
+    """Documents with the broadcast ``(words, common words)`` they need: all at once, or by hash where the vocabulary is large."""
+    broadcast = source.sparkSession.sparkContext.broadcast
+    if words is not None:
+        return [(source, broadcast((set(words), set(words[:COMMON]))))]
+    known = stage(vocabulary(source), "vocabulary")
+    common = {r.w for r in known.orderBy(F.desc("c"), "w").limit(COMMON).collect()}
+    rows = known.count()
+    if rows <= VOCABULARY_ROWS:
+        return [(source, broadcast(({r.w for r in known.select("w").collect()}, common)))]
+    out, blocks = [], 2 * -(-rows // VOCABULARY_ROWS)
+    for b in range(blocks):
+        own = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b)
+        needed = known.join(vocabulary(own, least=1).select("w"), "w", "left_semi").select("w")
+        out.append((own, broadcast(({r.w for r in needed.collect()}, common))))
+    return out
+
 
+def _measured(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, common = set(held.value).__contains__, set(held.value[:COMMON]).__contains__
+        known, common = held.value[0].__contains__, held.value[1].__contains__
         names = ["doc_id", *METRICS, "text_class"]
         for batch in batches:
             rows = []
@@ -236,4 +300,4 @@ def document_quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "
             types = [pa.int64(), pa.int64(), *[pa.float64()] * (len(METRICS) - 1), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return source.mapInArrow(run, SCHEMA).distinct()
+    return run

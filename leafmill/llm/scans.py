@@ -88,9 +88,19 @@ _TRAILER = re.compile(r"\s*[·•.|‐-]\s*\S{1,5}\s*$")
 _TITLE_END = re.compile(r"(?:[–—-] \S+|\b(?:1[89]|[12lI]9|20|2[0O])\S{2})\s*$")
 
 
+class _Strokes(dict):
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = out = STROKES.get(c) or STROKES.get(_base(c), c)
+        return out
+
+
+_SHAPES = _Strokes()
+
+
 def strokes(word: str) -> str:
     """What a recogniser sees of a word, without accents."""
-    return "".join([STROKES.get(c) or STROKES.get(_base(c), c) for c in word])
+    return word.translate(_SHAPES)
 
 
 _BASES: dict[str, str] = {}
@@ -550,9 +560,12 @@ def _upper(s: str, least: int) -> bool:
 _AS_DIGITS = str.maketrans("OolIi|!SsBEзЗбоОQ", "00111115588336000")
 
 
+_NO_WORD, _NUMBERS = re.compile(r"\W+"), re.compile(r"(?<!\w)[\dOlIS]+(?!\w)")
+
+
 def notice_key(line: str) -> str:
     """Strokes of a line without digits and signs, equal for a notice however it was misread."""
-    return re.sub(r"\W+", "", strokes(re.sub(r"(?<!\w)[\dOlIS]+(?!\w)", "", line)))
+    return _NO_WORD.sub("", strokes(_NUMBERS.sub("", line)))
 
 
 def broken_words(lines: list[str], frame: set[int], model: Model) -> dict[int, tuple[int, str, str]]:

@@ -44,3 +44,24 @@ def test_tables(spark):
     pages = {r.page_id: (r.restored, r.garbled_lines, r.lost_lines) for r in en.restored_pages(df).collect()}
     assert pages[1] == ("ok\nfaçade\nend", 1, 0) and pages[2] == (None, 0, 0) and pages[5][2] == 1 and len(pages) == 7
     assert en.garbled_lines(df.where("false")).count() == 0
+
+
+SCRIPTS = {
+    "中文文本内容需要检查": [("gb18030", "cp1252"), ("gb18030", "latin-1")],
+    "Ο επιθεωρητής εξέτασε την αποθήκη και το αρχείο": [("cp1253", "cp1252"), ("iso8859_7", "latin-1"), ("cp1253", "cp1251")],
+    "הספרן בדק את המחסן ואת הרשומות של העירייה": [("cp1255", "cp1252"), ("cp1255", "cp1251")],
+    "قام المفتش بفحص المستودع وسجلات البلدية القديمة": [("cp1256", "cp1252"), ("utf-8", "cp1256")],
+}
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_other_scripts_are_restored_or_left(text):
+    assert en.repair_line(text) == (text, None)
+    for meant, read in SCRIPTS[text]:
+        table = en._sloppy(read)[1]
+        garbled = "".join(chr(b) if b < 0x80 else table.get(b, chr(b)) for b in text.encode(meant))
+        restored, how = en.repair_line(garbled)
+        assert restored in (text, garbled) or how.endswith("lost"), (meant, read, restored)
+    meant, read = SCRIPTS[text][0]
+    table = en._sloppy(read)[1]
+    assert en.repair_line("".join(chr(b) if b < 0x80 else table.get(b, chr(b)) for b in text.encode(meant)))[0] == text

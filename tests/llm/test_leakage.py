@@ -50,3 +50,19 @@ def test_shift_skips_and_finds_every_offset():
         assert machine.owners("z " * ahead + "a b c d e f g h i j k l") == {1}
         assert machine.owners("z " * ahead + "b c d e f g h i j k l M!") == {1}
     assert machine.owners("a b c d e f g h i j k x") == set()
+
+
+def test_tables_are_small():
+    """Arrays and numbers of words stay below the bytes a character that the blocks of items reckon with."""
+    import pickle
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9))) for _ in range(20_000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(400))) for i in range(400)]
+    assert len(pickle.dumps(lk.WuManber(items))) < lk.CHAR_BYTES * sum(len(t) for _, t in items)
+
+
+def test_short_runs_and_owners():
+    items = [(7, "a b c d"), (8, "x a b c"), (9, "a b"), (7, "q r s"), (6, "a b c d")]
+    machine = lk.WuManber(items, run=3, block=2)
+    assert machine.owners("z A-b c") == {7, 8, 6} and machine.owners("b c d") == {7, 6} and machine.owners("q r s") == {7} and machine.owners("a b") == set() == machine.owners(None)

@@ -11,6 +11,7 @@ def by_hand(text):
 TEXTS = [
     "plain", "ｐｌａｉｎ", "pla​in", "plаin", "résumé", "résumé", "ﬁrst ㎜", "first mm", "Ậ", "Ậ", "Ậ", "m²", "m2", "a\nb", "a b", "a  b", "a　b",
     "co‑op", "co-op", "co–op", "отчёт", "отчёт", "", None, "​‍", "é" * 5000 + "é" * 5000, "q̣̇", "q̣̇", "Case", "case", "😀 x", "́a",
+    "한국어", "\u1112\u1161\u11ab\u1100\u116e\u11a8\u110b\u1165", "하\u11ab국어", "ㄱㅏ", "가", "e" + "\u0301\u0323" * 100, "e" + "\u0323\u0301" * 100,
 ]
 
 

@@ -39,7 +39,7 @@ def test_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, w string, text_class string")
     got = {r.doc_id: r.text_class for r in q.document_quality(df, words=WORDS).collect()}
     assert got == {0: "prose", 1: "list", 5: "prose"}
-    assert set(q.vocabulary(df, least=2)) >= {"surveyor", "the"}
+    assert {r.w for r in q.vocabulary(df, least=2).collect()} >= {"surveyor", "the"}
     assert q.document_quality(df.where("false")).count() == 0
 
 
@@ -50,3 +50,36 @@ def test_held_out_labels(spark):
     labels = spark.read.parquet(f"{d}/text_class_labels.parquet").where("text_class IS NOT NULL").withColumnRenamed("text_class", "label")
     both = labels.join(found, "doc_id").collect()
     assert sum(r.label == r.text_class for r in both) >= 0.9 * len(both)
+
+
+MENU = "Home ledger archive\n"
+
+
+def test_repetition_decides(monkeypatch):
+    """Without the statistics of repetition each of these texts has another class."""
+    known = set(WORDS).__contains__
+    few = "The ledger of the council was read and read again. " * 12
+    texts = {
+        "list": "\n".join(f"surveyor inspected the warehouse under section {w} {w} record" for w in WORDS[4:12]),
+        "junk": "Ledger council read " * 20,
+    }
+    assert q.measure(few, known, known)[-1] == "prose"
+    with_rules = {k: q.measure(t, known, known)[-1] for k, t in texts.items()}
+    assert with_rules == {"list": "list", "junk": "junk"}
+    figures = dict(zip((*q.METRICS, "text_class"), q.measure(PROSE + "\n" + MENU * 4, known, known)))
+    assert figures["boilerplate_share"] > 0.05 and figures["text_class"] == "prose"
+    assert q.measure(MENU * 4, known, known)[-1] == "list"
+    mixed = "archive ledger council harbour record still\n" * 6 + "- ledger 1\n- council 2\n- record 3\n- page 4\n- section 5\n"
+    assert q.measure(mixed, known, known)[-1] == "list"
+    monkeypatch.setattr(q, "BOILERPLATE", 10**9)
+    monkeypatch.setattr(q, "TEMPLATE", 10**9)
+    monkeypatch.setattr(q, "DOMINANT", 10**9)
+    assert [q.measure(t, known, known)[-1] for t in (texts["list"], texts["junk"], mixed)] == ["junk", "prose", "prose"]
+
+
+def test_a_vocabulary_of_any_size_gives_the_same_rows(spark, monkeypatch):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = {tuple(r) for r in q.document_quality(documents).collect()}
+    monkeypatch.setattr(q, "VOCABULARY_ROWS", 700)
+    assert len(q._in_blocks(documents.select("doc_id", "text"), None)) > 1
+    assert {tuple(r) for r in q.document_quality(documents).collect()} == whole
