@@ -18,7 +18,9 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,6 @@ CONFUSED, CHANGED, SPACED = -5.0, -10.0, -7.5
 ROUNDS, PRIOR = 3, 2_000
 #: Lowest channel score of a candidate.
 LEAST_CHANNEL = -16.0
-#: Characters of texts that are counted before counts leave a worker.
-COUNT_CHARS = 20_000_000
 HYPHENS = "-‐‑­¬"
 #: Fixed value: letters that are words.
 SINGLE = "aàéoyiwzвксуи"
@@ -785,53 +785,52 @@ def _fine(core: str, model: Model) -> bool:
 _PLAIN_WORD = re.compile(r"[^\W\d_]+(?:[’'\-‑][^\W\d_]+)*")
 
 
-class _Cores(dict):
-    def __missing__(self, token: str) -> str:
-        core = self[token] = _core(token) if len(token) < 200 else ""
-        return core
+def _tallied(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, counts = np.unique(codes, return_counts=True)
+    return values, counts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(kind, a, b, c)`` of pages ``(native, path, text)``, counted within a worker.
+    """``(kind, a, b, c)`` of pages ``(native, path, text)``, counted within a batch.
 
     Kinds: ``w`` words and ``p`` pairs of native pages, ``#`` their numbers, ``t`` pages of other engines by word, ``n`` notices with their path.
+    Words are numbered once a batch, so that marks around them are taken off once for each and counts are of numbers.
     """
-    cores = _Cores()
-    counts: dict[str, Counter] = defaultdict(Counter)
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        words: Counter = Counter()
-        for (w, _), c in counts["p"].items():
-            words[w] += c
-        rows = [("w", w, "", c) for w, c in words.items() if _PLAIN_WORD.fullmatch(w)]
-        numbers = sum(c for w, c in words.items() if w[:1].isdigit() and _CODE.fullmatch(w))
-        rows.append(("#", "", "", numbers))
-        plain = {r[1] for r in rows}
-        rows += [("p", a, b, c) for (a, b), c in counts["p"].items() if a in plain and b in plain]
-        rows += [("t", w, "", c) for w, c in counts["t"].items() if w]
-        rows += [("n", n, path, c) for (n, path), c in counts["n"].items()]
-        counts.clear()
-        if len(cores) > 1_000_000:
-            cores.clear()
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([*(pa.array(columns[k], pa.string()) for k in range(3)), pa.array(columns[3], pa.int64())], ["kind", "a", "b", "c"])
-
     for batch in batches:
-        for native, path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            text = text.as_py()
-            found = [cores[t] for t in text.split()]
-            if native:
-                counts["p"].update(zip(found, [*found[1:], ""]))
-            else:
-                counts["t"].update(set(found))  # once a page, so that a repeated text is no evidence for a word
-                for n in _edge_notices(text):
-                    counts["n"][n, path or ""] += 1
-            size += len(text)
-            if size > COUNT_CHARS:
-                yield flush()
-                size = 0
-    yield flush()
+        native = np.array(batch.column(0).to_pylist(), bool)
+        lists = pc.utf8_split_whitespace(batch.column(2))
+        encoded = lists.flatten().dictionary_encode()
+        cores = [_core(t) if t else "" for t in encoded.dictionary.to_pylist()]
+        names = {w: k for k, w in enumerate(dict.fromkeys(["", *cores]))}
+        words = list(names)
+        code = np.array([names[w] for w in cores], np.int64)[encoded.indices.to_numpy()] if cores else np.zeros(0, np.int64)
+        page = np.repeat(np.arange(len(native)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        own = native[page]
+        size = len(words)
+        rows: list[tuple[list, list, list, list]] = []
+        plain = np.array([bool(_PLAIN_WORD.fullmatch(w)) for w in words])
+        numeric = np.array([w[:1].isdigit() and bool(_CODE.fullmatch(w)) for w in words])
+        values, counts = _tallied(code[own])
+        rows.append(("#", [""], [""], [int(counts[numeric[values]].sum())]))
+        keep = plain[values]
+        rows.append(("w", [words[v] for v in values[keep]], None, counts[keep].tolist()))
+        near = own[:-1] & (page[:-1] == page[1:]) & plain[code[:-1]] & plain[code[1:]]
+        values, counts = _tallied(code[:-1][near] * size + code[1:][near])
+        rows.append(("p", [words[v] for v in values // size], [words[v] for v in values % size], counts.tolist()))
+        # Once a page, so that a repeated text is no evidence for a word.
+        values, counts = _tallied(_tallied(page[~own] * size + code[~own])[0] % size)
+        rows.append(("t", [words[v] for v in values if v], None, [int(c) for v, c in zip(values, counts) if v]))
+        notices: Counter = Counter()
+        for k in np.flatnonzero(~native).tolist():
+            path = batch.column(1)[k].as_py() or ""
+            for n in _edge_notices(batch.column(2)[k].as_py()):
+                notices[n, path] += 1
+        rows.append(("n", [n for n, _ in notices], [x for _, x in notices], list(notices.values())))
+        for kind, a, b, c in rows:
+            if a:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b or [""] * len(a), pa.string()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"]
+                )
 
 
 _SPACES, _END_NUMBER = re.compile(r"\s+"), re.compile(r"\s*[·•|]?\s*\d+\s*$")

@@ -5,7 +5,8 @@
    ``least`` points leaves an anchor that depends on the run alone. An anchor that two texts have
    in common is the only way to share a run, so texts without one leave the computation.
 3. The stretches around common anchors go to shards by the smallest id that holds the anchor, so all
-   holders of an anchor meet. A large set is cut into blocks, and each pair of blocks is a shard.
+   holders of an anchor meet. For pairs a large set is cut into blocks, and each pair of blocks is a shard; the result is
+   as large as that. For spans the windows of a large set are counted by their 128-bit hashes, which takes no pairs.
 4. Each shard builds a compressed FM-index of its stretches and streams them through it backwards, the length
    of the match kept at ``least``; windows whose interval holds a row of another text are reported.
 """
@@ -224,11 +225,11 @@ def copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return keyed.join(groups.select("h", "n", "rep"), ["h", "n"]).select("member", "rep", "n")
 
 
-def _shards(documents: DataFrame, members: DataFrame, least: int, anchor: int, doc_id: str, text: str) -> DataFrame:
-    """``(shard, id, start, side, part)``: stretches of representatives around anchors that another one holds too.
+def _parts(documents: DataFrame, members: DataFrame, least: int, anchor: int, doc_id: str, text: str) -> DataFrame:
+    """``(lead, id, start, part, blocks)``: stretches of representatives around anchors that another one holds too.
 
-    ``side`` is 0 in a shard of one block, 1 and 2 in one of two. A text shares a run with another only if both have
-    a stretch with the whole run's windows in one shard.
+    A text shares a window with another only if both have a stretch with it of the same ``lead``. ``blocks`` is how
+    many shards the stretches of a lead would fill.
     """
     if not 0 < anchor < least:
         raise ValueError("an anchor must be shorter than a run")
@@ -246,11 +247,17 @@ def _shards(documents: DataFrame, members: DataFrame, least: int, anchor: int, d
     parts = per_text.join(texts, "id").select("id", "text", "hits").mapInPandas(
         _stretches(least, anchor), "lead bigint, id bigint, start bigint, part string"
     )
-    # A set of texts too large for one shard is cut into blocks; every pair of blocks meets once.
+    return parts.join(sizes, "lead")
+
+
+def _shards(parts: DataFrame) -> DataFrame:
+    """``(shard, id, start, side, part)``: a shard for each set of texts, or for each pair of blocks of a large one.
+
+    ``side`` is 0 in a shard of one block, 1 and 2 in one of two.
+    """
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     spread = (
-        parts.join(sizes, "lead")
-        .withColumn("block", block)
+        parts.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             F.xxhash64("lead", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "id", "start",
@@ -260,6 +267,46 @@ def _shards(documents: DataFrame, members: DataFrame, least: int, anchor: int, d
     return spread.repartition("shard").sortWithinPartitions("shard")
 
 
+def _window_hashes(least: int):
+    """``(h1, h2, id, s)`` of every window of ``least`` points of stretches ``(id, start, part)``."""
+    factors = (_FACTOR, 0xD1342543DE82EF95)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, start, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                points = _points(part.as_py()).astype(np.uint64) + np.uint64(1)
+                n = len(points) - least + 1
+                if n < 1:
+                    continue
+                hashes = []
+                for f in factors:
+                    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(points), f, np.uint64)]))
+                    down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(points), pow(f, -1, 2**64), np.uint64)]))
+                    sums = np.concatenate([[np.uint64(0)], np.cumsum(points * down[:-1])])
+                    h = (sums[least:] - sums[:-least]) * up[:n]
+                    h ^= h >> np.uint64(32)
+                    h *= np.uint64(0x9E3779B97F4A7C15)
+                    hashes.append((h ^ (h >> np.uint64(29))).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[0]), pa.array(hashes[1]), pa.array(np.full(n, i, np.int64)), pa.array(np.arange(start, start + n, dtype=np.int64))], ["h1", "h2", "id", "s"]
+                )
+
+    return run
+
+
+#: Parts into which the rows of one window are dealt when they are looked up.
+SALTS = 32
+
+
+def _large_spans(parts: DataFrame, least: int) -> DataFrame:
+    """``(id, s, e)`` of windows that texts of different ids hold, for sets of any size: counted map-side, looked up in salted parts."""
+    windows = stage(parts.select("id", "start", "part").mapInArrow(_window_hashes(least), "h1 bigint, h2 bigint, id bigint, s bigint"), "windows")
+    shared = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    salted = shared.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = windows.withColumn("salt", F.pmod(F.xxhash64("id", "s"), F.lit(SALTS)).cast("int"))
+    return own.join(salted, ["h1", "h2", "salt"], "left_semi").select("id", "s", (F.col("s") + least).alias("e"))
+
+
 def shared_pairs(documents: DataFrame, least: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id_a, doc_id_b)`` of all records that share a run of ``least`` code points.
 
@@ -268,7 +315,7 @@ def shared_pairs(documents: DataFrame, least: int = 300, doc_id: str = "doc_id",
     shorter texts share nothing; repeated rows count once.
     """
     members = stage(copies(documents, doc_id, text), "copies")
-    shards = _shards(documents, members, least, ANCHOR, doc_id, text)
+    shards = _shards(_parts(documents, members, least, ANCHOR, doc_id, text))
     found = _in_shards(_pairs_in_shard(least), ["id_a", "id_b"], [pa.int64(), pa.int64()])
     pairs = shards.mapInArrow(found, "id_a bigint, id_b bigint").distinct()
     m = members.select("member", "rep")
@@ -286,10 +333,12 @@ def shared_spans(documents: DataFrame, least: int = 300, doc_id: str = "doc_id",
     another record; a copy of another record of that length is shared as a whole. Empty texts share 0.
     """
     members = stage(copies(documents, doc_id, text), "copies")
-    shards = _shards(documents, members, least, ANCHOR, doc_id, text)
+    parts = stage(_parts(documents, members, least, ANCHOR, doc_id, text), "parts")
     found = _in_shards(_spans_in_shard(least), ["id", "s", "e"], [pa.int64()] * 3)
+    runs = _shards(parts.where("blocks = 1")).mapInArrow(found, "id bigint, s bigint, e bigint")
+    runs = runs.unionByName(_large_spans(parts.where("blocks > 1"), least))
     # One span per start keeps a text's list within its own length, whatever the number of partners.
-    spans = stage(shards.mapInArrow(found, "id bigint, s bigint, e bigint").groupBy("id", "s").agg(F.max("e").alias("e")), "spans")
+    spans = stage(runs.groupBy("id", "s").agg(F.max("e").alias("e")), "spans")
     joined = F.aggregate(
         F.array_sort(F.collect_list(F.struct("s", "e"))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"), F.lit(-1).cast("long").alias("end")),

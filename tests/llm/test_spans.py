@@ -152,6 +152,13 @@ def test_shares(spark):
         assert 0 <= got[i].shared_share <= 1
 
 
+def test_large_sets_give_the_same_shares(spark, monkeypatch):
+    docs = corpus()
+    whole = {tuple(r) for r in spans.shared_spans(rows(spark, docs)).collect()}
+    monkeypatch.setattr(spans, "SHARD", 800)
+    assert {tuple(r) for r in spans.shared_spans(rows(spark, docs)).collect()} == whole
+
+
 def test_empty(spark):
     empty = rows(spark, [(1, None)])
     assert spans.shared_pairs(empty).count() == 0
