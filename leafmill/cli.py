@@ -38,6 +38,12 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--state", required=True, help="folder of the state and the stream's checkpoint")
     w.add_argument("--once", action="store_true")
     w.add_argument("--poll-interval", type=int, default=30, help="minutes")
+    w.add_argument("--cooldown", type=float, default=ls.COOLDOWN_MINUTES, help="minutes that a file must have been left alone")
+    w.add_argument("--formats", default="")
+    n = sub.add_parser("learn", help="train the model on all outcomes, or forget both")
+    n.add_argument("action", choices=("retrain", "reset"))
+    n.add_argument("root", help="folder of outcomes and model")
+    n.add_argument("--key", required=True, help="file of the key that signs the model")
     s = sub.add_parser("stats", help="report on outcomes and processed files")
     s.add_argument("outcomes")
     s.add_argument("files")
@@ -71,7 +77,7 @@ def convert(
     first = su.with_status(open_, improve, overwrite, dry_run)
     waiting = first.where("status IN ('created', 'kept', 'improved', 'failed')").select("path", "output_path", "length", "exists")
     done = first.where("status NOT IN ('created', 'kept', 'improved', 'failed')")
-    files = src.load_files(spark, [directory], recursive).join(waiting.select("path"), "path", "left_semi")
+    files = src.read_files(waiting.select("path"))
     rendered = waiting.join(src.documents(files).drop("output_path"), "path")
     rendered = _scored(rendered.withColumn("new_text", F.array_join("pages", "\n")), "new_text", "new_")
     if improve:
@@ -91,16 +97,31 @@ def convert(
     return a.unionByName(b)
 
 
+def take_up(todo: DataFrame) -> DataFrame:
+    """Converts files ``(key, ...)`` and returns the keys of those that could be converted; the others are tried again."""
+    rendered = stage(src.documents(src.read_files(todo.select(F.col("key").alias("path")))), "rendered")
+    src.write_markdown(rendered)
+    for row in rendered.where("error IS NOT NULL").select("path", "error").toLocalIterator():
+        print(f"Failed: {row.path} -> {row.error}", file=sys.stderr)
+    return rendered.where("error IS NULL").select(F.col("path").alias("key"))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("leafmill").getOrCreate()
     ship(spark)
+    if args.command == "learn":
+        from leafmill.streaming.online import OnlineLearner
+
+        learner = OnlineLearner(spark, args.root, args.key)
+        learner.reset() if args.action == "reset" else learner.retrain()
+        return 0
+    try:
+        wanted = formats(getattr(args, "formats", ""))
+    except ValueError as error:
+        print(error, file=sys.stderr)
+        return 1
     if args.command == "convert":
-        try:
-            wanted = formats(args.formats)
-        except ValueError as error:
-            print(error, file=sys.stderr)
-            return 1
         directory = spark.range(1).select(convert_windows_path(F.lit(args.directory)).alias("d")).first().d
         results = convert(spark, directory, args.recursive, wanted, args.improve, args.overwrite, args.dry_run)
         totals = su.roll_up(results.withColumns({"ocr_pages": F.lit(0), "ocr_chars": F.lit(0)}))
@@ -109,11 +130,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "watch":
         from leafmill.streaming.watch import watch
 
-        def take(todo: DataFrame) -> None:
-            files = src.load_files(spark, args.directories, args.recursive).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-            src.write_markdown(src.documents(files.join(todo.select(F.col("key").alias("path")), "path", "left_semi")))
+        def take(todo: DataFrame) -> DataFrame:
+            return take_up(todo)
 
-        query = watch(spark, args.directories, inc.StateStore(spark, f"{args.state}/state"), f"{args.state}/checkpoint", take, args.recursive, None if args.once else args.poll_interval)
+        query = watch(spark, args.directories, inc.StateStore(spark, f"{args.state}/state"), f"{args.state}/checkpoint", take, args.recursive, None if args.once else args.poll_interval, formats=wanted, cooldown=args.cooldown)
         query.awaitTermination()
         return 0
     outcomes, files = spark.read.parquet(args.outcomes), spark.read.parquet(args.files)

@@ -67,3 +67,20 @@ def recognised_text(result: Column) -> Column:
     )
     lines = F.coalesce(flat, nested, listed, F.array().cast("array<string>"))
     return F.array_join(F.filter(lines, lambda x: x.isNotNull() & (x != "")), "\n")
+
+
+def grouped(number: Column) -> Column:
+    """Whole number with commas between thousands."""
+    return F.format_number(number, 0)
+
+
+def megabytes(size: Column) -> Column:
+    """Bytes as megabytes with two decimals."""
+    return F.format_string("%.2f MB", size / (1024.0 * 1024.0))
+
+
+def progress_bar(progress: Column, width: int, label: str = "") -> Column:
+    """A bar of filled and empty cells with its percentage, as wide as is left beside the label."""
+    cells = max(width - len(label) - 10, 0)
+    filled = F.floor(progress * cells).cast("int")
+    return F.concat(F.lit(f"{label} ["), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(cells) - filled), F.lit("]"), F.format_string(" %5.1f%%", progress * 100))

@@ -108,8 +108,8 @@ def text_context(images: DataFrame, blocks: DataFrame) -> DataFrame:
     return sums.withColumn("surrounding_text_density", F.col("_chars") / F.greatest(searched, F.lit(1)) * 10000).drop("_chars")
 
 
-def distinct_rects(rects: Column) -> Column:
-    """Rectangles in order without those that intersect an accepted one of similar area."""
+def distinct_rects(rects: Column, accepted: Column | None = None) -> Column:
+    """Rectangles in order without those that intersect an accepted one of similar area; all of ``accepted`` come first."""
 
     def area(r: Column) -> Column:
         return (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
@@ -121,7 +121,8 @@ def distinct_rects(rects: Column) -> Column:
 
         return F.exists(accepted, same)
 
-    return F.aggregate(rects, F.slice(rects, 1, 0), lambda acc, r: F.when(taken(acc, r), acc).otherwise(F.concat(acc, F.array(r))))
+    start = F.slice(rects, 1, 0) if accepted is None else accepted
+    return F.aggregate(rects, start, lambda acc, r: F.when(taken(acc, r), acc).otherwise(F.concat(acc, F.array(r))))
 
 
 def merge_page(blocks: DataFrame, *keys: str) -> DataFrame:

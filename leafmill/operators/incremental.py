@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.session import stage
+
 STATE_SCHEMA = "key string, size bigint, mtime_us bigint, content_hash string, row_hash bigint"
 #: Width of the time buckets on which records meet the runs that wrote them.
 BUCKET_S = 6 * 3600
@@ -190,17 +192,23 @@ def merge_state(state: DataFrame, taken: DataFrame, current: DataFrame | None =
     return merged if current is None else merged.join(current.select("key"), "key", "left_semi")
 
 
-def run_once(store: StateStore, current: DataFrame, consume: Callable[[DataFrame], None]) -> int:
+def run_once(store: StateStore, current: DataFrame, consume: Callable[[DataFrame], DataFrame | None]) -> int:
     """One incremental run: select, consume, commit. Returns the committed version.
 
-    If ``consume`` fails nothing is committed, so the next run sees the same records again; a
-    consumer keyed by ``key`` and ``row_hash`` makes the repetition harmless.
+    What is to be done is written once, so a source that changes meanwhile cannot commit records that were not
+    consumed. ``consume`` may return ``(key, ...)`` of the records it took up; the others stay to be done. If it fails
+    nothing is committed, so the next run sees the same records again; a consumer keyed by ``key`` and ``row_hash`` makes the
+    repetition harmless.
     """
     base = store.version()
     state = store.load()
-    todo = changed(current, state)
-    consume(todo)
-    return store.commit(merge_state(state, todo), expected=base)
+    todo = stage(changed(current, state), "todo")
+    return store.commit(merge_state(state, succeeded(todo, consume(todo))), expected=base)
+
+
+def succeeded(todo: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Rows that a consumer took up: all, if it does not say which."""
+    return todo if done is None else todo.join(done.select("key").distinct(), "key", "left_semi")
 
 
 def watch_changes(spark: SparkSession, listing: DataFrame, processed: DataFrame, runs: DataFrame, root: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.strings import percent
+from leafmill.functions.signing import sign, verify
+from leafmill.functions.strings import percent, reason_probability
 from leafmill.operators.features import FEATURES, vector
-from leafmill.operators.order import with_blocks, with_ordinal
+from leafmill.operators.order import by_ranges, with_blocks, with_ordinal, with_range_sum
 from leafmill.operators.status import one_row
 
 # Samples before predictions, between trainings and until exploration halves.
@@ -132,34 +135,13 @@ def account(outcomes: DataFrame) -> DataFrame:
 def running_samples(outcomes: DataFrame) -> DataFrame:
     """Adds how many recognised samples there were up to each row, in all and of its bin, and the model version.
 
-    Rows are ``(recorded_at, id, ...)``, unique by both. Recognised rows are numbered in order over all tasks;
-    bins are few, so they are numbered within blocks and the counts of earlier blocks are added.
+    Rows are ``(recorded_at, id, ...)``, unique by both. They are summed within ranges of the order and the sums of the ranges before are added.
     """
-    ordered = with_ordinal(outcomes.withColumns(region_bins()), "recorded_at", "id", name="ordinal")
-    blocked = with_blocks(ordered, "ordinal", 0)
+    order = ("recorded_at", "id")
     done = F.col("ocr_performed").cast("int")
-    upto = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keys = ["_block", *REGION_KEY]
-    whole = blocked.groupBy("_block").agg(F.sum(done).alias("_s"))
-    parts = blocked.groupBy(*keys).agg(F.sum(done).alias("_r"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bins = Window.partitionBy(*REGION_KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = whole.select("_block", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
-    region = parts.select(*keys, F.coalesce(F.sum("_r").over(bins), F.lit(0)).alias("_region_base"))
-    inside = blocked.withColumn("_in", F.sum(done).over(_within(upto, "_block"))).withColumn("_rin", F.sum(done).over(_within(upto, *keys)))
-    out = inside.join(base, "_block").join(region, keys)
-    total = (F.col("_base") + F.col("_in")).cast("long")
-    return out.withColumns(
-        {
-            "total_samples": total,
-            "region_samples": (F.col("_region_base") + F.col("_rin")).cast("long"),
-            "model_version": F.floor(total / RETRAIN_EVERY).cast("long"),
-        }
-    ).drop("_block", "_own", "_in", "_rin", "_base", "_region_base")
-
-
-def _within(window, *keys: str):
-    return Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = by_ranges(outcomes.withColumns(region_bins()), *order)
+    out = with_range_sum(with_range_sum(ranged, done, "total_samples", [], *order), done, "region_samples", list(REGION_KEY), *order)
+    return out.withColumn("model_version", F.floor(F.col("total_samples") / RETRAIN_EVERY).cast("long")).drop("_range")
 
 
 def recent_error(predictions: DataFrame) -> DataFrame:
@@ -244,14 +226,87 @@ def train(outcomes: DataFrame, path: str | None = None):
     return model
 
 
-def load_or_train(path: str, outcomes: DataFrame):
-    """The saved model, or a new one if it cannot be loaded."""
+def _files(spark, root: str) -> list:
+    """Files below a folder in order of path, and their file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, walk = [], fs.listFiles(path, True)
+    while walk.hasNext():
+        found.append(walk.next().getPath())
+    return [fs, sorted(found, key=lambda p: p.toString())]
+
+
+def model_digest(spark, path: str) -> bytes:
+    """SHA-256 over names and contents of a saved model's files; a model has a few small files."""
+    digest, (fs, files) = hashlib.sha256(), _files(spark, path)
+    for file in files:
+        stream = fs.open(file)
+        try:
+            content = bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+        name = file.toString().split("/model/")[-1]
+        digest.update(f"{name}:{len(content)}:".encode() + content)
+    return digest.digest()
+
+
+def save_signed(model, root: str, key: bytes, samples: int) -> None:
+    """Saves a model below ``root/model`` and, beside it, the signed digest of its files with the samples it was trained on."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{root}/model")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/model.signed")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(bytearray(sign(model_digest(spark, f"{root}/model") + samples.to_bytes(8, "big"), key)))
+    out.close()
+
+
+def load_signed(root: str, key: bytes):
+    """``(model, samples)`` if the signature fits the files; ``(None, 0)`` for a missing, changed or foreign model."""
     from pyspark.ml.classification import DecisionTreeClassificationModel
 
+    spark = SparkSession.active()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/model.signed")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None, 0
+    stream = fs.open(path)
+    try:
+        blob = verify(bytes(stream.readAllBytes()), key)
+    finally:
+        stream.close()
     try:
-        return DecisionTreeClassificationModel.load(path)
-    except Exception:
-        return train(outcomes, path)
+        if blob is None or len(blob) != 40 or blob[:32] != model_digest(spark, f"{root}/model"):
+            return None, 0
+    except Exception:  # files that cannot be read are not trusted either
+        return None, 0
+    return DecisionTreeClassificationModel.load(f"{root}/model"), int.from_bytes(blob[32:], "big")
+
+
+def load_or_train(root: str, outcomes: DataFrame | None, key: bytes):
+    """``(model, samples)``: the stored model, a new one if it cannot be trusted or enough samples came since, or None."""
+    model, trained = load_signed(root, key)
+    samples = outcomes.where("ocr_performed").count() if outcomes is not None else 0
+    if samples >= LEAST_SAMPLES and (model is None or samples - trained >= RETRAIN_EVERY):
+        fresh = train(outcomes)
+        if fresh is not None:
+            save_signed(fresh, root, key, samples)
+            return fresh, samples
+    return model, trained
+
+
+def adaptive_inputs(outcomes: DataFrame) -> DataFrame:
+    """One row ``(recent_error, recent_count, validated, validated_useful)`` from outcomes with ``reason``.
+
+    Recent ones are the last recognised images whose reason states a probability, by time and id.
+    """
+    p = reason_probability(F.col("reason"))
+    stated = outcomes.where(F.col("ocr_performed") & F.col("is_useful").isNotNull() & p.isNotNull())
+    last = stated.orderBy(F.desc("recorded_at"), F.desc("id")).limit(RECENT)
+    wrong = ((p < 0.5) == F.col("is_useful")).cast("int")
+    recent = last.agg(F.coalesce(F.avg(wrong), F.lit(0.0)).alias("recent_error"), F.count("*").alias("recent_count"))
+    checks = outcomes.where(F.col("ocr_performed") & F.col("reason").startswith("skip-validation"))
+    return one_row(recent, checks.agg(F.count("*").alias("validated"), F.count_if(F.coalesce("is_useful", F.lit(False))).alias("validated_useful")))
 
 
 def predict(model, images: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.strings import temp_pattern
@@ -86,7 +86,7 @@ def editor_locks(candidates: DataFrame, listing: DataFrame, path: str = "path")
     return keys.join(present, "lock").groupBy(path).agg(first.alias("lock"))
 
 
-def readiness(listing: DataFrame, now: Column, locks: DataFrame | None = None) -> DataFrame:
+def readiness(listing: DataFrame, now: Column, locks: DataFrame | None = None, cooldown: float = COOLDOWN_MINUTES) -> DataFrame:
     """``(path, ready, reason)`` of ``(path, length, mtime)`` rows; the first reason that holds counts.
 
     ``now`` and ``mtime`` are epoch seconds. Reasons carry no figures, so that they can be counted.
@@ -98,7 +98,7 @@ def readiness(listing: DataFrame, now: Column, locks: DataFrame | None = None) -
         F.when(F.col("length").isNull() | F.col("mtime").isNull(), "file does not exist")
         .when(pattern.isNotNull(), F.concat(F.lit("matches temp pattern: "), pattern))
         .when(F.col("length") < LEAST_SIZE, "too small")
-        .when(now - F.col("mtime") < COOLDOWN_MINUTES * 60, "cooldown")
+        .when(now - F.col("mtime") < cooldown * 60, "cooldown")
         .when(locked, "editor lock")
         .otherwise("ready")
     )
@@ -148,7 +148,21 @@ def touch(processed: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def newest_window(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``latest`` by a window, for tables whose rows cannot be compared as a whole."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def file_records(files: DataFrame, now: Column) -> DataFrame:
+    """Records of processed files from ``(path, file_hash, file_size, page_count, image_count, score, word_count, old_score, mode)``.
+
+    The change in quality is null without both scores. A content seen under several paths has one record, the greatest.
+    """
+    rows = files.select(
+        "file_hash", now.cast("double").alias("processed_at"), F.col("path").alias("pdf_path"), "file_size", "page_count", "image_count", now.cast("double").alias("last_seen_at"),
+        F.col("score").alias("quality_score"), F.col("word_count").alias("quality_word_count"), F.col("old_score").alias("previous_quality_score"),
+        (F.col("score") - F.col("old_score")).alias("quality_delta"), F.col("mode").alias("extraction_mode"),
+    )
+    return latest(rows, "file_hash", "processed_at")
+
+
+def regressed(records: DataFrame, below: float = -0.02) -> DataFrame:
+    """``(path, old_score, new_score, delta)`` of records whose quality fell by more than the bound."""
+    return records.where(F.col("quality_delta") < below).select(
+        F.col("pdf_path").alias("path"), F.col("previous_quality_score").alias("old_score"), F.col("quality_score").alias("new_score"), F.col("quality_delta").alias("delta")
+    )

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators.order import with_ordinal
+from leafmill.operators.order import by_ranges
 
 DATE = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})"
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_id, line)`` of text files: ids rise in the order of files and lines, with gaps."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
+
+
 def dated(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds ``ts``, the time a line starts with, or null."""
     text = F.regexp_extract(line, DATE, 1)
@@ -19,17 +24,15 @@ def dated(lines: DataFrame, line: str = "line") -> DataFrame:
 def carried(lines: DataFrame, order: str) -> DataFrame:
     """Adds ``last_ts``, the time of the last dated line up to each line.
 
-    Lines are numbered over all tasks and looked up in blocks; the last time of the blocks before is carried in.
+    Lines are looked up within ranges of the order; the last time of the ranges before, one row for each, is carried in.
     """
-    ordered = with_ordinal(lines, order)
-    blocked = ordered.withColumn("_block", F.floor((F.col("ordinal") - 1) / 10_000))
-    ends = blocked.where("ts IS NOT NULL").groupBy("_block").agg(F.max_by("ts", "ordinal").alias("_end"))
-    blocks = blocked.select("_block").distinct().join(ends, "_block", "left")
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = blocks.select("_block", F.last("_end", ignorenulls=True).over(before).alias("_base"))
-    inner = Window.partitionBy("_block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = blocked.withColumn("_in", F.last("ts", ignorenulls=True).over(inner)).join(base, "_block")
-    return out.withColumn("last_ts", F.coalesce("_in", "_base")).drop("_block", "_in", "_base", "ordinal")
+    ranged = by_ranges(lines, order)
+    ends = ranged.groupBy("_range").agg(F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col(order))).alias("_end"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # rows are ranges
+    base = ends.select("_range", F.last("_end", ignorenulls=True).over(before).alias("_base"))
+    inner = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.withColumn("_in", F.last("ts", ignorenulls=True).over(inner)).join(base, "_range")
+    return out.withColumn("last_ts", F.coalesce("_in", "_base")).drop("_range", "_in", "_base")
 
 
 def tracebacks(lines: DataFrame, order: str, cutoff: Column, line: str = "line") -> DataFrame:

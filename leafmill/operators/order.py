@@ -46,6 +46,28 @@ def with_running_sum(rows: DataFrame, key: str, value: Column, name: str, *order
     return joined.withColumn(name, F.col("_inner") + F.coalesce("_offset", F.lit(0))).drop("_value", "_range", "_at", "_key", "_nth", "_offset", "_inner")
 
 
+def by_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows staged in ranges of an order, as many as partitions; ``_range`` is the place of a row's range."""
+    return stage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def with_range_sum(ranged: DataFrame, value: Column, name: str, keys: list[str], *order: str) -> DataFrame:
+    """Adds the sum of a value over the rows of the same keys up to each row of ``by_ranges``.
+
+    Ranges are summed by themselves; the sums of the ranges before, a row for each range and key, are added.
+    """
+    names = [f"_{k}_{n}" for n, k in enumerate(keys)]
+    sums = ranged.groupBy("_range", *keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # rows are ranges
+    offsets = sums.select(F.col("_range").alias("_at"), *[F.col(k).alias(n) for k, n in zip(keys, names)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    same = F.col("_range") == F.col("_at")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    inner = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return summed.join(offsets, same).withColumn(name, (F.col("_inner") + F.col("_offset")).cast("long")).drop("_at", *names, "_offset", "_inner")
+
+
 def with_blocks(rows: DataFrame, ordinal: str, before: int) -> DataFrame:
     """Rows in blocks, each with the ``before`` rows that precede it marked ``_own`` = false.
 

@@ -97,8 +97,8 @@ def one_row(*frames: DataFrame) -> DataFrame:
 
 def first_regressions(regressions: DataFrame, order: str, n: int = 5) -> DataFrame:
     """The first regressions in order of insertion, each with the number of further ones."""
-    more = max(regressions.count() - n, 0)
-    return regressions.orderBy(order).limit(n).withColumn("more", F.lit(more).cast("long"))
+    more = regressions.agg(F.greatest(F.count("*") - n, F.lit(0)).cast("long")).scalar()
+    return regressions.orderBy(order).limit(n).withColumn("more", more)
 
 
 def last_messages(log: DataFrame, order: str, n: int = 100) -> DataFrame:
@@ -132,8 +132,8 @@ def resolve_engine(requested: Column, enabled: Column, surya: Column, paddle: Co
 
 
 def page_strategy(force: Column, images: Column, engine: Column) -> Column:
-    """text, full or hybrid recognition of a page."""
-    return F.when(engine.isNull() | (engine == "none"), "text").when(force, "full").when(images > 0, "hybrid").otherwise("text")
+    """text, full or hybrid recognition of a page; force asks for full recognition whatever the engine."""
+    return F.when(force, "full").when(engine.isNull() | (engine == "none"), "text").when(images > 0, "hybrid").otherwise("text")
 
 
 def extraction_mode(force: Column, ocr: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import strings as st
 from leafmill.operators import features as fe
+from leafmill.operators import hybrid as hy
 from leafmill.operators import learner as le
 from leafmill.operators import logs
 from leafmill.session import table
@@ -55,29 +56,16 @@ def structs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(back)
 
 
-def _near(pages: DataFrame, lines: str, images: str) -> DataFrame:
-    """Text near the images of pages, the lines of each page as its text blocks."""
-    blocks = pages.select("path", "page_num", F.posexplode(F.split("page_text", "\n", -1)).alias("n", "content")).where(lines).select(
+def context(spark: SparkSession, d: str) -> DataFrame:
+    """Text near the image of every page, the lines of the page as its text blocks."""
+    pages = table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct().where("page_text IS NOT NULL")
+    blocks = pages.select("path", "page_num", F.posexplode(F.split("page_text", "\n", -1)).alias("n", "content")).select(
         "path", "page_num", F.lit(60.0).alias("x0"), (F.col("n") * 20.0).alias("y0"), F.lit(540.0).alias("x1"), (F.col("n") * 20.0 + 18).alias("y1"), "content"
     )
-    made = pages.where(images).select(
+    images = pages.select(
         "path", "page_num", F.col("page_id").alias("image_no"), F.lit(100.0).alias("x0"), (F.col("page_id") % 600).cast("double").alias("y0"), F.lit(300.0).alias("x1"), (F.col("page_id") % 600 + 80).cast("double").alias("y1")
     )
-    return _rounded(fe.text_context(made, blocks).select("path", "page_num", "image_no", "surrounding_text_density", "has_nearby_caption"))
-
-
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct().where("page_text IS NOT NULL")
-
-
-def context(spark: SparkSession, d: str) -> DataFrame:
-    """Text near images on every third page, among the first 40 lines of each."""
-    return _near(_texts(spark, d), "n < 40", "page_id % 3 = 0")
-
-
-def context_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Text near the image of every page, among all its lines."""
-    return _near(_texts(spark, d), "true", "true")
+    return _rounded(fe.text_context(images, blocks).select("path", "page_num", "image_no", "surrounding_text_density", "has_nearby_caption"))
 
 
 def rects(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +109,36 @@ def recognised(spark: SparkSession, d: str) -> DataFrame:
     return c.select("n_nationkey", st.recognised_text(made).alias("text"))
 
 
+def _fake_engine():
+    """Reads from a region where it lies; stands for a recogniser."""
+    return lambda r: "" if r["x0"] == 100 and r["y0"] % 5 == 0 else f"image {r['image_no']} at {int(r['y0'])}"
+
+
+def hybrid_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with its lines as text blocks, an image block, and two listed images, one of them the block's."""
+    pages = table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct().where("page_text IS NOT NULL")
+    pages = pages.withColumn("path", F.concat_ws("/", "path", F.col("page_id").cast("string")))
+    n = F.col("page_id")
+    size = [F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height")]
+    pixels = F.array(F.lit(0), (n % 256).cast("int"), F.lit(255)).alias("pixels")
+    lines = pages.select("path", "page_num", F.posexplode(F.split("page_text", "\n", -1)).alias("seq", "content")).select(
+        "path", "page_num", "seq", F.lit("text").alias("kind"), F.lit(60.0).alias("x0"), (F.col("seq") * 20.0).alias("y0"), F.lit(540.0).alias("x1"), (F.col("seq") * 20.0 + 18).alias("y1"),
+        *size, "content", F.lit(None).cast("array<int>").alias("pixels"),
+    )
+
+    def image(seq: int, kind: str, x0: float, y0, width, height: float) -> DataFrame:
+        top = y0.cast("double")
+        return pages.select(
+            "path", "page_num", F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.lit(x0).alias("x0"), top.alias("y0"), (F.lit(x0) + width).cast("double").alias("x1"), (top + height).alias("y1"),
+            *size, F.lit("").alias("content"), pixels,
+        )
+
+    made = [image(1_000_000, "image", 100.0, n % 600, F.lit(200.0), 80.0), image(1_000_001, "listed", 101.0, n % 600, F.lit(200.0), 80.0), image(1_000_002, "listed", 350.0, n * 7 % 600, n % 40, 30.0)]
+    layout = lines.unionByName(made[0]).unionByName(made[1]).unionByName(made[2])
+    done, _ = hy.extract_pages(pages.select("path", "page_num", *size), layout, _fake_engine, "tesseract", dpi=72)
+    return done.select("path", "page_num", "strategy", F.md5("page_text").alias("text_md5"), "used_ocr", "ocr_regions", "ocr_chars", "skipped", "message")
+
+
 def bins(spark: SparkSession, d: str) -> DataFrame:
     """A2, A3: recognised samples by bin."""
     return le.region_counts(_outcomes(spark, d))
@@ -260,8 +278,8 @@ _LINES = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'Traceback (mos
   CASE WHEN event_type <> 'error' AND event_id % 3 = 0 THEN date_trunc('second', ts) END AS t FROM events"""
 
 QUERIES = {
-    "ref_p2_p3_geometry": geometry, "ref_p4_pixels": pixels, "ref_p5_vectors": vectors, "ref_p6_structs": structs, "ref_j6_j7_context": context, "ref_j6_j7_context_whole": context_whole, "ref_j8_rects": rects, "ref_n2_ordinals": ordinals,
-    "ref_o2_a13_merge": merged, "ref_t13_recognised": recognised, "ref_a2_bins": bins, "ref_p8_heuristics": heuristics, "ref_g1_g5_rates": rates, "ref_g6_decisions": decisions,
+    "ref_p2_p3_geometry": geometry, "ref_p4_pixels": pixels, "ref_p5_vectors": vectors, "ref_p6_structs": structs, "ref_j6_j7_context": context, "ref_j8_rects": rects, "ref_n2_ordinals": ordinals,
+    "ref_o2_a13_merge": merged, "ref_s9_s10_hybrid": hybrid_pages, "ref_t13_recognised": recognised, "ref_a2_bins": bins, "ref_p8_heuristics": heuristics, "ref_g1_g5_rates": rates, "ref_g6_decisions": decisions,
     "ref_g7_accounting": accounting, "ref_n3_n6_running": running, "ref_n5_recent": recent, "ref_a4_a7_counts": counts, "ref_a5_a6_files": files, "ref_g11_report": report,
     "ref_a17_training": training, "ref_g8_trained": trained, "ref_o4_o5_draws": drawn, "ref_a14_tracebacks": traceback_count, "ref_a15_freshness": fresh,
 }
@@ -275,12 +293,6 @@ SQL = {
     "ref_p5_vectors": f"SELECT id, {', '.join(f'CASE WHEN {_WHOLE} THEN round({v}, 9) END AS v{i}' for i, v in enumerate(_VECTOR))} FROM {_O}",
     "ref_p6_structs": f"SELECT id, {', '.join(f'round({c}, 6) AS {c}' if c in ('aspect_ratio', 'page_y_center', 'surrounding_text_density', 'brightness_mean', 'brightness_std') else c for c in fe.FEATURES)} FROM {_O}",
     "ref_j6_j7_context": """WITH p AS (SELECT DISTINCT page_id, path, page_num, page_text FROM extracted_pages WHERE page_text IS NOT NULL),
-      l AS (SELECT path, page_num, unnest(string_split(page_text, chr(10))) AS content, generate_subscripts(string_split(page_text, chr(10)), 1) - 1 AS n FROM p), b AS (SELECT path, page_num, content, n * 20::DOUBLE AS y0, n * 20::DOUBLE + 18 AS y1 FROM l WHERE n < 40),
-      i AS (SELECT path, page_num, page_id AS image_no, CAST(page_id % 600 AS DOUBLE) AS y0 FROM p WHERE page_id % 3 = 0)
-      SELECT i.path, i.page_num, i.image_no, round(coalesce(sum(length(content)) FILTER (b.y0 < i.y0 + 130 AND b.y1 > i.y0 - 50), 0) / 54000::DOUBLE * 10000, 6) AS surrounding_text_density,
-        coalesce(bool_or(b.y0 < i.y0 + 130 AND b.y1 > i.y0 - 50 AND b.y0 > i.y0 + 80 AND b.y0 < i.y0 + 110 AND length(content) < 200 AND regexp_matches(lower(content), 'figure|fig\\.|image|photo|chart|table')), FALSE) AS has_nearby_caption
-      FROM i LEFT JOIN b USING (path, page_num) GROUP BY i.path, i.page_num, i.image_no""",
-    "ref_j6_j7_context_whole": """WITH p AS (SELECT DISTINCT page_id, path, page_num, page_text FROM extracted_pages WHERE page_text IS NOT NULL),
       l AS (SELECT path, page_num, unnest(string_split(page_text, chr(10))) AS content, generate_subscripts(string_split(page_text, chr(10)), 1) - 1 AS n FROM p), b AS (SELECT path, page_num, content, n * 20::DOUBLE AS y0, n * 20::DOUBLE + 18 AS y1 FROM l),
       i AS (SELECT path, page_num, page_id AS image_no, CAST(page_id % 600 AS DOUBLE) AS y0 FROM p)
       SELECT i.path, i.page_num, i.image_no, round(coalesce(sum(length(content)) FILTER (b.y0 < i.y0 + 130 AND b.y1 > i.y0 - 50), 0) / 54000::DOUBLE * 10000, 6) AS surrounding_text_density,
@@ -289,7 +301,23 @@ SQL = {
     "ref_o2_a13_merge": r"""WITH p AS (SELECT DISTINCT page_id, page_text FROM extracted_pages), l AS (SELECT page_id, unnest(string_split(page_text, chr(10))) AS t, generate_subscripts(string_split(page_text, chr(10)), 1) - 1 AS n FROM p),
       s AS (SELECT page_id, n, length(t) AS c, regexp_replace(t, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS t FROM l)
       SELECT page_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY (n * 11) % 7, n)) AS text_md5, count(*) FILTER (n % 4 = 3) AS ocr_regions, CAST(coalesce(sum(c) FILTER (n % 4 = 3), 0) AS BIGINT) AS ocr_chars FROM s WHERE t <> '' GROUP BY page_id""",
+    "ref_s9_s10_hybrid": r"""WITH p AS (SELECT DISTINCT page_id AS i, path || '/' || page_id AS path, page_num, page_text FROM extracted_pages WHERE page_text IS NOT NULL),
+      l AS (SELECT i, unnest(string_split(page_text, chr(10))) AS t, generate_subscripts(string_split(page_text, chr(10)), 1) - 1 AS n FROM p),
+      b AS (SELECT i, n * 20 AS y, n, regexp_replace(t, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS t, FALSE AS o FROM l
+        UNION ALL SELECT i, i % 600, 1000000, CASE WHEN i % 600 % 5 = 0 THEN '' ELSE 'image 0 at ' || (i % 600) END, TRUE FROM p
+        UNION ALL SELECT i, i * 7 % 600, 1000002, 'image 1 at ' || (i * 7 % 600), TRUE FROM p WHERE i % 40 >= 20),
+      g AS (SELECT i, string_agg(t, chr(10) || chr(10) ORDER BY y, n) AS t, count(*) FILTER (o) AS k, CAST(coalesce(sum(length(t)) FILTER (o), 0) AS BIGINT) AS c FROM b WHERE t <> '' GROUP BY i),
+      f AS (SELECT p.path, p.page_num, coalesce(g.t, '') AS t, coalesce(g.k, 0) AS k, coalesce(g.c, 0) AS c, CAST(CASE WHEN p.i % 40 < 20 THEN 1 ELSE 0 END AS BIGINT) AS s FROM p LEFT JOIN g ON p.i = g.i)
+      SELECT path, page_num, 'hybrid' AS strategy, md5(t) AS text_md5, k > 0 AS used_ocr, k AS ocr_regions, c AS ocr_chars, s AS skipped,
+        concat_ws(', ', CASE WHEN k > 0 THEN '+' || k || ' imgs (+' || c || ' chars)' END, CASE WHEN s > 0 THEN 'skipped ' || s END) AS message FROM f""",
     "ref_t13_recognised": "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name || chr(10) || 'x' WHEN 1 THEN n_name WHEN 2 THEN n_name || chr(10) || 'y' ELSE '' END AS text FROM nation",
+    "ref_j8_rects": f"""WITH o AS (SELECT pdf_path, page_num, {{'seq': image_index, 'id': id, 'x0': CAST((id * 13) % 200 AS DOUBLE), 'y0': CAST((id * 29) % 200 AS DOUBLE),
+        'x1': (id * 13) % 200 + width / 4::DOUBLE, 'y1': (id * 29) % 200 + height / 4::DOUBLE}} AS r FROM {_O} WHERE width IS NOT NULL AND height IS NOT NULL),
+      p AS (SELECT pdf_path, page_num, list([r] ORDER BY r) AS l FROM o GROUP BY pdf_path, page_num),
+      k AS (SELECT pdf_path, page_num, len(l) AS images, list_reduce(l, lambda a, b: CASE WHEN len(list_filter(a, lambda q: b[1].x0 < q.x1 AND b[1].x1 > q.x0 AND b[1].y0 < q.y1 AND b[1].y1 > q.y0
+        AND (b[1].x1 - b[1].x0) * (b[1].y1 - b[1].y0) > 0 AND abs((b[1].x1 - b[1].x0) * (b[1].y1 - b[1].y0) - (q.x1 - q.x0) * (q.y1 - q.y0)) / greatest((b[1].x1 - b[1].x0) * (b[1].y1 - b[1].y0), 1::DOUBLE) < 0.5::DOUBLE)) > 0
+        THEN a ELSE list_concat(a, b) END) AS kept FROM p)
+      SELECT pdf_path, page_num, CAST(images AS INTEGER) AS images, CAST(len(kept) AS INTEGER) AS kept FROM k""",
     "ref_n2_ordinals": f"SELECT id, row_number() OVER (PARTITION BY pdf_path, page_num ORDER BY image_index, id) - 1 AS ordinal FROM {_O}",
     "ref_a2_bins": f"SELECT {_SIZE} AS size_bin, {_LIGHT} AS brightness_bin, region, count(*) AS samples FROM {_O} WHERE ocr_performed GROUP BY 1, 2, 3",
     "ref_p8_heuristics": f"SELECT id, {_HEURISTIC} AS reason FROM {_O}",

@@ -3,9 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions import strings as st
+from leafmill.functions import text_quality as tq
 from leafmill.operators import listing as ls
 from leafmill.operators import status as su
-from leafmill.session import table
+from leafmill.plans.text_queries import quality_ctes
+from leafmill.session import table, text_table
 
 #: Fixed time at which listings are judged, epoch seconds.
 NOW = 1767657600
@@ -94,10 +97,17 @@ def tracker_upsert(spark: SparkSession, d: str) -> DataFrame:
     return ls.latest(table(spark, d, "processed").select("path", "processed_at", "mtime", "size", "file_hash"), "path", "processed_at")
 
 
+def tracked(spark: SparkSession, d: str) -> DataFrame:
+    """How many paths the tracker knows, and how many of them have an output."""
+    rows = ls.latest(table(spark, d, "processed").select("path", "processed_at", "output_path"), "path", "processed_at")
+    return rows.agg(F.count("*").alias("total"), F.count("output_path").alias("with_output"))
+
+
 def touched(spark: SparkSession, d: str) -> DataFrame:
-    """K7: processed files whose content was listed again."""
+    """K7: processed files touched where their content was seen under a second path."""
     rows = table(spark, d, "processed_files").select("file_hash", "pdf_path", "last_seen_at").distinct()
-    seen = rows.where("file_hash < '8'").select("file_hash", F.concat("pdf_path", F.lit(".again")).alias("path"))
+    paths = rows.groupBy("file_hash").agg(F.min("pdf_path").alias("first"), F.max("pdf_path").alias("path"))
+    seen = paths.where("first <> path").select("file_hash", F.concat("path", F.lit(".again")).alias("path"))
     return ls.touch(rows, seen, F.lit(float(NOW)))
 
 
@@ -172,6 +182,26 @@ def settings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of documents by the hash of their content, with the newest stored score as the earlier one."""
+    old = ls.latest(table(spark, d, "quality_metrics").select("doc_id", "scored_at", "total_score"), "doc_id", "scored_at").select("doc_id", F.col("total_score").alias("old_score"))
+    docs = text_table(spark, d, "documents").where("text IS NOT NULL").select(
+        "doc_id", F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("path"), F.md5("text").alias("file_hash"), F.octet_length("text").cast("long").alias("file_size"),
+        F.size(F.split("text", "\n\n", -1)).alias("page_count"), F.lit(0).alias("image_count"), F.lit("text").alias("mode"), "text",
+    )
+    scored = tq.with_quality(docs, "text", "now_").withColumns({"score": F.round("now_total_score", 6), "word_count": F.col("now_word_count")})
+    rows = ls.file_records(scored.join(old, "doc_id", "left").withColumn("old_score", F.round("old_score", 6)), F.lit(float(NOW)))
+    worse = ls.regressed(rows).select(F.col("path").alias("pdf_path"), F.lit(True).alias("regressed"))
+    found = rows.join(worse, "pdf_path", "left")
+    return found.select("file_hash", "pdf_path", "file_size", "page_count", "quality_score", "quality_word_count", "previous_quality_score", F.round("quality_delta", 6).alias("quality_delta"), F.coalesce("regressed", F.lit(False)).alias("regressed"))
+
+
+def formatted(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of processed files as they are shown."""
+    f = table(spark, d, "processed_files").select("file_hash", "pdf_path", "file_size", "page_count").distinct()
+    return f.select("file_hash", "pdf_path", st.grouped(F.col("file_size")).alias("bytes"), st.megabytes(F.col("file_size")).alias("mb"), st.progress_bar((F.col("page_count") % 11) / 10.0, 40, "Pages").alias("bar"))
+
+
 _EXT = ", ".join(f"'{v}'" for f in ls.FORMATS for v in ls.case_variants(f))
 _NEW = "(SELECT path, max({'a': listed_at, 'b': modificationtime, 'c': length}) AS n FROM file_listing WHERE path IS NOT NULL GROUP BY path)"
 _LIST = f"(SELECT path, n.c AS size, epoch_us(n.b) AS mtime FROM {_NEW})"
@@ -190,8 +220,8 @@ _STATUS = {
 QUERIES = {
     "ref_s1_find_documents": find_documents, "ref_s1_u1_union": find_union, "ref_s2_find_pdfs": find_pdfs, "ref_s3_o1_scan": scan, "ref_u2_formats": formats,
     "ref_j1_needs_processing": needs_processing, "ref_r3_readiness": readiness, "ref_j5_locks": lock_keys, "ref_j2_unseen": unseen, "ref_k4_upsert": upserted,
-    "ref_k5_tracker": tracker_upsert, "ref_k7_touch": touched, "ref_k2_statuses": statuses, "ref_a8_roll_up": roll_up, "ref_a12_cycle": cycle, "ref_o3_regressions": regressions,
-    "ref_n9_last_messages": last_messages, "ref_k9_exit_code": exit_code, "ref_p11_p14_settings": settings,
+    "ref_k5_tracker": tracker_upsert, "ref_a16_tracked": tracked, "ref_k7_touch": touched, "ref_k2_statuses": statuses, "ref_a8_roll_up": roll_up, "ref_a12_cycle": cycle, "ref_o3_regressions": regressions,
+    "ref_n9_last_messages": last_messages, "ref_k9_exit_code": exit_code, "ref_p11_p14_settings": settings, "ref_g10_h1_records": records, "ref_t11_formats": formatted,
 }
 SQL = {
     "ref_s1_find_documents": f"SELECT DISTINCT path FROM file_listing WHERE regexp_extract(path, '(\\.[^./]+)$', 1) IN ({_EXT})",
@@ -213,7 +243,8 @@ SQL = {
     "ref_k4_upsert": """SELECT file_hash, n.c AS pdf_path, n.d AS page_count, n.a AS processed_at, n.e AS last_seen_at FROM
       (SELECT file_hash, max({'a': processed_at, 'b': page_count % 2, 'c': pdf_path, 'd': page_count, 'e': last_seen_at}) AS n FROM processed_files GROUP BY file_hash)""",
     "ref_k5_tracker": """SELECT path, n.a AS processed_at, n.b AS mtime, n.c AS size, n.d AS file_hash FROM (SELECT path, max({'a': processed_at, 'b': mtime, 'c': size, 'd': file_hash}) AS n FROM processed GROUP BY path)""",
-    "ref_k7_touch": f"""WITH r AS (SELECT DISTINCT file_hash, pdf_path, last_seen_at FROM processed_files), m AS (SELECT file_hash, max(pdf_path || '.again') AS p FROM r WHERE file_hash < '8' GROUP BY file_hash)
+    "ref_a16_tracked": """SELECT count(*) AS total, count(*) FILTER (m.b <> '') AS with_output FROM (SELECT path, max({'a': processed_at, 'b': coalesce(output_path, '')}) AS m FROM processed WHERE path IS NOT NULL GROUP BY path)""",
+    "ref_k7_touch": f"""WITH r AS (SELECT DISTINCT file_hash, pdf_path, last_seen_at FROM processed_files), m AS (SELECT file_hash, max(pdf_path) || '.again' AS p FROM r GROUP BY file_hash HAVING count(DISTINCT pdf_path) > 1)
       SELECT r.file_hash, coalesce(m.p, r.pdf_path) AS pdf_path, CASE WHEN m.p IS NULL THEN last_seen_at ELSE {NOW}::DOUBLE END AS last_seen_at FROM r LEFT JOIN m USING (file_hash)""",
     "ref_k2_statuses": " UNION ALL ".join(f"SELECT {s} AS status, count(*) AS files, '{m}' AS mode FROM ({_RES}) GROUP BY 1" for m, s in _STATUS.items()),
     "ref_a8_roll_up": f"""WITH r AS (SELECT *, {_STATUS['improve']} AS s FROM ({_RES})),
@@ -229,10 +260,18 @@ SQL = {
       SELECT file_hash, round(quality_delta, 6) AS quality_delta, (SELECT CAST(greatest(count(*) - 5, 0) AS BIGINT) FROM f) AS more FROM f ORDER BY processed_at, file_hash LIMIT 5""",
     "ref_n9_last_messages": "SELECT event_id, event_type, row_number() OVER (ORDER BY event_id DESC) AS from_end FROM events ORDER BY event_id DESC LIMIT 100",
     "ref_k9_exit_code": f"SELECT CASE WHEN count(*) FILTER ({_STATUS['standard']} = 'failed') > 0 THEN 1 ELSE 0 END AS exit_code FROM ({_RES})",
+    "ref_g10_h1_records": f"""WITH {quality_ctes("(SELECT doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL)")}, o AS (SELECT doc_id, max({{'a': scored_at, 'b': total_score}}) AS m FROM quality_metrics GROUP BY doc_id),
+      r AS (SELECT md5(q.t) AS file_hash, '/doc/' || q.id AS pdf_path, CAST(strlen(q.t) AS BIGINT) AS file_size, CAST(len(string_split(q.t, chr(10) || chr(10))) AS INTEGER) AS page_count,
+        round(q.total, 6) AS s, q.word_count AS w, round(o.m.b, 6) AS p FROM q LEFT JOIN o ON q.id = o.doc_id),
+      g AS (SELECT file_hash, max(pdf_path) AS pdf_path FROM r GROUP BY file_hash)
+      SELECT r.file_hash, r.pdf_path, file_size, page_count, s AS quality_score, w AS quality_word_count, p AS previous_quality_score, round(s - p, 6) AS quality_delta, coalesce(s - p < -0.02::DOUBLE, FALSE) AS regressed
+      FROM r JOIN g ON r.file_hash = g.file_hash AND r.pdf_path = g.pdf_path""",
+    "ref_t11_formats": """SELECT DISTINCT file_hash, pdf_path, format('{:,}', file_size) AS bytes, printf('%.2f MB', file_size / 1048576::DOUBLE) AS mb,
+      'Pages [' || repeat('█', CAST(floor((page_count % 11) / 10::DOUBLE * 25) AS INTEGER)) || repeat('░', 25 - CAST(floor((page_count % 11) / 10::DOUBLE * 25) AS INTEGER)) || ']' || printf(' %5.1f%%', (page_count % 11) / 10::DOUBLE * 100) AS bar FROM processed_files""",
     "ref_p11_p14_settings": """WITH b AS (SELECT c_custkey AS id, ['surya', 'paddle', 'tesseract', 'auto'][c_custkey % 4 + 1] AS a, (c_custkey // 4) % 2 = 0 AS en, (c_custkey // 8) % 2 = 0 AS su, (c_custkey // 16) % 2 = 0 AS pa, (c_custkey // 32) % 2 = 0 AS te,
         (c_custkey // 64) % 2 = 0 AS fo, c_custkey % 5 AS im, c_custkey % 9 + 1 AS cpu, c_custkey % 30000 AS mb FROM customer),
       e AS (SELECT *, CASE WHEN NOT en THEN NULL WHEN a = 'surya' AND su THEN 'surya' WHEN a IN ('surya', 'paddle') AND pa THEN 'paddle' WHEN te THEN 'tesseract' END AS engine FROM b)
-      SELECT id, engine, CASE WHEN engine IS NULL THEN 'text' WHEN fo THEN 'full' WHEN im > 0 THEN 'hybrid' ELSE 'text' END AS strategy,
+      SELECT id, engine, CASE WHEN fo THEN 'full' WHEN engine IS NULL THEN 'text' WHEN im > 0 THEN 'hybrid' ELSE 'text' END AS strategy,
         CASE WHEN fo THEN 'force_ocr' WHEN engine IS NOT NULL THEN 'ocr' ELSE 'text' END AS mode,
         CAST(greatest(1, CASE WHEN engine IS NULL THEN greatest(cpu - 1, 1) WHEN engine = 'surya' THEN 1 ELSE least(2, cpu - 1) END) AS INTEGER) AS workers,
         CAST(least(64, greatest(4, greatest(0, mb - 4000) // 50)) AS INTEGER) AS recognition, CAST(least(8, greatest(1, greatest(0, mb - 4000) // 280)) AS INTEGER) AS detection FROM e""",

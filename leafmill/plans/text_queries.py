@@ -1,6 +1,6 @@
 """Quality, markdown and text queries over the driver's tables, with their DuckDB SQL."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import markdown as md
@@ -63,11 +63,13 @@ def useful(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(good).alias("useful"), F.round(F.avg("total_score"), 6).alias("avg_score"))
 
 
-def _improve(spark: SparkSession, d: str, pages: Column) -> DataFrame:
-    docs = text_table(spark, d, "documents").select("doc_id", "path", "text")
-    old = docs.select("doc_id", md.strip_metadata(md.create_markdown(F.col("path"), pages, md.page_label(F.col("path")))).alias("old_text"))
-    new = docs.select("doc_id", md.strip_metadata(F.col("text")).alias("new_text"))
-    both = tq.with_quality(tq.with_quality(old.join(new, "doc_id"), "old_text", "old_"), "new_text", "new_")
+def improve(spark: SparkSession, d: str) -> DataFrame:
+    """Stripped old markdown, its paragraphs as pages and every third of them damaged, against the text; both in one pass over the rows."""
+    path = F.col("path")
+    pages = F.transform(F.split("text", "\n\n", -1), lambda p, i: F.when(i % 3 == 1, F.translate(p, "aeo", "4€0")).otherwise(p))
+    old = md.strip_metadata(md.create_markdown(path, pages, md.page_label(path)))
+    docs = text_table(spark, d, "documents").select("doc_id", old.alias("old_text"), md.strip_metadata(F.col("text")).alias("new_text"))
+    both = tq.with_quality(tq.with_quality(docs, "old_text", "old_"), "new_text", "new_")
     delta = F.col("new_total_score") - F.col("old_total_score")
     return both.select(
         "doc_id", F.round("old_total_score", 6).alias("old_score"), F.round("new_total_score", 6).alias("new_score"),
@@ -75,16 +77,6 @@ def _improve(spark: SparkSession, d: str, pages: Column) -> DataFrame:
     )
 
 
-def improve(spark: SparkSession, d: str) -> DataFrame:
-    """Stripped old markdown, of the first 400 characters only, against the text, its figure stored earlier and the class of the change."""
-    return _improve(spark, d, F.array(F.substring(F.col("text"), 1, 400)))
-
-
-def improve_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same with old markdown of all paragraphs, every third of them damaged."""
-    return _improve(spark, d, F.transform(F.split("text", "\n\n", -1), lambda p, i: F.when(i % 3 == 1, F.translate(p, "aeo", "4€0")).otherwise(p)))
-
-
 def markdown(spark: SparkSession, d: str) -> DataFrame:
     """Documents rendered from their paragraphs as pages."""
     docs = text_table(spark, d, "documents").where("path IS NOT NULL")
@@ -142,23 +134,14 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.max("page_num").cast("long").alias("pages"), F.sum(F.length("page_text")).cast("long").alias("chars"))
 
 
-def _sections(spark: SparkSession, d: str, text: Column) -> DataFrame:
+def split_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of each path split into sections at every page with number 1 modulo 5."""
     pages = text_table(spark, d, "extracted_pages").select("page_id", "path", "page_num", "page_text").distinct()
-    marked = pages.select("path", F.struct("page_num", "page_id").alias("pos"), text.alias("text"), (F.col("page_num") % 5 == 1).alias("has_break"))
+    marked = pages.select("path", F.struct("page_num", "page_id").alias("pos"), F.coalesce("page_text", F.lit("")).alias("text"), (F.col("page_num") % 5 == 1).alias("has_break"))
     found = sections.split_sections(marked)
     return found.groupBy("path").agg(F.count("*").alias("sections"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-def split_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of each path split into sections at every page with number 1 modulo 5; only the first 20 characters of a page."""
-    return _sections(spark, d, F.substring(F.coalesce("page_text", F.lit("")), 1, 20))
-
-
-def split_sections_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the whole text of every page."""
-    return _sections(spark, d, F.coalesce("page_text", F.lit("")))
-
-
 def reported(spark: SparkSession, d: str) -> DataFrame:
     """Newest stored metrics of each document beside its score now."""
     from leafmill.operators.listing import latest
@@ -191,10 +174,10 @@ _DAMAGED = f"""(({_HEAD}) || array_to_string(list_transform(list_transform(strin
   lambda p, i: CASE WHEN i = 1 THEN p ELSE {_BREAK} || i || '*' || chr(10) || p END), chr(10)))"""
 
 QUERIES = {
-    "ref_a1_quality": quality, "ref_a1_page_quality": page_quality, "ref_p9_useful": useful, "ref_j3_improve": improve, "ref_j3_improve_whole": improve_whole,
+    "ref_a1_quality": quality, "ref_a1_page_quality": page_quality, "ref_p9_useful": useful, "ref_j3_improve": improve,
     "ref_t2_markdown": markdown, "ref_t2_markdown_parts": markdown_parts, "ref_t1_strip": stripped, "ref_t6_words": words,
     "ref_p1_p16_t3_paths": paths, "ref_t7_t8_tables": tables, "ref_t5_o2_blocks": blocks, "ref_n1_t4_pages": page_text,
-    "ref_n7_sections": split_sections, "ref_n7_sections_whole": split_sections_whole, "ref_a1_reported": reported,
+    "ref_n7_sections": split_sections, "ref_a1_reported": reported,
 }
 SQL = {
     "ref_a1_quality": f"WITH {quality_ctes(_DOCS)} SELECT id AS doc_id, {_SQL_METRICS} FROM q",
@@ -203,12 +186,7 @@ SQL = {
       FROM q JOIN (SELECT DISTINCT page_id || '/' || coalesce(engine, '') AS id, engine FROM u) e ON q.id = e.id GROUP BY e.engine""",
     "ref_p9_useful": f"""WITH {quality_ctes("(SELECT lang AS id, text AS t FROM documents)")}
       SELECT id AS lang, count(*) AS docs, CAST(sum(CASE WHEN total > 0.2 AND r > 0.2 THEN 1 ELSE 0 END) AS BIGINT) AS useful, round(avg(total), 6) AS avg_score FROM q GROUP BY id""",
-    "ref_j3_improve": f"""WITH src AS (SELECT doc_id, {_stripped_sql(f"({_HEAD}) || substring(text, 1, 400)")} AS o, {_stripped_sql("text")} AS n FROM documents),
-      {quality_ctes("(SELECT doc_id AS id, o AS t FROM src)", "qo")}, {quality_ctes("(SELECT doc_id AS id, n AS t FROM src)", "qn")}
-      SELECT qo.id AS doc_id, round(qo.total, 6) AS old_score, round(qn.total, 6) AS new_score, qn.total > qo.total AS better,
-        CASE WHEN round(qn.total - qo.total, 9) > 0.02::DOUBLE THEN 'improved' WHEN round(qn.total - qo.total, 9) < -0.02::DOUBLE THEN 'regressed' WHEN qn.total IS NOT NULL AND qo.total IS NOT NULL THEN 'unchanged' END AS change
-      FROM qo JOIN qn ON qo.id = qn.id""",
-    "ref_j3_improve_whole": f"""WITH src AS (SELECT doc_id, {_stripped_sql(_DAMAGED)} AS o, {_stripped_sql("text")} AS n FROM documents),
+    "ref_j3_improve": f"""WITH src AS (SELECT doc_id, {_stripped_sql(_DAMAGED)} AS o, {_stripped_sql("text")} AS n FROM documents),
       {quality_ctes("(SELECT doc_id AS id, o AS t FROM src)", "qo")}, {quality_ctes("(SELECT doc_id AS id, n AS t FROM src)", "qn")}
       SELECT qo.id AS doc_id, round(qo.total, 6) AS old_score, round(qn.total, 6) AS new_score, qn.total > qo.total AS better,
         CASE WHEN round(qn.total - qo.total, 9) > 0.02::DOUBLE THEN 'improved' WHEN round(qn.total - qo.total, 9) < -0.02::DOUBLE THEN 'regressed' WHEN qn.total IS NOT NULL AND qo.total IS NOT NULL THEN 'unchanged' END AS change
@@ -228,10 +206,6 @@ SQL = {
       SELECT d.doc_id, md5(coalesce(string_agg(s.t, chr(10) || chr(10) ORDER BY (s.i * 7) % 5, s.i), '')) AS joined_md5 FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id AND s.t <> '' GROUP BY d.doc_id""",
     "ref_n1_t4_pages": """SELECT doc_id, CAST(len(string_split(text, chr(10) || chr(10))) AS BIGINT) AS pages, CAST(length(replace(text, chr(10) || chr(10), '')) AS BIGINT) AS chars FROM documents""",
     "ref_n7_sections": """WITH u AS (SELECT DISTINCT page_id, path, page_num, page_text FROM extracted_pages),
-      m AS (SELECT path, page_num, page_id, substring(coalesce(page_text, ''), 1, 20) AS t, sum(CASE WHEN page_num % 5 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY page_num, page_id ROWS UNBOUNDED PRECEDING) AS b FROM u),
-      s AS (SELECT path, b, string_agg(t, chr(10) ORDER BY page_num, page_id) FILTER (t <> '') AS t FROM m GROUP BY path, b)
-      SELECT path, CAST(greatest(count(t), 1) AS BIGINT) AS sections, CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS chars FROM s GROUP BY path""",
-    "ref_n7_sections_whole": """WITH u AS (SELECT DISTINCT page_id, path, page_num, page_text FROM extracted_pages),
       m AS (SELECT path, page_num, page_id, coalesce(page_text, '') AS t, sum(CASE WHEN page_num % 5 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY page_num, page_id ROWS UNBOUNDED PRECEDING) AS b FROM u),
       s AS (SELECT path, b, string_agg(t, chr(10) ORDER BY page_num, page_id) FILTER (t <> '') AS t FROM m GROUP BY path, b)
       SELECT path, CAST(greatest(count(t), 1) AS BIGINT) AS sections, CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS chars FROM s GROUP BY path""",

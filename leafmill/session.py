@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ _TABLES = (
 
 
 _SHIPPED: set[str] = set()
+_OWN: set[str] = set()
+#: Bytes up to which an input in few partitions is spread over all cores.
+SPREAD_BYTES = 1 << 30
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,8 +72,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/leafmill/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses, below the folder of this application."""
+    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    folder = f"{shared_dir(spark)}/leafmill/{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        _OWN.add(folder)
+        atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
+def _delete(jvm, configuration, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
+    except Exception:  # the Java side is gone; what is left stays in the shared folder
+        pass
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes what this application staged. Results that were not read yet become unreadable; it also happens when the application ends."""
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _own_dir(spark))
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -84,12 +109,15 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it is a small input in few partitions, as a single file is; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """``df`` over all cores if its input at ``path`` is small and in few partitions, as a single file is; else as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    return df.repartition(cores) if size <= SPREAD_BYTES and 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose texts are costly to work on."""
-    return spread(table(spark, sf_dir, name))
+    return spread(table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")

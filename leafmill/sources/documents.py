@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import shutil
 import subprocess
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.markdown import create_markdown, markdown_path, page_label, suffix
 from leafmill.operators.sections import render_blocks, split_sections
+from leafmill.session import stage
 
 #: Seconds a conversion by an office program may take.
 CONVERSION_SECONDS = 120
@@ -32,11 +35,105 @@ def list_files(spark: SparkSession, folders: list[str], recursive: bool = False)
 
 
 def load_files(spark: SparkSession, folders: list[str], recursive: bool = False) -> DataFrame:
-    """``(path, content)`` of files."""
+    """``(path, content)`` of all files of folders; for some of them see ``read_files``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
     return reader.load(folders).select("path", "content")
 
 
+def local_path(path: str) -> str:
+    """Path on a file system that all executors mount."""
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def _open(path: str):
+    return open(local_path(path), "rb")
+
+
+def read_files(paths: DataFrame, opener: Callable[[str], object] = _open, per_task: int = 200) -> DataFrame:
+    """``(path, content, error)`` of just these files, each opened where its row is worked on; contents pass no shuffle.
+
+    ``opener`` returns a binary stream. A file that cannot be read has a null content and an error.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                content, error = None, None
+                try:
+                    with opener(path) as f:
+                        content = f.read()
+                except Exception as failure:
+                    error = f"{type(failure).__name__}: {failure}"
+                yield pd.DataFrame({"path": [path], "content": [content], "error": [error]})
+
+    return _dealt(paths, per_task).mapInPandas(run, "path string, content binary, error string")
+
+
+def _dealt(paths: DataFrame, per_task: int) -> DataFrame:
+    """Paths over as many tasks as their number asks for."""
+    rows = stage(paths.select("path"), "paths")
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per_task)))
+
+
+#: Bytes read at a time for a content hash, and seconds between two looks at a file's size.
+CHUNK, SETTLE_SECONDS = 1 << 16, 0.5
+
+
+def content_md5(stream) -> str:
+    """MD5 of a stream's content in hexadecimal digits, read in pieces."""
+    digest = hashlib.md5()
+    while piece := stream.read(CHUNK):
+        digest.update(piece)
+    return digest.hexdigest()
+
+
+def inspect_files(paths: DataFrame, wait: float = SETTLE_SECONDS, per_task: int = 200) -> DataFrame:
+    """``(path, content_hash, problem)``: MD5 of each file, or why it must not be taken up now.
+
+    Problems: it is not a file, another process has locked it, its size changed while it was looked at. A file system without
+    locks is no problem. All files of a batch share one wait.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sizes: dict[str, int] = {}
+            problem: dict[str, str] = {}
+            for path in frame["path"]:
+                at = local_path(path)
+                if not os.path.isfile(at):
+                    problem[path] = "not a file"
+                elif _locked(at):
+                    problem[path] = "locked"
+                else:
+                    sizes[path] = os.path.getsize(at)
+            if sizes:
+                time.sleep(wait)
+            hashes: dict[str, str] = {}
+            for path, size in sizes.items():
+                try:
+                    with open(local_path(path), "rb") as f:
+                        hashes[path] = content_md5(f)
+                    if os.path.getsize(local_path(path)) != size:
+                        problem[path] = "size changed"
+                except OSError:
+                    problem[path] = "disappeared"
+            yield pd.DataFrame({"path": frame["path"], "content_hash": [None if p in problem else hashes.get(p) for p in frame["path"]], "problem": [problem.get(p) for p in frame["path"]]})
+
+    return _dealt(paths, per_task).mapInPandas(run, "path string, content_hash string, problem string")
+
+
+def _locked(path: str) -> bool:
+    import fcntl
+
+    try:
+        with open(path, "rb") as f:
+            fcntl.flock(f.fileno(), fcntl.LOCK_SH | fcntl.LOCK_NB)
+            fcntl.flock(f.fileno(), fcntl.LOCK_UN)
+    except BlockingIOError:
+        return True
+    except OSError:
+        return False
+    return False
+
+
 def existing_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, markdown)`` of the markdown files of a folder."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
@@ -118,9 +215,11 @@ def _extract(read_pdf: Callable[[bytes], list[str]]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for path, content in zip(frame["path"], frame["content"]):
+            for path, content, unread in zip(frame["path"], frame["content"], frame["error"]):
                 extension = os.path.splitext(path)[1].lower()
                 try:
+                    if unread:
+                        raise OSError(unread)
                     if extension == ".pdf":
                         for i, page in enumerate(read_pdf(bytes(content))):
                             rows.append((path, i, "page", "", page, i > 0, None, None))
@@ -138,8 +237,9 @@ def _extract(read_pdf: Callable[[bytes], list[str]]):
 
 
 def extract_blocks(files: DataFrame, read_pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
-    """Body blocks of files ``(path, content)``; a file that cannot be read has one row with its error."""
-    return files.select("path", "content").mapInPandas(_extract(read_pdf), BLOCKS)
+    """Body blocks of files ``(path, content)`` and perhaps ``error``; a file that cannot be read has one row with its error."""
+    files = files if "error" in files.columns else files.withColumn("error", F.lit(None).cast("string"))
+    return files.select("path", "content", "error").mapInPandas(_extract(read_pdf), BLOCKS)
 
 
 def extract_sections(files: DataFrame, read_pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
@@ -177,8 +277,7 @@ def write_markdown(rendered: DataFrame) -> None:
 
     def write(rows) -> None:
         for row in rows:
-            target = row.output_path.removeprefix("file:")
-            target = "/" + target.lstrip("/")
+            target = local_path(row.output_path)
             draft = f"{target}.{os.getpid()}.part"
             with open(draft, "w", encoding="utf-8") as f:
                 f.write(row.markdown)

@@ -140,8 +140,7 @@ def test_training_needs_samples_and_classes(spark, sf, tmp_path):
     model = le.train(o, f"file://{tmp_path}/m")
     scored = le.predict(model, o)
     assert scored.where("probability BETWEEN 0 AND 1").count() + scored.where("probability IS NULL").count() == o.count()
-    assert le.load_or_train(f"file://{tmp_path}/m", o).depth <= 10
-    assert le.load_or_train(f"file://{tmp_path}/none", o) is not None
+    assert le.load_or_train(f"file://{tmp_path}/none", o, b"key")[0].depth <= 10
 
 
 def test_sections(spark):
@@ -168,7 +167,9 @@ def test_status_functions(spark):
     assert value(su.resolve_engine(F.lit("surya"), t, f, t, t)) == "paddle"
     assert value(su.resolve_engine(F.lit("auto"), t, t, t, t)) == "tesseract"
     assert value(su.resolve_engine(F.lit("surya"), f, t, t, t)) is None
-    assert value(su.page_strategy(t, F.lit(3), F.lit("none"))) == "text"
+    assert value(su.page_strategy(t, F.lit(3), F.lit("none"))) == "full"
+    assert value(su.page_strategy(f, F.lit(3), F.lit("none"))) == value(su.page_strategy(f, F.lit(0), F.lit("paddle"))) == "text"
+    assert value(su.page_strategy(f, F.lit(3), F.lit("paddle"))) == "hybrid"
     assert value(su.worker_count(t, F.lit("surya"), t, F.lit(8), F.lit(None).cast("int"))) == 1
     assert value(su.worker_count(f, F.lit("x"), t, F.lit(1), F.lit(None).cast("int"))) == 1
     assert value(su.batch_sizes(F.lit(6000))).recognition == 40

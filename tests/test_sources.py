@@ -100,13 +100,16 @@ def test_online_learning(spark, sf, tmp_path):
     from leafmill.streaming.online import OnlineLearner, decided
 
     o = spark.read.parquet(f"{sf}/ocr_outcomes.parquet").distinct()
-    learner = OnlineLearner(spark, f"file://{tmp_path}/l")
+    learner = OnlineLearner(spark, f"file://{tmp_path}/l", f"{tmp_path}/keys/k")
     draws = (F.lit(0.99), F.lit(0.99))
     assert decided(learner, o, draws).where("is_exploration").count() == 0
     o.write.parquet(f"{tmp_path}/stream")
     stream = spark.readStream.schema(o.schema).parquet(f"{tmp_path}/stream")
     learner.start(stream, f"{tmp_path}/cp").awaitTermination(120)
     assert learner.outcomes().count() == o.count() and learner.model is not None
+    again = OnlineLearner(spark, f"file://{tmp_path}/l", f"{tmp_path}/keys/k")
+    assert again.last_trained == learner.last_trained > 0 and again.model is not None
+    assert os.stat(f"{tmp_path}/keys/k").st_mode & 0o777 == 0o600
     assert decided(learner, o, draws).where("reason LIKE 'classifier%' OR reason LIKE 'uncertainty%' OR reason LIKE 'heuristic%'").count() > 0
     learner.reset()
     assert learner.outcomes() is None
@@ -131,3 +134,71 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.formats("PDF, .docx") == (".pdf", ".docx") and cli.formats("") == cli.ls.FORMATS
     assert cli.main(["convert", str(tmp_path), "--formats", "xyz"]) == 1
     assert cli.main(["convert", str(tmp_path)]) == 1
+
+
+def test_failed_files_are_tried_again(spark, tmp_path, capsys):
+    """A file whose conversion fails is not in the state and is taken up in the next cycle."""
+    from leafmill import cli
+
+    folder, old = tmp_path / "in", time.time() - 3600
+    folder.mkdir()
+
+    def put(name, content):
+        (folder / name).write_bytes(content)
+        os.utime(folder / name, (old, old))
+
+    def run():
+        assert cli.main(["watch", "-d", str(folder), "--state", f"file://{tmp_path}/state", "--once"]) == 0
+        return {os.path.basename(r.key): r.content_hash for r in inc.StateStore(spark, f"file://{tmp_path}/state/state").load().collect()}
+
+    put("good.docx", docx(p("text of the first " * 20)))
+    put("bad.docx", b"broken " * 50)
+    assert set(run()) == {"good.docx"} and (folder / "good.md").exists() and not (folder / "bad.md").exists()
+    assert "bad.docx" in capsys.readouterr().err
+    os.remove(folder / "good.md")
+    assert set(run()) == {"good.docx"} and not (folder / "good.md").exists()
+    put("bad.docx", docx(p("now it can be read " * 20)))
+    state = run()
+    assert set(state) == {"good.docx", "bad.docx"} and (folder / "bad.md").exists() and len(state["bad.docx"]) == 32
+    os.utime(folder / "good.docx", (old + 60, old + 60))  # touched, its content is the same
+    assert set(run()) == {"good.docx", "bad.docx"} and not (folder / "good.md").exists()
+
+
+def test_only_selected_files_are_opened(spark, tmp_path):
+    write(tmp_path, a__docx=b"a", b__docx=b"b", c__docx=b"c")
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def counting(path):
+        (log / os.path.basename(path)).write_text("opened")
+        return open(src.local_path(path), "rb")
+
+    paths = spark.createDataFrame([(str(tmp_path / "b.docx"),), (str(tmp_path / "missing"),)], "path string")
+    got = {os.path.basename(r.path): (r.content, r.error) for r in src.read_files(paths, counting).collect()}
+    assert bytes(got["b.docx"][0]) == b"b" and got["missing"][0] is None and "FileNotFoundError" in got["missing"][1]
+    assert sorted(os.listdir(log)) == ["b.docx", "missing"]
+
+
+def test_inspection(spark, tmp_path):
+    import fcntl
+    import hashlib
+
+    write(tmp_path, a__pdf=b"x" * 200_000, b__pdf=b"y")
+    held = open(tmp_path / "b.pdf", "rb")
+    fcntl.flock(held, fcntl.LOCK_EX)
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.pdf", "b.pdf", "gone.pdf")] + [(str(tmp_path),)], "path string")
+    got = {os.path.basename(r.path): (r.content_hash, r.problem) for r in src.inspect_files(paths, wait=0.05).collect()}
+    held.close()
+    assert got == {"a.pdf": (hashlib.md5(b"x" * 200_000).hexdigest(), None), "b.pdf": (None, "locked"), "gone.pdf": (None, "not a file"), tmp_path.name: (None, "not a file")}
+
+
+def test_recursive_listing_by_parts(tmp_path):
+    from leafmill.streaming import watch
+
+    for name in ("a.pdf", "s/b.pdf", "s/t/c.pdf", "u/d.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    for recursive, want in (("true", ["a.pdf", "b.pdf", "c.pdf", "d.pdf"]), ("false", ["a.pdf"])):
+        reader = watch._Reader({"folders": str(tmp_path), "recursive": recursive})
+        parts = reader.partitions({"cycle": 0}, {"cycle": 1})
+        assert sorted(os.path.basename(r[0]) for x in parts for r in reader.read(x)) == want
