@@ -378,6 +378,8 @@ def _peel(line: str, swaps: bool) -> tuple[str, list[str]]:
     """Undoes layers of wrong decodings while that makes the line look better."""
     how: list[str] = []
     for _ in range(LAYERS):
+        if how and QUIET.fullmatch(line):
+            break
         new, by = _repair_runs(line)
         if swaps and not how and (by is None or cost(new) > 0.3 * cost(line)):
             other, swap = _repair_swap(line)

@@ -228,7 +228,7 @@ def made_up(word: str) -> list[tuple[str, tuple[str, ...]]]:
     return list(out.items())
 
 
-def scored(word: str, others, costs: dict[str, float]) -> dict[str, tuple[float, list[str]]]:
+def scored(word: str, others, costs: dict[str, float], mixed: bool = True) -> dict[str, tuple[float, list[str]]]:
     """Words among ``others`` that may have been read as ``word``, in its capitals, with channel scores and operations."""
     found: dict[str, tuple[float, list[str]]] = {}
     forms = forms_of(word)
@@ -238,7 +238,7 @@ def scored(word: str, others, costs: dict[str, float]) -> dict[str, tuple[float,
                 score, ops = align(form, w, costs)
                 if score > LEAST_CHANNEL and score > found.get(back(w), (-math.inf,))[0]:
                     found[back(w)] = (score, ops)
-    for w, ops in made_up(word):
+    for w, ops in made_up(word) if mixed else ():
         score = sum(costs.get(op, CONFUSED) for op in ops)
         if score > found.get(w, (-math.inf,))[0]:
             found[w] = (score, list(ops))
@@ -370,7 +370,7 @@ class Model:
         if have is not None:
             return have
         forms = [form for form, _ in forms_of(word)]
-        found = scored(word, {w for form in forms for w in self.by_strokes.get(strokes(form), ())}, self.costs)
+        found = scored(word, {w for form in forms for w in self.by_strokes.get(strokes(form), ())}, self.costs, deep)
         if deep and not found:
             found = scored(word, {w for form in forms for w in _one_change(form, self.words)}, self.costs)
         out = sorted(((w, score) for w, (score, _) in found.items()), key=lambda x: (-x[1], x[0]))
@@ -502,7 +502,7 @@ def frame_lines(lines: list[str], page_num: int | None, model: Model) -> set[int
         return bool(_titlelike(line, width, follows if weak else "", True) or not weak and _short_title(line, width))
 
     p = titles = 0
-    while p + 1 < len(filled) and p < 5:
+    while p + 1 < len(filled):
         i = filled[p]
         if page_number(lines[i]) or notice(i) or number(i) in near:
             frame.add(i)
@@ -513,7 +513,7 @@ def frame_lines(lines: list[str], page_num: int | None, model: Model) -> set[int
             break
         p += 1
     q = len(filled) - 1
-    while q >= p and len(filled) - q <= 3 and foot(q, True):
+    while q >= p and foot(q, True):
         frame.add(filled[q])
         q -= 1
     k = p
@@ -625,13 +625,8 @@ def token_options(token: str, model: Model) -> list[tuple[tuple[str, ...], float
 def decode(tokens: list[str], model: Model) -> list[tuple[int, int, str]]:
     """Best words of a line: ``(first token, tokens taken, word)`` by Viterbi over candidates."""
     n, known, codes = len(tokens), model.known, {t for t in tokens if _CODE.fullmatch(t)}
-    best: list[dict[str, tuple[float, int, str | None, tuple[int, int, str] | None]]] = [{} for _ in range(n + 1)]
-    best[0][""] = (0.0, 0, None, None)
-    pair_log = model.pair_log
-    for i in range(n):
-        if not best[i]:
-            continue
-        token = tokens[i]
+    every = []
+    for i, token in enumerate(tokens):
         options = [(1, words, score) for words, score, _ in token_options(token, model)]
         if i + 1 < n and _LETTERS.fullmatch(token):
             both, sound = token + tokens[i + 1], (known(token) or token in codes) and known(tokens[i + 1])
@@ -640,8 +635,17 @@ def decode(tokens: list[str], model: Model) -> list[tuple[int, int, str]]:
                     options.append((2, (both,), model.spaced))
                 elif not sound:
                     options += [(2, tuple(w.split(" ")), s + model.spaced) for w, s in model.candidates(both, deep=False)]
+        every.append(options)
+    if all([len(options) == 1 for options in every]):  # nothing but what stands there
+        return [(i, 1, token) for i, token in enumerate(tokens)]
+    best: list[dict[str, tuple[float, int, str | None, tuple[int, int, str] | None]]] = [{} for _ in range(n + 1)]
+    best[0][""] = (0.0, 0, None, None)
+    pair_log = model.pair_log
+    for i in range(n):
+        if not best[i]:
+            continue
         for last, (so_far, *_) in list(best[i].items()):
-            for take, words, score in options:
+            for take, words, score in every[i]:
                 value, left = so_far + score, last
                 for w in words:
                     if w not in codes:
@@ -888,13 +892,24 @@ class Statistics:
         t = counted.agg(
             total(F.col("kind") == "w").alias("native"), total(once & ~capital).alias("new"), total(once & capital).alias("name"),
             total(F.col("kind") == "#").alias("number"), total(F.col("kind") == "t").alias("scans"),
+            F.count_if((F.col("kind") == "w") & (F.col("c") >= LEAST_WORD) | (F.col("kind") == "p") & (F.col("c") >= LEAST_PAIR) | F.col("kind").isin("n", "t")).alias("rows"),
         ).first()
+        self.rows = t.rows  # as many as a model can have at most: judged words are among those of the scans
         self.total, self.scale = max(1, t.native), t.scans / max(1, t.native)
         self.new = tuple(math.log((x + 1) / (self.total + 1)) for x in (t.new, t.name, t.number))
         self.costs: dict[str, float] = {}
-        grams = self.words.select("w").mapInArrow(_summed(lambda w: [(g, 1.0) for g in grams_of(w)]), "k string, v double")
-        # Trigrams of letters: as many as the alphabets have, whatever the size of the corpus.
-        self.letters = Letters({r.k: int(r.v) for r in grams.groupBy("k").agg(F.sum("v").alias("v")).collect()})
+        pieces = {t for targets in SEEN.values() for t in targets}
+
+        def parts(w: str, c: int) -> list[tuple[str, float]]:
+            """Trigrams of the distinct words, and occurrences of what can be misread."""
+            plain = "".join(map(_base, w))
+            read = [(f"={p}", float(c)) for k in range(len(w)) for n in (1, 2) if (p := plain[k : k + n]) in pieces]
+            return [(f"g{g}", 1.0) for g in grams_of(w)] + read + [("=", float(len(w) * c))]
+
+        # As many as the alphabets have, whatever the size of the corpus.
+        sums = self.words.mapInArrow(_summed(parts), "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        self.letters = Letters({r.k[1:]: int(r.v) for r in sums if r.k[0] == "g"})
+        self.meant = {r.k[1:]: r.v for r in sums if r.k[0] == "="}
         self.judged = self._judge(of("t").select(F.col("a").alias("t"), "c"))
         self._estimate()
 
@@ -925,13 +940,6 @@ class Statistics:
 
     def _estimate(self) -> None:
         """Confusion probabilities by expectation and maximisation; only sums for each operation come to the driver."""
-        pieces = {t for targets in SEEN.values() for t in targets}
-
-        def meant(w: str, c: int) -> list[tuple[str, float]]:
-            plain = "".join(map(_base, w))
-            return [(p, float(c)) for k in range(len(w)) for n in (1, 2) if (p := plain[k : k + n]) in pieces] + [("", float(len(w) * c))]
-
-        base = {r.k: r.v for r in self.words.mapInArrow(_summed(meant), "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
         letters, new, total, scale = self.letters, self.new, self.total, self.scale
         for _ in range(ROUNDS):
             costs = self.costs
@@ -951,7 +959,7 @@ class Statistics:
             self.costs = {}
             for k, v in ((r.k, r.v) for r in sums):
                 start = START.get(k, CONFUSED)
-                times = self.scale * base.get(k.split(">")[1] if ">" in k else "", 0.0)
+                times = self.scale * self.meant.get(k.split(">")[1] if ">" in k else "", 0.0)
                 p = (v + PRIOR * math.exp(start)) / (times + PRIOR)
                 # Another character can be any of some thirty; a step never becomes likelier than one in twenty.
                 self.costs[k] = round(min(math.log(p) - (math.log(30) if k == OTHER else 0.0), -3.0), 4)
@@ -962,10 +970,9 @@ class Statistics:
         One block if the tables are small enough. Otherwise pages are split by id, and a block gets the words whose strokes
         equal those of one of its words, of two put together or of a part, and the judged words among its own.
         """
-        rows = sum(x.count() for x in (self.words, self.pairs, self.notices, self.judged))
-        if rows <= MODEL_ROWS:
+        if self.rows <= MODEL_ROWS:
             return [(scans, self._held(self.words, self.pairs, self.notices, self.judged))]
-        blocks = -(-rows // MODEL_ROWS) * 2
+        blocks = -(-self.rows // MODEL_ROWS) * 2
         words = stage(self.words.mapInArrow(_mapped(lambda w, c: [(w, c, strokes(w))], "w string, c bigint, key string"), "w string, c bigint, key string"), "keyed")
         notices = stage(self.notices.mapInArrow(_mapped(lambda n: [(n, k) for k in _notice_keys(n)], "n string, key string"), "n string, key string"), "notices")
         out = []
