@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from leafmill.operators import incremental as inc
 from leafmill.operators import learner as le
 from leafmill.operators import listing as ls
 from leafmill.operators import status as su
+from leafmill.operators.hybrid import Recognition
 from leafmill.session import ship, stage
 from leafmill.sources import documents as src
 
@@ -32,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-f", "--force", "--overwrite", dest="overwrite", action="store_true")
     c.add_argument("--improve", action="store_true")
     c.add_argument("--formats", default="")
+    _recognition_options(c)
     w = sub.add_parser("watch", help="convert new and changed documents as they come")
     w.add_argument("-d", "--directories", nargs="+", required=True)
     w.add_argument("-r", "--recursive", action="store_true")
@@ -40,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--poll-interval", type=int, default=30, help="minutes")
     w.add_argument("--cooldown", type=float, default=ls.COOLDOWN_MINUTES, help="minutes that a file must have been left alone")
     w.add_argument("--formats", default="")
+    _recognition_options(w)
     n = sub.add_parser("learn", help="train the model on all outcomes, or forget both")
     n.add_argument("action", choices=("retrain", "reset"))
     n.add_argument("root", help="folder of outcomes and model")
@@ -50,6 +54,27 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _recognition_options(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--recogniser", default="", help="module:function that makes a recognition engine in each worker")
+    p.add_argument("--ocr-engine", choices=("surya", "paddle", "tesseract"), default="paddle", help="its name")
+    p.add_argument("--no-ocr", action="store_true", help="take the text layer of PDF files only")
+    p.add_argument("--force-ocr", action="store_true", help="recognise every page as a whole")
+
+
+def recognition(recogniser: str, engine: str, no_ocr: bool, force: bool) -> Recognition | None:
+    """What the options ask for; None for the text layer alone. Raises ``ValueError`` for a recogniser that cannot be loaded."""
+    if no_ocr or not recogniser:
+        if force:
+            raise ValueError("--force-ocr needs a recogniser")
+        return None
+    module, _, name = recogniser.partition(":")
+    try:
+        make = getattr(importlib.import_module(module), name)
+    except (ImportError, AttributeError, ValueError) as error:
+        raise ValueError(f"cannot load {recogniser}: {error}") from error
+    return Recognition(make, engine, force)
+
+
 def formats(text: str) -> tuple[str, ...]:
     """Extensions of a comma-separated list; raises ``ValueError`` for unsupported ones, none means all."""
     asked = tuple("." + x.strip().lower().lstrip(".") for x in text.split(",") if x.strip())
@@ -63,9 +88,10 @@ def _scored(df: DataFrame, column: str, prefix: str) -> DataFrame:
 
 
 def convert(
-    spark: SparkSession, directory: str, recursive: bool = False, wanted: tuple[str, ...] = ls.FORMATS, improve: bool = False, overwrite: bool = False, dry_run: bool = False
+    spark: SparkSession, directory: str, recursive: bool = False, wanted: tuple[str, ...] = ls.FORMATS, improve: bool = False, overwrite: bool = False, dry_run: bool = False,
+    how: Recognition | None = None,
 ) -> DataFrame:
-    """Converts a folder and returns ``(path, status, detail, error, size, md_bytes, pages)`` per document.
+    """Converts a folder and returns ``(path, status, detail, error, size, md_bytes, pages, ocr_pages, ocr_chars)`` per document.
 
     Contents are read only of documents whose status depends on them.
     """
@@ -78,7 +104,7 @@ def convert(
     waiting = first.where("status IN ('created', 'kept', 'improved', 'failed')").select("path", "output_path", "length", "exists")
     done = first.where("status NOT IN ('created', 'kept', 'improved', 'failed')")
     files = src.read_files(waiting.select("path"))
-    rendered = waiting.join(src.documents(files).drop("output_path"), "path")
+    rendered = waiting.join(src.documents(files, recognition=how).drop("output_path"), "path")
     rendered = _scored(rendered.withColumn("new_text", F.array_join("pages", "\n")), "new_text", "new_")
     if improve:
         old = src.existing_markdown(spark, directory).select(F.regexp_replace("path", "^file:/+", "file:/").alias("output_path"), md.strip_metadata(F.col("markdown")).alias("old_text"))
@@ -92,14 +118,14 @@ def convert(
         "path", "status", su.detail(F.col("old_score"), F.col("new_score"), F.col("status")).alias("detail"), "error", F.col("length").alias("size"),
     ]
     written = F.when(F.col("status").isin("created", "improved"), F.octet_length("markdown")).otherwise(0).cast("long").alias("md_bytes")
-    a = judged.select(*columns, written, F.size("pages").alias("pages"))
-    b = done.select(*columns, F.lit(0).cast("long").alias("md_bytes"), F.lit(0).alias("pages"))
+    a = judged.select(*columns, written, F.size("pages").alias("pages"), "ocr_pages", "ocr_chars")
+    b = done.select(*columns, *[F.lit(0).cast(kind).alias(n) for n, kind in (("md_bytes", "long"), ("pages", "int"), ("ocr_pages", "long"), ("ocr_chars", "long"))])
     return a.unionByName(b)
 
 
-def take_up(todo: DataFrame) -> DataFrame:
+def take_up(todo: DataFrame, how: Recognition | None = None) -> DataFrame:
     """Converts files ``(key, ...)`` and returns the keys of those that could be converted; the others are tried again."""
-    rendered = stage(src.documents(src.read_files(todo.select(F.col("key").alias("path")))), "rendered")
+    rendered = stage(src.documents(src.read_files(todo.select(F.col("key").alias("path"))), recognition=how), "rendered")
     src.write_markdown(rendered)
     for row in rendered.where("error IS NOT NULL").select("path", "error").toLocalIterator():
         print(f"Failed: {row.path} -> {row.error}", file=sys.stderr)
@@ -118,20 +144,21 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     try:
         wanted = formats(getattr(args, "formats", ""))
+        how = recognition(args.recogniser, args.ocr_engine, args.no_ocr, args.force_ocr) if args.command in ("convert", "watch") else None
     except ValueError as error:
         print(error, file=sys.stderr)
         return 1
     if args.command == "convert":
         directory = spark.range(1).select(convert_windows_path(F.lit(args.directory)).alias("d")).first().d
-        results = convert(spark, directory, args.recursive, wanted, args.improve, args.overwrite, args.dry_run)
-        totals = su.roll_up(results.withColumns({"ocr_pages": F.lit(0), "ocr_chars": F.lit(0)}))
+        results = convert(spark, directory, args.recursive, wanted, args.improve, args.overwrite, args.dry_run, how)
+        totals = su.roll_up(stage(results, "results"))
         totals.show(truncate=False, vertical=True)
         return su.failed_run(totals).first().exit_code
     if args.command == "watch":
         from leafmill.streaming.watch import watch
 
         def take(todo: DataFrame) -> DataFrame:
-            return take_up(todo)
+            return take_up(todo, how)
 
         query = watch(spark, args.directories, inc.StateStore(spark, f"{args.state}/state"), f"{args.state}/checkpoint", take, args.recursive, None if args.once else args.poll_interval, formats=wanted, cooldown=args.cooldown)
         query.awaitTermination()

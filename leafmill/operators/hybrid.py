@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from leafmill.functions.markdown import strip
 from leafmill.operators import features as fe
 from leafmill.operators.status import page_strategy
+from leafmill.session import stage
 
-#: A row for each text block, image block and listed image of a page; ``kind`` is text, image or listed. Pixels are grey values.
+#: A row for each text block, image block and listed image of a page; ``kind`` is text, image or listed (or page, for its size). Pixels are grey values.
 LAYOUT = (
     "path string, page_num int, seq int, kind string, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double, content string, pixels array<int>"
 )
@@ -120,6 +122,30 @@ def extract_pages(
     return done, _outcomes(outcomes.withColumn("ocr_performed", F.col("_do")), F.col("text"))
 
 
+@dataclass(frozen=True)
+class Recognition:
+    """How pages of PDF files are recognised: what makes an engine, its name, and what reads the layout and decides on images."""
+
+    make_engine: Callable[[], Callable[[dict], str]]
+    engine: str | None
+    force: bool = False
+    reader: Callable[[bytes], list[tuple]] | None = None
+    decide: Callable[[DataFrame], DataFrame] | None = None
+
+
+def recognised_pages(files: DataFrame, how: Recognition) -> tuple[DataFrame, DataFrame]:
+    """``(path, page_num, page_text, used_ocr, ocr_chars, error)`` of files ``(path, content)``, and the outcomes of their images.
+
+    A file that cannot be read has one row with its error.
+    """
+    layout = stage(read_layout(files, how.reader or pdf_layout), "layout")
+    pages = layout.where("kind = 'page'").select(*_PAGE, "page_width", "page_height")
+    done, outcomes = extract_pages(pages, layout.where("kind IN ('text', 'image', 'listed')"), how.make_engine, how.engine, how.force, how.decide)
+    good = done.select(*_PAGE, "page_text", "used_ocr", "ocr_chars", F.lit(None).cast("string").alias("error"))
+    bad = layout.where("kind = 'error'").select("path", F.lit(0).alias("page_num"), F.lit("").alias("page_text"), F.lit(False).alias("used_ocr"), F.lit(0).cast("long").alias("ocr_chars"), F.col("content").alias("error"))
+    return good.unionByName(bad), outcomes
+
+
 def _outcomes(rows: DataFrame, text: Column) -> DataFrame:
     """What the learner records of each image."""
     for name, kind in (("ocr_performed", "boolean"), ("reason", "string")):
@@ -130,7 +156,10 @@ def _outcomes(rows: DataFrame, text: Column) -> DataFrame:
 
 
 def pdf_layout(content: bytes) -> list[tuple]:
-    """Layout rows of a PDF (without path), by a reader that is not part of this library; raises without it."""
+    """Layout rows of a PDF (without path), by a reader that is not part of this library; raises without it.
+
+    Every page has a row of kind ``page`` with its size, so that empty pages are kept.
+    """
     try:
         import pymupdf
     except ImportError as missing:
@@ -139,6 +168,7 @@ def pdf_layout(content: bytes) -> list[tuple]:
     with pymupdf.open(stream=content, filetype="pdf") as document:
         for number, page in enumerate(document, 1):
             size = (float(page.rect.width), float(page.rect.height))
+            rows.append((number, -1, "page", 0.0, 0.0, *size, *size, "", None))
             seq = 0
             for x0, y0, x1, y1, text, _, kind in page.get_text("blocks"):
                 rows.append((number, seq, "image" if kind else "text", x0, y0, x1, y1, *size, "" if kind else text, None))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.markdown import create_markdown, markdown_path, page_label, suffix
+from leafmill.operators.hybrid import Recognition, recognised_pages
 from leafmill.operators.sections import render_blocks, split_sections
 from leafmill.session import stage
 
@@ -242,26 +243,35 @@ def extract_blocks(files: DataFrame, read_pdf: Callable[[bytes], list[str]] = pd
     return files.select("path", "content", "error").mapInPandas(_extract(read_pdf), BLOCKS)
 
 
-def extract_sections(files: DataFrame, read_pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
-    """``(path, section, text, error)``: pages of PDF files, sections at page breaks of others."""
+def extract_sections(files: DataFrame, read_pdf: Callable[[bytes], list[str]] = pdf_pages, recognition: Recognition | None = None) -> DataFrame:
+    """``(path, section, text, error, used_ocr, ocr_chars)``: pages of PDF files, sections at page breaks of others.
+
+    With ``recognition`` the pages of PDF files are made from their layout and recognised images.
+    """
+    none = {"used_ocr": F.lit(False), "ocr_chars": F.lit(0).cast("long")}
+    if recognition is not None:
+        is_pdf = suffix(F.col("path")) == ".pdf"
+        found, _ = recognised_pages(files.where(is_pdf), recognition)
+        read = found.select("path", F.col("page_num").cast("long").alias("section"), F.col("page_text").alias("text"), "error", "used_ocr", "ocr_chars")
+        return extract_sections(files.where(~is_pdf), read_pdf).unionByName(read)
     blocks = extract_blocks(files, read_pdf)
     pages = blocks.where("kind = 'page'").select("path", (F.col("pos") + 1).cast("int").alias("section"), F.col("raw").alias("text"))
     body = render_blocks(blocks.where("kind IN ('paragraph', 'table')"))
     sections = split_sections(body.select("path", "pos", "text", "has_break"))
     errors = blocks.where("kind = 'error'").select("path", F.lit(0).alias("section"), F.lit("").alias("text"), "error")
     good = pages.unionByName(sections).withColumn("error", F.lit(None).cast("string"))
-    return good.unionByName(errors)
+    return good.unionByName(errors).withColumns(none)
 
 
-def documents(files: DataFrame, read_pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
-    """``(path, pages, markdown, output_path, error)`` per file."""
-    s = extract_sections(files, read_pdf)
+def documents(files: DataFrame, read_pdf: Callable[[bytes], list[str]] = pdf_pages, recognition: Recognition | None = None) -> DataFrame:
+    """``(path, pages, markdown, output_path, error, ocr_pages, ocr_chars)`` per file."""
+    s = extract_sections(files, read_pdf, recognition)
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("section", "text")))), lambda x: x["text"])
-    grouped = s.groupBy("path").agg(ordered.alias("pages"), F.max("error").alias("error"))
+    grouped = s.groupBy("path").agg(ordered.alias("pages"), F.max("error").alias("error"), F.count_if("used_ocr").alias("ocr_pages"), F.sum("ocr_chars").alias("ocr_chars"))
     path = F.col("path")
     return grouped.select(
         "path", "pages", F.when(F.col("error").isNull(), create_markdown(path, F.col("pages"), page_label(path))).alias("markdown"),
-        markdown_path(path).alias("output_path"), "error",
+        markdown_path(path).alias("output_path"), "error", "ocr_pages", "ocr_chars",
     )
 
 

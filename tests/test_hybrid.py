@@ -68,3 +68,36 @@ def test_layout_reader(spark):
     rows = {r.path: r for r in hy.read_layout(files, reader).collect()}
     assert rows["x.pdf"].content == "t" and rows["y.pdf"].kind == "error" and "broken" in rows["y.pdf"].content
     assert hy.read_layout(files).first().kind == "error"
+
+
+def test_documents_with_recognition(spark):
+    from leafmill.sources import documents as src
+
+    def reader(content):
+        if content == b"broken":
+            raise ValueError("no PDF")
+        size = (600.0, 800.0)
+        return [
+            (1, -1, "page", 0.0, 0.0, 600.0, 800.0, *size, "", None), (1, 0, "text", 0.0, 50.0, 9.0, 60.0, *size, "text", None),
+            (1, 1, "image", 0.0, 90.0, 100.0, 190.0, *size, "", None), (2, -1, "page", 0.0, 0.0, 600.0, 800.0, *size, "", None),
+        ]
+
+    files = spark.createDataFrame([("/a.pdf", b"x"), ("/b.PDF", b"broken"), ("/c.txt", b"t")], "path string, content binary")
+    rows = {r.path: r for r in src.documents(files, recognition=hy.Recognition(engine, "paddle", reader=reader)).collect()}
+    assert rows["/a.pdf"].pages == ["text\n\nimage 0", ""] and (rows["/a.pdf"].ocr_pages, rows["/a.pdf"].ocr_chars) == (1, 8) and "*Page 2*" in rows["/a.pdf"].markdown
+    assert rows["/b.PDF"].error == "ValueError: no PDF" and rows["/c.txt"].error.startswith("ValueError: Unsupported")
+
+
+def test_recognition_options():
+    import pytest
+
+    from leafmill import cli
+
+    assert cli.recognition("", "paddle", False, False) is None and cli.recognition("tests.test_hybrid:engine", "paddle", True, False) is None
+    assert cli.recognition("tests.test_hybrid:engine", "surya", False, True).force
+    for bad in ("missing_module:f", "tests.test_hybrid:nothing"):
+        with pytest.raises(ValueError):
+            cli.recognition(bad, "paddle", False, False)
+    with pytest.raises(ValueError):
+        cli.recognition("", "paddle", False, True)
+    assert cli.main(["convert", "/nowhere", "--force-ocr"]) == 1
