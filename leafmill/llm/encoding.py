@@ -179,10 +179,10 @@ _SCRIPTS = {
 _SCRIPT_OF = {c: (name, math.log(n * len(table) / 1000)) for name, table in _SCRIPTS.items() for x, n in table.items() for c in (x, x.upper())}
 #: Encodings a whole line of another script may have been read as, and those it may have been in.
 _LINE_READ_AS = ("cp1252", "latin-1", "cp1251", "cp1253", "cp1255", "cp1256", "koi8_r")
-_LINE_MEANT_AS = ("utf-8", "cp1253", "iso8859_7", "cp1255", "cp1256", "gb18030", "cp1251", "koi8_r", "cp866")
-#: Least letters of a line that is judged as one of another script, their least share, least mean likelihood of its reading, and
-#: how much likelier than a reading in any other script it must be.
-LEAST_LETTERS, OTHER_SHARE, LEAST_LIKELY, CLEARLY = 8, 0.6, 0.1, 0.15
+_LINE_MEANT_AS = ("cp1251", "koi8_r", "cp866", "utf-8", "cp1253", "iso8859_7", "cp1255", "cp1256", "gb18030")
+#: Least letters of a line that is judged as one of another script, their least share, least mean likelihood of its reading, how much
+#: likelier than a reading in any other script it must be; mean likelihood of a Cyrillic reading that ends the search.
+LEAST_LETTERS, OTHER_SHARE, LEAST_LIKELY, CLEARLY, RUSSIAN = 8, 0.6, 0.1, 0.15, 0.35
 
 
 def _reading(text: str) -> tuple[str, float] | None:
@@ -229,6 +229,8 @@ def _other_script(line: str) -> tuple[str, str] | None:
             except UnicodeDecodeError:
                 continue
             got = _reading(new) if new != line else None
+            if got and got[0] == "cyrillic" and got[1] >= RUSSIAN:
+                return None
             if got and got[1] > best.get(got[0], (-math.inf,))[0]:
                 best[got[0]] = (got[1], new, f"{read}>{meant}")
     if not best:

@@ -29,7 +29,7 @@ from leafmill.session import stage
 
 #: Rows of words, pairs, notices and judged words that one broadcast model may have. Beyond it pages are taken in blocks,
 #: each with the rows that its own pages can meet, so that none is lost.
-MODEL_ROWS = 3_000_000
+MODEL_ROWS = 1_000_000
 #: Least count of a word or pair in native text, and paths on whose page edges a notice occurs.
 LEAST_WORD, LEAST_PAIR, NOTICE_PATHS = 2, 3, 3
 #: Log probabilities of the channel before they are estimated: one confusion of the table, any other changed character, a lost or added space.
