@@ -311,6 +311,13 @@ ODD = re.compile(
 _LOST = re.compile(r"(?:^|(?<=[\s(\"“]))[Ãâ](?=[\s,.;:)]|$)(?!\s+[A-ZÀ-Ý0-9](?:\s|$))|Ã(?=[ \xa0](?![A-ZÀ-Ý0-9]))|â(?=[€™œ“”])|(?<=[a-z])Ã(?![A-ZÀ-Ý])|[ÂÃ](?=[^\w\s.,;:!?)\"'’”»\-–—])|[ÐÑ](?=$|[ ÐÑ])")
 
 
+@lru_cache(None)
+def _leads(encoding: str) -> frozenset[str]:
+    """Characters with which a run can begin."""
+    back = _sloppy(encoding)[1]
+    return frozenset(back.get(b, chr(b)) for b in range(0xC2, 0xF5)) | frozenset(c for c, b in _sloppy(encoding)[0].items() if 0xC2 <= b <= 0xF4)
+
+
 @lru_cache(1 << 16)
 def _run_repair(run: str, encoding: str) -> str:
     """A run as the UTF-8 it was meant for, if that looks better."""
@@ -328,7 +335,10 @@ def _repair_runs(line: str) -> tuple[str, str | None]:
     """Best single pass of repairs of UTF-8 runs, and the encoding the line had been read as."""
     best, best_cost, by = line, cost(line), None
     limit = best_cost - RUN_DROP
+    chars = set(line)
     for encoding in READ_AS:
+        if chars.isdisjoint(_leads(encoding)):  # no run can begin
+            continue
         new = _runs(encoding).sub(lambda m, encoding=encoding: _run_repair(m[0], encoding), line)
         if new != line and (c := cost(new)) < best_cost and c <= limit:
             best, best_cost, by = new, c, encoding
@@ -342,8 +352,9 @@ def _repair_swap(line: str) -> tuple[str, str | None]:
     if now < LINE_DROP:
         return line, None
     best, best_cost, by = line, now - LINE_DROP, None
+    encoded = {read: encode(line, read) for read in dict.fromkeys(r for r, _ in SWAPS)}
     for read, meant in SWAPS:
-        raw = encode(line, read)
+        raw = encoded[read]
         if raw is None:
             continue
         try:
