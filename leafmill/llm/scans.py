@@ -919,7 +919,8 @@ class Statistics:
         lower = F.lower("t")
         shapes = F.array_distinct(F.array(F.col("t"), low, F.when(F.upper("t") == F.col("t"), lower).otherwise(F.col("t")), F.when(F.upper("t") == F.col("t"), F.concat(F.substring("t", 1, 1), F.expr("substring(lower(t), 2)"))).otherwise(F.col("t"))))
         known = tokens.select("t", F.explode(shapes).alias("w")).join(self.words, "w").select("t").distinct()
-        odd = tokens.join(known, "t", "left_anti").where(F.col("t").rlike(r"\p{L}") & (F.length("t") <= 60) & ~F.col("t").rlike(r"[\t\n]"))
+        # Numbers and codes in their form are sound on any page, so nobody asks for them.
+        odd = tokens.where(~F.col("t").rlike(f"^(?:{_CODE.pattern})$")).join(known, "t", "left_anti").where(F.col("t").rlike(r"\p{L}") & (F.length("t") <= 60) & ~F.col("t").rlike(r"[\t\n]"))
         keyed_words = self.words.mapInArrow(_mapped(lambda w, c: [(w, c, k) for k in keys_of(w)], "w string, n bigint, key string"), "w string, n bigint, key string")
         keyed = odd.mapInArrow(_mapped(lambda t, c: [(t, k) for k in {k for f, _ in forms_of(t) for k in keys_of(f)}], "t string, key string"), "t string, key string")
         met = keyed.join(keyed_words, "key").select("t", "w", "n").distinct().groupBy("t").agg(F.collect_list(F.struct("w", "n")).alias("o"))
