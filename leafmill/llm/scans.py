@@ -25,11 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.encoding import ODD, QUIET, repair_text, undisguise
+from leafmill.llm.tables import Counts, PairCounts, Scores, Table
 from leafmill.session import stage
 
 #: Rows of words, pairs, notices and judged words that one broadcast model may have. Beyond it pages are taken in blocks,
 #: each with the rows that its own pages can meet, so that none is lost.
 MODEL_ROWS = 1_000_000
+#: Entries of each memory of what a worker found out; a full one is emptied.
+KEPT = 50_000
+#: Rows and bytes of a batch that are Python objects at a time, and rows that are given out at once.
+PIECE_ROWS, PIECE_BYTES, OUT_ROWS = 2_000, 4 << 20, 50_000
 #: Least count of a word or pair in native text, and paths on whose page edges a notice occurs.
 LEAST_WORD, LEAST_PAIR, NOTICE_PATHS = 2, 3, 3
 #: Log probabilities of the channel before they are estimated: one confusion of the table, any other changed character, a lost or added space.
@@ -282,37 +287,66 @@ class _Tokens(dict):
 
     def __missing__(self, token: str) -> tuple[str, bool]:
         model, core = self.model, _core(token)
-        have = core, bool(core) and (core in model.suspect or not model.known(core)) and not _fine(core, model)
-        if len(self) < 500_000:
-            self[token] = have
-            if not have[1]:
-                model.fine.add(token)
+        have = core, bool(core) and (not model.known(core) or core in model.suspect) and not _fine(core, model)
+        if len(self) >= KEPT:
+            self.clear()
+            model.fine.clear()
+        self[token] = have
+        if not have[1]:
+            model.fine.add(token)
         return have
 
 
+class _Suspects(dict):
+    """Whether a known word has a far more frequent look-alike, so that it is checked in its place."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, word: str) -> bool:
+        words, c = self.model.words, self.model.words.get(word)
+        have = (
+            c is not None and len(word) > 1 and c * 200 < max((words[v] for v in self.model.by_strokes.all(strokes(word)) if v != word), default=0)
+            and any(words.get(v, 0) > 200 * c for v, s in self.model.candidates(word) if s >= 2 * CONFUSED)
+        )
+        _keep(self, word, have)
+        return have
+
+    def __contains__(self, word: str) -> bool:
+        return self[word]
+
+
+def _keep(kept: dict, key, value) -> None:
+    """Remembers what can be found out again."""
+    if len(kept) >= KEPT:
+        kept.clear()
+    kept[key] = value
+
+
 class Model:
     """Words and pairs of native text with their log probabilities, judged words, and candidates by strokes."""
 
     def __init__(
-        self, words: dict[str, int], pairs: dict[tuple[str, str], int], notices: set[str], costs: dict[str, float] | None = None,
-        judged: dict[str, list[tuple[str, float]]] | None = None, letters: Letters | None = None, total: int = 0, new: tuple[float, float, float] | None = None,
-    ):
-        self.words, self.pairs, self.notices, self.costs = words, pairs, notices, costs or {}
+        self, words: dict[str, int] | Counts, pairs: dict[tuple[str, str], int] | PairCounts, notices: set[str] | Table, costs: dict[str, float] | None = None,
+        judged: Scores | None = None, letters: Letters | None = None, total: int = 0, new: tuple[float, float, float] | None = None, by_strokes: Table | None = None,
+    ):
         self.total = total or max(1, sum(words.values()))
-        self.log = {w: math.log(c / self.total) for w, c in words.items()}
+        # Few words are asked for fastest in a dictionary.
+        self.words = dict(words.items()) if len(words) <= KEPT else words if isinstance(words, Table) else Counts.of((w, str(c)) for w, c in words.items())
+        self.pairs = pairs if isinstance(pairs, Table) else PairCounts.of((f"{a}\t{b}", str(c)) for (a, b), c in pairs.items())
+        self.costs = costs or {}
         self.letters = letters or Letters(Counter(g for w in words for g in grams_of(w)))
         # Log shares of new words, new capitalised words and numbers in native text.
         self.new, self.new_name, self.number = new or (-math.log(self.total + 1),) * 3
-        self.by_strokes: dict[str, list[str]] = defaultdict(list)
-        for w in words:
-            self.by_strokes[strokes(w)].append(w)
+        self.by_strokes = by_strokes or Table.of((strokes(w), w) for w in words)
         self.known_candidates: dict[str, list[tuple[str, float]]] = {}
-        self.judged, self.unknown = judged or {}, {}
+        self.judged, self.unknown = judged or Scores.of([]), {}
         self.tokens, self.options, self.pair_logs = _Tokens(self), {}, {}
         self.fine: set[str] = set()  # tokens that need no closer look
-        self.suspect: set[str] = set()
+        self.suspect = _Suspects(self)
         self.spaced = self.costs.get(SPACE, SPACED)
-        self.plain_notices = {k for n in notices if len(k := notice_key(n)) >= 8}
+        plain = notices if isinstance(notices, Table) else {k for n in notices if len(k := notice_key(n)) >= 8}
+        self.plain_notices = set(plain) if len(plain) <= KEPT else plain
 
     def known(self, word: str) -> bool:
         if word in self.words:
@@ -326,10 +360,10 @@ class Model:
         return False
 
     def word_log(self, word: str) -> float:
-        score = self.log.get(word)
-        if score is None:
-            score = self.log.get(word[:1].lower() + word[1:])
-            if score is None:
+        count = self.words.get(word)
+        if count is None:
+            count = self.words.get(word[:1].lower() + word[1:])
+            if count is None:
                 have = self.unknown.get(word)
                 if have is not None:
                     return have
@@ -337,10 +371,10 @@ class Model:
                     score = self.number - math.log(10) * sum(c.isdigit() for c in word)
                 else:
                     score = (self.new_name if word[:1].isupper() else self.new) + self.letters.log(word)
-                self.unknown[word] = score
-            else:
-                score -= 2.0
-        return score
+                _keep(self.unknown, word, score)
+                return score
+            return math.log(count / self.total) - 2.0
+        return math.log(count / self.total)
 
     def pair_log(self, left: str, right: str) -> float:
         """Word pair probability, backed off to the word."""
@@ -352,8 +386,7 @@ class Model:
             own = math.log((count + 2 * math.exp(own)) / (self.words.get(left, count) + 2))
         elif left in self.words:
             own -= 1.0
-        if len(self.pair_logs) < 500_000:
-            self.pair_logs[left, right] = own
+        _keep(self.pair_logs, (left, right), own)
         return own
 
     def candidates(self, word: str, deep: bool = True) -> list[tuple[str, float]]:
@@ -362,20 +395,19 @@ class Model:
         Words of scans were judged once against the whole vocabulary. Others, put together from two, are compared with
         words of equal strokes and, if ``deep`` and without any, with words one other confusion away.
         """
-        have = self.judged.get(word)
-        if have is not None:
-            return have
         key = word if deep else "\0" + word
         have = self.known_candidates.get(key)
+        if have is not None:
+            return have
+        have = self.judged.get(word)
         if have is not None:
             return have
         forms = [form for form, _ in forms_of(word)]
-        found = scored(word, {w for form in forms for w in self.by_strokes.get(strokes(form), ())}, self.costs, deep)
+        found = scored(word, {w for form in forms for w in self.by_strokes.all(strokes(form))}, self.costs, deep)
         if deep and not found:
             found = scored(word, {w for form in forms for w in _one_change(form, self.words)}, self.costs)
         out = sorted(((w, score) for w, (score, _) in found.items()), key=lambda x: (-x[1], x[0]))
-        if len(self.known_candidates) < 200_000:
-            self.known_candidates[key] = out
+        _keep(self.known_candidates, key, out)
         return out
 
 
@@ -617,8 +649,7 @@ def token_options(token: str, model: Model) -> list[tuple[tuple[str, ...], float
                 out.append(((a, b), model.spaced, False))
     if not sound or token in model.suspect:
         out += [(tuple(w.split(" ")), s, False) for w, s in model.candidates(token, len(out) == 1)]
-    if len(model.options) < 500_000:
-        model.options[token] = out
+    _keep(model.options, token, out)
     return out
 
 
@@ -682,9 +713,7 @@ def _windows(cores: list[str], odd: list[bool]) -> list[list[int]]:
 
 def page_lines(text: str, page_num: int | None, model: Model) -> tuple[list[str], set[int], dict, set[int], dict[int, list[str]]]:
     """Lines of a page (restored), its frame, broken words, misread lines and corrected words of changed lines."""
-    lines = text.split("\n")
-    if not all(["\\x" not in x and (x.isascii() or QUIET.fullmatch(x) or _CALM.fullmatch(x) and not ODD.search(x)) for x in lines]):
-        lines = [_plain(x) for x, _ in repair_text(text)]
+    lines = _restored(text)
     frame = frame_lines(lines, page_num, model)
     broken = broken_words(lines, frame, model)
     misread: set[int] = set()
@@ -754,6 +783,14 @@ def page_lines(text: str, page_num: int | None, model: Model) -> tuple[list[str]
     return lines, frame, broken, misread, corrected
 
 
+def _restored(text: str) -> list[str]:
+    """The lines of a page, restored."""
+    lines = text.split("\n")
+    if not all(["\\x" not in x and (x.isascii() or QUIET.fullmatch(x) or _CALM.fullmatch(x) and not ODD.search(x)) for x in lines]):
+        lines = [_plain(x) for x, _ in repair_text(text)]
+    return lines
+
+
 #: Lines of plain characters, whose encoding and form need no repair; a hyphen at the end may be of any kind.
 _CALM = re.compile(
     r"[\x00-\x7f’‘“”„–—•€£§«»°±µ²³·¿¡№А-яЁёéèàçñóíáúüöäßôêâûîïùœłąęćśźżńãõÉÀÇÑÓÍÁÚÜÖÄÔÊÂÃÕŁŚŹŻĆŃŒÎ]*[-‐\xad¬]?[ ]*"
@@ -794,13 +831,23 @@ def _tallied(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, counts
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int | None = None, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches, halved until each is small; a row is never cut."""
+    for batch in batches:
+        if batch.num_rows > (rows or PIECE_ROWS) or batch.num_rows > 1 and batch.nbytes > (size or PIECE_BYTES):
+            half = batch.num_rows // 2
+            yield from _pieces(iter([batch.slice(0, half), batch.slice(half)]), rows, size)
+        else:
+            yield batch
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(kind, a, b, c)`` of pages ``(native, path, text)``, counted within a batch.
 
     Kinds: ``w`` words and ``p`` pairs of native pages, ``#`` their numbers, ``t`` pages of other engines by word, ``n`` notices with their path.
     Words are numbered once a batch, so that marks around them are taken off once for each and counts are of numbers.
     """
-    for batch in batches:
+    for batch in _pieces(batches, 10_000, 4 * PIECE_BYTES):
         native = np.array(batch.column(0).to_pylist(), bool)
         lists = pc.utf8_split_whitespace(batch.column(2))
         encoded = lists.flatten().dictionary_encode()
@@ -861,10 +908,19 @@ def _mapped(f, schema: str):
     kinds = [{"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[t] for t in types]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for values in zip(*(c.to_pylist() for c in batch.columns)) for r in f(*values)]
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
             columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], list(names))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], list(names))
+
+        for piece in _pieces(batches):
+            for values in zip(*(c.to_pylist() for c in piece.columns)):
+                rows += f(*values)
+                if len(rows) >= OUT_ROWS:
+                    yield out()
+        yield out()
 
     return run
 
@@ -892,9 +948,8 @@ class Statistics:
         t = counted.agg(
             total(F.col("kind") == "w").alias("native"), total(once & ~capital).alias("new"), total(once & capital).alias("name"),
             total(F.col("kind") == "#").alias("number"), total(F.col("kind") == "t").alias("scans"),
-            F.count_if((F.col("kind") == "w") & (F.col("c") >= LEAST_WORD) | (F.col("kind") == "p") & (F.col("c") >= LEAST_PAIR) | F.col("kind").isin("n", "t")).alias("rows"),
+            F.count_if((F.col("kind") == "w") & (F.col("c") >= LEAST_WORD) | (F.col("kind") == "p") & (F.col("c") >= LEAST_PAIR)).alias("known"), F.count_if(F.col("kind").isin("n", "t")).alias("others"),
         ).first()
-        self.rows = t.rows  # as many as a model can have at most: judged words are among those of the scans
         self.total, self.scale = max(1, t.native), t.scans / max(1, t.native)
         self.new = tuple(math.log((x + 1) / (self.total + 1)) for x in (t.new, t.name, t.number))
         self.costs: dict[str, float] = {}
@@ -911,6 +966,10 @@ class Statistics:
         self.letters = Letters({r.k[1:]: int(r.v) for r in sums if r.k[0] == "g"})
         self.meant = {r.k[1:]: r.v for r in sums if r.k[0] == "="}
         self.judged = self._judge(of("t").select(F.col("a").alias("t"), "c"))
+        # Words of scans and paths of notices are many more than judged words and notices, which are counted only if that matters.
+        self.rows = t.known + t.others
+        if self.rows > MODEL_ROWS:
+            self.rows = t.known + self.judged.count() + self.notices.count()
         self._estimate()
 
     def _judge(self, tokens: DataFrame) -> DataFrame:
@@ -969,17 +1028,18 @@ class Statistics:
         """Blocks of pages ``(page_id, page_num, t, ...)``, each with the broadcast tables of its model.
 
         One block if the tables are small enough. Otherwise pages are split by id, and a block gets the words whose strokes
-        equal those of one of its words, of two put together or of a part, and the judged words among its own.
+        equal those of one of its words, of two put together or of a part, and the judged words among its own. Distinct words grow
+        as the root of the pages, so blocks are as many as the square of what is too much.
         """
         if self.rows <= MODEL_ROWS:
             return [(scans, self._held(self.words, self.pairs, self.notices, self.judged))]
-        blocks = -(-self.rows // MODEL_ROWS) * 2
+        blocks = max(2, math.ceil((self.rows / MODEL_ROWS) ** 2))
         words = stage(self.words.mapInArrow(_mapped(lambda w, c: [(w, c, strokes(w))], "w string, c bigint, key string"), "w string, c bigint, key string"), "keyed")
         notices = stage(self.notices.mapInArrow(_mapped(lambda n: [(n, k) for k in _notice_keys(n)], "n string, key string"), "n string, key string"), "notices")
         out = []
         for b in range(blocks):
             own = scans.where(F.pmod(F.xxhash64("page_id"), F.lit(blocks)) == b)
-            probes = stage(own.select("t").mapInArrow(_mapped(_probes, "kind string, key string"), "kind string, key string").distinct(), "probes")
+            probes = stage(own.select("t").mapInArrow(_probed, "kind string, key string").distinct(), "probes")
 
             def of(kind: str) -> DataFrame:
                 return probes.where(F.col("kind") == kind).select("key")
@@ -987,20 +1047,34 @@ class Statistics:
             judged = stage(self.judged.join(of("t").withColumnRenamed("key", "t"), "t", "left_semi"), "judged")
             near = words.join(of("s"), "key", "left_semi").select("w", "c")
             words_of = judged.select(F.explode(F.split("found", "\n")).alias("o")).select(F.substring_index("o", "\t", 1).alias("w"))
-            meant = words_of.select(F.explode(F.array("w", F.concat(F.lower(F.substring("w", 1, 1)), F.expr("substring(w, 2)")), F.lower("w"), F.concat(F.substring("w", 1, 1), F.expr("substring(lower(w), 2)")))).alias("w")).distinct()
+            forms = F.array("w", F.concat(F.lower(F.substring("w", 1, 1)), F.expr("substring(w, 2)")), F.lower("w"), F.concat(F.substring("w", 1, 1), F.expr("substring(lower(w), 2)")), F.concat(F.upper(F.substring("w", 1, 1)), F.expr("substring(w, 2)")), F.upper("w"))
+            meant = words_of.unionByName(near.select("w")).select(F.explode(forms).alias("w")).distinct()
             needed = stage(near.unionByName(self.words.join(meant, "w", "left_semi")).distinct(), "words")
             pairs = self.pairs.join(needed.select(F.col("w").alias("a")), "a", "left_semi").join(needed.select(F.col("w").alias("b")), "b", "left_semi").select("a", "b", "c")
             out.append((own, self._held(needed, pairs, notices.join(of("n"), "key", "left_semi").select("n").distinct(), judged)))
         return out
 
     def _held(self, words: DataFrame, pairs: DataFrame, notices: DataFrame, judged: DataFrame):
-        costs, found = self.costs, defaultdict(list)
-        for r in judged.select("t", "c", "found").collect():
-            found[r.t] = [(w, _cost(ops, costs)) for w, n, ops in _options(r.found) if not _too_often(r.c, n, self.scale)]
-        found = {t: sorted(x, key=lambda y: (-y[1], y[0])) for t, x in found.items()}
-        w = {r.w: r.c for r in words.collect()}
-        p = {(r.a, r.b): r.c for r in pairs.collect()}
-        return self.spark.sparkContext.broadcast((w, p, {r.n for r in notices.collect()}, costs, found, self.letters.grams, self.total, self.new))
+        costs, scale = self.costs, self.scale
+
+        def scores(t: str, c: int, found: str) -> list[tuple[str, str]]:
+            """Candidates with their scores, the best first."""
+            made = [(w, _cost(ops, costs)) for w, n, ops in _options(found) if not _too_often(c, n, scale)]
+            return [(t, "\n".join(f"{w}\t{score!r}" for w, score in sorted(made, key=lambda x: (-x[1], x[0]))))]
+
+        w = _arrow(words.select("w", F.col("c").cast("string")))
+        known = Counts(*w)
+        by_strokes = Table(pa.array([strokes(x) for x in w[0].to_pylist()], pa.string()), w[0])
+        p = PairCounts(*_arrow(pairs.select(F.concat_ws("\t", "a", "b"), F.col("c").cast("string"))))
+        found = Scores(*_arrow(judged.select("t", "c", "found").mapInArrow(_mapped(scores, "t string, found string"), "t string, found string")))
+        edges = {notice_key(n) for n in _arrow(notices.select("n"))[0].to_pylist()}
+        plain = Table.of((k, "") for k in sorted(edges) if len(k) >= 8)
+        return self.spark.sparkContext.broadcast((known, p, plain, costs, found, self.letters.grams, self.total, self.new, by_strokes))
+
+
+def _arrow(rows: DataFrame) -> list[pa.Array]:
+    """The columns of a table that fits the driver; rows stay packed."""
+    return [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.string()) for c in rows.toArrow().columns]
 
 
 def _options(found: str) -> list[tuple[str, int, list[str]]]:
@@ -1025,7 +1099,7 @@ def _summed(f):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, float] = defaultdict(float)
-        for batch in batches:
+        for batch in _pieces(batches):
             for values in zip(*(c.to_pylist() for c in batch.columns)):
                 for k, v in f(*values):
                     sums[k] += v
@@ -1035,39 +1109,106 @@ def _summed(f):
 
 
 def _notice_keys(notice: str) -> set[str]:
+    """Keys under which a page may ask for a notice: all of it, or what stands before a lost character, up to three."""
     k = notice_key(notice)
-    return {f"={k}", f"<{k[:3]}", f">{k[-3:]}"}
+    return {f"={k}", *(f"<{k[:n]}" for n in range(4))}
 
 
-def _probes(text: str) -> list[tuple[str, str]]:
-    """What a page may look up: its words, strokes of words, of parts of words and of neighbours put together, and keys of its lines."""
-    out: set[tuple[str, str]] = set()
-    lines = text.split("\n")
-    for line in [*lines, *[_plain(x) for x, _ in repair_text(text)]]:
-        if 8 <= len(s := line.strip()) <= 60:
-            short = _TRAILER.sub("", s)
-            out |= {("n", f"={notice_key(s)}"), ("n", f"={notice_key(short)}")}
-            if "�" in s:
-                out |= {("n", f"<{notice_key(s.split('�')[0])[:3]}"), ("n", f">{notice_key(s.split('�')[-1])[-3:]}")}
-    for whole in (text, "\n".join(_plain(x) for x, _ in repair_text(text))):
-        cores = [c for t in whole.split() if (c := _core(t))]
-        plain = [c.rstrip(HYPHENS) for c in cores]
-        near = [a + b for x in (cores, plain) for a, b in zip(x, x[1:])] + [f"{a}-{b}" for a, b in zip(plain, plain[1:])]
-        parts = [c[:k] for c in cores for k in range(1, len(c))] + [c[k:] for c in cores for k in range(1, len(c))]
-        out |= {("t", c) for c in [*cores, *near]}
-        out |= {("s", strokes(f)) for c in {*cores, *plain, *near, *parts} for f, _ in forms_of(c)}
-    return list(out)
-
-
-def build(words, pairs, notices, costs=None, judged=None, grams=None, total=0, new=None) -> Model:
-    """The model on a worker; words with a far more frequent look-alike are checked in their place."""
-    model = Model(words, pairs, set(notices), costs, judged, Letters(grams) if grams else None, total, new)
-    model.suspect = {
-        w for w, c in words.items()
-        if len(w) > 1 and c * 200 < max((words[v] for v in model.by_strokes[strokes(w)] if v != w), default=0)
-        and any(words[v] > 200 * c for v, s in model.candidates(w) if v in words and s >= 2 * CONFUSED)
-    }
-    return model
+_MARKS = re.compile("[-’'‑‐]")
+
+
+def _alike(word: str) -> set[str]:
+    """Strokes of a word in all its forms."""
+    return {strokes(f) for f, _ in forms_of(word)}
+
+
+def _close(word: str) -> set[str]:
+    """Strokes of a word, of its parts at marks, and of words one confusion away."""
+    out = _alike(word)
+    marks = [m.start() for m in _MARKS.finditer(word)]
+    for start in (0, *(m + 1 for m in marks)):
+        out |= {x for stop in (*marks, len(word)) if stop >= start for part in (word[start:stop], word[start : stop + 1]) if part for x in _alike(part)}
+    for f, _ in forms_of(word):
+        for i in range(len(f)):
+            for a in (1, 2, 3):
+                for target in SEEN.get(f[i : i + a], ()) if i + a <= len(f) else ():
+                    if strokes(target) != strokes(f[i : i + a]):
+                        out.add(strokes(f[:i] + target + f[i + a :]))
+    return out
+
+
+def _joins(lines: list[str]) -> set[str]:
+    """What may stand on both sides of a line end with a hyphen, put together; any lines between them may be of the frame."""
+    out: set[str] = set()
+    heads = [re.match(r"[^\s.,;:!?\"”»)…]*", x.strip())[0] for x in lines]
+    for i, line in enumerate(lines):
+        left = line.rstrip()
+        if len(left) < 2 or left[-1] not in HYPHENS or not (a := re.search(r"[^\s\"“”„«»(]*$", left[:-1])[0]):
+            continue
+        for j in range(i + 1, len(lines)):
+            b = heads[j]
+            if b and (j == i + 1 or b[0].isalpha() and (a.isupper() or not b[0].isupper())):
+                out |= {a, b, a + b, f"{a}-{b}", _core(a + b)}
+    return out - {""}
+
+
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(kind, key)`` of what pages may look up: ``t`` words, ``s`` strokes of words, of parts and of neighbours put together, ``n`` keys of lines.
+
+    Rows are given out as they come, and what was given lately is not given again.
+    """
+    done: set[str] = set()
+    given: dict[tuple[str, str], None] = {}
+    rows: list[tuple[str, str]] = []
+
+    def new(word: str) -> bool:
+        if word in done:
+            return False
+        if len(done) >= 4 * KEPT:
+            done.clear()
+        done.add(word)
+        return True
+
+    def give(kind: str, keys) -> None:
+        for key in keys:
+            if (kind, key) not in given:
+                _keep(given, (kind, key), None)
+                rows.append((kind, key))
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [(), ()]
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "key"])
+
+    for piece in _pieces(batches):
+        for text in piece.column(0).to_pylist():
+            lines = _restored(text)
+            for line in lines:
+                if 8 <= len(s := line.strip()) <= 60 and not _ENDS.search(s):
+                    give("n", {f"={notice_key(s)}", f"={notice_key(_TRAILER.sub('', s))}"})
+                    if "�" in s:
+                        give("n", (f"<{notice_key(s.split('�')[0])[:3]}",))
+                cores = [c for t in line.split() if (c := _core(t))]
+                for c in filter(new, cores):
+                    give("t", (c,))
+                    give("s", _close(c))
+                    give("s", {x for k in range(1, len(c)) for part in (c[:k], c[k:]) for x in _alike(part)})
+                for a, b in zip(cores, cores[1:]):
+                    if _LETTERS.fullmatch(a) and new(f"{a} {b}"):
+                        give("t", (a + b,))
+                        give("s", _alike(a + b))
+                if len(rows) >= OUT_ROWS:
+                    yield out()
+            for word in _joins(lines):
+                if new(f" {word}"):
+                    give("t", (word,))
+                    give("s", _close(word))
+    yield out()
+
+
+def build(words, pairs, notices, costs=None, judged=None, grams=None, total=0, new=None, by_strokes=None) -> Model:
+    """The model on a worker."""
+    return Model(words, pairs, notices, costs, judged, Letters(grams) if grams else None, total, new, by_strokes)
 
 
 def _model(held) -> Model:
@@ -1104,7 +1245,7 @@ def damaged_lines(
     def finder(held):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = _model(held)
-            for batch in batches:
+            for batch in _pieces(batches):
                 ids: list[int] = []
                 numbers: list[int] = []
                 kinds: list[str] = []
@@ -1182,7 +1323,7 @@ def readable_pages(
     def reader(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = _model(held)
-            for batch in batches:
+            for batch in _pieces(batches):
                 texts = [paragraphs(t, num, model) for num, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["page_id", "paragraphs"])
 
