@@ -100,32 +100,50 @@ def cost(text: str) -> float:
     """How garbled a text looks: odd characters, and odd neighbours inside words."""
     total = 0.0
     for run in _FOREIGN.finditer(text):  # characters beyond ASCII and the one after them
-        start = run.start()
-        before, earlier = text[start - 1] if start else " ", text[start - 2] if start > 1 else " "
-        for c in text[start : run.end() + 1]:
-            total += _char_cost(c)
-            letter, last = c.isalpha(), before.isalpha()
-            if letter and last:
-                if c.isupper() and before.islower():
-                    total += 2.0
-                if (c >= "Ѐ") != (before >= "Ѐ"):
-                    total += 3.0
-                elif c >= "\x80" and before >= "\x80" and c < "Ѐ" and c + before not in _NEIGHBOURS:
-                    total += 0.7
-            elif last and c in "±§°µ€£¿¡×№²³" and not (c in "²³" and before in "mk"):
-                total += 2.5
-            elif last and c in "–—„“\xa0":
-                total += 1.0
-            elif letter and before in "„“”…–—" and earlier.isalpha():
-                total += 2.5
-            elif letter and before in "§±×•·²³" or c.islower() and before == "¿":
-                total += 1.5
-            elif letter and before == "\xad" and earlier.isalpha():
-                total += 1.5
-            before, earlier = c, before
+        start, end = run.span()
+        before = text[max(0, start - 2) : start]
+        # One by one, so that a sum is the same however its runs were found.
+        for x in _kept_costs(before, text[start : end + 1]) if end - start <= KEPT_RUN else _run_costs(before, text[start : end + 1]):
+            total += x
     return total
 
 
+#: Longest run whose costs are kept.
+KEPT_RUN = 24
+
+
+def _run_costs(start: str, run: str) -> tuple[float, ...]:
+    """What a run adds to the cost of a text in which ``start`` stands before it."""
+    before, earlier = start[-1:] or " ", start[:-1] or " "
+    out = []
+    for c in run:
+        if one := _char_cost(c):
+            out.append(one)
+        letter, last = c.isalpha(), before.isalpha()
+        if letter and last:
+            if c.isupper() and before.islower():
+                out.append(2.0)
+            if (c >= "Ѐ") != (before >= "Ѐ"):
+                out.append(3.0)
+            elif c >= "\x80" and before >= "\x80" and c < "Ѐ" and c + before not in _NEIGHBOURS:
+                out.append(0.7)
+        elif last and c in "±§°µ€£¿¡×№²³" and not (c in "²³" and before in "mk"):
+            out.append(2.5)
+        elif last and c in "–—„“\xa0":
+            out.append(1.0)
+        elif letter and before in "„“”…–—" and earlier.isalpha():
+            out.append(2.5)
+        elif letter and before in "§±×•·²³" or c.islower() and before == "¿":
+            out.append(1.5)
+        elif letter and before == "\xad" and earlier.isalpha():
+            out.append(1.5)
+        before, earlier = c, before
+    return tuple(out)
+
+
+_kept_costs = lru_cache(1 << 16)(_run_costs)
+
+
 def _vowels(text: str) -> float:
     """How far the share of vowels among Cyrillic letters is from that of Russian text."""
     letters = [c for c in text.lower() if "а" <= c <= "я" or c == "ё"]
@@ -141,13 +159,15 @@ ALONE, ALONE_EACH, BESIDE = 5.0, 0.35, 2.0
 
 
 def _likely(text: str) -> float:
-    return sum(_LIKELY.get(c, 0.0) for c in text)
+    return sum([_LIKELY[c] for c in text if c in _LIKELY])
 
 
 def _other_cyrillic(line: str) -> tuple[str, str] | None:
     """A line of plain Cyrillic letters that make Russian only when read in another Cyrillic encoding, and the swap."""
     letters = [c for c in line if c in _LIKELY]
-    if len(set(letters)) < 4 or len(letters) < sum("A" <= c.upper() <= "Z" for c in line):  # look-alikes within Latin words
+    if len(set(letters)) < 4:
+        return None
+    if 2 * len(letters) < len(line) and len(letters) < sum("A" <= c.upper() <= "Z" for c in line):  # look-alikes within Latin words
         return None
     best, found = max(ALONE, ALONE_EACH * len(letters)), None
     for swap in _CYRILLIC_SWAPS:
@@ -157,15 +177,31 @@ def _other_cyrillic(line: str) -> tuple[str, str] | None:
     return found
 
 
+class _Reread(dict):
+    """Characters under a Cyrillic swap, empty where there is none or it makes signs of letters or letters of signs."""
+
+    def __init__(self, read: str, meant: str):
+        self.read, self.meant = read, meant
+
+    def __missing__(self, c: str) -> str:
+        raw = encode(c, self.read)
+        try:
+            new = raw.decode(self.meant) if raw else ""
+        except UnicodeDecodeError:
+            new = ""
+        self[c] = out = new if (c in _LIKELY) == (new in _LIKELY) else ""
+        return out
+
+
+_rereads = lru_cache(None)(_Reread)
+
+
 def _reread(line: str, read: str, meant: str) -> tuple[str, float]:
     """The line under a Cyrillic swap and its gain in likelihood; none where the swap makes signs of letters or letters of signs."""
-    raw = encode(line, read)
-    try:
-        new = raw.decode(meant) if raw else line
-    except UnicodeDecodeError:
-        return line, 0.0
-    if any((c in _LIKELY) != (n in _LIKELY) for c, n in zip(line, new)):
+    to = _rereads(read, meant)
+    if not all([to[c] for c in set(line)]):
         return line, 0.0
+    new = "".join([to[c] for c in line])
     return new, _likely(new) - _likely(line)
 
 
@@ -212,7 +248,7 @@ def _other_script(line: str) -> tuple[str, str] | None:
 
     Cyrillic readings only compete here; they are restored by their cost.
     """
-    foreign = sum(c >= "\x80" for c in line)
+    foreign = len(line) - len(line.encode("ascii", "ignore"))
     if foreign < LEAST_LETTERS or foreign < OTHER_SHARE * sum(not c.isspace() and not c.isdigit() for c in line):
         return None
     own = _reading(line)
@@ -283,7 +319,7 @@ def _wide() -> tuple[re.Pattern[str], dict[int, str]]:
     return re.compile("[" + "".join(map(chr, table)) + "]"), table
 
 
-_MIXED = re.compile("[A-Za-z][Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][A-Za-z]")
+_MIXED = re.compile("[Ѐ-ӿͰ-Ͽ](?:(?<=[A-Za-z].)|[A-Za-z])")
 _LATIN = {ord(a): b for a, b in {**CYRILLIC, **GREEK}.items() if b < "\x80"}
 
 
@@ -304,11 +340,16 @@ def undisguise(line: str) -> str:
 _PLAIN = re.compile(r"[\x00-\x7f’‘“”„–—•€£§«»°±µ²³·¿¡\xa0А-яЁё№éèàçñóíáúüöäßôêâûîïùœłąęćśźżńãõÉÀÇÑÓÍÁÚÜÖÄÔÊÂÃÕŁŚŹŻĆŃŒÎ\xad¬‐‑\u0300-\u036f]*")
 #: Lines in which none of the odd things can be; a hyphen at the end may be of any kind.
 QUIET = re.compile(r"[\x00-\x7f’‘“”„–—•€éèàçñóíáúüöäßôêûîïùœłąęćśźżńãõ]*[-‐\xad¬]?[ ]*")
+#: Every odd thing has one of the characters it begins with here, so that lines without any are passed over fast.
 ODD = re.compile(
-    r"â€|Â[°±µ²³·§£«»¿¡\xa0\xad¬]|Ã[^\w\s.,;:!?)\"'’”»\-–—]|[РС][°±µ·»«§–—‘’“”„•]|[^\W\dmk][³²±µ£§]|[³²±·](?=[^\W\d])|[^\W\d]·[^\W\d]|¿(?=[a-zà-ÿ])"
-    r"|[a-z][ГВРСД]|[ГВРСД][a-z]|[а-яё][А-ЯЁ]|[a-zß-ÿ][À-ÝŁŚŹŻĆŃ]|â(?=[\s,.;:)]|$)|Ã(?=[ \xa0]|$)|\u00ad(?=[^\W\d]*[ÂÃ])|Ã[\xa0\xad]"
+    r"[ÂÃâ³²±µ£§·¿А-ЯЁÀ-ÝŁŚŹŻĆŃ\xad](?:(?<=â)(?:€|(?=[\s,.;:)]|$))|(?<=Â)[°±µ²³·§£«»¿¡\xa0\xad¬]|(?<=Ã)(?:[^\w\s.,;:!?)\"'’”»\-–—]|[ \xa0\xad]|$)"
+    r"|(?<=[РС])[°±µ·»«§–—‘’“”„•]|(?<=[^\W\dmk][³²±µ£§])|(?<=[³²±·])(?=[^\W\d])|(?<=¿)(?=[a-zà-ÿ])"
+    r"|(?<=[a-z][ГВРСД])|(?<=[ГВРСД])[a-z]|(?<=[а-яё][А-ЯЁ])|(?<=[a-zß-ÿ][À-ÝŁŚŹŻĆŃ])|(?<=\xad)(?=[^\W\d]*[ÂÃ]))"
 )
 _LOST = re.compile(r"(?:^|(?<=[\s(\"“]))[Ãâ](?=[\s,.;:)]|$)(?!\s+[A-ZÀ-Ý0-9](?:\s|$))|Ã(?=[ \xa0](?![A-ZÀ-Ý0-9]))|â(?=[€™œ“”])|(?<=[a-z])Ã(?![A-ZÀ-Ý])|[ÂÃ](?=[^\w\s.,;:!?)\"'’”»\-–—])|[ÐÑ](?=$|[ ÐÑ])")
+_CONTROL = re.compile("[\x80-\x9f]")
+#: One of these is in every line of which something is lost.
+_MAY_BE_LOST = re.compile("[\x80-\x9fÂÃâÐÑ�]")
 
 
 @lru_cache(None)
@@ -331,10 +372,12 @@ def _run_repair(run: str, encoding: str) -> str:
     return new if cost(new) < cost(run) else run
 
 
-def _repair_runs(line: str) -> tuple[str, str | None]:
-    """Best single pass of repairs of UTF-8 runs, and the encoding the line had been read as."""
-    best, best_cost, by = line, cost(line), None
+def _repair_runs(line: str, now: float) -> tuple[str, str | None, float]:
+    """Best single pass of repairs of UTF-8 runs of a line that costs ``now``, the encoding the line had been read as, and its cost."""
+    best, best_cost, by = line, now, None
     limit = best_cost - RUN_DROP
+    if limit < 0:  # no cost is below zero
+        return best, by, best_cost
     chars = set(line)
     for encoding in READ_AS:
         if chars.isdisjoint(_leads(encoding)):  # no run can begin
@@ -344,13 +387,12 @@ def _repair_runs(line: str) -> tuple[str, str | None]:
             best, best_cost, by = new, c, encoding
             if c < 0.2 * (limit + RUN_DROP):  # nearly nothing odd is left
                 break
-    return best, by
+    return best, by, best_cost
 
 
-def _repair_swap(line: str) -> tuple[str, str | None]:
-    now = cost(line)
+def _repair_swap(line: str, now: float) -> tuple[str, str | None, float]:
     if now < LINE_DROP:
-        return line, None
+        return line, None, now
     best, best_cost, by = line, now - LINE_DROP, None
     encoded = {read: encode(line, read) for read in dict.fromkeys(r for r, _ in SWAPS)}
     for read, meant in SWAPS:
@@ -361,12 +403,12 @@ def _repair_swap(line: str) -> tuple[str, str | None]:
             new = raw.decode(meant)
         except UnicodeDecodeError:
             continue
-        cyrillic = sum("Ѐ" <= x <= "ӿ" for x in new)
-        if cyrillic and (cyrillic < sum("A" <= x.upper() <= "Z" for x in new) or _unlikely_cyrillic(new)):
+        if (c := cost(new)) >= best_cost or c >= 0.7 * now:
             continue
-        if (c := cost(new)) < best_cost and c < 0.7 * now:
+        cyrillic = len(_CYRILLIC.findall(new))
+        if not cyrillic or cyrillic >= sum("A" <= x.upper() <= "Z" for x in new) and not _unlikely_cyrillic(new):
             best, best_cost, by = new, c, f"{read}>{meant}"
-    return best, by
+    return best, by, best_cost
 
 
 _ESCAPE = re.compile(r"(?:\\x[0-9a-fA-F]{2})+")
@@ -390,17 +432,18 @@ _CYRILLIC = re.compile("[Ѐ-ӿ]")
 def _peel(line: str, swaps: bool) -> tuple[str, list[str]]:
     """Undoes layers of wrong decodings while that makes the line look better."""
     how: list[str] = []
+    now = cost(line)
     for _ in range(LAYERS):
         if how and QUIET.fullmatch(line):
             break
-        new, by = _repair_runs(line)
-        if swaps and not how and (by is None or cost(new) > 0.3 * cost(line)):
-            other, swap = _repair_swap(line)
-            if swap and (by is None or cost(other) < 0.5 * cost(new)):
-                new, by = other, swap
+        new, by, left = _repair_runs(line, now)
+        if swaps and not how and (by is None or left > 0.3 * now):
+            other, swap, less = _repair_swap(line, now)
+            if swap and (by is None or less < 0.5 * left):
+                new, by, left = other, swap, less
         if by is None:
             break
-        line = new
+        line, now = new, left
         how.append(by)
     return line, how
 
@@ -420,7 +463,7 @@ def repair_line(line: str) -> tuple[str, str | None]:
     if _PLAIN.fullmatch(line) and not ODD.search(line):
         return _CYRILLIC.search(line) and _other_cyrillic(line) or (line, None)
     plain = undisguise(line)
-    if _PLAIN.fullmatch(plain) and not ODD.search(plain):
+    if plain != line and _PLAIN.fullmatch(plain) and not ODD.search(plain):
         return line, None
     if (other := _other_script(line)) is not None:
         return other
@@ -432,7 +475,7 @@ def repair_line(line: str) -> tuple[str, str | None]:
             new, how = undisguise(other), steps
     # The no-break space of a garbled à had become a plain one.
     line = re.sub("Ã (?= |$)", "à", new) if how else new
-    if "�" in line or any("\x80" <= c < "\xa0" for c in line) or _LOST.search(line):
+    if _MAY_BE_LOST.search(line) and ("�" in line or _CONTROL.search(line) or _LOST.search(line)):
         how.append("lost")
     return (line, "+".join(how)) if how else (sound, None)
 

@@ -66,7 +66,8 @@ SEEN: dict[str, set[str]] = defaultdict(set)
 for _pair in _SEEN.split(","):
     SEEN[_pair.split(" ")[0]].add(_pair.split(" ")[1])
 
-_CORE = re.compile(r"^[\"“”„«»'‘’(\[…¿¡]*(.*?)[\"“”„«»'’)\],.;:!?…]*$", re.S)
+#: Marks before and after a word.
+_OPENS, _CLOSES = "\"“”„«»'‘’([…¿¡", "\"“”„«»'’)],.;:!?…"
 _CODE = re.compile(
     r"[A-Z]\d{1,3}\.\d{1,4}|[A-Z]{2}-\d{2,5}|\d{4}-[A-Z]{2}-\d{1,4}|\d{1,3}/[A-Z]{2}\d{1,5}|[±€£$]?\d+(?:[.,]\d+)*(?:%|°C?|-\d*)?|\d{1,2}\.\d{1,2}\.\d{2,4}|[A-Z]{2}-|\d{4}-(?:[A-Z]{2}-)?|[A-Z]{2}-\d+"
 )
@@ -83,13 +84,14 @@ _PAGE_WORDS = ("page", "seite", "página", "pagina", "strona", "страница
 _INTEGER = re.compile(rf"\s*{_DIGIT}{{1,5}}\s*$")
 _ROMAN = re.compile(r"\s*[-–]?\s*[ivxlcIVXLC1|ⅰ-ⅿ]{1,7}\s*[-–]?\s*$")
 _SPACED = re.compile(r"\s*(?:\S ){2,}\S?(?:\s{2,}|$)")
-_ENDS = re.compile(r"[.!?;:,”»\"…]\s*$")
+_END_MARKS = ".!?;:,”»\"…"
+_ENDS = re.compile(rf"[{_END_MARKS}]\s*$")
 _DATED = re.compile(r"\|\s*\S{0,3}\d[\d.\-/OlSB·]+\s*$")
 #: A line that is nothing but a code is a stamp.
 _STAMP = re.compile(r"\s*(?:[A-Z]\d{1,3}\.\d{3,4}|[A-Z]{2}-\d{3,5}|\d{4}-[A-Z]{2}-\d{2,4}|\d{1,3}/[A-Z]{2}\d{2,5})\s*$")
 _SECTION = re.compile(r"\s*[\dlOIS]{1,2}[.,][\dlOIS]{1,2}\s+[^\W\d_]")
 _NUMBERED = re.compile(r"\s*(?:[\dlOISB]{1,5}\s{2,}\S.*[^\W\d_].*|\S.*[^\W\d_].*\s{2,}[\dlOISB]{1,5})\s*$")
-_TRAILER = re.compile(r"\s*[·•.|‐-]\s*\S{1,5}\s*$")
+_TRAILS, _TRAILER = re.compile("[·•.|‐-]"), re.compile(r"\s*[·•.|‐-]\s*\S{1,5}\s*$")
 _TITLE_END = re.compile(r"(?:[–—-] \S+|\b(?:1[89]|[12lI]9|20|2[0O])\S{2})\s*$")
 
 
@@ -256,6 +258,7 @@ class Letters:
 
     def __init__(self, grams: dict[str, int]):
         self.grams = grams
+        self.logs: dict[str, float] = {}
         self.follow: dict[str, list[int]] = {}
         for g, c in grams.items():
             f = self.follow.setdefault(g[:-1], [0, 0])
@@ -263,16 +266,22 @@ class Letters:
             f[1] += 1
 
     def log(self, word: str) -> float:
-        text, total = f"\2\2{word.lower()}\3", 0.0
+        text, total, logs = f"\2\2{word.lower()}\3", 0.0, self.logs
         for k in range(2, len(text)):
-            p = 1e-4  # any other character
-            for context in ("", text[k - 1], text[k - 2 : k]):
-                have = self.follow.get(context)
-                if have:
-                    p = (self.grams.get(context + text[k], 0) + have[1] * p) / (have[0] + have[1])
-            total += math.log(p)
+            gram = text[k - 2 : k + 1]
+            total += logs[gram] if gram in logs else self._log(gram)
         return total
 
+    def _log(self, gram: str) -> float:
+        p = 1e-4  # any other character
+        for context in ("", gram[1], gram[:2]):
+            have = self.follow.get(context)
+            if have:
+                p = (self.grams.get(context + gram[2], 0) + have[1] * p) / (have[0] + have[1])
+        out = math.log(p)
+        _keep(self.logs, gram, out)
+        return out
+
 
 def grams_of(word: str) -> list[str]:
     text = f"\2\2{word.lower()}\3"
@@ -341,7 +350,7 @@ class Model:
         self.by_strokes = by_strokes or Table.of((strokes(w), w) for w in words)
         self.known_candidates: dict[str, list[tuple[str, float]]] = {}
         self.judged, self.unknown = judged or Scores.of([]), {}
-        self.tokens, self.options, self.pair_logs = _Tokens(self), {}, {}
+        self.tokens, self.options, self.joins, self.pair_logs = _Tokens(self), {}, {}, {}
         self.fine: set[str] = set()  # tokens that need no closer look
         self.suspect = _Suspects(self)
         self.spaced = self.costs.get(SPACE, SPACED)
@@ -381,10 +390,11 @@ class Model:
         have = self.pair_logs.get((left, right))
         if have is not None:
             return have
-        count, own = self.pairs.get((left, right), 0), self.word_log(right)
+        before, own = self.words.get(left), self.word_log(right)
+        count = self.pairs.get((left, right), 0)
         if count:
-            own = math.log((count + 2 * math.exp(own)) / (self.words.get(left, count) + 2))
-        elif left in self.words:
+            own = math.log((count + 2 * math.exp(own)) / ((count if before is None else before) + 2))
+        elif before is not None:
             own -= 1.0
         _keep(self.pair_logs, (left, right), own)
         return own
@@ -403,7 +413,10 @@ class Model:
         if have is not None:
             return have
         forms = [form for form, _ in forms_of(word)]
-        found = scored(word, {w for form in forms for w in self.by_strokes.all(strokes(form))}, self.costs, deep)
+        alike = {w for form in forms for w in self.by_strokes.all(strokes(form))}
+        if not deep and not alike:  # most of what is put together
+            return []
+        found = scored(word, alike, self.costs, deep)
         if deep and not found:
             found = scored(word, {w for form in forms for w in _one_change(form, self.words)}, self.costs)
         out = sorted(((w, score) for w, (score, _) in found.items()), key=lambda x: (-x[1], x[0]))
@@ -424,7 +437,7 @@ def _one_change(word: str, words) -> set[str]:
 
 
 def _core(token: str) -> str:
-    core = _CORE.match(token)[1]
+    core = token.lstrip(_OPENS).rstrip(_CLOSES)
     return token[: token.index(core) + len(core)] if token[0] == "(" and ")" not in token and core else core
 
 
@@ -499,14 +512,14 @@ def frame_lines(lines: list[str], page_num: int | None, model: Model) -> set[int
 
     def notice(i: int) -> bool:
         line = lines[i].strip()
-        if len(line) < 8 or len(line) > 60 or _ENDS.search(line):
+        if len(line) < 8 or len(line) > 60 or line[-1] in _END_MARKS:
             return False
         if "�" in line:
             lost = re.compile(".{1,3}".join(re.escape(notice_key(x)) for x in line.split("�")))
             return any(lost.fullmatch(k) for k in model.plain_notices)
         if notice_key(line) in model.plain_notices:
             return True
-        short = _TRAILER.sub("", line)
+        short = _TRAILER.sub("", line) if _TRAILS.search(line) else line
         return short != line and notice_key(short) in model.plain_notices
 
     def foot(p: int, edge: bool) -> bool:
@@ -600,14 +613,16 @@ def notice_key(line: str) -> str:
     return _NO_WORD.sub("", strokes(_NUMBERS.sub("", line)))
 
 
-def broken_words(lines: list[str], frame: set[int], model: Model) -> dict[int, tuple[int, str, str]]:
-    """Lines that end inside a word: index of the next body line, the fragment and its continuation."""
-    body = [i for i, x in enumerate(lines) if x.strip() and i not in frame]
-    out = {}
+def broken_words(lines: list[str], frame: set[int], model: Model, ends: set[int] | None = None) -> dict[int, tuple[int, str, str]]:
+    """Lines that end inside a word: index of the next body line, the fragment and its continuation. ``ends`` are the lines that end with a hyphen."""
+    out: dict[int, tuple[int, str, str]] = {}
+    if not (ends := _hyphen_ends(lines) if ends is None else ends):
+        return out
+    body = [i for i, x in enumerate(lines) if i not in frame and x and not x.isspace()]
     for i, j in zip(body, body[1:]):
-        left, right = lines[i].rstrip(), lines[j].strip()
-        if len(left) < 2 or left[-1] not in HYPHENS or not right:
+        if i not in ends or len(left := lines[i].rstrip()) < 2:
             continue
+        right = lines[j].strip()
         if j > i + 1 and not any(k in frame for k in range(i + 1, j)):
             continue
         a = re.search(r"[^\s\"“”„«»(]*$", left[:-1])[0]
@@ -634,64 +649,84 @@ def broken_words(lines: list[str], frame: set[int], model: Model) -> dict[int, t
     return out
 
 
-def token_options(token: str, model: Model) -> list[tuple[tuple[str, ...], float, bool]]:
-    """What one token may stand for: words, channel score, and whether the words are the token as it is. The same everywhere, so kept."""
+def _hyphen_ends(lines: list[str]) -> set[int]:
+    return {i for i, x in enumerate(lines) if (end := x.rstrip()[-1:]) and end in HYPHENS}
+
+
+def token_options(token: str, model: Model) -> tuple[list[tuple[int, tuple[str, ...], float]], bool]:
+    """What one token may stand for: tokens taken, words and channel score, as it is first; and whether it is a code. The same everywhere, so kept."""
     have = model.options.get(token)
     if have is not None:
         return have
-    words = model.words
-    out: list[tuple[tuple[str, ...], float, bool]] = [((token,), 0.0, True)]
-    sound = model.known(token) or bool(_CODE.fullmatch(token))
+    words, code = model.words, bool(_CODE.fullmatch(token))
+    out: list[tuple[int, tuple[str, ...], float]] = [(1, (token,), 0.0)]
+    sound = code or model.known(token)
     if not sound:
         for cut in range(1, len(token)):
             a, b = token[:cut], token[cut:]
             if b in words and (a in words or cut > 1 and model.known(a)) and (len(a) > 1 or a.lower() in SINGLE) and (len(b) > 1 or b.lower() in SINGLE):
-                out.append(((a, b), model.spaced, False))
+                out.append((1, (a, b), model.spaced))
     if not sound or token in model.suspect:
-        out += [(tuple(w.split(" ")), s, False) for w, s in model.candidates(token, len(out) == 1)]
-    _keep(model.options, token, out)
+        out += [(1, tuple(w.split(" ")), s) for w, s in model.candidates(token, len(out) == 1)]
+    _keep(model.options, token, (out, code))
+    return out, code
+
+
+def joined_options(token: str, after: str, model: Model) -> list[tuple[int, tuple[str, ...], float]]:
+    """What a token and the one after it may stand for together; also the same everywhere."""
+    have = model.joins.get((token, after))
+    if have is not None:
+        return have
+    known, out = model.known, []
+    if _LETTERS.fullmatch(token):
+        both, sound = token + after, (known(token) or token_options(token, model)[1]) and known(after)
+        if not sound or (token, after) not in model.pairs:
+            if known(both) and len(both) > 3:
+                out.append((2, (both,), model.spaced))
+            elif not sound:
+                out += [(2, tuple(w.split(" ")), s + model.spaced) for w, s in model.candidates(both, deep=False)]
+    _keep(model.joins, (token, after), out)
     return out
 
 
 def decode(tokens: list[str], model: Model) -> list[tuple[int, int, str]]:
     """Best words of a line: ``(first token, tokens taken, word)`` by Viterbi over candidates."""
-    n, known, codes = len(tokens), model.known, {t for t in tokens if _CODE.fullmatch(t)}
-    every = []
+    n, codes, every, open_ = len(tokens), set(), [], False
     for i, token in enumerate(tokens):
-        options = [(1, words, score) for words, score, _ in token_options(token, model)]
-        if i + 1 < n and _LETTERS.fullmatch(token):
-            both, sound = token + tokens[i + 1], (known(token) or token in codes) and known(tokens[i + 1])
-            if not sound or (token, tokens[i + 1]) not in model.pairs:
-                if known(both) and len(both) > 3:
-                    options.append((2, (both,), model.spaced))
-                elif not sound:
-                    options += [(2, tuple(w.split(" ")), s + model.spaced) for w, s in model.candidates(both, deep=False)]
+        options, code = token_options(token, model)
+        if code:
+            codes.add(token)
+        if i + 1 < n and (joined := joined_options(token, tokens[i + 1], model)):
+            options = options + joined
+        open_ = open_ or len(options) > 1
         every.append(options)
-    if all([len(options) == 1 for options in every]):  # nothing but what stands there
+    if not open_:  # nothing but what stands there
         return [(i, 1, token) for i, token in enumerate(tokens)]
-    best: list[dict[str, tuple[float, int, str | None, tuple[int, int, str] | None]]] = [{} for _ in range(n + 1)]
-    best[0][""] = (0.0, 0, None, None)
-    pair_log = model.pair_log
+    # By last word: likelihood, and the place, last word, tokens and words of the step to it.
+    best: list[dict[str, tuple[float, int, str, int, tuple[str, ...]]]] = [{} for _ in range(n + 1)]
+    best[0][""] = (0.0, 0, "", 0, ())
+    pair_log, pair_logs = model.pair_log, model.pair_logs
     for i in range(n):
-        if not best[i]:
-            continue
-        for last, (so_far, *_) in list(best[i].items()):
-            for take, words, score in every[i]:
+        options = every[i]
+        for last, state in best[i].items():
+            so_far = state[0]
+            for take, words, score in options:
                 value, left = so_far + score, last
                 for w in words:
                     if w not in codes:
-                        value += pair_log(left, w)
+                        have = pair_logs.get((left, w))
+                        value += pair_log(left, w) if have is None else have
                     left = w
                 target = best[i + take]
                 old = target.get(left)
                 if old is None or value > old[0]:
-                    target[left] = (value, i, last, (i, take, " ".join(words)))
+                    target[left] = (value, i, last, take, words)
     out = []
-    at, state = n, max(best[n], key=lambda w: best[n][w][0])
+    at, last = n, max(best[n], key=lambda w: best[n][w][0])
     while at > 0:
-        _, before, last, step = best[at][state]
-        out.append(step)
-        at, state = before, last
+        _, at, before, take, words = best[at][last]
+        out.append((at, take, " ".join(words)))
+        last = before
     return out[::-1]
 
 
@@ -715,21 +750,21 @@ def page_lines(text: str, page_num: int | None, model: Model) -> tuple[list[str]
     """Lines of a page (restored), its frame, broken words, misread lines and corrected words of changed lines."""
     lines = _restored(text)
     frame = frame_lines(lines, page_num, model)
-    broken = broken_words(lines, frame, model)
+    ends = _hyphen_ends(lines)
+    broken = broken_words(lines, frame, model, ends)
     misread: set[int] = set()
     corrected: dict[int, list[str]] = {}
     continued = {j: i for i, (j, _, _) in broken.items()}
     look, fine = model.tokens, model.fine.issuperset
-    compounds = {i for i, x in enumerate(lines) if i not in frame and i not in broken and x.rstrip()[-1:] in HYPHENS and x.strip()[1:]}
+    compounds = {i for i in ends if i not in frame and i not in broken and lines[i].strip()[1:]}
+    edges = ends.union(continued, [i + 1 for i in compounds])
     for i, line in enumerate(lines):
-        if i in frame or not line or line.isspace():
+        if i in frame or not (tokens := line.split()):
             continue
-        tokens = line.split()
-        cut = line.rstrip()[-1:] in HYPHENS
-        if not cut and i not in continued and i - 1 not in compounds and fine(tokens):
+        if i not in edges and fine(tokens):
             continue
         looked = [look[t] for t in tokens]
-        if not cut and i not in continued and i - 1 not in compounds and not any([odd for _, odd in looked]):
+        if i not in edges and not any([odd for _, odd in looked]):
             continue
         cores = [core for core, _ in looked]
         odd = [o for _, o in looked]
@@ -737,7 +772,7 @@ def page_lines(text: str, page_num: int | None, model: Model) -> tuple[list[str]
             cores[0], odd[0] = "", False
         if i in broken:
             cores[-1], odd[-1] = "", False
-        elif cut:  # a compound that goes on in the next line
+        elif i in ends:  # a compound that goes on in the next line
             cores[-1], odd[-1] = "", False
         if i - 1 in compounds:
             cores[0], odd[0] = "", False
@@ -786,9 +821,9 @@ def page_lines(text: str, page_num: int | None, model: Model) -> tuple[list[str]
 def _restored(text: str) -> list[str]:
     """The lines of a page, restored."""
     lines = text.split("\n")
-    if not all(["\\x" not in x and (x.isascii() or QUIET.fullmatch(x) or _CALM.fullmatch(x) and not ODD.search(x)) for x in lines]):
-        lines = [_plain(x) for x, _ in repair_text(text)]
-    return lines
+    if "\\x" not in text and all([x.isascii() or QUIET.fullmatch(x) or _CALM.fullmatch(x) and not ODD.search(x) for x in lines]):
+        return lines
+    return [_plain(x) for x, _ in repair_text(text)]
 
 
 #: Lines of plain characters, whose encoding and form need no repair; a hyphen at the end may be of any kind.
@@ -803,13 +838,15 @@ def _plain(line: str) -> str:
     """The line in the form of the model's words; a hyphen at its end keeps its kind."""
     if line.isascii():
         return line
+    if QUIET.fullmatch(line):  # of the signs only a hyphen at the end can be there
+        return line.replace("‐", "-")
     line = unicodedata.normalize("NFC", undisguise(line)).translate(_SIGNS)
     return re.sub("\xad(?=\\w)", "", line)
 
 
 def _fine(core: str, model: Model) -> bool:
     """Numbers, codes, compounds of known words and words of damaged encoding need no correction."""
-    if _TWO_SCRIPTS.search(core):
+    if not core.isascii() and _TWO_SCRIPTS.search(core):
         return True
     if _CODE.fullmatch(core) or not any(c.isalnum() for c in core) or "�" in core:
         return True

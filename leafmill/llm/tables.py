@@ -93,7 +93,7 @@ class PairCounts(Counts):
     """Numbers by pair of words."""
 
     def _find(self, key: tuple[str, str]) -> int:
-        return super()._find(f"{key[0]}\t{key[1]}")
+        return Table._find(self, "\t".join(key))
 
 
 class Scores(Table):
